@@ -51,8 +51,6 @@ SHINGLE, PER_CENT = 5, 75
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 EMPTY = 0xFFFF
 PER_BLOCK = 1000
-#: Ids that may be broadcast (about 8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 250_000
 
 
 def shingles(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -179,16 +177,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _checked(ids: DataFrame) -> DataFrame:
-    """A table of ids, broadcast if it is known to be small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) that are links on their full sets, as a table."""
     spark = docs.sparkSession
     ids = shared.table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "needed")
-    texts = docs.join(_checked(ids), "doc_id", "left_semi")
+    texts = docs.join(shared.checked(ids), "doc_id", "left_semi")
     sets = shared.table(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "sets")
     x = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

@@ -403,6 +403,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def tokenise(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Columns ``keep``, n_tokens, ids and decoded_sha256 of every row: what training reads, and a digest to check it by."""
+    shared.prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for rows, data, off in blocks(batches, text="__text", size=1 << 20):
+            ids, count = model.encode(_texts(data, off))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))
+            sha = pa.array([hashlib.sha256(x).hexdigest() for x in model.decode(ids, count)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(count, pa.int64()), lists, sha], names=[*keep, "n_tokens", "ids", "decoded_sha256"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids array<int>", "decoded_sha256 string"])
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded, and its ids decoded, in one pass."""
     shared.prepare(docs.sparkSession)

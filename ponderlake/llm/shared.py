@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -43,6 +44,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Ids that may be broadcast (about 8 MB in memory); more are joined by a shuffle.
+BROADCAST_IDS = 250_000
+
+
+def checked(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it is found small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``ids`` (one column, ``doc_id``); rows without an id stay."""
+    gone = table(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(checked(gone), docs[id_col] == F.col("__gone"), "left_anti")
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables that no later step reads."""
     for df in frames:
