@@ -1,6 +1,6 @@
 """Named queries over the test tables; importing this package registers them."""
 
-from . import rollout_queries  # noqa: F401
+from . import prediction_queries, rollout_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
