@@ -24,7 +24,7 @@ def pattern_decode(pattern: Column, people: Column) -> Column:
 
 
 def pattern_of_index(i: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PATTERNS]), (i + 1).cast("int"))
+    return F.when(i.between(0, 7), F.element_at(F.array(*[F.lit(p) for p in PATTERNS]), (i + 1).cast("int")))
 
 
 def fmt_assignment(answer: Column, people: Column) -> Column:
