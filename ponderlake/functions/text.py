@@ -99,7 +99,7 @@ def fmt_completion(trace: Column, answer: Column, people: Column, solutions: Col
 
 def has_repeated_line(text: Column) -> Column:
     """Whether three consecutive non-empty lines, trimmed, are equal."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     runs = F.sequence(F.lit(0), F.greatest(F.size(lines) - 3, F.lit(0)))
     return F.when(F.size(lines) >= 3, F.exists(runs, lambda i: (F.get(lines, i) == F.get(lines, i + 1)) & (F.get(lines, i) == F.get(lines, i + 2)))).otherwise(F.lit(False))
 

@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE.parent), str(HERE)]
 
 
 @pytest.fixture(scope="session")
