@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .textops import U64, Block, blocks, mix, mix_int
 
-FLUSH = 16 << 20
+FLUSH = 6 << 20
 DEV, FOLDS = 1, 10
 STEP, FREQUENCIES = 8, 24
 _END, _BEGIN = U64(mix_int(0x656E64)), U64(mix_int(0x626567))
@@ -129,7 +129,8 @@ def _answer(p: pd.DataFrame) -> pd.DataFrame:
     word = (unique >> U64(48)) > 0
     total = np.array([out[0][word].sum(), (out[0][word] > 0).sum(), out[1][word].sum(), (out[1][word] > 0).sum()], np.int64)
     cut = np.concatenate([[0], np.cumsum(sizes)])
-    per = [[x[at[a:e]].tobytes() for a, e in zip(cut[:-1], cut[1:], strict=True)] for x in out]
+    kinds = [np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64 for x in out]
+    per = [[x[at[a:e]].astype(t).tobytes() for a, e in zip(cut[:-1], cut[1:], strict=True)] for x, t in zip(out, kinds, strict=True)]
     rows = pd.DataFrame({"bucket": p["bucket"], "flush": p["flush"], "b": per[0], "c": per[1]})
     return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "b": [total.tobytes()], "c": [b""]})])
 
@@ -147,9 +148,10 @@ def _opened(row: dict, n_buckets: int) -> tuple[Local, np.ndarray, np.ndarray, n
     return Local(np.frombuffer(row["c"], np.uint64), token, count, n_buckets), token, count, ids[: len(count)], ids[len(count) :] > 0
 
 
-def _answers(row: dict, which: str) -> np.ndarray:
-    got = sorted(row["answers"], key=lambda x: x["bucket"])
-    return np.frombuffer(b"".join(x[which] for x in got), np.int64)
+def _answers(row: dict, which: str, local: Local) -> np.ndarray:
+    """Counts in the order asked; a bucket's are of four or eight bytes, as it needed."""
+    size = np.bincount(local.bucket)
+    return np.concatenate([np.frombuffer(x[which], np.uint32 if len(x[which]) == 4 * size[x["bucket"]] else np.uint64).astype(np.int64) for x in sorted(row["answers"], key=lambda x: x["bucket"])])
 
 
 def _cells(n_buckets: int, n: int, docs: int):
@@ -161,7 +163,7 @@ def _cells(n_buckets: int, n: int, docs: int):
                 local, token, count, ids, null = _opened(row, n_buckets)
                 part = np.repeat(np.where(null, 0, fold(pa.array(ids))), count)
                 dev = np.flatnonzero(part == DEV)
-                one, two = local.counts(_answers(row, "c"))
+                one, two = local.counts(_answers(row, "c", local))
                 left = np.append(one, docs)[local.before]
                 k, p2, p1 = _shares(two[local.bigram][dev], left[dev], one[token][dev], n)
                 q = [np.where(p > 0, np.rint(-STEP * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (p2, p1)]
@@ -199,7 +201,7 @@ def _score(n_buckets: int, n: int, types: int, docs: int, weights: np.ndarray):
         for batch in batches:
             for row in batch.to_pylist():
                 local, token, count, ids, null = _opened(row, n_buckets)
-                one, two = local.counts(_answers(row, "b"))
+                one, two = local.counts(_answers(row, "b", local))
                 base = np.log10((one + 0.1) / (n + 0.1 * (types + 1)))[token]
                 # a bigram's probability is worked out once for each distinct one
                 k, p2, p1 = _shares(two, np.append(one, docs)[local.left], one[local.right], n)
@@ -218,7 +220,7 @@ def _score(n_buckets: int, n: int, types: int, docs: int, weights: np.ndarray):
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``, as a table."""
     spark = shared.prepare(docs.sparkSession)
-    n_buckets = 8 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = shared.table(docs.mapInArrow(_gather(n_buckets), _HELD), "flushes")
     answers = shared.table(held.where("ask").groupBy("bucket").applyInPandas(_answer, "bucket int, flush long, b binary, c binary"), "answers")
