@@ -43,10 +43,11 @@ from .textops import U64, WHITE, Block, blocks, mix, per_doc, windows
 WINDOW = 13
 FLUSH = 16 << 20
 _ROW = "bucket int, hash binary, more binary, doc binary, at binary, known binary"
+_PART = "part int, doc binary, at binary"
 
 
 def _buckets(df: DataFrame) -> int:
-    return 8 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return 2 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def chosen(h: np.ndarray, b: Block, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,20 +105,31 @@ def _send(entries: list[tuple[np.ndarray, ...]], n_buckets: int, least: bool) ->
     yield _pack(bucket[order].astype(np.int64), [x[order] for x in (h, more, doc, at, known)])
 
 
-def _by_doc(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """doc_id and its positions as bytes (int32)."""
+def _by_part(doc: np.ndarray, at: np.ndarray, parts: int) -> pd.DataFrame:
+    """Documents and positions, one row for each part of the documents."""
+    part = (mix(doc.astype(U64)) >> U64(20)) % U64(parts)
+    order = np.argsort(part, kind="stable")
+    part, raw, where = part[order].astype(np.int32), doc[order].astype(np.int64).tobytes(), at[order].astype(np.int32).tobytes()
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    span = list(zip(heads.tolist(), np.append(heads[1:], len(part)).tolist() if len(heads) else [], strict=True))
+    return pd.DataFrame({"part": part[heads], "doc": [raw[8 * a : 8 * b] for a, b in span], "at": [where[4 * a : 4 * b] for a, b in span]})
+
+
+def _by_doc(p: pd.DataFrame) -> pd.DataFrame:
+    """A part's documents with all their positions as bytes (int32)."""
+    doc, at = np.frombuffer(b"".join(p["doc"]), np.int64), np.frombuffer(b"".join(p["at"]), np.int32)
     order = np.argsort(doc, kind="stable")
-    doc, raw = doc[order], at[order].astype(np.int32).tobytes()
+    doc, raw = doc[order], at[order].tobytes()
     heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     tails = np.append(heads[1:], len(doc)) if len(heads) else heads
-    return pd.DataFrame({"doc_id": doc[heads], "at": [raw[4 * a : 4 * b] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]})
+    return pd.DataFrame({"doc_id": doc[heads], "found": [raw[4 * a : 4 * b] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]})
 
 
 def _unpack(p: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(p[c]), t) for c, t in (("hash", np.uint64), ("more", np.uint32), ("doc", np.int64), ("at", np.int32), ("known", np.uint8))]
 
 
-def _meet(least: bool):
+def _meet(least: bool, parts: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         h, more, doc, at, known = _unpack(p)
         order = np.lexsort((doc, more, h))
@@ -130,25 +142,25 @@ def _meet(least: bool):
             group = np.cumsum(new) - 1
             hit = np.bincount(group, weights=(doc != doc[head]) | (known > 0)) > 0
             out = hit[group] & (known == 0)
-        return _by_doc(doc[out], at[out])
+        return _by_part(doc[out], at[out], parts)
 
     return run
 
 
 def _level(sent: DataFrame, least: bool, name: str) -> DataFrame:
     """doc_id and all positions found at this level, one row per document."""
+    parts = _buckets(sent)
     sent = shared.table(sent, f"{name}-sent")
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(least), "doc_id long, at binary")
+    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(least, parts), _PART)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 _, _, doc, at, _ = _unpack(p)
-                yield _by_doc(doc, at)
+                yield _by_part(doc, at, parts)
 
-    near = sent.where("bucket < 0").mapInPandas(local, "doc_id long, at binary")
-    found = met.unionByName(near).groupBy("doc_id").agg(F.collect_list("at").alias("found"))
-    found = shared.table(found, name)
+    near = sent.where("bucket < 0").mapInPandas(local, _PART)
+    found = shared.table(met.unionByName(near).groupBy("part").applyInPandas(_by_doc, "doc_id long, found binary"), name)
     shared.drop(sent)
     return found
 
@@ -178,7 +190,7 @@ def _flagged(lists: pa.Array, b: Block, length: int) -> np.ndarray:
     out = np.zeros(len(b.start), bool)
     for i, x in enumerate(lists.to_pylist()):
         if x:
-            at = np.frombuffer(b"".join(x), np.int32).astype(np.int64)
+            at = np.frombuffer(x, np.int32).astype(np.int64)
             out[at[at <= b.first[i + 1] - b.first[i] - length] + b.first[i]] = True  # rows of one id may differ in text
     return out
 
