@@ -1,6 +1,6 @@
 """Named queries over the test tables; importing this package registers them."""
 
-from . import landscape_queries, prediction_queries, rollout_queries, text_queries  # noqa: F401
+from . import landscape_queries, prediction_queries, record_queries, rollout_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
