@@ -10,9 +10,12 @@ Documents are linked when 100 * |intersection| >= 75 * |union|.
    and ``MANTISSA`` further bits are kept (two bytes).
 2. Equal sets form a class, found by digest; only one row of a class goes on,
    so exact copies never meet one another.
-3. Banding: each run of ``ROWS`` registers that isn't wholly empty is a band
-   key.  Keys held by one class are discarded.  At the threshold itself a link
-   shares a band with probability over 1 - 1e-6, above it with more.
+3. Banding: each run of ``ROWS`` registers is a band key.  Small sets leave
+   buckets empty; for banding these borrow the register of another bucket, the
+   first that isn't empty in an order of hashes fixed for each bucket, so that a
+   band is as selective for a short text as for a long one.  Keys held by one
+   class are discarded.  At the threshold itself a link shares a band with
+   probability over 1 - 1e-6, above it with more.
 4. First round: the classes of a band are paired with its least one.  The
    collision-corrected estimate of the Jaccard similarity from two sketches
    drops pairs that are more than five standard errors below the threshold; the
@@ -50,7 +53,9 @@ from .textops import U64, Block, blocks, mix, windows
 SHINGLE, PER_CENT = 5, 75
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 EMPTY = 0xFFFF
-PER_BLOCK = 1000
+PER_BLOCK, SMALL = 1000, 64
+#: Rows that one call compares, groups of a band packed together (about 3 MB).
+CHUNK = 5000
 
 
 def shingles(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +91,31 @@ def registers(x: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Where an empty bucket looks for a register, attempt by attempt.
+_LOOK = (mix(np.arange(REGISTERS * 64, dtype=U64) + U64(0x5DEECE66D)) % U64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 64)
+
+
+def dense(regs: np.ndarray) -> np.ndarray:
+    """Rows of registers with the empty ones filled in (rows that are wholly empty stay so)."""
+    out = regs.copy()
+    row, col = np.nonzero((regs == EMPTY) & (regs != EMPTY).any(1)[:, None])
+    for t in range(_LOOK.shape[1]):
+        if not len(row):
+            return out
+        got = regs[row, _LOOK[col, t]]
+        out[row, col] = got
+        left = got == EMPTY
+        row, col = row[left], col[left]
+    for step in range(1, REGISTERS):  # very small sets: the next one round
+        if not len(row):
+            break
+        got = regs[row, (col + step) % REGISTERS]
+        out[row, col] = got
+        left = got == EMPTY
+        row, col = row[left], col[left]
+    return out
+
+
 def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated Jaccard similarity of rows of registers, less expected collisions, and registers used."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(-1)
@@ -96,35 +126,36 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return np.maximum(same - chance, 0) / np.maximum(used, 1), used
 
 
-def _near(est: np.ndarray, used: np.ndarray) -> np.ndarray:
+def _near(est: np.ndarray, used: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether an estimate may belong to a link: registers are a sample, without replacement, of the union."""
     t = PER_CENT / 100
-    return est >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+    union = np.maximum((size_a + size_b) / (1 + t), 2)
+    error = np.sqrt(t * (1 - t) / np.maximum(used, 1) * np.clip((union - used) / (union - 1), 0, 1))
+    return est >= t - 5 * error - 1 / np.maximum(used, 1)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in blocks(batches):
         b = Block(data, off, fold=True)
         value, first = shingles(b)
-        n, k1, k2, regs = np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), []
+        n, k1, k2, regs = np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.full((b.n, REGISTERS), EMPTY, np.uint16)
         for i in range(b.n):
             x = np.sort(value[first[i] : first[i + 1]])
             if not len(x):
-                regs.append(b"")
                 continue
             x = x[np.append(True, x[1:] != x[:-1])]
             n[i] = len(x)
             k1[i] = mix(x).sum(dtype=U64).astype(np.int64)
             k2[i] = mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).astype(np.int64)
-            regs.append(registers(x).tobytes())
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), pa.array(regs, pa.binary())], names=["doc_id", "n", "k1", "k2", "regs"])
+            regs[i] = registers(x)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (regs, dense(regs)))], names=["doc_id", "n", "k1", "k2", "regs", "full"])
 
 
 def _bands(classes: DataFrame) -> DataFrame:
     """band, node: natively, from the bytes of the registers."""
     i = F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1))).alias("i")
-    key = F.expr(f"substring(regs, i * {2 * ROWS} + 1, {2 * ROWS})")
-    x = classes.select("node", "regs", i).select("node", "i", key.alias("key"))
-    return x.where(F.col("key") != F.lit(b"\xff" * (2 * ROWS))).select(F.xxhash64("i", "key").alias("band"), "node")
+    key = F.expr(f"substring(full, i * {2 * ROWS} + 1, {2 * ROWS})")
+    return classes.select("node", "full", i).select(F.xxhash64("i", key).alias("band"), "node")
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -135,24 +166,45 @@ def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         if len(p):
             est, used = similarity(_matrix(p["regs_u"]), _matrix(p["regs_v"]), p["n_u"].to_numpy(), p["n_v"].to_numpy())
-            yield p.loc[_near(est, used), ["u", "v"]]
+            yield p.loc[_near(est, used, p["n_u"].to_numpy(), p["n_v"].to_numpy()), ["u", "v"]]
 
 
 def _block_pairs(p: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one block, or between two, that may be near."""
-    left, right = p["side"].to_numpy() < 2, p["side"].to_numpy() != 1  # 0: both, 1: left, 2: right
-    a, b = p[left], p[right]
-    ra, rb = _matrix(a["regs"]), _matrix(b["regs"])
-    na, nb, ca, cb, ia, ib = (x[c].to_numpy() for c in ("n", "component", "node") for x in (a, b))
-    out = []
-    for i in range(len(a)):
-        fit = np.flatnonzero((cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= PER_CENT * np.maximum(nb, na[i])))
-        if p["side"].iat[0] == 0:
-            fit = fit[ib[fit] > ia[i]]
-        if len(fit):
-            near = fit[_near(*similarity(ra[i], rb[fit], na[i], nb[fit]))]
-            out.append(pd.DataFrame({"u": np.maximum(ia[i], ib[near]), "v": np.minimum(ia[i], ib[near])}))
-    return pd.concat(out) if out else pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    """Pairs of different components within each (band, x, y) of a chunk that may be near.
+
+    Side 0: one block against itself; 1 and 2: one block against another.  Small groups are compared all at once.
+    """
+    p = p.iloc[np.lexsort((p["node"], p["side"], p["y"], p["x"], p["band"]))]
+    regs, n, comp, node, side = _matrix(p["regs"]), *(p[c].to_numpy() for c in ("n", "component", "node", "side"))
+    key = p[["band", "x", "y"]].to_numpy()
+    heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    tails = np.append(heads[1:], len(p))
+    group = np.repeat(np.arange(len(heads)), tails - heads)
+    small = ((tails - heads <= SMALL) & (side[heads] == 0))[group]
+    out = [np.zeros((0, 2), np.int64)]
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PER_CENT * np.maximum(n[i], n[j]))
+        i, j = i[fit], j[fit]
+        for k in range(0, len(i), 4096):
+            a, b = i[k : k + 4096], j[k : k + 4096]
+            near = _near(*similarity(regs[a], regs[b], n[a], n[b]), n[a], n[b])
+            out.append(np.stack([np.maximum(node[a], node[b])[near], np.minimum(node[a], node[b])[near]], 1))
+
+    at = np.flatnonzero(small)
+    for d in range(1, SMALL):
+        left = at[at + d < len(p)]
+        left = left[group[left] == group[left + d]]
+        if not len(left):
+            break
+        compare(left, left + d)
+    for a, b in zip(heads[~small[heads]].tolist(), tails[~small[heads]].tolist(), strict=True):
+        own = side[a] == 0
+        right = np.arange(a, b) if own else np.flatnonzero(side[a:b] == 2) + a
+        for i in range(a, b if own else int(right[0]) if len(right) else a):
+            rest = right[right > i]
+            compare(np.full(len(rest), i), rest)
+    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +246,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
     shared.prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = shared.table(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, regs binary"), "sketches")
+    rows = shared.table(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, regs binary, full binary"), "sketches")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = shared.table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.first("regs").alias("regs")), "classes")
+    classes = shared.table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.first("regs").alias("regs"), F.first("full").alias("full")), "classes")
 
     shared_bands = _bands(classes).groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
     members = shared.table(_bands(classes).join(shared_bands, "band"), "members")
@@ -216,7 +268,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     open_ = open_.select("node", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), side.alias("side")).join(classes.select("node", "n", "regs"), "node")
-    more = shared.table(open_.groupBy("band", "x", "y").applyInPandas(_block_pairs, "u long, v long").distinct(), "more")
+    chunks = max(1, members.count() // CHUNK)
+    packed = open_.groupBy(F.pmod(F.xxhash64("band", "x", "y"), F.lit(chunks)).alias("chunk"))
+    more = shared.table(packed.applyInPandas(_block_pairs, "u long, v long").distinct(), "more")
     if not more.isEmpty():
         extra = _verify(more, docs)
         tied = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
