@@ -152,10 +152,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """band, node: natively, from the bytes of the registers."""
+    """band, node, n: natively, from the bytes of the registers."""
     i = F.explode(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1))).alias("i")
     key = F.expr(f"substring(full, i * {2 * ROWS} + 1, {2 * ROWS})")
-    return classes.select("node", "full", i).select(F.xxhash64("i", key).alias("band"), "node")
+    return classes.select("node", "n", "full", i).select(F.xxhash64("i", key).alias("band"), "node", "n")
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -250,12 +250,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = shared.table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.first("regs").alias("regs"), F.first("full").alias("full")), "classes")
 
-    shared_bands = _bands(classes).groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lead")).where("size > 1")
+    shared_bands = _bands(classes).groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
     members = shared.table(_bands(classes).join(shared_bands, "band"), "members")
 
     sketch = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    stars = members.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    pairs = shared.table(stars.join(sketch("u"), "u").join(sketch("v"), "v").where(f"100 * least(n_u, n_v) >= {PER_CENT} * greatest(n_u, n_v)").mapInPandas(_estimate, "u long, v long"), "pairs")
+    fit = f"node <> lead.node AND 100 * least(n, lead.n) >= {PER_CENT} * greatest(n, lead.n)"  # sets of other sizes can't be linked
+    stars = members.where(fit).select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
+    pairs = shared.table(stars.join(sketch("u"), "u").join(sketch("v"), "v").mapInPandas(_estimate, "u long, v long"), "pairs")
     links = _verify(pairs, docs)
     shared.drop(pairs)
     found = shared.table(components(links), "components")
