@@ -47,7 +47,7 @@ _PART = "part int, doc binary, at binary"
 
 
 def _buckets(df: DataFrame) -> int:
-    return 2 * max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def chosen(h: np.ndarray, b: Block, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
