@@ -20,7 +20,9 @@ distinct tokens and bigrams: one packed row for each bucket of hash values, whic
 also carries what it has counted itself.  A bucket adds up and answers in the
 order asked.  A frequent word is one entry for each ``FLUSH`` bytes, so no key is
 hot; nothing is capped and every token of every text is counted.  Within a
-bucket n-grams are told apart by 48 further bits.
+bucket n-grams are told apart by 48 further bits, sent as the differences of
+sorted values.  Requests and token numbers go through one shuffle, and only
+token numbers and answers are kept.
 
 Defined results: null and empty texts have one token, the end; a null doc_id
 counts as the text ''; repeated rows are counted and scored each; without
@@ -47,7 +49,7 @@ FLUSH = 6 << 20
 DEV, FOLDS = 1, 10
 STEP, FREQUENCIES = 8, 24
 _END, _BEGIN = U64(mix_int(0x656E64)), U64(mix_int(0x626567))
-_HELD = "ask boolean, bucket int, flush long, a binary, b binary, c binary, d binary"
+_HELD = "bucket int, flush long, a binary, b binary, c binary, d binary"
 _NAMES = [x.split()[0] for x in _HELD.split(", ")]
 
 
@@ -68,7 +70,7 @@ class Local:
         self.left, self.right = pair // (self.n + 1), pair % (self.n + 1)
         left = np.append(hashes, _BEGIN)[self.left]
         asked = np.concatenate([hashes, mix(left * U64(0x9E3779B97F4A7C15) + mix(hashes[self.right] if len(pair) else hashes[:0]))])
-        bucket = ((asked >> U64(48)) % U64(n_buckets)).astype(np.int64)
+        bucket, asked = ((asked >> U64(48)) % U64(n_buckets)).astype(np.int64), asked & U64((1 << 48) - 1)
         self.order = np.lexsort((asked, bucket))
         self.asked, self.bucket = asked[self.order], bucket[self.order]
 
@@ -79,25 +81,46 @@ class Local:
         return out[: self.n], out[self.n :]
 
 
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+
+
+def _narrow(x: np.ndarray, span: list[tuple[int, int]]) -> list[bytes]:
+    """Each span's counts as bytes, as narrow as its largest allows."""
+    top = np.maximum.reduceat(x, [a for a, _ in span])
+    width = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, np.where(top < 1 << 32, 4, 8))).tolist()
+    raw = {w: x.astype(_WIDTHS[w]).tobytes() for w in set(width)}
+    return [raw[w][w * a : w * e] for (a, e), w in zip(span, width, strict=True)]
+
+
+def _widen(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, _WIDTHS[len(blob) // n]).astype(np.int64)
+
+
 def _gather(n_buckets: int):
     def pack(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], flush: int) -> Iterator[pa.RecordBatch]:
         ids, null, count, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
         unique, token = np.unique(hashes, return_inverse=True)
+        often = np.argsort(-np.bincount(token), kind="stable")  # small numbers for frequent tokens
+        place = np.empty(len(often), np.int64)
+        place[often] = np.arange(len(often))
+        unique, token = unique[often], place[token]
         local = Local(unique, token, count, n_buckets)
         part = np.repeat(np.where(null, zlib.crc32(b"") % FOLDS, fold(pa.array(ids))), count)
-        train, fit = part != 0, (part != 0) & (part != DEV)
-        sums = [np.concatenate([np.bincount(token[m], minlength=local.n), np.bincount(local.bigram[m], minlength=len(local.left))])[local.order].astype(np.uint32) for m in (train, fit)]
+        sums = [np.concatenate([np.bincount(token[m], minlength=local.n), np.bincount(local.bigram[m], minlength=len(local.left))])[local.order] for m in (part != 0, part == DEV)]
         tag = np.concatenate([np.ones(local.n, np.uint8), np.zeros(len(local.left), np.uint8)])[local.order]
-        low = np.ascontiguousarray((local.asked & U64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6])
         heads = np.flatnonzero(np.append(True, local.bucket[1:] != local.bucket[:-1]))
-        tails = np.append(heads[1:], len(local.bucket))
-        raw, s0, s1, g = low.tobytes(), sums[0].tobytes(), sums[1].tobytes(), tag.tobytes()
-        n = len(heads)
-        span = list(zip(heads.tolist(), tails.tolist(), strict=True))
-        bins = [[x[a * w : e * w] for a, e in span] for x, w in ((raw, 6), (s0, 4), (s1, 4), (g, 1))]
-        yield pa.RecordBatch.from_arrays([pa.array([True] * n), pa.array(local.bucket[heads].astype(np.int32)), pa.array([flush] * n, pa.int64()), *(pa.array(x, pa.binary()) for x in bins)], names=_NAMES)
+        span = list(zip(heads.tolist(), np.append(heads[1:], len(local.bucket)).tolist(), strict=True))
+        steps = np.diff(local.asked, prepend=U64(0))
+        steps[heads] = local.asked[heads]
+        wide = np.maximum.reduceat(steps, heads) >= U64(1 << 40)
+        by = {w: np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for w in (5, 6)}
+        keys = [by[6][6 * a : 6 * e] if w else by[5][5 * a : 5 * e] for (a, e), w in zip(span, wide, strict=True)]
+        marks = tag.tobytes()
+        bins = [keys, *(_narrow(x, span) for x in sums), [marks[a:e] for a, e in span]]
+        yield pa.RecordBatch.from_arrays([pa.array(local.bucket[heads].astype(np.int32)), pa.array([flush] * len(heads), pa.int64()), *(pa.array(x, pa.binary()) for x in bins)], names=_NAMES)
+        planes = np.ascontiguousarray(token.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if local.n < 1 << 24 else 4]).tobytes()
         docs = pa.array([np.concatenate([ids, null.astype(np.int64)]).tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([-1], pa.int32()), pa.array([flush], pa.int64()), docs, pa.array([count.astype(np.int64).tobytes()], pa.binary()), pa.array([unique.tobytes()], pa.binary()), pa.array([token.astype(np.uint32).tobytes()], pa.binary())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - mix_int(flush) % n_buckets], pa.int32()), pa.array([flush], pa.int64()), docs, pa.array([count.astype(np.int64).tobytes()], pa.binary()), pa.array([unique.tobytes()], pa.binary()), pa.array([planes], pa.binary())], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -118,21 +141,30 @@ def _gather(n_buckets: int):
 
 
 def _answer(p: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all flushes, in the order of each request; and this bucket's tokens and types."""
-    sizes = np.array([len(x) // 6 for x in p["a"]])
+    """Counts over all flushes, in the order of each request; and this bucket's tokens and types.  Rows that ask nothing pass."""
+    if p["bucket"].iat[0] < 0:
+        return p
+    sizes = np.array([len(x) for x in p["d"]])
     key = np.zeros((int(sizes.sum()), 8), np.uint8)
-    key[:, :6] = np.frombuffer(b"".join(p["a"]), np.uint8).reshape(-1, 6)
+    at = 0
+    for x, n in zip(p["a"], sizes.tolist(), strict=True):
+        width = len(x) // n
+        steps = np.zeros((n, 8), np.uint8)
+        steps[:, :width] = np.frombuffer(x, np.uint8).reshape(n, width)
+        key[at : at + n] = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64).view(np.uint8).reshape(n, 8)
+        at += n
     tag = np.frombuffer(b"".join(p["d"]), np.uint8)
     key[:, 6] = tag
     unique, at = np.unique(key.view(np.uint64).ravel(), return_inverse=True)
-    out = [np.bincount(at, np.frombuffer(b"".join(p[c]), np.uint32), len(unique)).astype(np.int64) for c in ("b", "c")]
+    out = [np.bincount(at, np.concatenate([_widen(x, n) for x, n in zip(p[c], sizes.tolist(), strict=True)]), len(unique)).astype(np.int64) for c in ("b", "c")]
     word = (unique >> U64(48)) > 0
-    total = np.array([out[0][word].sum(), (out[0][word] > 0).sum(), out[1][word].sum(), (out[1][word] > 0).sum()], np.int64)
+    fit = out[0] - out[1]
+    total = np.array([out[0][word].sum(), (out[0][word] > 0).sum(), fit[word].sum(), (fit[word] > 0).sum()], np.int64)
     cut = np.concatenate([[0], np.cumsum(sizes)])
-    kinds = [np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64 for x in out]
-    per = [[x[at[a:e]].astype(t).tobytes() for a, e in zip(cut[:-1], cut[1:], strict=True)] for x, t in zip(out, kinds, strict=True)]
-    rows = pd.DataFrame({"bucket": p["bucket"], "flush": p["flush"], "b": per[0], "c": per[1]})
-    return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "b": [total.tobytes()], "c": [b""]})])
+    span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    per = [_narrow(x[at], span) for x in out]
+    rows = pd.DataFrame({"bucket": p["bucket"], "flush": p["flush"], "a": None, "b": per[0], "c": per[1], "d": None})
+    return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "a": [None], "b": [total.tobytes()], "c": [b""], "d": [None]})])
 
 
 def _shares(two: np.ndarray, left: np.ndarray, one: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,14 +176,15 @@ def _shares(two: np.ndarray, left: np.ndarray, one: np.ndarray, n: int) -> tuple
 def _opened(row: dict, n_buckets: int) -> tuple[Local, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["a"], np.int64)
     count = np.frombuffer(row["b"], np.int64)
-    token = np.frombuffer(row["d"], np.uint32).astype(np.int64)
+    planes = np.frombuffer(row["d"], np.uint8).reshape(-1, int(count.sum()))
+    token = sum(x.astype(np.int64) << (8 * i) for i, x in enumerate(planes))
     return Local(np.frombuffer(row["c"], np.uint64), token, count, n_buckets), token, count, ids[: len(count)], ids[len(count) :] > 0
 
 
 def _answers(row: dict, which: str, local: Local) -> np.ndarray:
-    """Counts in the order asked; a bucket's are of four or eight bytes, as it needed."""
-    size = np.bincount(local.bucket)
-    return np.concatenate([np.frombuffer(x[which], np.uint32 if len(x[which]) == 4 * size[x["bucket"]] else np.uint64).astype(np.int64) for x in sorted(row["answers"], key=lambda x: x["bucket"])])
+    """Counts in the order asked."""
+    size = np.bincount(local.bucket).tolist()
+    return np.concatenate([_widen(x[which], size[x["bucket"]]) for x in sorted(row["answers"], key=lambda x: x["bucket"])])
 
 
 def _cells(n_buckets: int, n: int, docs: int):
@@ -163,7 +196,7 @@ def _cells(n_buckets: int, n: int, docs: int):
                 local, token, count, ids, null = _opened(row, n_buckets)
                 part = np.repeat(np.where(null, 0, fold(pa.array(ids))), count)
                 dev = np.flatnonzero(part == DEV)
-                one, two = local.counts(_answers(row, "c", local))
+                one, two = local.counts(_answers(row, "b", local) - _answers(row, "c", local))  # without the held-out documents
                 left = np.append(one, docs)[local.before]
                 k, p2, p1 = _shares(two[local.bigram][dev], left[dev], one[token][dev], n)
                 q = [np.where(p > 0, np.rint(-STEP * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (p2, p1)]
@@ -222,8 +255,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = shared.prepare(docs.sparkSession)
     n_buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = shared.table(docs.mapInArrow(_gather(n_buckets), _HELD), "flushes")
-    answers = shared.table(held.where("ask").groupBy("bucket").applyInPandas(_answer, "bucket int, flush long, b binary, c binary"), "answers")
+    held = shared.table(docs.mapInArrow(_gather(n_buckets), _HELD).groupBy("bucket").applyInPandas(_answer, _HELD), "flushes")
+    answers = held.where("bucket >= 0")
     n = types = n_fit = types_fit = 0
     for r in answers.where("flush = -1").select("b").toLocalIterator():  # four numbers for each bucket
         a, b, c, d = np.frombuffer(r["b"], np.int64).tolist()
@@ -231,12 +264,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
     train, fit = docs.select(rest.alias("r")).agg(F.count_if(F.col("r") != 0), F.count_if(F.expr(f"r <> 0 AND r <> {DEV}"))).first()
     got = answers.where("flush <> -1").groupBy("flush").agg(F.collect_list(F.struct("bucket", "b", "c")).alias("answers"))
-    full = held.where("NOT ask").select("flush", "a", "b", "c", "d").join(got, "flush")
+    full = held.where("bucket < 0").select("flush", "a", "b", "c", "d").join(got, "flush")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds a flush
     cells = full.mapInArrow(_cells(n_buckets, n_fit, fit), "cell long, events long").groupBy("cell").agg(F.sum("events").alias("events")).toPandas()
     weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["events"].to_numpy(float), types_fit)
     out = full.mapInArrow(_score(n_buckets, n, types, train, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = shared.table(out, "scores")
-    shared.drop(held, answers)
+    shared.drop(held)
     shared.prepare(spark)
     return out
