@@ -40,11 +40,13 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b)[ \t]*[=:][ \t]*\"?[A-Za-z0-9_/+=.-]{8,}+\"?",
     "ip": r"(?<![\d.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
-    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
+    "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?![ -]?\d)|\d{4}(?:[ -]\d{4}){3}|\d{4}(?:[ -]\d{4}){2}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\d-])",
 }
+#: Card candidates that may hold less: four groups and a number after them, and a phone number after four digits.
+_FIVE, _DINERS = r"^(\d{4}(?:[ -]\d{4}){3})[ -]\d{1,3}$", r"^\d{4}[ -]\d{6}[ -]\d{4}$"
 ALL = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
 _FIRST_DAY, _DAYS = "1900-01-01", 73049
 
@@ -101,12 +103,15 @@ def _replace(kind: str, h: str, key: str) -> str:
         dotted = f"aggregate(array({out}), '', (t, v) -> concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256))"
         return f"CASE WHEN forall({parts}, x -> x <= 255) THEN {dotted} END"
     if kind == "card":
-        inner = f"substr({d}, 2, length({d}) - 2)"
-        n = f"(length({d}) - 2)"
+        # the whole candidate if its sum is right, else its first four groups if theirs is
+        four = f"regexp_extract({h}, {_sql(_FIVE)}, 1)"
+        used = f"CASE WHEN {_luhn(d)} % 10 <> 0 AND regexp_like({h}, {_sql(_FIVE)}) THEN {four} ELSE {h} END"
+        inner, n = "substr(c.d, 2, length(c.d) - 2)", "(length(c.d) - 2)"
         moved = f"lpad(cast({_network(f'cast({inner} as bigint)', *_digits(n), kind, key)} as string), {n}, '0')"
-        body = f"concat(substr({d}, 1, 1), {moved})"
+        body = f"concat(substr(c.d, 1, 1), {moved})"
         checked = f"aggregate(array({body}), '', (t, v) -> concat(v, cast((10 - {_luhn('v', 1)} % 10) % 10 as string)))"
-        return f"CASE WHEN {_luhn(d)} % 10 = 0 AND length({d}) BETWEEN 13 AND 19 THEN {_lay(h, checked)} END"
+        new = f"CASE WHEN {_luhn('c.d')} % 10 = 0 AND length(c.d) BETWEEN 13 AND 19 THEN concat({_lay('c.h', checked)}, substr({h}, length(c.h) + 1)) END"
+        return f"get(transform(transform(array({used}), u -> named_struct('h', u, 'd', regexp_replace(u, '[^0-9]', ''))), c -> {new}), 0)"
     if kind == "ssn":
         valid = lambda x: f"({x} div 1000000 NOT IN (0, 666) AND {x} div 1000000 < 900 AND {x} div 10000 % 100 <> 0 AND {x} % 10000 <> 0)"
         moved = f"lpad(cast({_walk(f'cast({d} as bigint)', *_digits('9'), kind, key, valid)} as string), 9, '0')"
@@ -129,8 +134,10 @@ def _replace(kind: str, h: str, key: str) -> str:
 
 
 def _kind(h: str) -> str:
+    d = f"regexp_replace({h}, '[^0-9]', '')"
     arms = " ".join(f"WHEN regexp_like({h}, {_sql('^(?:' + PATTERNS[k] + ')$')}) THEN '{k}'" for k in KINDS)
-    return f"CASE {arms} END"
+    # 4-6-4 digits that are no card can end in a phone number, whose pseudonym leaves digits before its ten alone
+    return f"CASE WHEN regexp_like({h}, {_sql(_DINERS)}) AND {_luhn(d)} % 10 <> 0 THEN 'phone' {arms} END"
 
 
 def pseudonymise(docs: DataFrame, key: str = "demo key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
