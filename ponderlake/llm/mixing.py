@@ -95,7 +95,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
     """The rows of ``docs`` as training takes them, repeats included, range-sorted by position.
 
-    A document that the mix takes in part the last time is cut after the words it takes there, joined by spaces.
+    A document that the mix takes in part the last time is cut after the words it takes there; white space up to there stays.
     Rows that repeat id, source and size share what one of them takes.
     """
     names = docs.columns
@@ -106,7 +106,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select("*", words(F.col(text_col)).alias("__words"))
     x = rows.join(m, rows[id_col].eqNullSafe(m["__id"]) & rows[source_col].eqNullSafe(m["__source"]) & (rows["__words"] == m["__size"]))
     x = x.select(*[F.col(f"`{c}`") for c in names], "__size", F.explode("__turns").alias("__take"))
-    part = F.array_join(F.slice(F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.col("__take.left").cast("int")), " ")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), F.col("__take.left").cast("int")), "")
     text = F.when(F.col("__take.left") >= F.col("__size"), F.col(text_col)).otherwise(part)
     return x.orderBy("__take.position", id_col, "__take.turn").select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
 

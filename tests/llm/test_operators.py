@@ -317,6 +317,13 @@ def test_training_order(docs, rows):
     assert got == +m
 
 
+def test_training_order_keeps_white_space(spark):
+    rows = [(i, "\n  " + "\n\n".join(f"w{i}\t a   b" for _ in range(9 + i)) + " \n", "en", f"s{i % 3}") for i in range(12)]
+    o = mixing.training_order(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    whole = {i: t for i, t, *_ in rows}
+    assert any(r.text != whole[r.doc_id] for r in o) and all(whole[r.doc_id].startswith(r.text) for r in o)
+
+
 # personal data
 
 
