@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,32 +76,105 @@ def interval(reps: DataFrame, value: str = "value") -> DataFrame:
     return x.select("reps", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), ((F.col("p")[0] < 0) & (F.col("p")[1] > 0)).alias("crosses_zero"))
 
 
+#: Statistics of a resample: (sorted values, how often each was drawn) -> number.
+Statistic = Callable[[np.ndarray, np.ndarray], float]
+CHUNK = 100
+
+
+def mean_of(x: np.ndarray, n: np.ndarray) -> float:
+    return float(x @ n / n.sum())
+
+
+def share_above(bound: float) -> Statistic:
+    return lambda x, n: float(n[x > bound].sum() / n.sum())
+
+
+def percentile_of(p: float) -> Statistic:
+    """Linear between the two nearest ranks, as ``percentile``."""
+
+    def value(x: np.ndarray, n: np.ndarray) -> float:
+        ends = np.cumsum(n)
+        at = p * (ends[-1] - 1)
+        low, high = x[np.searchsorted(ends, [np.floor(at), np.ceil(at)], "right")]
+        return float(low + (high - low) * (at - np.floor(at)))
+
+    return value
+
+
+def _per_rep(cells: DataFrame, reps: int, run: Callable[[dict, int], tuple], schema: str) -> DataFrame:
+    """A row of ``run`` for each rep; ``cells`` is one row, which each chunk of reps gets once."""
+    chunks = cells.sparkSession.range(0, -(-reps // CHUNK), 1, -(-reps // CHUNK)).withColumnRenamed("id", "chunk")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.to_dict("records"):
+                first = row["chunk"] * CHUNK
+                yield pd.DataFrame([run(row, rep) for rep in range(first, min(first + CHUNK, reps))], columns=names)
+
+    return chunks.crossJoin(F.broadcast(cells)).mapInPandas(each, schema)
+
+
+def bootstrap_cells(df: DataFrame, key: str, value: str, stats: dict[str, Statistic], reps: int, seed: int = 1) -> DataFrame:
+    """rep and the statistics of each resample of keys, each with all its rows.
+
+    Keys with the same values are one cell.  How often the keys of each cell are drawn is multinomial, which is what
+    drawing the keys one by one comes to; a rep costs a number for each cell, not for each row.
+    """
+    cells = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("xs")).groupBy("xs").agg(F.count("*").alias("n"))
+    cells = cells.agg(F.array_sort(F.collect_list(F.struct("xs", "n"))).alias("cells")).select(F.col("cells.n").alias("n"), F.flatten("cells.xs").alias("x"), F.transform("cells.xs", F.size).alias("size"))
+
+    def run(row: dict, rep: int) -> tuple:
+        n, x = np.asarray(row["n"], np.int64), np.asarray(row["x"], float)
+        if not len(x):
+            return (rep, *[None] * len(stats))
+        order = np.argsort(x, kind="stable")
+        of = np.repeat(np.arange(len(n)), np.asarray(row["size"], np.int64))[order]
+        drawn = np.random.default_rng([seed, rep]).multinomial(n.sum(), n / n.sum())[of]
+        return (rep, *[s(x[order], drawn) if drawn.any() else None for s in stats.values()])
+
+    return _per_rep(cells, reps, run, ", ".join(["rep bigint", *[f"{c} double" for c in stats]]))
+
+
 def bootstrap_two_sample(a: DataFrame, b: DataFrame, key: str, value: str, reps: int, seed: int = 1) -> DataFrame:
     """rep and the difference of means of independent resamples of two tables."""
-    mean = lambda d, s, n: bootstrap(d, key, [value], [F.avg(value).alias(n)], reps, s)
+    mean = lambda d, s, n: bootstrap_cells(d, key, value, {n: mean_of}, reps, s)
     return mean(a, seed, "a").join(mean(b, seed + 1, "b"), "rep").select("rep", (F.col("b") - F.col("a")).alias("value"))
 
 
-def permutation_test(df: DataFrame, key: str, x: str, y: str, reps: int, seed: int = 1) -> DataFrame:
+def _information(t: np.ndarray) -> float:
+    """Mutual information (nats) of a table of counts."""
+    n, e = t.sum(), np.outer(t.sum(1), t.sum(0))
+    some = t > 0
+    return float((t[some] / n * np.log(t[some] * n / e[some])).sum())
+
+
+def permutation_test(df: DataFrame, x: str, y: str, reps: int, seed: int = 1) -> DataFrame:
     """Mutual information (nats) of x and y, and of x and y shuffled: observed, null mean, deviation, 95th percentile, p.
 
-    One shuffle of y for each rep, by the order of a hash of (seed, rep, key); counts by rep are aggregated before
-    anything is summed.
+    A shuffle of y matters by its table of counts alone: row by row, the counts of y are drawn without replacement
+    from those that the rows before left (multivariate hypergeometric).  Rep 0 is the table as it is.
     """
-    spark = df.sparkSession
-    rows = df.select(key, F.col(x).alias("x"), F.col(y).alias("y"))
-    rows = numbered(rows, key).withColumn("pos", F.col("pos") + 1)
-    each = rows.select(key, "y").crossJoin(F.broadcast(spark.range(1, reps + 1).withColumnRenamed("id", "rep")))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(key).cast("string")))
-    moved = each.withColumn("pos", F.row_number().over(Window.partitionBy("rep").orderBy(order, key))).select("rep", "pos", "y")
-    both = moved.join(rows.select("pos", "x"), "pos").select("rep", "x", "y").unionByName(rows.select(F.lit(0).cast("bigint").alias("rep"), "x", "y"))
-    c = both.groupBy("rep", "x", "y").agg(F.count("*").alias("n"))
-    over = lambda *k: F.sum("n").over(Window.partitionBy(*k)).cast("double")
-    c = c.withColumn("t", over("rep")).withColumn("nx", over("rep", "x")).withColumn("ny", over("rep", "y"))
-    mi = c.groupBy("rep").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("mi"))
-    seen = mi.where("rep = 0").select(F.col("mi").alias("observed"))
-    null = F.col("rep") > 0
-    return mi.crossJoin(F.broadcast(seen)).groupBy("observed").agg(
-        F.avg(F.when(null, F.col("mi"))).alias("null_mean"), F.stddev_pop(F.when(null, F.col("mi"))).alias("null_std"), F.expr("percentile(CASE WHEN rep > 0 THEN mi END, 0.95D)").alias("null_p95"),
-        F.max(F.when(null, F.col("mi"))).alias("null_max"), ((F.count_if(null & (F.col("mi") >= F.col("observed") - 1e-12)) + 1) / F.lit(reps + 1)).alias("p"),
-    )
+    c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    c = c.select(F.dense_rank().over(Window.orderBy("x")).alias("i"), F.dense_rank().over(Window.orderBy("y")).alias("j"), "n")
+    c = c.agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("c")).select("c.i", "c.j", "c.n").where(F.size("n") > 0)
+
+    def run(row: dict, rep: int) -> tuple:
+        i, j, n = (np.asarray(row[k], np.int64) for k in "ijn")
+        t = np.zeros((i.max(), j.max()), np.int64)
+        t[i - 1, j - 1] = n
+        if rep:
+            rng, left, per = np.random.default_rng([seed, rep]), t.sum(0), t.sum(1)
+            for k, m in enumerate(per):
+                t[k] = rng.multivariate_hypergeometric(left, m, method="marginals")
+                left = left - t[k]
+        return (rep, _information(t))
+
+    mi = _per_rep(c, reps + 1, run, "rep bigint, mi double")
+    null, seen = F.when(F.col("rep") > 0, F.col("mi")), F.max(F.when(F.col("rep") == 0, F.col("mi")))
+    g = mi.agg(
+        seen.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.expr("percentile(CASE WHEN rep > 0 THEN mi END, 0.95D)").alias("null_p95"), F.max(null).alias("null_max"),
+        F.collect_list(null).alias("all"),
+    ).where("observed IS NOT NULL")
+    over = F.size(F.filter("all", lambda v: v >= F.col("observed") - 1e-12))
+    return g.select("observed", "null_mean", "null_std", "null_p95", "null_max", ((over + 1) / F.lit(reps + 1)).alias("p"))

@@ -295,30 +295,35 @@ def bootstrap_paired_mean(spark, d):
     return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
+#: Repetitions of the reference (BASELINE D6).  The paired mean above has the 200 of its SQL.
+REPS, SHUFFLES = 10000, 1000
+
+
 @query("bootstrap_statistics")
 def bootstrap_statistics(spark, d):
     x = predictions(spark, d).select("id", F.col("n_chars").cast("double").alias("x"))
-    return significance.bootstrap(x, "id", ["x"], [F.median("x").alias("median"), F.expr("percentile(x, 0.1D)").alias("p10"), F.avg((F.col("x") > 1000).cast("double")).alias("fraction")], 100)
+    stats = {"median": significance.percentile_of(0.5), "p10": significance.percentile_of(0.1), "fraction": significance.share_above(1000)}
+    return significance.bootstrap_cells(x, "id", "x", stats, REPS)
 
 
 @query("bootstrap_two_sample")
 def bootstrap_two_sample(spark, d):
     x = predictions(spark, d).select("id", "toxic", F.col("n_chars").cast("double").alias("x"))
-    return significance.interval(significance.bootstrap_two_sample(x.where("toxic = 0"), x.where("toxic = 1"), "id", "x", 100))
+    return significance.interval(significance.bootstrap_two_sample(x.where("toxic = 0"), x.where("toxic = 1"), "id", "x", REPS))
 
 
 @query("bootstrap_cluster")
 def bootstrap_cluster(spark, d):
     x = _long(spark, d).select("id", (F.col("pred") == F.col("gold")).cast("double").alias("x"))
-    return significance.interval(significance.bootstrap(x, "id", ["x"], [F.avg("x").alias("value")], 100))
+    return significance.interval(significance.bootstrap_cells(x, "id", "x", {"value": significance.mean_of}, REPS))
 
 
 @query("bootstrap_region")
 def bootstrap_region(spark, d):
     x = predictions(spark, d).where("n_chars > 1000").select("id", _delta().alias("x"))
-    return significance.interval(significance.bootstrap(x, "id", ["x"], [F.avg("x").alias("value")], 100))
+    return significance.interval(significance.bootstrap_cells(x, "id", "x", {"value": significance.mean_of}, REPS))
 
 
 @query("permutation_test")
 def permutation_test(spark, d):
-    return significance.permutation_test(predictions(spark, d).select("id", "source", "gold"), "id", "source", "gold", 100)
+    return significance.permutation_test(predictions(spark, d), "source", "gold", SHUFFLES)
