@@ -324,6 +324,12 @@ def test_training_order_keeps_white_space(spark):
     assert any(r.text != whole[r.doc_id] for r in o) and all(whole[r.doc_id].startswith(r.text) for r in o)
 
 
+def test_mixing_query_is_in_order(spark):
+    at = [r.position for r in queries.op4_mixing(spark, "/root/testdata/sf0.001").collect()]
+    some = [x for x in at if x is not None]
+    assert some == sorted(some) == at[: len(some)]
+
+
 # personal data
 
 
