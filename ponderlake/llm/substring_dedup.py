@@ -9,8 +9,8 @@ full length the half-length window with the least hash.  Equal texts choose
 alike, so a repeated full window always has a repeated chosen half, and about a
 quarter of the words are enough.  Half windows found in one document alone end
 there; the full windows around the others are the candidates of the next level,
-where the least document of each is found.  ``repeat_lengths`` doubles on, from
-full windows to twice, four times, ... their length, until none survives.
+where the least document of each is found.  The doubling ends there: removal by
+full windows is exact, so longer ones would change no result.
 
 Rows are not words.  A task packs the hashes of about ``FLUSH`` bytes of text
 into one binary row for each bucket of hash values, after resolving what it can
