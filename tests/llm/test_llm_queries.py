@@ -25,7 +25,7 @@ def test_pipeline(spark):
 
     import corpus_pipeline as c
     import sentencepiece
-    from test_operators import reach, words
+    from test_llm_operators import reach, words
 
     from ponderlake.llm import queries, shared
 
