@@ -16,24 +16,34 @@ Documents are linked when 100 * |intersection| >= 75 * |union|.
    band is as selective for a short text as for a long one.  Keys held by one
    class are discarded.  At the threshold itself a link shares a band with
    probability over 1 - 1e-6, above it with more.
-4. First round: the classes of a band are paired with its least one.  The
-   collision-corrected estimate of the Jaccard similarity from two sketches
-   drops pairs that are more than five standard errors below the threshold; the
-   others are verified on the full sets.  Verified links give components.
-5. Second round: bands whose classes lie in different components are compared
-   in blocks of ``PER_BLOCK`` classes, block against block, and pairs of
-   different components that pass the estimate are verified too.  So large
-   groups of mutual copies cost a pair each, and no link is lost that would
-   join components.
+4. Lead rounds: of the bands whose classes lie in different components, each has
+   a lead, its least class, later its first by hash.  A class is paired with one
+   lead only, the first of those of its bands, so a group of any number of mutual
+   copies costs a pair each.  The collision-corrected estimate of the Jaccard
+   similarity from two sketches drops pairs that are more than five standard
+   errors below the threshold; the others are verified on the full sets.
+   Verified links give components.
+5. Bands that still join different components are searched exactly: members with
+   their sketches and sets are cut into blocks of at most ``PER_BLOCK`` classes
+   and ``PER_SETS`` shingles, and block meets block in one call.  It estimates
+   pairs of different components, confirms at once, on the sets, those that may
+   be links, and returns only links that join what it hasn't joined yet: fewer
+   than it has classes, never the pairs that it has looked at.
 6. Components of all verified links; the least doc_id of a component is kept.
 
 Nothing is capped: groups of any size are cut into blocks that are compared
-exactly.  What is broadcast has a checked size, with a shuffle beyond it.
+exactly.  Copies linked in the lead rounds aren't compared again.  What stays
+quadratic is the number of sketches compared within a band whose classes share
+most of their registers and yet aren't linked (similarity just below 0.75).
+Joins on a hot lead or band are split by the skew join of adaptive execution;
+what is broadcast has a checked size, with a shuffle beyond it.
 
 Defined results: null and empty texts have n_shingles 0 and stay; rows that
 repeat a doc_id and text are all kept or all dropped; rows with a null doc_id
-are linked with nothing, their component is null and they are kept; an empty
-table gives an empty result; columns besides id and text are ignored.
+are linked with nothing, their component is null and they are kept; texts of any
+length are taken whole, one by one if long; ties can't occur, as the least doc_id
+of a component is kept; an empty table gives an empty result; columns besides id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,9 +63,10 @@ from .textops import U64, Block, blocks, mix, windows
 SHINGLE, PER_CENT = 5, 75
 REGISTERS, MANTISSA, ROWS = 256, 10, 5
 EMPTY = 0xFFFF
-PER_BLOCK, SMALL = 1000, 64
-#: Rows that one call compares, groups of a band packed together (about 3 MB).
-CHUNK = 5000
+LEAD_ROUNDS = 2
+PER_BLOCK, PER_SETS, SMALL = 1000, 1 << 20, 64
+#: Bytes that one call is given to compare, groups of a band packed together.
+CHUNK = 12 << 20
 
 
 def shingles(b: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -169,19 +180,46 @@ def _estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield p.loc[_near(est, used, p["n_u"].to_numpy(), p["n_v"].to_numpy()), ["u", "v"]]
 
 
-def _block_pairs(p: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components within each (band, x, y) of a chunk that may be near.
+class _Joined:
+    """Components joined within one call."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[max(x, y)] = min(x, y)
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes are similar enough."""
+    if 100 * min(len(x), len(y)) < PER_CENT * max(len(x), len(y)):
+        return False
+    if len(x) < len(y):
+        x, y = y, x
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= PER_CENT * (len(x) + len(y) - both)
+
+
+def _block_links(p: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components within each (band, x, y) of a chunk, none that others imply.
 
     Side 0: one block against itself; 1 and 2: one block against another.  Small groups are compared all at once.
     """
     p = p.iloc[np.lexsort((p["node"], p["side"], p["y"], p["x"], p["band"]))]
     regs, n, comp, node, side = _matrix(p["regs"]), *(p[c].to_numpy() for c in ("n", "component", "node", "side"))
+    sets = p["set"].to_numpy()
     key = p[["band", "x", "y"]].to_numpy()
     heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
     tails = np.append(heads[1:], len(p))
     group = np.repeat(np.arange(len(heads)), tails - heads)
     small = ((tails - heads <= SMALL) & (side[heads] == 0))[group]
-    out = [np.zeros((0, 2), np.int64)]
+    joined, seen = _Joined(), set()
+    out: list[tuple[int, int]] = []
 
     def compare(i: np.ndarray, j: np.ndarray) -> None:
         fit = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= PER_CENT * np.maximum(n[i], n[j]))
@@ -189,7 +227,15 @@ def _block_pairs(p: pd.DataFrame) -> pd.DataFrame:
         for k in range(0, len(i), 4096):
             a, b = i[k : k + 4096], j[k : k + 4096]
             near = _near(*similarity(regs[a], regs[b], n[a], n[b]), n[a], n[b])
-            out.append(np.stack([np.maximum(node[a], node[b])[near], np.minimum(node[a], node[b])[near]], 1))
+            for u, v in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                pair = (int(max(node[u], node[v])), int(min(node[u], node[v])))
+                x, y = joined.root(int(comp[u])), joined.root(int(comp[v]))
+                if x == y or pair in seen:
+                    continue
+                seen.add(pair)  # the same two meet again in their other bands of this chunk
+                if _linked(np.frombuffer(sets[u], U64), np.frombuffer(sets[v], U64)):
+                    joined.join(x, y)
+                    out.append(pair)
 
     at = np.flatnonzero(small)
     for d in range(1, SMALL):
@@ -204,7 +250,7 @@ def _block_pairs(p: pd.DataFrame) -> pd.DataFrame:
         for i in range(a, b if own else int(right[0]) if len(right) else a):
             rest = right[right > i]
             compare(np.full(len(rest), i), rest)
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+    return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,74 +263,112 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        keep = []
-        for a, b in zip(rows.column("set_u"), rows.column("set_v"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
-            if 100 * min(len(x), len(y)) < PER_CENT * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both = int((x[at] == y).sum())
-            keep.append(100 * both >= PER_CENT * (len(x) + len(y) - both))
+        both = zip(rows.column("set_u"), rows.column("set_v"), strict=True)
+        keep = [_linked(np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)) for a, b in both]
         yield rows.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links on their full sets, as a table."""
-    spark = docs.sparkSession
-    ids = shared.table(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "needed")
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node and its whole set, for the documents of a table of ids (doc_id, distinct)."""
     texts = docs.join(shared.checked(ids), "doc_id", "left_semi")
-    sets = shared.table(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "sets")
-    x = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    links = shared.table(x.select("u", "v", "set_u", "set_v").mapInArrow(_confirm, "u long, v long"), "links")
-    shared.drop(ids, sets)
+    return shared.table(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]), "sets")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are links on their full sets, as a table; estimates leave out most others."""
+    def of(table: DataFrame, s: str, *columns: str) -> DataFrame:
+        return table.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+
+    both = pairs.join(of(classes, "v", "n", "regs"), "v").join(of(classes, "u", "n", "regs"), "u")
+    near = shared.table(both.mapInPandas(_estimate, "u long, v long"), "near")
+    ids = shared.table(near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "needed")
+    sets = _sets_of(docs, ids)
+    x = near.join(of(sets, "v", "set"), "v").join(of(sets, "u", "set"), "u").select("u", "v", "set_u", "set_v")
+    with shared.conf(docs.sparkSession, maxRecordsPerBatch="256"):
+        links = shared.table(x.mapInArrow(_confirm, "u long, v long"), "links")
+    shared.drop(near, ids, sets)
+    return links
+
+
+def _named(members: DataFrame, found: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their components, and the bands that lie in several: size, all shingles, lead.
+
+    The lead is the least class in the first turn, in later ones the first in an order of hashes, so that others are tried.
+    """
+    component = F.col("node") if found is None else F.coalesce("component", "node")
+    named = members if found is None else members.join(found, "node", "left")
+    named = shared.table(named.select("band", "node", "n", component.alias("component")), "named")
+    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+    lead = F.min(F.struct(order.alias("order"), "node", "component", "n")).alias("lead")
+    ends = F.min("component").alias("a"), F.max("component").alias("b")
+    bands = named.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), lead, *ends)
+    return named, shared.table(bands.where("a <> b").drop("a", "b"), "open")
+
+
+def _lead_pairs(named: DataFrame, bands: DataFrame) -> DataFrame:
+    """u, v: each class with the first lead of its bands that is of another component and may be linked with it."""
+    fit = f"component <> lead.component AND 100 * least(n, lead.n) >= {PER_CENT} * greatest(n, lead.n)"
+    found = named.join(bands.select("band", "lead"), "band").where(fit).groupBy("node").agg(F.min("lead").alias("lead"))
+    return shared.table(found.select(F.col("node").alias("u"), F.col("lead.node").alias("v")), "pairs")
+
+
+def _search(named: DataFrame, bands: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) between different components of a band, found block against block, as a table."""
+    parts = F.ceil(F.greatest(F.col("size") / PER_BLOCK, F.col("shingles") / PER_SETS)).cast("int")
+    rows = named.join(bands.select("band", parts.alias("parts")), "band").withColumn("mine", F.pmod(F.hash("node"), F.col("parts")))
+    # a row goes to each pair of blocks that its own is one of: side 0 within a block, 1 and 2 between two
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    pair = F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
+    rows = shared.table(rows.select("band", "node", "n", "component", *pair, side.alias("side")), "blocks")
+    ids = shared.table(rows.select(F.col("node").alias("doc_id")).distinct(), "needed")
+    sets = _sets_of(docs, ids)
+    size = rows.agg(F.sum(8 * F.col("n") + 2 * REGISTERS)).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("band", "x", "y"), F.lit(1 + size // CHUNK)).alias("chunk")
+    held = classes.select("node", "regs").join(sets, "node")
+    links = rows.join(held, "node").groupBy(chunk).applyInPandas(_block_links, "u long, v long")
+    links = shared.table(links.distinct(), "more")
+    shared.drop(rows, ids, sets)
     return links
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept, one row per row of ``docs``; a table in the shared folder."""
     shared.prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = shared.table(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, regs binary, full binary"), "sketches")
-    some = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = shared.table(some.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.first("regs").alias("regs"), F.first("full").alias("full")), "classes")
-
-    shared_bands = _bands(classes).groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    members = shared.table(_bands(classes).join(shared_bands, "band"), "members")
-
-    sketch = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
-    fit = f"node <> lead.node AND 100 * least(n, lead.n) >= {PER_CENT} * greatest(n, lead.n)"  # sets of other sizes can't be linked
-    stars = members.where(fit).select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
-    pairs = shared.table(stars.join(sketch("u"), "u").join(sketch("v"), "v").mapInPandas(_estimate, "u long, v long"), "pairs")
-    links = _verify(pairs, docs)
-    shared.drop(pairs)
-    found = shared.table(components(links), "components")
-
-    named = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    parts = F.ceil(F.col("size") / PER_BLOCK).cast("int")
-    open_ = named.join(split.select("band", parts.alias("parts")), "band").withColumn("mine", F.pmod(F.hash("node"), F.col("parts")))
-    # a row goes to each pair of blocks that its own is one of: side 0 within a block, 1 and 2 between two
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    open_ = open_.select("node", "component", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), side.alias("side")).join(classes.select("node", "n", "regs"), "node")
-    chunks = max(1, members.count() // CHUNK)
-    packed = open_.groupBy(F.pmod(F.xxhash64("band", "x", "y"), F.lit(chunks)).alias("chunk"))
-    more = shared.table(packed.applyInPandas(_block_pairs, "u long, v long").distinct(), "more")
-    if not more.isEmpty():
-        extra = _verify(more, docs)
-        tied = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        last = shared.table(components(tied.unionByName(extra)), "components")
-        shared.drop(found)
-        found = last
-    shared.drop(members, links, more)
-
-    labels = classes.join(found, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
-    labels = shared.table(labels, "labels")
-    out = rows.select("doc_id", "n", "k1", "k2").join(labels, ["k1", "k2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    with shared.scratch() as keep:
+        sketch = "doc_id long, n long, k1 long, k2 long, regs binary, full binary"
+        rows = shared.table(docs.mapInArrow(_sketch, sketch), "sketches")
+        one = F.min("doc_id").alias("node"), F.first("regs").alias("regs"), F.first("full").alias("full")
+        some = rows.where("n > 0 AND doc_id IS NOT NULL")
+        classes = shared.table(some.groupBy("k1", "k2", "n").agg(*one), "classes")
+        repeated = _bands(classes).groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
+        members = shared.table(_bands(classes).join(repeated, "band", "left_semi"), "members")
+
+        found = None
+        tied = docs.sparkSession.createDataFrame([], "u long, v long")
+
+        def join(links: DataFrame) -> None:
+            nonlocal found, tied
+            found = shared.table(components(tied.unionByName(links)), "components")
+            tied = found.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+        for turn in range(LEAD_ROUNDS):
+            named, bands = _named(members, found, turn)
+            pairs = _lead_pairs(named, bands)
+            join(_verify(pairs, classes, docs))
+            shared.drop(named, bands, pairs)
+        named, bands = _named(members, found, LEAD_ROUNDS)
+        if not bands.isEmpty():
+            join(_search(named, bands, classes, docs))
+
+        names = ["k1", "k2", "n"]
+        label = classes.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component"))
+        out = rows.select("doc_id", *names).join(label, names, "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        kept = F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept)
+        return keep(shared.table(out, "near"))
 
 
 ORACLE = r"""
