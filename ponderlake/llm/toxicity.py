@@ -8,21 +8,27 @@ window's states are pooled by learned attention; its probability is logistic.  A
 text scores the largest probability of its windows.
 
 Training.  Labels are read only for rows whose ``crc32(doc_id as text) mod 3`` is
-not 1.  A bounded sample is drawn: of each class the ``PER_CLASS`` documents of at
-most ``MOST_CHARS`` characters with the least ``md5(doc_id)``.  The loss is that
-of a noisy or over a document's windows; gradients are worked out by hand
-(backpropagation through time) and followed by Adam from fixed seeds.  The
-model has a bounded size and travels to the executors with the function.
-Nothing but the text enters a score.
-
-Defined results: null and empty texts, and texts without words, score 0; without
-labelled documents of both classes every score is 0.5 times the share of toxic
-ones; repeated rows score alike; a null doc_id counts as the text ''; labels
-without a document, or documents without labels, are no error.
+not 1.  The number of labelled rows is bounded: of each class the ``PER_CLASS``
+documents with words that have the least ``md5(doc_id)``, whatever their length;
+all windows of their whole texts are learnt from.  The loss is that of a noisy or
+over a document's windows; gradients are worked out by hand (backpropagation
+through time) and followed by Adam from fixed seeds.  The model has a bounded
+size and travels to the executors with the function.  Nothing but the text
+enters a score.
+
+Defined results: null and empty texts, and texts without words, score 0; texts of
+any length are scored whole, a block of them at a time; without labelled
+documents of both classes every text with words scores 0.5 times the share of
+toxic ones (and a warning says so if there are labels); repeated rows score
+alike; of an id's several texts the least is learnt from, of its several labels
+the greatest; a null doc_id counts as the text ''; labels without a document, or
+documents without labels, are no error; an empty table gives an empty result;
+columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .textops import LOWER, U64, Block, blocks, mix
 
-PER_CLASS, MOST_CHARS = 1000, 3000
+PER_CLASS = 1000
 WIDTH, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 VOCABULARY, GRAM_BITS, GRAMS = 4000, 14, (3, 5)
@@ -253,20 +259,22 @@ def _remainder(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS for x in ids.to_pylist()], np.int64)
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the bounded training sample, in a fixed order."""
-    rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((rest != HELD_OUT) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.ndarray]:
+    """Whole texts and labels of the bounded training sample, in a fixed order."""
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.where((rest != HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    worded = docs.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    known = usable.join(worded.select("doc_id"), "doc_id", "left_semi")
     place = F.md5(F.col("doc_id").cast("string"))
-    ids = None
-    for c in (0, 1):  # twice as many ids as wanted, as some texts are too long
-        part = usable.where(F.col("toxic") == c).orderBy(place).limit(2 * per_class)
-        ids = part if ids is None else ids.unionByName(part)
-    short = docs.where((F.length("text") > 0) & (F.length("text") <= most_chars)).join(F.broadcast(ids), "doc_id")  # 4 * per_class ids at most
-    rows = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in short.limit(8 * per_class).collect()})
-    texts, toxic = [r[2] for r in rows], np.array([r[1] for r in rows], np.int64)
-    keep = np.sort(np.concatenate([np.flatnonzero(toxic == c)[:per_class] for c in (0, 1)])) if rows else np.zeros(0, np.int64)
-    return [texts[i] for i in keep], toxic[keep]
+    first = [known.where(F.col("toxic") == c).orderBy(place, "doc_id").limit(per_class) for c in (0, 1)]
+    ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * per_class rows at most
+    rows = worded.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    toxic = np.array([r["toxic"] for r in rows], np.int64)
+    if rows and len(set(toxic.tolist())) < 2:
+        warnings.warn(f"all {len(rows)} labelled documents outside the held-out part have toxic = {toxic[0]}: nothing is learnt", stacklevel=3)
+    return [r["text"] for r in rows], toxic
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
