@@ -93,6 +93,30 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _delete(spark, path)
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: one scan, one number."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def buckets(spark: SparkSession, size: int, target: int) -> int:
+    """Buckets for ``size`` bytes: of at most about ``target`` each, at least as many as shuffle partitions."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, n: int) -> Iterator[DataFrame]:
+    """``df`` dealt once into ``n`` buckets by ``key`` in the shared folder: joins on ``key`` inside move only their other side."""
+    spark = df.sparkSession
+    name, path = f"ponderlake_{uuid.uuid4().hex}", f"{folder(spark)}/bucketed-{uuid.uuid4().hex}"
+    try:
+        out = df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd")
+        out.format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+
 #: Ids that may be broadcast (about 8 MB in memory); more are joined by a shuffle.
 BROADCAST_IDS = 250_000
 

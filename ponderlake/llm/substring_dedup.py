@@ -3,27 +3,38 @@
 A word is removed when a window of ``WINDOW`` consecutive words that covers it
 also starts in a document with a smaller id; windows are judged on the input.
 
-Levels.  The first level has windows of half the length (7 of 13, the halves
-sharing a word).  Only one window per stretch is looked at: in every window of
-full length the half-length window with the least hash.  Equal texts choose
-alike, so a repeated full window always has a repeated chosen half, and about a
-quarter of the words are enough.  Half windows found in one document alone end
-there; the full windows around the others are the candidates of the next level,
-where the least document of each is found.  The doubling ends there: removal by
-full windows is exact, so longer ones would change no result.
+Levels double: windows repeated at one length alone are extended to twice that
+length, until no candidates survive.
+
+* The first level has windows of half the length (7 of 13, two of which sharing a
+  word make one of 13).  Only one window per stretch is looked at: in every window
+  of full length the half-length window with the least hash.  Equal texts choose
+  alike, so a repeated full window always has a repeated chosen half, and about a
+  quarter of the words are enough.
+* The second level has the windows of 13 words around the halves that several
+  documents have.  It decides what is removed: each window that several documents
+  have is of the least of them or has a smaller one.
+* Each further level (26, 52, 104, ... words) pairs windows of the last one that
+  several documents have and that follow one another in a document; a pair's hash
+  is made of theirs, so texts aren't read again.  The levels end when no window is
+  left.  The longest level of each document is its ``longest_repeat``.
 
 Rows are not words.  A task packs the hashes of about ``FLUSH`` bytes of text
 into one binary row for each bucket of hash values, after resolving what it can
-by itself: a hash that it saw in several documents needs only its least
-document to be sent.  A passage that any number of documents share therefore
-costs one entry for each ``FLUSH`` bytes of text.  Buckets follow
-``spark.sql.shuffle.partitions``.  Half windows are compared by 64 bits, full
-ones by another 96.
-
-Defined results: null and empty texts have no words; documents below 13 words
-lose none; repeated rows of one id count as one document, and each is returned;
-rows with a null id are neither judged nor witnesses; an empty table gives an
-empty result; columns besides id and text are ignored.
+by itself: of a hash that it saw in several documents only the entries of the
+least document are sent.  A passage that any number of documents share therefore
+costs an entry for each ``FLUSH`` bytes of text.  The number of buckets follows
+the bytes of all texts (``PER_BUCKET``), and findings go to the documents' parts
+only where there are any.  Half windows are compared by 64 bits, full ones by
+another 96, longer ones by 64 made of those.  Texts are dealt by id once and meet
+the findings of their documents where they lie.
+
+Defined results: null and empty texts have no words; texts of any length are
+read whole; documents below 13 words lose none; ties (one id with the same
+window twice) remove nothing; repeated rows of one id count as one document, and
+each is returned; rows with a null id are neither judged nor witnesses; an empty
+table gives an empty result; columns besides id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -42,12 +53,12 @@ from .textops import U64, WHITE, Block, blocks, mix, per_doc, windows
 
 WINDOW = 13
 FLUSH = 16 << 20
+#: Bytes of text for each bucket of hash values: about as many bytes of entries at the first level.
+PER_BUCKET = 16 << 20
 _ROW = "bucket int, hash binary, more binary, doc binary, at binary, known binary"
-_PART = "part int, doc binary, at binary"
-
-
-def _buckets(df: DataFrame) -> int:
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+_PART = "part int, doc binary, at binary, hash binary, low binary"
+_FOUND = "doc_id long, at binary, hash binary, low binary"
+_TYPES = (("hash", np.uint64), ("more", np.uint32), ("doc", np.int64), ("at", np.int32), ("known", np.uint8))
 
 
 def chosen(h: np.ndarray, b: Block, window: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,147 +86,173 @@ def _pack(bucket: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _ROW.split(", ")])
 
 
-def _send(entries: list[tuple[np.ndarray, ...]], n_buckets: int, least: bool) -> Iterator[pa.RecordBatch]:
+def _groups(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Heads of runs of equal windows, and each entry's head."""
+    new = np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))[: len(h)]
+    return new, np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+
+
+def _send(entries: list[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Resolve within the task, then pack.
 
-    Entries: hash, more, doc, at.  Found entries leave as bucket -1: with ``least`` those with a smaller document
-    here, else all whose hash several documents have.  Of the rest one entry (``least``: those of the least document)
-    is sent on, marked as known if it has left already.
+    Entries: hash, more, doc, at.  Those with a smaller document here leave as bucket -1.  Those of the least document
+    are sent on, marked as known if others have left.
     """
     h, more, doc, at = (np.concatenate(x) for x in zip(*entries, strict=True))
-    order = np.lexsort((at, doc, more, h)) if least else np.lexsort((doc, h))
+    order = np.lexsort((at, doc, more, h))
     h, more, doc, at = h[order], more[order], doc[order], at[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))
-    head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    first_doc = doc[head]
-    if least:
-        local, sent = doc != first_doc, doc == first_doc
-        known = np.zeros(len(h), np.uint8)
-    else:
-        group = np.cumsum(new) - 1
-        several = np.bincount(group, weights=doc != first_doc) > 0
-        local = several[group]
-        sent = ~local | new
-        known = local.astype(np.uint8)
+    new, head = _groups(h, more)
+    local = doc != doc[head]
+    several = np.bincount(np.cumsum(new) - 1, weights=local) > 0
+    known = several[np.cumsum(new) - 1].astype(np.uint8)
     if local.any():
-        yield _pack(np.full(int(local.sum()), -1), [h[local], more[local], doc[local], at[local], known[local]])
-    h, more, doc, at, known = h[sent], more[sent], doc[sent], at[sent], known[sent]
+        yield _pack(np.full(int(local.sum()), -1), [x[local] for x in (h, more, doc, at, known)])
+    sent = ~local
+    h, more, doc, at, known = (x[sent] for x in (h, more, doc, at, known))
     bucket = (h >> U64(20)) % U64(n_buckets)
     order = np.argsort(bucket, kind="stable")
     yield _pack(bucket[order].astype(np.int64), [x[order] for x in (h, more, doc, at, known)])
 
 
-def _by_part(doc: np.ndarray, at: np.ndarray, parts: int) -> pd.DataFrame:
-    """Documents and positions, one row for each part of the documents."""
-    part = (mix(doc.astype(U64)) >> U64(20)) % U64(parts)
+def _cut(order_by: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct values of a sorted array, and the bytes of each column for each of them."""
+    heads = np.flatnonzero(np.append(True, order_by[1:] != order_by[:-1])[: len(order_by)])
+    span = list(zip(heads.tolist(), np.append(heads[1:], len(order_by)).tolist(), strict=False))
+    raw = [(np.ascontiguousarray(c).tobytes(), c.dtype.itemsize) for c in cols]
+    return order_by[heads], [[r[a * w : b * w] for a, b in span] for r, w in raw]
+
+
+def _by_part(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, parts: int) -> pd.DataFrame:
+    """Findings, one row for each part of the documents that has any."""
+    part = ((mix(doc.astype(U64)) >> U64(20)) % U64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, raw, where = part[order].astype(np.int32), doc[order].astype(np.int64).tobytes(), at[order].astype(np.int32).tobytes()
-    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    span = list(zip(heads.tolist(), np.append(heads[1:], len(part)).tolist() if len(heads) else [], strict=True))
-    return pd.DataFrame({"part": part[heads], "doc": [raw[8 * a : 8 * b] for a, b in span], "at": [where[4 * a : 4 * b] for a, b in span]})
+    part, (d, a, hs, lo) = _cut(part[order], [doc[order], at[order], h[order], low[order]])
+    return pd.DataFrame({"part": part, "doc": d, "at": a, "hash": hs, "low": lo})
 
 
 def _by_doc(p: pd.DataFrame) -> pd.DataFrame:
-    """A part's documents with all their positions as bytes (int32)."""
-    doc, at = np.frombuffer(b"".join(p["doc"]), np.int64), np.frombuffer(b"".join(p["at"]), np.int32)
-    order = np.argsort(doc, kind="stable")
-    doc, raw = doc[order], at[order].tobytes()
-    heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    tails = np.append(heads[1:], len(doc)) if len(heads) else heads
-    return pd.DataFrame({"doc_id": doc[heads], "found": [raw[4 * a : 4 * b] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]})
+    """A part's documents, each with its findings in order of position."""
+    kinds = (("doc", np.int64), ("at", np.int32), ("hash", np.uint64), ("low", np.uint8))
+    doc, at, h, low = (np.frombuffer(b"".join(p[c]), t) for c, t in kinds)
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    once = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))[: len(doc)]  # a repeated row found the same again
+    order = order[once]
+    doc, (a, hs, lo) = _cut(doc[once], [at[once], h[order], low[order]])
+    return pd.DataFrame({"doc_id": doc, "at": a, "hash": hs, "low": lo})
 
 
 def _unpack(p: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(p[c]), t) for c, t in (("hash", np.uint64), ("more", np.uint32), ("doc", np.int64), ("at", np.int32), ("known", np.uint8))]
+    return [np.frombuffer(b"".join(p[c]), t) for c, t in _TYPES]
 
 
-def _meet(least: bool, parts: int):
+def _meet(parts: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's windows that several documents have; low: not the least document's."""
         h, more, doc, at, known = _unpack(p)
         order = np.lexsort((doc, more, h))
-        h, more, doc, at, known = h[order], more[order], doc[order], at[order], known[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (more[1:] != more[:-1]))
-        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        if least:
-            out = doc != doc[head]
-        else:
-            group = np.cumsum(new) - 1
-            hit = np.bincount(group, weights=(doc != doc[head]) | (known > 0)) > 0
-            out = hit[group] & (known == 0)
-        return _by_part(doc[out], at[out], parts)
+        h, more, doc, at, known = (x[order] for x in (h, more, doc, at, known))
+        new, head = _groups(h, more)
+        low = doc != doc[head]
+        hit = (np.bincount(np.cumsum(new) - 1, weights=low | (known > 0)) > 0)[np.cumsum(new) - 1]
+        return _by_part(h[hit], doc[hit], at[hit], low[hit].astype(np.uint8), parts)
 
     return run
 
 
-def _level(sent: DataFrame, least: bool, name: str) -> DataFrame:
-    """doc_id and all positions found at this level, one row per document."""
-    parts = _buckets(sent)
+def _level(sent: DataFrame, parts: int, name: str) -> DataFrame:
+    """Windows of a level that several documents have, one row per document: places, hashes, whether a smaller one has it."""
     sent = shared.table(sent, f"{name}-sent")
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(least, parts), _PART)
+    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(parts), _PART)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                _, _, doc, at, _ = _unpack(p)
-                yield _by_part(doc, at, parts)
+                h, _, doc, at, known = _unpack(p)
+                yield _by_part(h, doc, at, known, parts)
 
     near = sent.where("bucket < 0").mapInPandas(local, _PART)
-    found = shared.table(met.unionByName(near).groupBy("part").applyInPandas(_by_doc, "doc_id long, found binary"), name)
+    found = shared.table(met.unionByName(near).groupBy("part").applyInPandas(_by_doc, _FOUND), name)
     shared.drop(sent)
     return found
 
 
+def _held(entries: Iterator[tuple[tuple[np.ndarray, ...], int]], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sends entries, with the bytes that each part of them stands for, a flush at a time."""
+    held, size = [], 0
+    for part, n in entries:
+        held.append(part)
+        size += n
+        if size >= FLUSH:
+            yield from _send(held, n_buckets)
+            held, size = [], 0
+    if held:
+        yield from _send(held, n_buckets)
+
+
 def _halves(n_buckets: int, window: int, half: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], int]]:
         for rows, data, off in blocks(batches):
             b = Block(data, off)
             if len(b.start) >= window:
                 _, at, g = chosen(b.hashes(), b, window, half)
                 at = np.unique(at)
                 d = b.doc_of_word()[at]
-                held.append((g[at], np.zeros(len(at), np.uint32), np.asarray(rows.column("doc_id"))[d], (at - b.first[d]).astype(np.int32)))
-                size += len(data)
-            if size >= FLUSH:
-                yield from _send(held, n_buckets, False)
-                held, size = [], 0
-        if held:
-            yield from _send(held, n_buckets, False)
+                ids = np.asarray(rows.column("doc_id"))[d]
+                yield (g[at], np.zeros(len(at), np.uint32), ids, (at - b.first[d]).astype(np.int32)), len(data)
 
-    return run
+    return lambda batches: _held(entries(batches), n_buckets)
 
 
-def _flagged(lists: pa.Array, b: Block, length: int) -> np.ndarray:
-    """Word-wise flags from each document's list of packed starts of windows of ``length`` words."""
+def _flagged(lists: pa.Array, b: Block, length: int, only: pa.Array | None = None) -> np.ndarray:
+    """Word-wise flags from each document's list of packed starts of windows of ``length`` words; ``only``: bytes not 0."""
     out = np.zeros(len(b.start), bool)
-    for i, x in enumerate(lists.to_pylist()):
+    marks = [None] * len(lists) if only is None else only.to_pylist()
+    for i, (x, mark) in enumerate(zip(lists.to_pylist(), marks, strict=True)):
         if x:
             at = np.frombuffer(x, np.int32).astype(np.int64)
+            if mark is not None:
+                at = at[np.frombuffer(mark, np.uint8) > 0]
             out[at[at <= b.first[i + 1] - b.first[i] - length] + b.first[i]] = True  # rows of one id may differ in text
     return out
 
 
 def _fulls(n_buckets: int, window: int, half: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], int]]:
         for rows, data, off in blocks(batches):
             b = Block(data, off)
-            if len(b.start) >= window:
-                h = b.hashes()
-                full, at, _ = chosen(h, b, window, half)
-                full = full[_flagged(rows.column("found"), b, half)[at]]
-                if len(full):
-                    d = b.doc_of_word()[full]
-                    hash_, more = windows(h, window, 0xC2B2AE3D27D4EB4F)[full], (windows(mix(h ^ U64(0x165667B19E3779F9)), window)[full] >> U64(32)).astype(np.uint32)
-                    held.append((hash_, more, np.asarray(rows.column("doc_id"))[d], (full - b.first[d]).astype(np.int32)))
-                    size += 8 * len(full)
-            if held and size >= FLUSH:
-                yield from _send(held, n_buckets, True)
-                held, size = [], 0
-        if held:
-            yield from _send(held, n_buckets, True)
-
-    return run
+            if len(b.start) < window:
+                continue
+            h = b.hashes()
+            full, at, _ = chosen(h, b, window, half)
+            full = full[_flagged(rows.column("at"), b, half)[at]]
+            if len(full):
+                d = b.doc_of_word()[full]
+                one = windows(h, window, 0xC2B2AE3D27D4EB4F)[full]
+                more = (windows(mix(h ^ U64(0x165667B19E3779F9)), window)[full] >> U64(32)).astype(np.uint32)
+                yield (one, more, np.asarray(rows.column("doc_id"))[d], (full - b.first[d]).astype(np.int32)), 8 * len(full)
+
+    return lambda batches: _held(entries(batches), n_buckets)
+
+
+def _twice(n_buckets: int, length: int):
+    """Windows of twice the length: both halves are among those that several documents have."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], int]]:
+        for rows in batches:
+            size = np.array([len(x) // 4 for x in rows.column("at").to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.frombuffer(b"".join(rows.column("at").to_pylist()), np.int32).astype(np.int64)
+            h = np.frombuffer(b"".join(rows.column("hash").to_pylist()), np.uint64)
+            place = row << 40 | at
+            to = np.minimum(np.searchsorted(place, place + length), max(0, len(place) - 1))
+            some = np.flatnonzero(place[to] == place + length) if len(place) else to
+            if len(some):
+                new = mix(mix(h[some]) * U64(0x9E3779B97F4A7C15) + mix(h[to[some]] ^ U64(0x2545F4914F6CDD1D)))
+                ids = np.asarray(rows.column("doc_id"))[row[some]]
+                yield (new, np.zeros(len(some), np.uint32), ids, at[some].astype(np.int32)), 8 * len(some)
+
+    return lambda batches: _held(entries(batches), n_buckets)
 
 
 def joined(b: Block, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -232,35 +269,55 @@ def _result(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in blocks(batches):
             b = Block(data, off)
-            start = _flagged(rows.column("found"), b, window)
-            gone = np.zeros(len(start), bool)
-            at = np.flatnonzero(start)
+            gone = np.zeros(len(b.start), bool)
+            starts = np.flatnonzero(_flagged(rows.column("at"), b, window, rows.column("low")))
             for j in range(window):
-                gone[at + j] = True
+                gone[starts + j] = True
             raw, cut = joined(b, ~gone)
-            sha = [hashlib.sha256(raw[a : max(a, e - 1)]).hexdigest() for a, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(b.counts.astype(np.int64)), pa.array(per_doc(gone, b.first)), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            span = zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+            sha = [hashlib.sha256(raw[a : max(a, e - 1)]).hexdigest() for a, e in span]
+            lost = pa.array(per_doc(gone, b.first))
+            cols = [rows.column("doc_id"), pa.array(b.counts.astype(np.int64)), lost, pa.array(sha), rows.column("longest")]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
 
     return run
 
 
-def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and ``found``: packed starts of the windows that a smaller document has too."""
-    half, n = (window + 1) // 2, _buckets(docs)
-    known = docs.where("doc_id IS NOT NULL")
-    halves = _level(known.mapInArrow(_halves(n, window, half), _ROW), False, "halves")
-    some = known.join(halves, "doc_id").select("doc_id", "text", "found")
-    fulls = _level(some.mapInArrow(_fulls(n, window, half), _ROW), True, "windows")
+def repeated(known: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
+    """Windows of ``window`` words that several documents (doc_id, text; no null ids) have: one row per document."""
+    half = (window + 1) // 2
+    halves = _level(known.mapInArrow(_halves(n, window, half), _ROW), n, "halves")
+    some = known.join(halves, "doc_id").select("doc_id", "text", "at")
+    found = _level(some.mapInArrow(_fulls(n, window, half), _ROW), n, "windows")
     shared.drop(halves)
-    return fulls
+    return found
+
+
+def repeat_lengths(found: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
+    """doc_id and ``longest``: the longest level (``window``, twice, four times, ... words) at which it has a window left."""
+    length, seen = window, found.select("doc_id", F.lit(window).cast("long").alias("longest"))
+    while True:
+        longer = _level(found.mapInArrow(_twice(n, length), _ROW), n, "longer")
+        length *= 2
+        if longer.isEmpty():
+            shared.drop(longer)
+            return seen.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+        seen = seen.unionByName(longer.select("doc_id", F.lit(length).cast("long").alias("longest")))
+        found = longer
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, one row per row of ``docs``."""
-    shared.prepare(docs.sparkSession)
+    """doc_id, n_words, n_removed, kept_sha256, longest_repeat, one row per row of ``docs``; a table in the shared folder."""
+    spark = shared.prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    x = docs.join(removed(docs, window), "doc_id", "left").select("doc_id", "text", "found")
-    return x.mapInArrow(_result(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    n = shared.buckets(spark, shared.text_bytes(docs), PER_BUCKET)
+    with shared.scratch() as keep, shared.bucketed(docs, "doc_id", n) as dealt:
+        found = repeated(dealt.where("doc_id IS NOT NULL"), n, window)
+        longest = shared.table(repeat_lengths(found, n, window), "longest")
+        x = dealt.join(found.drop("hash"), "doc_id", "left").join(longest, "doc_id", "left")
+        x = x.select("doc_id", "text", "at", "low", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long"
+        return keep(shared.table(x.mapInArrow(_result(window), schema), "substrings"))
 
 
 ORACLE = r"""
