@@ -19,15 +19,20 @@ one row with the local numbers of its tokens, and asks for the counts of its
 distinct tokens and bigrams: one packed row for each bucket of hash values, which
 also carries what it has counted itself.  A bucket adds up and answers in the
 order asked.  A frequent word is one entry for each ``FLUSH`` bytes, so no key is
-hot; nothing is capped and every token of every text is counted.  Within a
-bucket n-grams are told apart by 48 further bits, sent as the differences of
-sorted values.  Requests and token numbers go through one shuffle, and only
-token numbers and answers are kept.
-
-Defined results: null and empty texts have one token, the end; a null doc_id
-counts as the text ''; repeated rows are counted and scored each; without
-training documents every count is 0 and the score is log10(1 / (V + 1)) a token;
-an empty table gives an empty result; columns besides id and text are ignored.
+hot; nothing is capped and every token of every text is counted.  The number of
+buckets follows the bytes of all texts (``PER_BUCKET``), so a bucket stays as
+large at any size.  A bucket is chosen by all 64 bits of an n-gram's hash; within
+it n-grams are told apart by 48, 56 or 64 of them, as many as keep the expected
+number of confusions in all buckets below 1/64 (``key_bits``), sent as the
+differences of sorted values.  Requests and token numbers go through one shuffle,
+and only token numbers and answers are kept.
+
+Defined results: null and empty texts have one token, the end; texts of any
+length are scored whole, one by one if longer than a flush; a null doc_id counts
+as the text ''; repeated rows are counted and scored each, ties don't occur;
+without training documents every count is 0 and the score is log10(1 / (V + 1)) a
+token; an empty table gives an empty result; columns besides id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,10 +51,15 @@ from . import shared
 from .textops import U64, Block, blocks, mix, mix_int
 
 FLUSH = 6 << 20
+#: Bytes of text for each bucket, and the distinct n-grams (2 ** DISTINCT) that it has then at most.
+PER_BUCKET, DISTINCT = 5 << 20, 18
 DEV, FOLDS = 1, 10
 STEP, FREQUENCIES = 8, 24
 _END, _BEGIN = U64(mix_int(0x656E64)), U64(mix_int(0x626567))
 _HELD = "bucket int, flush long, a binary, b binary, c binary, d binary"
+_SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+)
 _NAMES = [x.split()[0] for x in _HELD.split(", ")]
 
 
@@ -57,6 +67,12 @@ def fold(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS for x in ids.to_pylist()], np.int64)
 
 
+def key_bits(n_buckets: int) -> int:
+    """Bits that tell a bucket's n-grams apart: by the birthday bound, expected confusions of all buckets are below 1/64."""
+    few = (b for b in (48, 56) if n_buckets * 2.0 ** (2 * DISTINCT - 1 - b) <= 1 / 64)
+    return next(few, 64)
+
+
 class Local:
     """Distinct tokens and bigrams of a flush, in the order in which they are asked for."""
 
@@ -70,7 +86,10 @@ class Local:
         self.left, self.right = pair // (self.n + 1), pair % (self.n + 1)
         left = np.append(hashes, _BEGIN)[self.left]
         asked = np.concatenate([hashes, mix(left * U64(0x9E3779B97F4A7C15) + mix(hashes[self.right] if len(pair) else hashes[:0]))])
-        bucket, asked = ((asked >> U64(48)) % U64(n_buckets)).astype(np.int64), asked & U64((1 << 48) - 1)
+        # the lowest bit tells tokens from bigrams
+        asked = asked & ~U64(1) | (np.arange(len(asked)) < self.n).astype(U64)
+        bucket = ((mix(asked) >> U64(8)) % U64(n_buckets)).astype(np.int64)
+        asked &= U64((1 << key_bits(n_buckets)) - 1)
         self.order = np.lexsort((asked, bucket))
         self.asked, self.bucket = asked[self.order], bucket[self.order]
 
@@ -107,16 +126,15 @@ def _gather(n_buckets: int):
         local = Local(unique, token, count, n_buckets)
         part = np.repeat(np.where(null, zlib.crc32(b"") % FOLDS, fold(pa.array(ids))), count)
         sums = [np.concatenate([np.bincount(token[m], minlength=local.n), np.bincount(local.bigram[m], minlength=len(local.left))])[local.order] for m in (part != 0, part == DEV)]
-        tag = np.concatenate([np.ones(local.n, np.uint8), np.zeros(len(local.left), np.uint8)])[local.order]
         heads = np.flatnonzero(np.append(True, local.bucket[1:] != local.bucket[:-1]))
         span = list(zip(heads.tolist(), np.append(heads[1:], len(local.bucket)).tolist(), strict=True))
         steps = np.diff(local.asked, prepend=U64(0))
         steps[heads] = local.asked[heads]
-        wide = np.maximum.reduceat(steps, heads) >= U64(1 << 40)
-        by = {w: np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for w in (5, 6)}
-        keys = [by[6][6 * a : 6 * e] if w else by[5][5 * a : 5 * e] for (a, e), w in zip(span, wide, strict=True)]
-        marks = tag.tobytes()
-        bins = [keys, *(_narrow(x, span) for x in sums), [marks[a:e] for a, e in span]]
+        top = np.maximum.reduceat(steps, heads)
+        width = (4 + sum((top >= U64(1 << bits)).astype(np.int64) for bits in (32, 40, 48, 56))).tolist()
+        by = {w: np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for w in set(width)}
+        keys = [by[w][w * a : w * e] for (a, e), w in zip(span, width, strict=True)]
+        bins = [keys, *(_narrow(x, span) for x in sums), [np.int64(e - a).tobytes() for a, e in span]]
         yield pa.RecordBatch.from_arrays([pa.array(local.bucket[heads].astype(np.int32)), pa.array([flush] * len(heads), pa.int64()), *(pa.array(x, pa.binary()) for x in bins)], names=_NAMES)
         planes = np.ascontiguousarray(token.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if local.n < 1 << 24 else 4]).tobytes()
         docs = pa.array([np.concatenate([ids, null.astype(np.int64)]).tobytes()], pa.binary())
@@ -144,27 +162,25 @@ def _answer(p: pd.DataFrame) -> pd.DataFrame:
     """Counts over all flushes, in the order of each request; and this bucket's tokens and types.  Rows that ask nothing pass."""
     if p["bucket"].iat[0] < 0:
         return p
-    sizes = np.array([len(x) for x in p["d"]])
-    key = np.zeros((int(sizes.sum()), 8), np.uint8)
+    sizes = np.frombuffer(b"".join(p["d"]), np.int64)
+    key = np.zeros(int(sizes.sum()), np.uint64)
     at = 0
     for x, n in zip(p["a"], sizes.tolist(), strict=True):
         width = len(x) // n
         steps = np.zeros((n, 8), np.uint8)
         steps[:, :width] = np.frombuffer(x, np.uint8).reshape(n, width)
-        key[at : at + n] = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64).view(np.uint8).reshape(n, 8)
+        key[at : at + n] = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
         at += n
-    tag = np.frombuffer(b"".join(p["d"]), np.uint8)
-    key[:, 6] = tag
-    unique, at = np.unique(key.view(np.uint64).ravel(), return_inverse=True)
+    unique, at = np.unique(key, return_inverse=True)
     out = [np.bincount(at, np.concatenate([_widen(x, n) for x, n in zip(p[c], sizes.tolist(), strict=True)]), len(unique)).astype(np.int64) for c in ("b", "c")]
-    word = (unique >> U64(48)) > 0
+    word = (unique & U64(1)) > 0
     fit = out[0] - out[1]
     total = np.array([out[0][word].sum(), (out[0][word] > 0).sum(), fit[word].sum(), (fit[word] > 0).sum()], np.int64)
     cut = np.concatenate([[0], np.cumsum(sizes)])
     span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
     per = [_narrow(x[at], span) for x in out]
     rows = pd.DataFrame({"bucket": p["bucket"], "flush": p["flush"], "a": None, "b": per[0], "c": per[1], "d": None})
-    return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "a": [None], "b": [total.tobytes()], "c": [b""], "d": [None]})])
+    return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "a": [None], "b": [total.astype(">i8").tobytes()], "c": [b""], "d": [None]})])
 
 
 def _shares(two: np.ndarray, left: np.ndarray, one: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,23 +269,24 @@ def _score(n_buckets: int, n: int, types: int, docs: int, weights: np.ndarray):
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``, as a table."""
     spark = shared.prepare(docs.sparkSession)
-    n_buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held = shared.table(docs.mapInArrow(_gather(n_buckets), _HELD).groupBy("bucket").applyInPandas(_answer, _HELD), "flushes")
-    answers = held.where("bucket >= 0")
-    n = types = n_fit = types_fit = 0
-    for r in answers.where("flush = -1").select("b").toLocalIterator():  # four numbers for each bucket
-        a, b, c, d = np.frombuffer(r["b"], np.int64).tolist()
-        n, types, n_fit, types_fit = n + a, types + b, n_fit + c, types_fit + d
-    rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
-    train, fit = docs.select(rest.alias("r")).agg(F.count_if(F.col("r") != 0), F.count_if(F.expr(f"r <> 0 AND r <> {DEV}"))).first()
-    got = answers.where("flush <> -1").groupBy("flush").agg(F.collect_list(F.struct("bucket", "b", "c")).alias("answers"))
-    full = held.where("bucket < 0").select("flush", "a", "b", "c", "d").join(got, "flush")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds a flush
-    cells = full.mapInArrow(_cells(n_buckets, n_fit, fit), "cell long, events long").groupBy("cell").agg(F.sum("events").alias("events")).toPandas()
-    weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["events"].to_numpy(float), types_fit)
-    out = full.mapInArrow(_score(n_buckets, n, types, train, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    out = shared.table(out, "scores")
-    shared.drop(held)
-    shared.prepare(spark)
-    return out
+    n_buckets = shared.buckets(spark, shared.text_bytes(docs), PER_BUCKET)
+    with shared.scratch() as keep:
+        asked = docs.mapInArrow(_gather(n_buckets), _HELD)
+        held = shared.table(asked.groupBy("bucket").applyInPandas(_answer, _HELD), "flushes")
+        answers = held.where("bucket >= 0")
+        four = (F.conv(F.hex(F.substring("b", 1 + 8 * i, 8)), 16, 10).cast("long") for i in range(4))
+        sums = answers.where("flush = -1").agg(*[F.sum(x) for x in four]).first()
+        n, types, n_fit, types_fit = (x or 0 for x in sums)
+        rest = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
+        fit = F.count_if(F.expr(f"r <> 0 AND r <> {DEV}"))
+        train, fit = docs.select(rest.alias("r")).agg(F.count_if(F.col("r") != 0), fit).first()
+        got = F.collect_list(F.struct("bucket", "b", "c")).alias("answers")  # a flush has a bounded number of n-grams
+        got = answers.where("flush <> -1").groupBy("flush").agg(got)
+        full = held.where("bucket < 0").select("flush", "a", "b", "c", "d").join(got, "flush")
+        with shared.conf(spark, maxRecordsPerBatch="1"):  # a row holds a flush
+            cells = full.mapInArrow(_cells(n_buckets, n_fit, fit), "cell long, events long")
+            cells = cells.groupBy("cell").agg(F.sum("events").alias("events")).toPandas()
+            weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["events"].to_numpy(float), types_fit)
+            scored = full.mapInArrow(_score(n_buckets, n, types, train, weights), _SCORED)
+            return keep(shared.table(scored, "scores"))
