@@ -14,10 +14,15 @@ length, until no candidates survive.
 * The second level has the windows of 13 words around the halves that several
   documents have.  It decides what is removed: each window that several documents
   have is of the least of them or has a smaller one.
-* Each further level (26, 52, 104, ... words) pairs windows of the last one that
-  several documents have and that follow one another in a document; a pair's hash
-  is made of theirs, so texts aren't read again.  The levels end when no window is
-  left.  The longest level of each document is its ``longest_repeat``.
+* Each further level (26, 52, 104, ... words) has the windows made of two of the
+  level before that follow one another, all of whose 13-word windows several
+  documents have; hashes are made of the halves' hashes, so texts aren't read
+  again.  Again one window per stretch is looked at: of each stretch of twice the
+  length the one with the least hash, so a passage of 2n words that documents
+  share always has a window at level n.  A document whose windows of one length
+  are all its own leaves; the levels end when no document is left.  The longest
+  level of each document is its ``longest_repeat``: no longer than its longest
+  shared passage and more than a quarter of it.
 
 Rows are not words.  A task packs the hashes of about ``FLUSH`` bytes of text
 into one binary row for each bucket of hash values, after resolving what it can
@@ -122,11 +127,13 @@ def _cut(order_by: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, list
     return order_by[heads], [[r[a * w : b * w] for a, b in span] for r, w in raw]
 
 
-def _by_part(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, parts: int) -> pd.DataFrame:
-    """Findings, one row for each part of the documents that has any."""
+def _by_part(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, parts: int, places: bool) -> pd.DataFrame:
+    """Findings, one row for each part of the documents that has any; ``places``: nothing but where they are."""
+    if places:
+        h, low = h[:0], low[:0]
     part = ((mix(doc.astype(U64)) >> U64(20)) % U64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    part, (d, a, hs, lo) = _cut(part[order], [doc[order], at[order], h[order], low[order]])
+    part, (d, a, hs, lo) = _cut(part[order], [x[order] if len(x) else x for x in (doc, at, h, low)])
     return pd.DataFrame({"part": part, "doc": d, "at": a, "hash": hs, "low": lo})
 
 
@@ -138,7 +145,7 @@ def _by_doc(p: pd.DataFrame) -> pd.DataFrame:
     doc, at = doc[order], at[order]
     once = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))[: len(doc)]  # a repeated row found the same again
     order = order[once]
-    doc, (a, hs, lo) = _cut(doc[once], [at[once], h[order], low[order]])
+    doc, (a, hs, lo) = _cut(doc[once], [at[once], *(x[order] if len(x) else x for x in (h, low))])
     return pd.DataFrame({"doc_id": doc, "at": a, "hash": hs, "low": lo})
 
 
@@ -146,7 +153,7 @@ def _unpack(p: pd.DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(p[c]), t) for c, t in _TYPES]
 
 
-def _meet(parts: int):
+def _meet(parts: int, places: bool):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         """A bucket's windows that several documents have; low: not the least document's."""
         h, more, doc, at, known = _unpack(p)
@@ -155,21 +162,21 @@ def _meet(parts: int):
         new, head = _groups(h, more)
         low = doc != doc[head]
         hit = (np.bincount(np.cumsum(new) - 1, weights=low | (known > 0)) > 0)[np.cumsum(new) - 1]
-        return _by_part(h[hit], doc[hit], at[hit], low[hit].astype(np.uint8), parts)
+        return _by_part(h[hit], doc[hit], at[hit], low[hit].astype(np.uint8), parts, places)
 
     return run
 
 
-def _level(sent: DataFrame, parts: int, name: str) -> DataFrame:
+def _level(sent: DataFrame, parts: int, name: str, places: bool = False) -> DataFrame:
     """Windows of a level that several documents have, one row per document: places, hashes, whether a smaller one has it."""
     sent = shared.table(sent, f"{name}-sent")
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(parts), _PART)
+    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(parts, places), _PART)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
                 h, _, doc, at, known = _unpack(p)
-                yield _by_part(h, doc, at, known, parts)
+                yield _by_part(h, doc, at, np.ones(len(doc), np.uint8), parts, places)
 
     near = sent.where("bucket < 0").mapInPandas(local, _PART)
     found = shared.table(met.unionByName(near).groupBy("part").applyInPandas(_by_doc, _FOUND), name)
@@ -235,22 +242,60 @@ def _fulls(n_buckets: int, window: int, half: int):
     return lambda batches: _held(entries(batches), n_buckets)
 
 
-def _twice(n_buckets: int, length: int):
-    """Windows of twice the length: both halves are among those that several documents have."""
+def _slide(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """``best`` of each ``span`` neighbours from each place on, by doubling; the last places have fewer."""
+    size = 1
+    while size * 2 <= span:
+        x = np.append(best(x[:-size], x[size:]), x[len(x) - size :]) if len(x) > size else x
+        size *= 2
+    rest = span - size
+    return np.append(best(x[:-rest], x[rest:]), x[len(x) - rest :]) if 0 < rest < len(x) else x
 
+
+def _least(place: np.ndarray, h: np.ndarray, span: int) -> np.ndarray:
+    """Which windows have the least hash of some ``span`` windows at neighbouring places."""
+    if len(h) < span:
+        return np.zeros(len(h), bool)
+    whole = np.zeros(len(h), bool)
+    whole[: len(h) - span + 1] = place[span - 1 :] - place[: len(h) - span + 1] == span - 1
+    low = np.where(whole, _slide(h, span, np.minimum), U64(0))
+    # the greatest of the least hashes of the spans that a window is in; it is the window's own if it's chosen
+    return _slide(low[::-1], span, np.maximum)[::-1] == h
+
+
+def _longer(window: int):
+    """From the windows that several documents have: the chosen ones of each further level, a row for document and level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ats = rows.column("at").to_pylist()
+            row = np.repeat(np.arange(len(ats)), [len(x) // 4 for x in ats])
+            place = row << 40 | np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
+            h = np.frombuffer(b"".join(rows.column("hash").to_pylist()), np.uint64)
+            length = window
+            while len(place):
+                to = np.minimum(np.searchsorted(place, place + length), len(place) - 1)
+                some = np.flatnonzero(place[to] == place + length)
+                h = mix(mix(h[some]) * U64(0x9E3779B97F4A7C15) + mix(h[to[some]] ^ U64(0x2545F4914F6CDD1D)))
+                place, length = place[some], 2 * length
+                pick = _least(place, h, length + 1)
+                got, (at, hs) = _cut(place[pick] >> 40, [(place[pick] & 0xFFFFFFFF).astype(np.int32), h[pick]])
+                if len(got):
+                    ids = rows.column("doc_id").take(pa.array(got))
+                    cols = [ids, pa.array(np.full(len(got), length)), pa.array(at, pa.binary()), pa.array(hs, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "length", "at", "hash"])
+
+    return run
+
+
+def _again(n_buckets: int):
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, ...], int]]:
         for rows in batches:
-            size = np.array([len(x) // 4 for x in rows.column("at").to_pylist()], np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.frombuffer(b"".join(rows.column("at").to_pylist()), np.int32).astype(np.int64)
+            ats = rows.column("at").to_pylist()
             h = np.frombuffer(b"".join(rows.column("hash").to_pylist()), np.uint64)
-            place = row << 40 | at
-            to = np.minimum(np.searchsorted(place, place + length), max(0, len(place) - 1))
-            some = np.flatnonzero(place[to] == place + length) if len(place) else to
-            if len(some):
-                new = mix(mix(h[some]) * U64(0x9E3779B97F4A7C15) + mix(h[to[some]] ^ U64(0x2545F4914F6CDD1D)))
-                ids = np.asarray(rows.column("doc_id"))[row[some]]
-                yield (new, np.zeros(len(some), np.uint32), ids, at[some].astype(np.int32)), 8 * len(some)
+            ids = np.repeat(np.asarray(rows.column("doc_id")), [len(x) // 4 for x in ats])
+            if len(h):
+                yield (h, np.zeros(len(h), np.uint32), ids, np.frombuffer(b"".join(ats), np.int32)), 8 * len(h)
 
     return lambda batches: _held(entries(batches), n_buckets)
 
@@ -286,24 +331,31 @@ def _result(window: int):
 def repeated(known: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
     """Windows of ``window`` words that several documents (doc_id, text; no null ids) have: one row per document."""
     half = (window + 1) // 2
-    halves = _level(known.mapInArrow(_halves(n, window, half), _ROW), n, "halves")
+    halves = _level(known.mapInArrow(_halves(n, window, half), _ROW), n, "halves", places=True)
     some = known.join(halves, "doc_id").select("doc_id", "text", "at")
     found = _level(some.mapInArrow(_fulls(n, window, half), _ROW), n, "windows")
     shared.drop(halves)
     return found
 
 
-def repeat_lengths(found: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
+def repeat_lengths(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and ``longest``: the longest level (``window``, twice, four times, ... words) at which it has a window left."""
-    length, seen = window, found.select("doc_id", F.lit(window).cast("long").alias("longest"))
-    while True:
-        longer = _level(found.mapInArrow(_twice(n, length), _ROW), n, "longer")
+    schema = "doc_id long, length long, at binary, hash binary"
+    longer = shared.table(found.mapInArrow(_longer(window), schema), "longer")
+    size = F.sum(F.length("at") + F.length("hash")).alias("size")
+    sizes = {r["length"]: r["size"] for r in longer.groupBy("length").agg(size).collect()}  # one row a level
+    left, seen, length = None, found.select("doc_id", F.lit(window).cast("long").alias("longest")), 2 * window
+    while length in sizes:
+        some = longer.where(F.col("length") == length)
+        if left is not None:
+            some = some.join(left.select("doc_id"), "doc_id", "left_semi")
+        n = max(8, -(-sizes[length] // PER_BUCKET))
+        left = _level(some.mapInArrow(_again(n), _ROW), n, "left", places=True)
+        if left.isEmpty():
+            break
+        seen = seen.unionByName(left.select("doc_id", F.lit(length).cast("long").alias("longest")))
         length *= 2
-        if longer.isEmpty():
-            shared.drop(longer)
-            return seen.groupBy("doc_id").agg(F.max("longest").alias("longest"))
-        seen = seen.unionByName(longer.select("doc_id", F.lit(length).cast("long").alias("longest")))
-        found = longer
+    return seen.groupBy("doc_id").agg(F.max("longest").alias("longest"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -313,7 +365,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = shared.buckets(spark, shared.text_bytes(docs), PER_BUCKET)
     with shared.scratch() as keep, shared.bucketed(docs, "doc_id", n) as dealt:
         found = repeated(dealt.where("doc_id IS NOT NULL"), n, window)
-        longest = shared.table(repeat_lengths(found, n, window), "longest")
+        longest = shared.table(repeat_lengths(found, window), "longest")
         x = dealt.join(found.drop("hash"), "doc_id", "left").join(longest, "doc_id", "left")
         x = x.select("doc_id", "text", "at", "low", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long"
