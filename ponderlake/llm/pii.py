@@ -6,10 +6,12 @@ stays as it is.  Valid values are replaced:
 
 * card numbers (Luhn): the digits between the first and the check digit are
   permuted, the check digit is worked out anew;
-* telephone numbers: the ten national digits are permuted, walking on until area
-  and exchange are valid in the same way as before;
+* telephone numbers (a valid exchange, 2 to 9 first; without separators or country
+  code also a valid area): the ten national digits are permuted, walking on until
+  area and exchange are valid in the same way as before;
 * social security numbers: the nine digits are permuted among valid ones;
-* IPv4 addresses: the 32 bits are permuted;
+* IPv4 addresses (four numbers up to 255, not after a letter or a word such as
+  "version" or "chapter"): the 32 bits are permuted;
 * dates (1900 to 2099; ``y-m-d``, ``d.m.y``, ``m/d/y``): the day's number is permuted;
 * e-mail addresses and secrets (``password=``, ``token:`` ...) have no number to
   permute: a keyed digest of the value takes their place.
@@ -19,11 +21,15 @@ alone, so equal values get equal pseudonyms in all documents, different values
 different ones, and the holder of the key can undo it.  A Feistel network of
 ``ROUNDS`` rounds acts on two halves; where valid values are a part of all, it is
 applied until the result is as valid as its input was (cycle walking, which keeps
-it a permutation).
+it a permutation); a walk that doesn't end within ``WALK`` steps is an error (its
+probability is below 1e-19).  The key is an argument without a default; as all
+literals it shows in the plan, so plans are as secret as the key.
 
 Defined results: null texts stay null with no findings; empty texts stay empty;
-texts are masked whole; repeated rows are masked alike; columns besides id and
-text are ignored; an empty table gives an empty result.
+texts of any length are masked whole; a place that fits several kinds (ties) is
+of the first of ``KINDS``; repeated rows are masked alike; null ids are kept;
+columns besides id and text are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +39,18 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-ROUNDS, WALK = 8, 48
+ROUNDS, WALK = 8, 256
 KINDS = ("email", "secret", "ip", "card", "ssn", "date", "phone")
 #: Patterns by kind; earlier kinds win.  Quantifiers before a rare sign are possessive, so that no text makes them slow.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b)[ \t]*[=:][ \t]*\"?[A-Za-z0-9_/+=.-]{8,}+\"?",
-    "ip": r"(?<![\d.])\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
+    "ip": r"(?<![\w.])(?<!(?i:version|release|chapter|section) )\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?![ -]?\d)|\d{4}(?:[ -]\d{4}){3}|\d{4}(?:[ -]\d{4}){2}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d/-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![\d-])",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])[2-9]\d{2}[ .-]?\d{4}(?![\d-])"
+    r"|(?<![\d+])\+\d{1,3}[ .-]?\d{3}[2-9]\d{6}(?![\d-])|(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-])",
 }
 #: Card candidates that may hold less: four groups and a number after them, and a phone number after four digits.
 _FIVE, _DINERS = r"^(\d{4}(?:[ -]\d{4}){3})[ -]\d{1,3}$", r"^\d{4}[ -]\d{6}[ -]\d{4}$"
@@ -68,7 +75,8 @@ def _walk(value: str, left: str, right: str, kind: str, key: str, valid) -> str:
     """The permutation, repeated until the result is as valid as the value; ``valid``: SQL of a number -> SQL."""
     once = lambda x: _network(x, left, right, kind, key)
     first = f"named_struct('x', {once(value)}, 'ok', {valid(f'({value})')})"
-    return f"aggregate(sequence(1, {WALK}), {first}, (w, j) -> CASE WHEN {valid('w.x')} <=> w.ok THEN w ELSE named_struct('x', {once('w.x')}, 'ok', w.ok) END, w -> w.x)"
+    end = f"CASE WHEN {valid('w.x')} <=> w.ok THEN w.x ELSE cast(raise_error('a pseudonym was not found in {WALK} steps') as bigint) END"
+    return f"aggregate(sequence(1, {WALK}), {first}, (w, j) -> CASE WHEN {valid('w.x')} <=> w.ok THEN w ELSE named_struct('x', {once('w.x')}, 'ok', w.ok) END, w -> {end})"
 
 
 def _digits(n: str) -> tuple[str, str]:
@@ -117,7 +125,7 @@ def _replace(kind: str, h: str, key: str) -> str:
         moved = f"lpad(cast({_walk(f'cast({d} as bigint)', *_digits('9'), kind, key, valid)} as string), 9, '0')"
         return f"CASE WHEN {valid(f'cast({d} as bigint)')} THEN {_lay(h, moved)} END"
     if kind == "phone":
-        valid = lambda x: f"({x} div 1000000000 >= 2 AND {x} div 1000000 % 10 >= 2)"
+        valid = lambda x: f"(int({x} div 1000000000 >= 2) + 2 * int({x} div 1000000 % 10 >= 2))"
         moved = f"lpad(cast({_walk(f'cast(right({d}, 10) as bigint)', *_digits('10'), kind, key, valid)} as string), 10, '0')"
         return _lay(h, f"concat(left({d}, length({d}) - 10), {moved})")
     # dates: parts by layout, then the number of the day
@@ -140,7 +148,7 @@ def _kind(h: str) -> str:
     return f"CASE WHEN regexp_like({h}, {_sql(_DINERS)}) AND {_luhn(d)} % 10 <> 0 THEN 'phone' {arms} END"
 
 
-def pseudonymise(docs: DataFrame, key: str = "demo key", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (masked), n_found and n_<kind> for each kind: one row per row of ``docs``."""
     shared.prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import exact_dedup, lm_scoring, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
+#: Key of the pseudonyms in the query, whose tables hold invented persons; real ones need a secret key.
+KEY = "invented persons"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,7 +29,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), KEY)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -339,7 +339,7 @@ def test_pii(spark):
         (2, "ip 25.63.122.242 not 256.1.1.1; 2024-02-29 not 2023-02-29, 31.12.1999, 12/25/1976; 123-45-6789 not 000-12-3456"),
         (3, 'password=f0b4e711f4353f8e01 token = "d8eb2888fc1a1ec9e3a8f1bd23ba5a9fda51422d"'), (4, None), (5, ""), (6, "plain"), (7, "4111111111111111 25.63.122.242 2024-02-29"),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
     one = got[1].text
     cards = [re.sub("-", "", x) for x in re.findall(r"4\d{3}-?\d{4}-?\d{4}-?\d{4}", one)]
@@ -363,7 +363,7 @@ def test_pii_card_groups(spark):
     forms = [right(x) for x in forms]
     texts = [f"a {x} b {re.sub('[ -]', '', x)} c" for x in forms]
     texts += ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/27", "4111 1111 1111 1111 907 555 1190", "1234 930902 5905", "4111 1111 1111 1111"]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
     for x, t in zip(forms, got):
         one, two = re.fullmatch(r"a (.*) b (\d+) c", t).groups()
         assert re.sub(r"\d", "9", one) == re.sub(r"\d", "9", x) and re.sub("[ -]", "", one) == two != re.sub("[ -]", "", x) and luhn(two)
@@ -378,7 +378,7 @@ def test_feistel_is_a_permutation(spark):
     assert sorted(r.x for r in rows) == list(range(1000)) == sorted(r.y for r in rows)
     assert all((r.y < 400) == (r.id < 400) for r in rows)
     days = spark.sql("SELECT date_add(date'2023-01-01', cast(id AS int)) AS d, id FROM range(800)").select("id", F.date_format("d", "yyyy-MM-dd").alias("d"))
-    got = pii.pseudonymise(days.selectExpr("id AS doc_id", "d AS text")).collect()
+    got = pii.pseudonymise(days.selectExpr("id AS doc_id", "d AS text"), "k").collect()
     assert len({r.text for r in got}) == 800 and all(r.n_date == 1 and 1900 <= int(r.text[:4]) <= 2099 for r in got)
 
 
@@ -480,7 +480,7 @@ def test_windows_cover_every_word():
 
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, mixing.training_order, quality_rules.ledger, pii.pseudonymise, lm_scoring.lm_scores):
+    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, mixing.training_order, quality_rules.ledger, lambda d: pii.pseudonymise(d, "k"), lm_scoring.lm_scores):
         assert f(empty).count() == 0
     for f in (quality_classifier.resample, quality_classifier.keep_good, toxicity.toxicity):
         assert f(empty, labels).count() == 0
@@ -491,6 +491,6 @@ def test_empty_tables(spark, empty):
 def test_null_ids(spark, rows):
     df = spark.createDataFrame([(None, rows[0][1], "en", "s1"), (None, None, None, None), *rows[:12]], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, quality_rules.ledger, pii.pseudonymise, lm_scoring.lm_scores, lambda d: pieces.round_trip(d, queries.model_path())):
+    for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, quality_rules.ledger, lambda d: pii.pseudonymise(d, "k"), lm_scoring.lm_scores, lambda d: pieces.round_trip(d, queries.model_path())):
         assert f(df).count() == 14
     assert quality_classifier.resample(df, labels).count() == 14 and toxicity.toxicity(df, labels).count() == 14
