@@ -14,12 +14,18 @@ ordered.  The table of sources is an aggregate (one row per source).
 Sources by code point, null last, weigh 5, 2, 1, repeating.  Targets share all
 words by weight but stop at ``max_repeats`` times their source's words, the
 excess reshared by weight: the water level is found in closed form from the
-sources sorted by cap over weight.  The last document that a target reaches is
-taken in part, so that a source's taken words equal its rounded target.
-
-Defined results: null text has size 0; null source is a source of its own; a
-source without words has target 0; null or repeated ids are ordered by size;
-an empty table gives an empty result; further columns are ignored.
+sources sorted by cap over weight.  Documents are taken whole; of the last pass
+through a stream those are taken whose middle word the target reaches, so a
+source's taken words are its target to within half a document.
+
+The table of sources has a row for each; it is sorted by one task, which is right
+for up to some 1e7 sources.
+
+Defined results: null text has size 0; texts of any length are counted whole; a
+null source is a source of its own; a source without words has target 0; null or
+repeated ids (ties) are ordered by size; rows alike in id, source and size share
+their places; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -87,7 +93,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = t.withColumn("before", F.col("ahead") + F.col("inside")).withColumn("goal", F.round("target").cast("long"))
     full = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long")
     t = t.withColumn("full", full).withColumn("rest", F.col("goal") - F.col("full") * F.col("source_size"))
-    t = t.withColumn("taken", F.col("full") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))))
+    again = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
+    t = t.withColumn("taken", (F.col("full") + again.cast("long")) * F.col("size"))
     share = F.try_divide(F.col("before").cast("double"), F.col("target"))
     return t.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _invert(share, F.col("weight"))).alias("position"), "before", "weight", *carry)
 
@@ -95,20 +102,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
     """The rows of ``docs`` as training takes them, repeats included, range-sorted by position.
 
-    A document that the mix takes in part the last time is cut after the words it takes there; white space up to there stays.
-    Rows that repeat id, source and size share what one of them takes.
+    Texts stay as they are.  Rows that repeat id, source and size share what one of them takes.
     """
     names = docs.columns
-    m = mix(docs, id_col, text_col, source_col, max_repeats, carry=("source_id",)).where("taken > 0").dropDuplicates(["doc_id", "source_id", "size"])
-    n = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    turns = F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.struct(t.alias("turn"), _invert((F.col("before") + t * F.col("source_size")).cast("double") / F.col("target"), F.col("weight")).alias("position"), (F.col("taken") - t * F.col("size")).alias("left")))
-    m = m.select(F.col("doc_id").alias("__id"), F.col("source_id.name").alias("__source"), F.col("size").alias("__size"), turns.alias("__turns"))
-    rows = docs.select("*", words(F.col(text_col)).alias("__words"))
-    x = rows.join(m, rows[id_col].eqNullSafe(m["__id"]) & rows[source_col].eqNullSafe(m["__source"]) & (rows["__words"] == m["__size"]))
-    x = x.select(*[F.col(f"`{c}`") for c in names], "__size", F.explode("__turns").alias("__take"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0)), F.lit(1), F.col("__take.left").cast("int")), "")
-    text = F.when(F.col("__take.left") >= F.col("__size"), F.col(text_col)).otherwise(part)
-    return x.orderBy("__take.position", id_col, "__take.turn").select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+    m = mix(docs, id_col, text_col, source_col, max_repeats, carry=("source_id",)).where("taken > 0")
+    m = m.dropDuplicates(["doc_id", "source_id", "size"])
+    turns = F.sequence(F.lit(0), F.expr("int(taken div size)") - 1)
+
+    def at(turn: Column) -> Column:
+        share = (F.col("before") + turn * F.col("source_size")).cast("double") / F.col("target")
+        return F.struct(_invert(share, F.col("weight")).alias("position"), turn.alias("turn"))
+
+    m = m.select(F.struct("doc_id", "source_id", "size").alias("same"), F.transform(turns, at).alias("turns"))
+    source = F.struct(F.col(source_col).isNull().alias("none"), F.col(source_col).alias("name"))
+    same = F.struct(F.col(id_col).alias("doc_id"), source.alias("source_id"), words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct("*").alias("row"), same.alias("of"))
+    x = rows.join(m, F.col("of").eqNullSafe(F.col("same"))).select("row", F.explode("turns").alias("take"))
+    return x.orderBy("take.position", f"row.{id_col}", "take.turn").select(*[F.col(f"row.`{c}`") for c in names])
 
 
 def _oracle() -> str:
@@ -134,7 +144,7 @@ b AS (SELECT d.doc_id, size, source_size, weight, target, CAST(round(target) AS
       CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS turns, before / nullif(target, 0) AS share FROM b),
-h AS (SELECT *, CAST(turns * size + greatest(0, least(size, goal - turns * source_size - before)) AS BIGINT) AS taken FROM g)
+h AS (SELECT *, CAST(turns * size + CASE WHEN size > 0 AND 2 * (goal - turns * source_size - before) >= size THEN size ELSE 0 END AS BIGINT) AS taken FROM g)
 SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE {' '.join(phases)} END, 9) END AS position FROM h
 """
 

@@ -6,7 +6,7 @@ documents.  A document's importance weight is the product over its n-grams of
 target over raw probability.  Documents are drawn without replacement by Gumbel
 top-k: the k largest of log weight + Gumbel noise are a sample with
 probabilities proportional to the weights.  k is the share of good documents
-among the labelled, plus ``MARGIN``, of all documents.
+among the labelled, plus ``MARGIN``, of all documents with words.
 
 N-grams: words and neighbouring words (A-Z lower-cased), and, so that the models
 see form where words are rare, shapes and neighbouring shapes.  A word's shape
@@ -20,9 +20,11 @@ largest key is found exactly by counting keys in ever finer intervals, so no
 sort and no list of documents reaches one task or the driver.
 
 Defined results: null and empty texts, and texts without words, have log weight
-0; ties at the k-th key are all kept; repeated rows get equal keys; a null doc_id
-has noise like the text ''; without labels of both classes all is kept; an empty
-table gives an empty result; columns besides id and text are ignored.
+0 (an empty product), no key, and are never drawn; texts of any length are
+weighed whole; ties at the k-th key are all kept; repeated rows get equal keys; of
+an id's several labels the greatest counts; a null doc_id has noise like the text
+''; without labels of both classes all is kept; an empty table gives an empty
+result; columns besides id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,17 +84,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """Log ratio of target to raw probability for each bucket, and the share of good documents among labelled ones."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).dropDuplicates(["doc_id"])
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    usable = usable.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    usable = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, all_ = usable.agg(F.count_if(F.col("quality") == 1), F.count("*")).first()
     if not good or good == all_:
         return np.zeros(BUCKETS), 1.0
-    ids = usable.where("quality = 1").orderBy(F.md5(F.col("doc_id").cast("string"))).limit(per_class)
+    ids = usable.where("quality = 1").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class)
     x = docs.join(F.broadcast(ids), "doc_id", "left").select("text", "quality")  # per_class ids at most
     rows = x.mapInArrow(_counts, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).where("bucket >= 0").toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[rows["model"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     p = (counts + 1) / (counts + 1).sum(1, keepdims=True)
-    # a bucket that the sample of the target holds too rarely to judge leans to no preference
+    # the fewer n-grams of the corpus a bucket holds, the less its ratio is trusted: those held once count half
     ratio = np.log(p[1] / p[0]) * (counts[0] / (counts[0] + 1))
     return ratio, good / all_
 
@@ -123,7 +127,7 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 def kth_largest(keys: DataFrame, k: int, n: int) -> float:
     """The k-th largest of the n values of column ``key``, exactly, by counting."""
     if k >= n:
-        return float("-inf")
+        return float("inf") if not n else keys.agg(F.min("key")).first()[0]
     low, high, above = *keys.agg(F.min("key"), F.max("key")).first(), 0
     while True:
         inside = keys.where((F.col("key") >= low) & (F.col("key") <= high))
@@ -141,23 +145,38 @@ def kth_largest(keys: DataFrame, k: int, n: int) -> float:
         low, high = float(a), float(b)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, margin: float = MARGIN) -> DataFrame:
-    """doc_id, log_weight, key, kept: one row per row of ``docs``."""
-    keys, least, _ = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, seed, margin)
-    return keys.select("doc_id", "log_weight", "key", (F.col("key") >= least).alias("kept"))
-
-
-def _keyed(docs: DataFrame, labels: DataFrame, seed: int, margin: float) -> tuple[DataFrame, float, np.ndarray]:
+def keyed(docs: DataFrame, labels: DataFrame, seed: int, margin: float) -> tuple[DataFrame, float]:
+    """``docs`` (doc_id, text and any others) with log_weight and key as structs in ``drawn``, as a table, and the least key drawn."""
     shared.prepare(docs.sparkSession)
-    ratio, share = fit(docs, labels)
-    keys = docs.select("doc_id", log_weight(ratio)(F.coalesce("text", F.lit(""))).alias("log_weight"))
-    keys = shared.table(keys.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "keys")
-    n = keys.count()
-    return keys, kth_largest(keys, min(n, int(np.ceil(n * (share + margin)))), n), ratio
+    ratio, share = fit(docs.select("doc_id", "text"), labels)
+    text = F.coalesce("text", F.lit(""))
+    weighed = docs.select(F.struct("*").alias("row"), log_weight(ratio)(text).alias("w"))
+    worded = F.regexp_like(F.coalesce("row.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    key = F.when(worded, F.col("w") + gumbel(F.col("row.doc_id"), seed)).alias("key")
+    out = shared.table(weighed.select("row", "w", key), "keys")
+    if share == 1:
+        return out, float("-inf")
+    n = out.agg(F.count("key")).first()[0]
+    return out, kth_largest(out.where("key IS NOT NULL"), min(n, int(np.ceil(n * (share + margin)))), n)
+
+
+def drawn(least: float) -> Column:
+    """Whether a row is among those drawn."""
+    return F.lit(True) if least == float("-inf") else F.coalesce(F.col("key") >= least, F.lit(False))
+
+
+def resample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, margin: float = MARGIN
+) -> DataFrame:
+    """doc_id, log_weight, key, kept: one row per row of ``docs``; a table in the shared folder."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with shared.scratch() as keep:
+        keys, least = keyed(docs, labels, seed, margin)
+        out = keys.select("row.doc_id", F.col("w").alias("log_weight"), "key", drawn(least).alias("kept"))
+        return keep(shared.table(out, "resampled"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, margin: float = MARGIN) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that the sample holds."""
-    _, least, ratio = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, seed, margin)
-    key = log_weight(ratio)(F.coalesce("text", F.lit(""))) + gumbel(F.col("doc_id").cast("long"), seed)
-    return docs.where(key >= least)
+    """The rows of ``docs`` (doc_id, text and any others) that the sample holds; weights are worked out once."""
+    keys, least = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, seed, margin)
+    return keys.where(drawn(least)).select("row.*")

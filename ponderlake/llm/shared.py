@@ -87,7 +87,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _open.remove(made)
+        _open[:] = [x for x in _open if x is not made]  # by identity: lists of the same tables are equal
         for spark, path in made:
             if path not in kept:
                 _delete(spark, path)
@@ -128,8 +128,8 @@ def checked(ids: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id isn't among ``ids`` (one column, ``doc_id``); rows without an id stay."""
-    gone = table(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(checked(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = checked(table(ids.select("doc_id").distinct(), "gone"))
+    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
