@@ -111,7 +111,7 @@ def _send(entries: list[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.
     several = np.bincount(np.cumsum(new) - 1, weights=local) > 0
     known = several[np.cumsum(new) - 1].astype(np.uint8)
     if local.any():
-        yield _pack(np.full(int(local.sum()), -1), [x[local] for x in (h, more, doc, at, known)])
+        yield _pack(np.full(int(local.sum()), -1), [h[local], more[:0], doc[local], at[local], known[:0]])
     sent = ~local
     h, more, doc, at, known = (x[sent] for x in (h, more, doc, at, known))
     bucket = (h >> U64(20)) % U64(n_buckets)
@@ -168,14 +168,16 @@ def _meet(parts: int, places: bool):
 
 
 def _level(sent: DataFrame, parts: int, name: str, places: bool = False) -> DataFrame:
-    """Windows of a level that several documents have, one row per document: places, hashes, whether a smaller one has it."""
-    sent = shared.table(sent, f"{name}-sent")
+    """From a table of entries: the windows that several documents have, one row per document.
+
+    With places, hashes and whether a smaller document has them.  The table is dropped.
+    """
     met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet(parts, places), _PART)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if len(p):
-                h, _, doc, at, known = _unpack(p)
+                h, _, doc, at, _ = _unpack(p)
                 yield _by_part(h, doc, at, np.ones(len(doc), np.uint8), parts, places)
 
     near = sent.where("bucket < 0").mapInPandas(local, _PART)
@@ -331,11 +333,12 @@ def _result(window: int):
 def repeated(known: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
     """Windows of ``window`` words that several documents (doc_id, text; no null ids) have: one row per document."""
     half = (window + 1) // 2
-    halves = _level(known.mapInArrow(_halves(n, window, half), _ROW), n, "halves", places=True)
+    sent = shared.table(known.mapInArrow(_halves(n, window, half), _ROW), "halves-sent")
+    halves = _level(sent, n, "halves", places=True)
     some = known.join(halves, "doc_id").select("doc_id", "text", "at")
-    found = _level(some.mapInArrow(_fulls(n, window, half), _ROW), n, "windows")
+    sent = shared.table(some.mapInArrow(_fulls(n, window, half), _ROW), "windows-sent")
     shared.drop(halves)
-    return found
+    return _level(sent, n, "windows")
 
 
 def repeat_lengths(found: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -350,7 +353,7 @@ def repeat_lengths(found: DataFrame, window: int = WINDOW) -> DataFrame:
         if left is not None:
             some = some.join(left.select("doc_id"), "doc_id", "left_semi")
         n = max(8, -(-sizes[length] // PER_BUCKET))
-        left = _level(some.mapInArrow(_again(n), _ROW), n, "left", places=True)
+        left = _level(shared.table(some.mapInArrow(_again(n), _ROW), "left-sent"), n, "left", places=True)
         if left.isEmpty():
             break
         seen = seen.unionByName(left.select("doc_id", F.lit(length).cast("long").alias("longest")))
