@@ -22,8 +22,7 @@ order asked.  A frequent word is one entry for each ``FLUSH`` bytes, so no key i
 hot; nothing is capped and every token of every text is counted.  The number of
 buckets follows the bytes of all texts (``PER_BUCKET``), so a bucket stays as
 large at any size.  A bucket is chosen by all 64 bits of an n-gram's hash; within
-it n-grams are told apart by 48, 56 or 64 of them, as many as keep the expected
-number of confusions in all buckets below 1/64 (``key_bits``), sent as the
+it n-grams are told apart by 48, 56 or 64 of them (``key_bits``), sent as the
 differences of sorted values.  Requests and token numbers go through one shuffle,
 and only token numbers and answers are kept.
 
@@ -52,7 +51,7 @@ from .textops import U64, Block, blocks, mix, mix_int
 
 FLUSH = 6 << 20
 #: Bytes of text for each bucket, and the distinct n-grams (2 ** DISTINCT) that it has then at most.
-PER_BUCKET, DISTINCT = 5 << 20, 18
+PER_BUCKET, DISTINCT = 5 << 20, 20
 DEV, FOLDS = 1, 10
 STEP, FREQUENCIES = 8, 24
 _END, _BEGIN = U64(mix_int(0x656E64)), U64(mix_int(0x626567))
@@ -68,8 +67,12 @@ def fold(ids: pa.Array) -> np.ndarray:
 
 
 def key_bits(n_buckets: int) -> int:
-    """Bits that tell a bucket's n-grams apart: by the birthday bound, expected confusions of all buckets are below 1/64."""
-    few = (b for b in (48, 56) if n_buckets * 2.0 ** (2 * DISTINCT - 1 - b) <= 1 / 64)
+    """Bits that tell a bucket's n-grams apart, one of them for tokens from bigrams.
+
+    By the birthday bound, expected confusions of all buckets are below 1/64; with all 64 bits they are up to 1.3 TB of
+    text, and about one at 100 TB.
+    """
+    few = (b for b in (48, 56) if n_buckets * 2.0 ** (2 * DISTINCT - b) <= 1 / 64)
     return next(few, 64)
 
 
