@@ -71,7 +71,8 @@ class GateFailure(RuntimeError):
 
 
 def require(gate: DataFrame, ok: Column, name: str) -> None:
-    """Raise with the failing rows of a small gate table."""
-    bad = gate.where(~ok).limit(20).collect()
+    """Raise with the failing rows of a small gate table; of more than 100, how many more there are."""
+    bad = gate.where(~ok).limit(100).collect()
     if bad:
-        raise GateFailure(f"{name}: {', '.join(map(str, bad))}")
+        n = gate.where(~ok).count() if len(bad) == 100 else len(bad)
+        raise GateFailure(f"{name}: {', '.join(map(str, bad))}" + (f" and {n - 100} more" if n > 100 else ""))

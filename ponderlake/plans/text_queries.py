@@ -114,8 +114,8 @@ def top_ops_multiset(spark, d):
     return read(spark, d, "part").select("p_partkey", text.top_ops_multiset(F.concat("p_type", F.lit("+"), "p_brand", F.lit("+and"))).alias("ops"))
 
 
-@query("scan_probe_nested", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def scan_probe_nested(spark, d):
+@query("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 

@@ -74,6 +74,14 @@ def landscape_long(records: DataFrame) -> DataFrame:
     return x.select("id", "gold", "model", F.posexplode("m.scores").alias("cand", "score"))
 
 
+def puzzle_of(records: DataFrame, field: str = "puzzle") -> DataFrame:
+    """The struct ``field`` of each record, or the record's own fields of those names where it has none."""
+    inner = [f.name for f in records.schema[field].dataType.fields]  # type: ignore[attr-defined]
+    here = F.struct(*[F.col(c) for c in inner])
+    unwrapped = F.coalesce(F.col(field), here).alias("own")
+    return records.select(field, unwrapped).select(field, "own.*")
+
+
 def wide_arrays(doc: DataFrame, columns: list[str]) -> DataFrame:
     """Parallel arrays as rows."""
     return doc.select(F.explode(F.arrays_zip(*columns)).alias("x")).select("x.*")
