@@ -1,4 +1,4 @@
-"""Puzzles as rows: compiling, solving, describing, rendering, generating and balancing.
+"""Puzzles as rows: compiling, solving, describing, rendering, naming and balancing.
 
 A puzzle row has ``id``, ``people`` (array of names) and ``statements`` (array of
 struct(speaker, expr as JSON text)).
@@ -6,18 +6,12 @@ struct(speaker, expr as JSON text)).
 
 from __future__ import annotations
 
-import json
-import random
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logic, text
 
 PEOPLE = ("Alice", "Bob", "Carol")
-GENERATED = "seed long, people array<string>, statements array<struct<speaker:string,expr:string,text:string>>, pattern string, attempts int"
 
 
 def compiled(puzzles: DataFrame, people: tuple[str, ...] = PEOPLE) -> DataFrame:
@@ -71,92 +65,6 @@ def balanced(solved: DataFrame, pattern: str = "pattern", pos: str = "id") -> Da
     return solved.where(F.col(pattern).isNotNull()).groupBy(pattern).agg(F.min(pos).alias(pos))
 
 
-# generation: a row's result depends on its seed alone, so rows are drawn in parallel and lost ones drawn anew
-
-
-def _atom(rng: random.Random, people: list[str]) -> dict:
-    kind = rng.choice(("person_is", "same", "different"))
-    if kind == "person_is":
-        return {"op": kind, "person": rng.choice(people), "value": rng.choice(("knight", "knave"))}
-    a, b = rng.sample(people, 2)
-    return {"op": kind, "left": a, "right": b}
-
-
-def random_tree(rng: random.Random, people: list[str], depth: int, stop: float = 0.60) -> dict:
-    """A tree from the grammar: a leaf at depth 0 or with probability ``stop``, else not, and, or."""
-    if depth <= 0 or rng.random() < stop:
-        return _atom(rng, people)
-    op = rng.choice(("not", "and", "or"))
-    part = lambda: random_tree(rng, people, depth - 1, stop)
-    return {"op": op, "expr": part()} if op == "not" else {"op": op, "left": part(), "right": part()}
-
-
-def _canonical(tree: dict) -> str:
-    return json.dumps(tree, sort_keys=True, separators=(",", ":"))
-
-
-def _solutions(masks: list[int], bits: list[int]) -> int:
-    out = 255
-    for m, s in zip(masks, bits, strict=True):
-        out &= ~(m ^ s)
-    return out & 255
-
-
-def statement_first(rng: random.Random, people: list[str], depth: int) -> list[tuple[dict, int, str]] | None:
-    """A statement for each speaker, drawn without regard to any answer."""
-    out = []
-    for _ in people:
-        tree = random_tree(rng, people, depth)
-        mask, said, *_ = logic.analyse(tree, people)
-        out.append((tree, mask, said))
-    return out
-
-
-def label_first(rng: random.Random, people: list[str], depth: int, tries: int = 500) -> list[tuple[dict, int, str]] | None:
-    """A target first, then for each speaker the first new statement that agrees with it."""
-    target = [rng.choice(("knight", "knave")) for _ in people]
-    bit = sum((t == "knave") << (len(people) - 1 - j) for j, t in enumerate(target))
-    out = []
-    for kind in target:
-        seen: set[str] = set()
-        for _ in range(tries):
-            tree = random_tree(rng, people, depth)
-            key = _canonical(tree)
-            if key in seen:
-                continue
-            seen.add(key)
-            mask, said, *_ = logic.analyse(tree, people)
-            if bool(mask >> bit & 1) == (kind == "knight"):
-                out.append((tree, mask, said))
-                break
-        else:
-            return None
-    return out
-
-
-def generate(seeds: DataFrame, draw: Callable = statement_first, depth: int = 2, attempts: int = 10_000, people: tuple[str, ...] = PEOPLE) -> DataFrame:
-    """One uniquely solvable puzzle for each row of ``seeds`` (column seed)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, masks = list(people), logic.truth_masks(list(people))
-        bits = [masks[p] for p in names]
-        for batch in batches:
-            rows = []
-            for seed in batch["seed"].tolist():
-                rng = random.Random(seed)
-                for n in range(1, attempts + 1):
-                    said = draw(rng, names, depth)
-                    found = _solutions([m for _, m, _ in said], bits) if said else 0
-                    if found.bit_count() == 1:
-                        rows.append((seed, names, [{"speaker": p, "expr": _canonical(t), "text": x + "."} for p, (t, _, x) in zip(names, said, strict=True)], text.PATTERNS[found.bit_length() - 1], n))
-                        break
-                else:
-                    raise RuntimeError(f"no uniquely solvable puzzle for seed {seed} in {attempts} attempts")
-            yield pd.DataFrame(rows, columns=["seed", "people", "statements", "pattern", "attempts"])
-
-    return seeds.select(F.col("seed").cast("long").alias("seed")).mapInPandas(run, GENERATED)
-
-
 def split_ids(new: DataFrame, key: str, pos: str, n: int, prefix: str) -> DataFrame:
     """The first n distinct keys in order of position, named ``prefix_000000`` on; n is the size of a split."""
     from pyspark.sql import Window

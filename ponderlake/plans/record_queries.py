@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import logic, text
-from ..operators import groups, landscape, puzzles, records, tables
+from ..operators import generation, groups, landscape, puzzles, records, tables
 from .base import ASSIGN_SQL, PRED_SQL, PUZZLE_SQL, ROLL_SQL, label, plain_rollouts, predictions, puzzle_trees
 from .landscape_queries import WITH as LAND
 from .landscape_queries import _ls
@@ -188,10 +188,18 @@ def make_partitions(spark, d):
     return groups.make_partitions(spark)
 
 
-@query("rand_expr")
+_GROWN = generation.sql("(SELECT n_nationkey * 1000 + s_suppkey AS seed FROM supplier, nation WHERE s_nationkey = n_nationkey)", generation.DUCK, generation.tags("seed"), 3)
+_ROOTS = " UNION ALL ".join(f"SELECT seed, '{p}' AS speaker, CAST(mask_{i}_r AS INT) AS mask, CAST(depth_{i}_r AS INT) AS depth, CAST(nodes_{i}_r AS INT) AS nodes, md5(said_{i}_r) AS said FROM g" for i, p in enumerate(puzzles.PEOPLE))
+
+
+@query("rand_expr", f"WITH g AS ({_GROWN.replace('(SELECT', 'SELECT', 1)[:-1]}) {_ROOTS}")
 def rand_expr(spark, d):
-    g = puzzles.generate(read(spark, d, "nation").select(F.col("n_nationkey").alias("seed")), puzzles.statement_first, depth=3)
-    return g.select("seed", F.explode("statements").alias("s")).select("seed", "s.speaker", logic.compile_expr()(F.col("s.expr")).alias("c")).select("seed", "speaker", "c.mask", "c.depth", "c.nodes")
+    """Trees drawn by digests, compiled from their JSON; the SQL has mask, depth and size from the draws themselves."""
+    s = read(spark, d, "supplier").select((F.col("s_nationkey") * 1000 + F.col("s_suppkey")).alias("seed"))
+    g = generation.grown(s, generation.tags("seed"), 3, ("expr",))
+    said = F.array(*[F.struct(F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr")) for i, p in enumerate(puzzles.PEOPLE)])
+    x = g.select("seed", F.explode(said).alias("s")).select("seed", "s.speaker", logic.compile_expr()(F.col("s.expr")).alias("c"))
+    return x.select("seed", "speaker", "c.mask", "c.depth", "c.nodes", F.md5("c.text").alias("said"))
 
 
 def _measure(name: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import logic, parsing, text
-from ..operators import audit, positions, puzzles
+from ..operators import audit, generation, positions, puzzles
 from .base import ASSIGN_SQL, KNIGHT, PUZZLE_SQL, TRUTH, puzzle_trees, puzzles as flat_puzzles
 from .registry import query, read
 
@@ -214,19 +214,49 @@ def fmt_prompts(spark, d):
     return c.select("id", text.fmt_prompt(said).alias("prompt"), text.fmt_prompt(said, "answer_only").alias("answer_prompt"), text.fmt_completion(trace, answer, people(), F.col("n_solutions")).alias("completion"), text.fmt_answer_block(answer, people()).alias("answer_only"))
 
 
-@query("gen_statement_first")
+# generation: a seed for each supplier; both engines draw by the same digests
+
+_SEEDS = "(SELECT s_suppkey AS seed FROM supplier)"
+_ATTEMPTS = 192
+_STATEMENT = generation.statement_first_sql(_SEEDS, 1, _ATTEMPTS, 2)
+_TREES = "md5(expr_0 || expr_1 || expr_2) AS trees, md5(said_0 || '.' || said_1 || '.' || said_2 || '.') AS texts"
+
+
+def _seeds(spark, d):
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("seed"))
+
+
+def _generated(spark, d, kind):
+    g = generation.generate(_seeds(spark, d), kind)
+    joined = lambda f: F.md5(F.array_join(F.transform("statements", lambda s: s[f]), ""))
+    return g.select("seed", "pattern", "attempts", joined("expr").alias("trees"), joined("text").alias("texts"))
+
+
+@query("rand_atom", f"SELECT seed, mask_0_r AS mask, expr_0_r AS expr, said_0_r AS said FROM {generation.sql(_SEEDS, generation.DUCK, generation.tags('seed')[:1], 0, generation.SAID)}")
+def rand_atom(spark, d):
+    x = generation.grown(_seeds(spark, d), generation.tags("seed")[:1], 0, generation.SAID)
+    return x.select("seed", F.col("mask_0_r").alias("mask"), F.col("expr_0_r").alias("expr"), F.col("said_0_r").alias("said"))
+
+
+@query("gen_statement_first", f"SELECT seed, pattern, attempts, {_TREES} FROM ({_STATEMENT})")
 def gen_statement_first(spark, d):
-    return puzzles.generate(read(spark, d, "nation").select(F.col("n_nationkey").alias("seed")), puzzles.statement_first).select("seed", "pattern", "attempts")
+    return _generated(spark, d, "statement")
 
 
-@query("gen_label_first")
+@query("gen_label_first", f"SELECT seed, pattern, attempts, {_TREES} FROM ({generation.label_first_sql(_SEEDS, 1, _ATTEMPTS, 2)})")
 def gen_label_first(spark, d):
-    return puzzles.generate(read(spark, d, "nation").select(F.col("n_nationkey").alias("seed")), puzzles.label_first).select("seed", "pattern", "attempts")
+    return _generated(spark, d, "label")
+
+
+_GEN_KEY = """sha256('{"people":["Alice","Bob","Carol"]}' || """ + " || ',' || ".join(f"""'{{"expr":' || expr_{j} || ',"speaker":{{"x":"{p}"}}}}'""" for j, p in enumerate(("Alice", "Bob", "Carol"))) + ")"
 
 
-@query("gen_split_dedup")
+@query("gen_split_dedup", f"""WITH g AS (SELECT seed, pattern, {_GEN_KEY} AS key FROM ({_STATEMENT})), f AS (SELECT key, min(seed) AS seed, arg_min(pattern, seed) AS pattern FROM g GROUP BY key)
+ SELECT seed, key, pattern, printf('split_%06d', CAST(row_number() OVER (ORDER BY seed) - 1 AS INT)) AS id FROM f ORDER BY seed LIMIT 40""")
 def gen_split_dedup(spark, d):
-    g = puzzles.generate(spark.range(60).select(F.col("id").alias("seed")), puzzles.statement_first).withColumn("key", logic.puzzle_key(F.col("people"), F.transform("statements", lambda s: F.struct(s["speaker"].alias("speaker"), s["expr"].alias("expr")))))
+    """A split of 40 puzzles, no two alike."""
+    said = F.transform("statements", lambda s: F.struct(s["speaker"].alias("speaker"), s["expr"].alias("expr")))
+    g = generation.generate(_seeds(spark, d)).withColumn("key", logic.puzzle_key(F.col("people"), said))
     return puzzles.split_ids(g.select("seed", "key", "pattern"), "key", "seed", 40, "split")
 
 

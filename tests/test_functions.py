@@ -1,12 +1,13 @@
 """Formats, parsing, rewards, policy and statistics formulas."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from ponderlake.functions import logic, parsing, policy, statistics, text
-from ponderlake.operators import groups, puzzles
+from ponderlake.operators import generation, groups, puzzles
 
 PEOPLE = ["Alice", "Bob", "Carol"]
 
@@ -118,12 +119,19 @@ def assignments():
     return [dict(zip(PEOPLE, x, strict=True)) for x in itertools.product(("knight", "knave"), repeat=3)]
 
 
+def any_tree(rng, depth):
+    kind = rng.choice(("leaf", "not", "and", "or")) if depth else "leaf"
+    if kind == "leaf":
+        return rng.choice(generation.leaves())
+    return {"op": kind, "expr": any_tree(rng, depth - 1)} if kind == "not" else {"op": kind, "left": any_tree(rng, depth - 1), "right": any_tree(rng, depth - 1)}
+
+
 def test_masks_match_evaluation():
     import random
 
     rng = random.Random(5)
     for _ in range(300):
-        t = puzzles.random_tree(rng, PEOPLE, 4, 0.3)
+        t = any_tree(rng, 4)
         mask, said, nodes, depth, ops = logic.analyse(t, PEOPLE)
         assert mask == sum(brute(t, a) << i for i, a in enumerate(assignments()))
         assert nodes == sum(ops) and 1 <= depth <= 5 and said
@@ -154,9 +162,9 @@ def test_key_ignores_spacing_and_key_order(spark):
     assert k[0] == k[1]
 
 
-@pytest.mark.parametrize("draw", [puzzles.statement_first, puzzles.label_first])
-def test_generation_is_unique_and_repeatable(spark, draw):
-    g = puzzles.generate(spark.range(1234, 1240).withColumnRenamed("id", "seed"), draw)
+@pytest.mark.parametrize("kind", ["statement", "label"])
+def test_generation_is_unique_and_repeatable(spark, kind):
+    g = generation.generate(spark.range(1234, 1240).withColumnRenamed("id", "seed"), kind, at_once=5)
     a, b = (sorted(map(repr, g.collect())) for _ in range(2))
     assert a == b and len(a) == 6
     c = puzzles.compiled(g.select(F.col("seed").alias("id"), "people", F.transform("statements", lambda s: F.struct(s["speaker"].alias("speaker"), s["expr"].alias("expr"))).alias("statements")))
@@ -164,6 +172,29 @@ def test_generation_is_unique_and_repeatable(spark, draw):
     assert all(r.n_solutions == 1 and r.s == r.pattern for r in x)
 
 
+def test_drawn_trees_match_their_compiled_form(spark):
+    """Masks, sentences and sizes built as columns against those of the trees' JSON; the grammar's shares."""
+    g = generation.grown(spark.range(400).withColumnRenamed("id", "seed"), generation.tags("seed"), 3)
+    rows = g.collect()
+    for r in rows:
+        for i in range(3):
+            mask, said, nodes, depth, _ = logic.analyse(json.loads(r[f"expr_{i}_r"]), PEOPLE)
+            assert (r[f"mask_{i}_r"], r[f"said_{i}_r"], r[f"nodes_{i}_r"], r[f"depth_{i}_r"]) == (mask, said, nodes, depth)
+    assert 0.52 < sum(r[f"nodes_{i}_r"] == 1 for r in rows for i in range(3)) / 1200 < 0.68
+    assert len(generation.leaves()) == 18 == len({r.expr_0_r for r in rows if r.nodes_0_r == 1})
+
+
+def test_label_first_statements_agree_with_the_target(spark):
+    g = generation.generate(spark.range(40).withColumnRenamed("id", "seed"), "label")
+    target = {(r.seed, r.attempt): r.t for r in spark.range(40).selectExpr("id AS seed", "explode(sequence(1, 64)) AS attempt").selectExpr("*", f"{generation.target_sql(generation.SPARK)} AS t").collect()}
+    assert all(r.pattern == text.PATTERNS[target[r.seed, r.attempts]] for r in g.collect())
+
+
+def test_seeds_without_a_puzzle_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="no uniquely solvable puzzle in 1 attempts"):
+        generation.generate(spark.range(60).withColumnRenamed("id", "seed"), attempts=1)
+
+
 def test_texts(spark):
     p = puzzle(spark, tree("person_is", "Bob", "knight"), tree("different", "Alice", "Carol"), tree("person_is", "Alice", "knight"))
     c = puzzles.compiled(p).first()
