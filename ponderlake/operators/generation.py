@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import PATTERNS
+from ..sources import exchange
 
 PEOPLE = ("Alice", "Bob", "Carol")
 STOP = 60
@@ -200,7 +201,8 @@ KINDS = {"statement": _statement_first, "label": _label_first}
 def generate(seeds: DataFrame, kind: str = "statement", depth: int = 2, attempts: int = 10_000, at_once: int = 64) -> DataFrame:
     """One uniquely solvable puzzle for each seed (column seed): pattern, attempts, people and statements.
 
-    Attempts are made ``at_once`` at a time for the seeds that are left; a seed without a puzzle after ``attempts`` is an error.
+    Attempts are made ``at_once`` at a time for the seeds that are left, each time's puzzles written to the shared folder; a
+    seed without a puzzle after ``attempts`` is an error.
     """
     out, left = None, seeds.select(F.col("seed").cast("long").alias("seed")).distinct()
     for start in range(1, attempts + 1, at_once):
@@ -210,9 +212,9 @@ def generate(seeds: DataFrame, kind: str = "statement", depth: int = 2, attempts
         x = x.withColumn("solutions", F.expr(solutions([f"mask_{i}_r" for i in range(len(PEOPLE))]))).where(unique("solutions"))
         said = F.array(*[F.struct(F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr"), F.concat(f"said_{i}_r", F.lit(".")).alias("text")) for i, p in enumerate(PEOPLE)])
         row = F.struct(F.expr(pattern("solutions")).alias("pattern"), F.col("attempt").alias("attempts"), said.alias("statements"))
-        found = x.groupBy("seed").agg(F.min_by(row, "attempt").alias("row")).select("seed", "row.*")
+        found = exchange.table(x.groupBy("seed").agg(F.min_by(row, "attempt").alias("row")).select("seed", "row.*"), "puzzles")
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("seed"), "seed", "left_anti")
+        left = exchange.table(left.join(found.select("seed"), "seed", "left_anti"), "seeds")
         if left.isEmpty():
             names = F.array(*[F.lit(p) for p in PEOPLE])
             return out.select("seed", names.alias("people"), "statements", "pattern", "attempts")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -27,3 +27,10 @@ def folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = _own[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: its lineage is cut, and lost executors recompute from there."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
