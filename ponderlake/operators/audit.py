@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import parsing
+from ..functions.text import pattern_encode
+
 
 def char_stats(df: DataFrame, keys: Sequence[str], chars: Column) -> DataFrame:
     """Least, greatest and mean length; zeros without rows."""
@@ -49,6 +52,15 @@ def paired_gate(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.agg(F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"))
 
 
+def parser_consistency(records: DataFrame, text: str, people: Column, answer: str, valid: str) -> DataFrame:
+    """One row: records whose text, parsed again, gives the stored pattern and verdict, and those that differ in either."""
+    x = records.withColumn("parsed", parsing.parse_answer(F.col(text), people))
+    pattern, ok = pattern_encode(F.col("parsed.answer"), people), F.col("parsed.ok")
+    same, alike = pattern.eqNullSafe(F.col(answer)), ok.eqNullSafe(F.col(valid))
+    changed = F.count_if(~same).alias("answer_changed"), F.count_if(~alike).alias("verdict_changed")
+    return x.agg(F.count("*").alias("checked"), F.count_if(same & alike).alias("equal"), *changed)
+
+
 def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Facts with the dimension's columns, and a one-row gate: facts without a match.
 

@@ -75,13 +75,21 @@ def reward_values(rollouts: DataFrame, keys: Sequence[str], reward: str) -> Data
     return rollouts.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(reward).alias("mean"), F.stddev_samp(reward).alias("std"), F.count_distinct(r).alias("distinct_values"))
 
 
-def partition_counterfactual(rollouts: DataFrame, halves: DataFrame, group: str = "id", member: str = "k", reward: str = "reward") -> DataFrame:
-    """Whole-group advantages against those of two halves, for each partition.
+def halves(member: Column, size: Column) -> dict[str, Column]:
+    """Three ways to split a group of any size: which half (0 or 1) a member, numbered from 0, is in."""
+    inner = (4 * member >= size) & (4 * member < 3 * size)
+    return {"first_last": (2 * member >= size).cast("int"), "even_odd": (member % 2).cast("int"), "outer_inner": inner.cast("int")}
 
-    ``halves``: partition, ``member``, half (a small table of the ways to split, its size known to be partitions times members).
+
+def partition_counterfactual(rollouts: DataFrame, group: str = "id", member: str = "k", reward: str = "reward", least: int = 4) -> DataFrame:
+    """Whole-group advantages against those of two halves, for each of the ways to split.
+
+    All members of a group take part.  Groups of under ``least`` (4) give no row: a half of one member has no deviation.
     """
-    whole = advantage(rollouts.select(group, member, reward), "noeps", (group,), reward, name="a16")
-    x = whole.join(F.broadcast(halves), member)
+    whole = rollouts.select(group, member, reward).withColumn("size", F.count("*").over(Window.partitionBy(group)))
+    whole = advantage(whole.where(F.col("size") >= least), "noeps", (group,), reward, name="a16")
+    ways = [F.struct(F.lit(n).alias("partition"), h.alias("half")) for n, h in halves(F.col(member), F.col("size")).items()]
+    x = whole.select("*", F.explode(F.array(*ways)).alias("way")).select(group, member, reward, "a16", "way.*")
     x = advantage(x, "noeps", (group, "partition", "half"), reward, name="a8")
     d, a, b = F.col("a16") - F.col("a8"), F.col("a16"), F.col("a8")
     positive = lambda c: F.coalesce(F.sum(F.when(c > ZERO, c)), F.lit(0.0))
@@ -95,17 +103,15 @@ def partition_counterfactual(rollouts: DataFrame, halves: DataFrame, group: str
     )
 
 
-def make_partitions(spark, k: int = 16, n: int = 20, seed: int = 20260831) -> DataFrame:
-    """partition, k, half: the first half against the last, and n seeded shuffles (made on the driver: n * k rows)."""
-    import random
-
-    rng, rows = random.Random(seed), [("first_last", i, int(i >= k // 2)) for i in range(k)]
-    for p in range(n):
-        order = list(range(k))
-        rng.shuffle(order)
-        first = set(order[: k // 2])
-        rows += [(f"rand{p:02d}", i, int(i not in first)) for i in range(k)]
-    return spark.createDataFrame(rows, "partition string, k int, half int")
+def make_partitions(spark, k: int = 16, n: int = 20, seed: int = 1) -> DataFrame:
+    """partition, k, half: the first half against the last, and n shuffles, in each of which members go by their digests."""
+    member = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")
+    plain = spark.range(1).select(F.lit("first_last").alias("partition"), member).withColumn("half", (F.col("k") >= k // 2).cast("int"))
+    drawn = spark.range(n).select(F.col("id").alias("p"), member)
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("p").cast("string"), F.col("k").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy(place)) - 1
+    name = F.format_string("rand%02d", F.col("p").cast("int")).alias("partition")
+    return plain.unionByName(drawn.select(name, "k", (rank >= k // 2).cast("int").alias("half")))
 
 
 def step_group_stats(rollouts: DataFrame, step: str = "step", group: str = "id", exact: str = "reward", shaped: str = "shaped") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +45,9 @@ def canonical_answer(answer: Column, people: Column) -> Column:
     return F.when(answer.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
 
 
-def sample_fixed(df: DataFrame, pos: str, n: int, k: int, seed: int) -> DataFrame:
-    """k of n positions by a seeded generator (k numbers on the driver), kept by a broadcast semi join."""
-    picked = random.Random(seed).sample(range(n), min(k, n))
-    return df.join(F.broadcast(df.sparkSession.createDataFrame([(i,) for i in picked], f"{pos} long")), pos, "left_semi")
+def sample_fixed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """A sample of k rows without replacement: those whose seeded digest of the key is least, a bounded top-k over all rows."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)
 
 
 def checkpoint_eval(records: DataFrame, checkpoint: str, gold: str, pred: str, invalid: str = "invalid") -> DataFrame:

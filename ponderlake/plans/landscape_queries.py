@@ -114,7 +114,12 @@ def agg_bins(spark, d):
     return x.select("bin", "n", *[R6(F.col(c)).alias(c) for c in x.columns[2:]])
 
 
-@query("agg_bin_merge")
+_EDGES = "(VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(strata.BINS)) + ") AS e(i, low, high)"
+
+
+@query("agg_bin_merge", f"""{WITH}, c AS (SELECT i, low, high, count(gold_q0) AS n FROM {_EDGES} LEFT JOIN pr ON gold_q0 >= low AND gold_q0 < high GROUP BY ALL), k AS (SELECT *, sum(n) OVER (ORDER BY i) AS upto FROM c),
+ m AS (SELECT coalesce(min(i) FILTER (upto >= {strata.MIN_BIN}), {len(strata.BINS) - 1}) AS last FROM k), g AS (SELECT greatest(i, last) AS i, min(low) AS low, max(high) AS high, CAST(sum(n) AS BIGINT) AS n FROM k, m GROUP BY 1)
+ SELECT printf('[%.2f,%.2f%s', low, least(high, 1.0), CASE WHEN high > 1 THEN ']' ELSE ')' END) AS bin, n FROM g WHERE n > 0""")
 def agg_bin_merge(spark, d):
     p = _pair(spark, d)
     edges = strata.merged_bins(p, "gold_q0")

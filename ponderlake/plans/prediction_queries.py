@@ -179,13 +179,6 @@ def join_lookup(spark, d):
     return x.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"), F.count("hit").alias("matched"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
 
 
-@query("parser_consistency", f"{WITH} SELECT count(*) AS checked, count(*) FILTER (pred_a = pred_c) AS equal, count(*) FILTER (pred_a <> pred_c) AS changed FROM pred WHERE id % 7 = 0")
-def parser_consistency(spark, d):
-    p = predictions(spark, d).where("id % 7 = 0")
-    same = F.col("pred_a") == F.col("pred_c")
-    return p.agg(F.count("*").alias("checked"), F.count_if(same).alias("equal"), F.count_if(~same).alias("changed"))
-
-
 # information theory
 
 

@@ -11,7 +11,7 @@ from .landscape_queries import WITH as LAND
 from .landscape_queries import _ls
 from .registry import QUERIES, ORACLES, query, read
 from .rollout_queries import PART_SQL, _partitions
-from .text_queries import _SOLVED, _parsed, _tree_sql, PARSE_SQL, people
+from .text_queries import _SOLVED, _parsed, _tree_sql, PARSE_SQL, TRACE_SQL, people
 
 R6 = lambda c: F.round(c, 6)
 _UNIQUE = f"{_SOLVED}, un AS (SELECT id, pattern FROM sp WHERE n = 1)"
@@ -67,7 +67,10 @@ def fmt_completion_answer_only(spark, d):
     return _solved(spark, d).select("id", text.fmt_answer_block(F.col("answer"), people()).alias("completion"))
 
 
-@query("fmt_completion")
+_LINES = f"{_UNIQUE}, tr AS (SELECT id, {TRACE_SQL} AS trace FROM asg WHERE id IN (SELECT id FROM un) GROUP BY id)"
+
+
+@query("fmt_completion", f"{_LINES} SELECT id, '<reasoning>' || chr(10) || trace || chr(10) || '</reasoning>' || chr(10) || {_BLOCK} AS completion FROM un JOIN tr USING (id)")
 def fmt_completion(spark, d):
     trace = text.fmt_reasoning_trace(F.col("masks"), F.array(F.lit(0), F.lit(1), F.lit(2)), F.col("people"))
     return _solved(spark, d).select("id", text.fmt_completion(trace, F.col("answer"), people(), F.col("n_solutions")).alias("completion"))
@@ -103,7 +106,7 @@ def all_candidates(spark, d):
     return records.candidates(spark, people())
 
 
-@query("verify_formatter", f"{_UNIQUE} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS different FROM un")
+@query("verify_formatter", f"{_UNIQUE}, f AS (SELECT pattern, {_BLOCK} AS completion FROM un), c AS (SELECT {label('c')} AS pattern, '<answer>' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda i: ['Alice: ', 'Bob: ', 'Carol: '][i + 1] || CASE WHEN c // [4, 2, 1][i + 1] % 2 = 0 THEN 'knight' ELSE 'knave' END), chr(10)) || chr(10) || '</answer>' AS completion FROM (SELECT unnest(range(8)) AS c)) SELECT count(*) AS rows, count(*) FILTER (f.completion IS DISTINCT FROM c.completion) AS different FROM f LEFT JOIN c USING (pattern)")
 def verify_formatter(spark, d):
     c = F.broadcast(records.candidates(spark, people()))
     return records.differing(_solved(spark, d).join(c, "pattern"), text.fmt_answer_block(F.col("answer"), people()), F.col("completion"))
@@ -177,13 +180,14 @@ def sort_counts(spark, d):
     return tables.distribution(predictions(spark, d), "gold", "pred_a").orderBy("gold", "pred_a")
 
 
-@query("sample_fixed")
+@query("sample_fixed", "SELECT event_id, user_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 50")
 def sample_fixed(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id")
-    return records.sample_fixed(e, "event_id", 1000, 50, 42)
+    return records.sample_fixed(e, "event_id", 50, 42)
 
 
-@query("make_partitions")
+@query("make_partitions", """WITH m AS (SELECT p, CAST(k AS INT) AS k, row_number() OVER (PARTITION BY p ORDER BY md5('1:' || p || ':' || k)) - 1 AS r FROM (SELECT unnest(range(20)) AS p), (SELECT unnest(range(16)) AS k))
+ SELECT 'first_last' AS partition, CAST(k AS INT) AS k, CAST(k >= 8 AS INT) AS half FROM (SELECT unnest(range(16)) AS k) UNION ALL SELECT printf('rand%02d', CAST(p AS INT)), k, CAST(r >= 8 AS INT) FROM m""")
 def make_partitions(spark, d):
     return groups.make_partitions(spark)
 

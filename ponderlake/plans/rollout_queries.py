@@ -154,11 +154,12 @@ def agg_step_group_stats(spark, d):
     return x.withColumns({c: R6(F.col(c)) for c in ("exact_reward_mean", "shaped_reward_mean")})
 
 
-# the first 8 completions of larger groups, split into two halves of 4 in three ways
-_HALVES = "(VALUES " + ", ".join(f"('{p}', {k}, {h})" for p, f in (("first_last", lambda k: int(k >= 4)), ("even_odd", lambda k: k % 2), ("outer_inner", lambda k: int(2 <= k < 6))) for k in range(8) for h in (f(k),)) + ") AS v(partition, k, half)"
-PART_SQL = f"""{WITH}, r8 AS (SELECT id, k, reward FROM roll WHERE k < 8 AND id IN (SELECT id FROM roll GROUP BY id HAVING count(*) >= 8)),
+# whole groups of four completions and more, split into two halves in three ways
+_HALVES = "(VALUES ('first_last'), ('even_odd'), ('outer_inner')) AS v(partition)"
+_HALF = "CASE partition WHEN 'first_last' THEN CAST(2 * k >= size AS INT) WHEN 'even_odd' THEN k % 2 ELSE CAST(4 * k >= size AND 4 * k < 3 * size AS INT) END"
+PART_SQL = f"""{WITH}, r8 AS (SELECT * FROM (SELECT id, k, reward, count(*) OVER (PARTITION BY id) AS size FROM roll) WHERE size >= 4),
  w AS (SELECT *, CASE WHEN stddev_samp(reward) OVER g <= 1e-12 THEN 0.0::DOUBLE ELSE (reward - avg(reward) OVER g) / stddev_samp(reward) OVER g END AS a FROM r8 WINDOW g AS (PARTITION BY id)),
- x AS (SELECT id, partition, reward, a, CASE WHEN stddev_samp(reward) OVER h <= 1e-12 THEN 0.0::DOUBLE ELSE (reward - avg(reward) OVER h) / stddev_samp(reward) OVER h END AS b FROM w JOIN (SELECT * FROM {_HALVES}) USING (k) WINDOW h AS (PARTITION BY id, partition, half)),
+ x AS (SELECT id, partition, reward, a, CASE WHEN stddev_samp(reward) OVER h <= 1e-12 THEN 0.0::DOUBLE ELSE (reward - avg(reward) OVER h) / stddev_samp(reward) OVER h END AS b FROM (SELECT *, {_HALF} AS half FROM w CROSS JOIN {_HALVES}) WINDOW h AS (PARTITION BY id, partition, half)),
  pc AS (SELECT id, partition, CAST(sum(reward) AS BIGINT) AS m_correct, avg(abs(a - b)) AS mean_abs_delta, max(abs(a - b)) AS max_abs_delta, sum(abs(a - b)) AS l1, sqrt(sum((a - b) * (a - b))) AS l2, sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0) AS cosine,
  coalesce(sum(a) FILTER (a > 1e-12), 0) AS k16_positive, coalesce(sum(b) FILTER (b > 1e-12), 0) AS k8_positive, coalesce(sum(-a) FILTER (a < -1e-12), 0) AS k16_negative, coalesce(sum(-b) FILTER (b < -1e-12), 0) AS k8_negative,
  count(*) FILTER (abs(a) > 1e-12) AS k16_nonzero, count(*) FILTER (abs(b) > 1e-12) AS k8_nonzero, count(*) FILTER (abs(b) <= 1e-12 AND a < -1e-12 AND reward = 0) AS newly_nonzero_wrong, count(*) FILTER (abs(b) <= 1e-12 AND a > 1e-12 AND reward = 1) AS newly_nonzero_correct FROM x GROUP BY id, partition)"""
@@ -167,10 +168,7 @@ _PART_LONGS = ("m_correct", "k16_nonzero", "k8_nonzero", "newly_nonzero_wrong",
 
 
 def _partitions(spark, d):
-    halves = spark.createDataFrame([(p, k, h) for p, f in (("first_last", lambda k: int(k >= 4)), ("even_odd", lambda k: k % 2), ("outer_inner", lambda k: int(2 <= k < 6))) for k in range(8) for h in (f(k),)], "partition string, k int, half int")
-    r = rollouts(spark, d)
-    big = plain_rollouts(spark, d).groupBy("id").agg(F.count("*").alias("n")).where("n >= 8").select("id")
-    return groups.partition_counterfactual(r.where("k < 8").join(big, "id", "left_semi"), halves)
+    return groups.partition_counterfactual(rollouts(spark, d))
 
 
 @query("partition_counterfactual", f"{PART_SQL} SELECT id, partition, {', '.join(_PART_LONGS)}, {', '.join(f'round({c}, 5) AS {c}' for c in _PART_DOUBLES)} FROM pc")

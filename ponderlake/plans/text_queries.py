@@ -51,6 +51,18 @@ def parse_answer(spark, d):
     return _parsed(spark, d).select("id", "ok", "reason", "pattern")
 
 
+#: Records as stored: the answer and verdict of each text, altered in every eleventh and thirteenth.
+_STORED = f"CASE WHEN doc_id % 11 = 0 THEN 'KKK' ELSE {_case(_ANSWER)} END AS stored, (doc_id % 13 = 0) <> ({_case(_ANSWER)} <> 'invalid') AS stored_ok"
+
+
+@query("parser_consistency", f"""WITH {PARSE_SQL}, s AS (SELECT doc_id AS id, {_STORED} FROM documents)
+ SELECT count(*) AS checked, count(*) FILTER (pattern = stored AND ok = stored_ok) AS equal, count(*) FILTER (pattern <> stored) AS answer_changed, count(*) FILTER (ok <> stored_ok) AS verdict_changed FROM pa JOIN s USING (id)""")
+def parser_consistency(spark, d):
+    """All stored texts parsed again, against the stored answers and verdicts."""
+    rec = read(spark, d, "documents").selectExpr("doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", *_STORED.split(", (", 1)[:1], "(" + _STORED.split(", (", 1)[1])
+    return audit.parser_consistency(rec, "text", people(), "stored", "stored_ok")
+
+
 @query("score_completion", f"WITH {PARSE_SQL} SELECT id, round(CAST(pattern = gold AS INT) + 0.1::DOUBLE * CAST(ok AS INT), 6) AS total FROM pa")
 def score_completion(spark, d):
     return _parsed(spark, d).select("id", R6(parsing.score_completion(F.col("pattern"), F.col("gold"), F.col("ok"))).alias("total"))
@@ -198,7 +210,10 @@ def gen_balanced(spark, d):
 _LINE = "'- Alice=' || CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END || ', Bob=' || CASE WHEN a % 4 < 2 THEN 'knight' ELSE 'knave' END || ', Carol=' || CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END || ': ' || CASE WHEN t0 = k0 AND t1 = k1 AND t2 = k2 THEN 'valid; every statement matches its speaker''s type.' ELSE 'invalid because the statement by ' || concat_ws(', ', CASE WHEN t0 <> k0 THEN 'Alice' END, CASE WHEN t1 <> k1 THEN 'Bob' END, CASE WHEN t2 <> k2 THEN 'Carol' END) || ' does not match the speaker''s type.' END"
 
 
-@query("fmt_reasoning_trace", f"{ASSIGN} SELECT id, md5('{text.TRACE_HEAD}' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY a) || chr(10) || '{text.TRACE_TAIL}') AS trace_md5 FROM asg GROUP BY id")
+TRACE_SQL = f"'{text.TRACE_HEAD}' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY a) || chr(10) || '{text.TRACE_TAIL}'"
+
+
+@query("fmt_reasoning_trace", f"{ASSIGN} SELECT id, md5({TRACE_SQL}) AS trace_md5 FROM asg GROUP BY id")
 def fmt_reasoning_trace(spark, d):
     c = puzzles.compiled(puzzle_trees(spark, d))
     at = F.array(F.lit(0), F.lit(1), F.lit(2))
