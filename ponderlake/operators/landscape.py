@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .positions import with_quantiles
+
 
 def softmax(scores: Column) -> Column:
     """Max-shifted softmax of an array."""
@@ -44,12 +46,13 @@ def landscape(long: DataFrame, keys: Sequence[str] = ("id", "model"), n: int = 8
 
 def aggregate(ls: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     share = lambda c: F.avg(c.cast("double"))
-    p = F.expr("percentile(gold_q, array(0.1D, 0.25D, 0.5D, 0.75D, 0.9D))")
+    shares = {"p10": 0.1, "p25": 0.25, "median_gold_q": 0.5, "p75": 0.75, "p90": 0.9}
     x = ls.groupBy(*keys).agg(
         F.count("*").alias("n"), share(F.col("top1") == F.col("gold")).alias("top1_accuracy"), F.avg("gold_q").alias("mean_gold_q"), share(F.col("gold_rank") <= 2).alias("top2"), share(F.col("gold_rank") <= 3).alias("top3"),
-        F.avg("gold_margin").alias("mean_gold_margin"), F.median("gold_margin").alias("median_gold_margin"), F.avg("top1_margin").alias("mean_top1_margin"), F.avg("normalized_entropy").alias("mean_normalized_entropy"), p.alias("p"),
+        F.avg("gold_margin").alias("mean_gold_margin"), F.avg("top1_margin").alias("mean_top1_margin"), F.avg("normalized_entropy").alias("mean_normalized_entropy"),
     )
-    return x.select("*", *[F.col("p")[i].alias(n) for i, n in enumerate(("p10", "p25", "median_gold_q", "p75", "p90"))]).drop("p")
+    wanted = {n: ("gold_q", p) for n, p in shares.items()} | {"median_gold_margin": ("gold_margin", 0.5)}
+    return with_quantiles(x, ls, list(keys), wanted)
 
 
 def pair(ls: DataFrame, a: str, b: str, columns: Sequence[str]) -> DataFrame:

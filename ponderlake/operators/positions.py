@@ -35,20 +35,86 @@ def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def running(counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts: int = 1024, name: str = "before") -> DataFrame:
+    """``counts`` (one row for each value of ``key``, ``n`` rows of it) with the number of rows of smaller values, and ``total``.
+
+    Values are summed within ``parts`` intervals between the least and the greatest, and only the intervals' sums in order of
+    them: no task orders all values of a group unless they crowd in one interval.  Groups may be null.
+    """
+    g = list(by) or ["__all"]
+    x = counts if by else counts.withColumn("__all", F.lit(0))
+    ends = x.groupBy(*g).agg(F.min(key).alias("__low"), F.max(key).alias("__high"), F.sum(n).alias("total"))
+    x = _null_safe(x, ends, g)
+    width = (F.col("__high") - F.col("__low")) / F.lit(float(parts))
+    at = F.when(width > 0, F.least(F.floor((F.col(key) - F.col("__low")) / width), F.lit(parts - 1))).otherwise(F.lit(0))
+    x = x.withColumn("__b", at.cast("long")).drop("__low", "__high")
+    sums = x.groupBy(*g, "__b").agg(F.sum(n).alias("__n"))
+    ahead = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*g, "__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy(*g, "__b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("__in", F.coalesce(F.sum(n).over(inner), F.lit(0)))
+    x = _null_safe(x, sums, [*g, "__b"])
+    return x.withColumn(name, F.col("__before") + F.col("__in")).drop("__b", "__in", "__before", "__all")
+
+
+def _null_safe(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which nulls are equal."""
+    other = y.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[c for c in y.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return x.join(other, same).drop(*[f"__{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles (linear between two rows) of columns by group: {name: (column, share)}, one row a group.
+
+    Rows are counted by value first, then ranked by sums over intervals; no buffer holds a group's values.  Nulls don't count.
+    """
+    out = None
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+        x = running(counts, "__v", "__c", by)
+        aggs = []
+        for name, (c, p) in wanted.items():
+            if c == column:
+                at = F.lit(p) * (F.col("total") - 1)
+
+                def value(rank):
+                    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("__c")), F.col("__v")))
+
+                share = F.max(at - F.floor(at))
+                aggs.append((value(F.floor(at)) + share * (value(F.ceil(at)) - value(F.floor(at)))).alias(name))
+        q = x.groupBy(*by).agg(*aggs)
+        out = q if out is None else _null_safe(out, q, by)
+    return out
+
+
+def with_quantiles(aggregated: DataFrame, df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """A grouping of ``df`` with quantiles of its groups; null for groups without values."""
+    q = quantiles(df, by, wanted)
+    other = q.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], *wanted)
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return aggregated.join(other, same, "left").drop(*[f"__{i}" for i in range(len(by))])
+
+
 def quartile_ends(df: DataFrame, key: str, total_order: Sequence[str]) -> DataFrame:
     """Rows with ``end``: low for the lowest floor(n / 4) by the order, high for the highest ceil(n / 4), others dropped.
 
-    The bounds are found as the rows at two ranks, so rows are compared with two values and not ranked.
+    ``total_order``: a number, then columns that break its ties.  Ranks come from counts by value; only rows of equal value
+    are numbered, each value's by itself.
     """
-    n = df.count()
-    low, high = n // 4, n - -(-n // 4)
-    key_of = F.struct(*[F.col(c) for c in total_order])
-    keys = df.select(key_of.alias("k"))
-    a = keys.orderBy("k").limit(low).agg(F.max("k").alias("low"))
-    b = keys.orderBy(F.col("k").desc()).limit(n - high).agg(F.min("k").alias("high"))
-    x = df.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b))  # a row each
-    end = F.when(key_of <= F.col("low"), "low").when(key_of >= F.col("high"), "high")
-    return x.withColumn("end", end).where(F.col("end").isNotNull()).drop("low", "high")
+    value, *ties = total_order
+    counts = df.groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ranks = running(counts, "__v", "__c")
+    x = df.withColumn("__v", F.col(value).cast("double")).join(ranks, "__v")
+    inside = F.row_number().over(Window.partitionBy("__v").orderBy(*ties or [key])) - 1
+    x = x.withColumn("__r", F.col("before") + F.when(F.col("__c") > 1, inside).otherwise(F.lit(0)))
+    low, high = F.floor(F.col("total") / 4), F.col("total") - F.ceil(F.col("total") / 4)
+    end = F.when(F.col("__r") < low, "low").when(F.col("__r") >= high, "high")
+    return x.withColumn("end", end).where(F.col("end").isNotNull()).drop("__v", "__c", "__r", "before", "total")
 
 
 def unique_in_order(df: DataFrame, value: str, pos: str) -> DataFrame:

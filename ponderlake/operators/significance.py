@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
-from .positions import numbered
+from .positions import numbered, running
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -23,12 +23,12 @@ def mcnemar(df: DataFrame, a: Column, b: Column, keys: Sequence[str] = ()) -> Da
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; null if a column is constant.
 
-    Ranks come from counts by value: only distinct values are ordered, in one window over an aggregate.
+    Ranks come from counts by value, summed over intervals of values.
     """
+
     def ranks(c: str) -> DataFrame:
-        n = df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col("v").alias(c), (before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+        n = running(df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")), "v", "n")
+        return n.select(F.col("v").alias(c), (F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
 
     r = df.select(x, y).join(ranks(x), x).join(ranks(y), y)
     a, b = F.col(f"rank_{x}"), F.col(f"rank_{y}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.policy import implied_hit
 from ..functions.text import bin_label
+from .positions import with_quantiles
 
 #: Edges of probability bins (the last ends above 1) and of step buckets.
 BINS = ((0.0, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.40), (0.40, 0.60), (0.60, 0.80), (0.80, 1.01))
@@ -67,9 +68,8 @@ def hit_miss(df: DataFrame, keys: Sequence[str], hit: Column, delta: Column, lea
 
 def arm_summary(df: DataFrame, keys: Sequence[str], q: str, rank: str, entropy: str, low: Column) -> DataFrame:
     """Distribution of gold probability by arm (and step), over all rows and over the low-support subset."""
-    p = F.expr(f"percentile({q}, array(0.1D, 0.5D))")
     x = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), p.alias("p"), F.avg(q).alias("mean"), F.avg((F.col(q) < 0.05).cast("double")).alias("frac_low"), F.avg((F.col(rank) == 1).cast("double")).alias("top1"), F.avg((F.col(rank) <= 3).cast("double")).alias("top3"),
+        F.count("*").alias("n"), F.avg(q).alias("mean"), F.avg((F.col(q) < 0.05).cast("double")).alias("frac_low"), F.avg((F.col(rank) == 1).cast("double")).alias("top1"), F.avg((F.col(rank) <= 3).cast("double")).alias("top3"),
         F.avg(entropy).alias("entropy"), F.count_if(low).alias("n_subset"), F.avg(F.when(low, F.col(q))).alias("mean_subset"),
     )
-    return x.withColumn("p10", F.col("p")[0]).withColumn("median", F.col("p")[1]).drop("p")
+    return with_quantiles(x, df, list(keys), {"p10": (q, 0.1), "median": (q, 0.5)})

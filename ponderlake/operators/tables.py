@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PATTERNS
+from .positions import with_quantiles
+
+
+def combinations(spark, **values: Sequence[str]) -> DataFrame:
+    """Every combination of a few values of each column: one row's arrays exploded, no join."""
+    x = spark.range(0, 1, 1, 1).select()
+    for name, few in values.items():
+        x = x.select("*", F.explode(F.array(*[F.lit(v) for v in few])).alias(name))
+    return x
 
 
 def labels(spark, extra: Sequence[str] = (), name: str = "label") -> DataFrame:
     """The fixed dimension of labels (at most a dozen rows)."""
-    return spark.createDataFrame([(x,) for x in (*PATTERNS, *extra)], f"{name} string")
+    return combinations(spark, **{name: (*PATTERNS, *extra)})
 
 
 def distribution(df: DataFrame, *keys: str) -> DataFrame:
@@ -25,16 +34,21 @@ def zero_filled(counts: DataFrame, dims: DataFrame, keys: Sequence[str], value:
 
 
 def crosstab(df: DataFrame, row: str, col: str, dim: DataFrame | None = None) -> DataFrame:
+    """Counts of row by column values; with ``dim`` (the few values of ``row``), a zero for each of them that a column value lacks.
+
+    A column value's counts are gathered by those few values in one grouping, so its values may be any number.
+    """
     counts = df.groupBy(row, col).agg(F.count("*").alias("n"))
     if dim is None:
         return counts
-    return zero_filled(counts, dim.crossJoin(F.broadcast(df.select(col).distinct())), (row, col))
+    few = [r[0] for r in dim.select(row).collect()]
+    each = F.array(*[F.struct(F.lit(v).alias(row), F.coalesce(F.max(F.when(F.col(row) == v, F.col("n"))), F.lit(0)).alias("n")) for v in few])
+    return counts.groupBy(col).agg(each.alias("x")).select(col, F.explode("x").alias("x")).select(f"x.{row}", col, "x.n")
 
 
 def confusion(df: DataFrame, gold: str, pred: str, invalid: str = "invalid") -> DataFrame:
     """gold x predicted counts, zero-filled; invalid predictions are left out (count them with n_invalid)."""
-    dim = labels(df.sparkSession, name=gold)
-    cells = dim.crossJoin(labels(df.sparkSession, name=pred))
+    cells = combinations(df.sparkSession, **{gold: PATTERNS, pred: PATTERNS})
     return zero_filled(df.where(F.col(pred) != invalid).groupBy(gold, pred).agg(F.count("*").alias("n")), cells, (gold, pred))
 
 
@@ -68,7 +82,8 @@ def transition(a: Column, b: Column) -> Column:
 def feature_transition(df: DataFrame, group: str, features: Sequence[str]) -> DataFrame:
     """Mean, median, least and greatest of each feature by transition group."""
     long = df.select(group, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select(group, "x.feature", "x.value")
-    return long.groupBy(group, "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    g = long.groupBy(group, "feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return with_quantiles(g, long, [group, "feature"], {"median": ("value", 0.5)})
 
 
 def prediction_transition(df: DataFrame, a: str, b: str, transition_col: str, subsets: Sequence[str] = ("WC", "CW"), invalid: str = "invalid") -> DataFrame:
@@ -76,8 +91,9 @@ def prediction_transition(df: DataFrame, a: str, b: str, transition_col: str, su
     spark = df.sparkSession
     names = F.array(F.lit("all"), *[F.when(F.col(transition_col) == s, F.lit(s)) for s in subsets])
     counts = df.select(F.col(a).alias("from"), F.col(b).alias("to"), F.explode(F.filter(names, lambda x: x.isNotNull())).alias("subset")).groupBy("subset", "from", "to").agg(F.count("*").alias("n"))
-    dim = spark.createDataFrame([(x,) for x in ("all", *subsets)], "subset string").crossJoin(labels(spark, (invalid,), "from")).crossJoin(labels(spark, (invalid,), "to"))
-    return zero_filled(counts, dim, ("subset", "from", "to"))
+    nine = (*PATTERNS, invalid)
+    cells = combinations(spark, **{"subset": ("all", *subsets), "from": nine, "to": nine})
+    return zero_filled(counts, cells, ("subset", "from", "to"))
 
 
 def structure_accuracy(long: DataFrame, keys: Sequence[str], model: str = "model", correct: str = "correct", base: str = "a", least: int = 20) -> DataFrame:

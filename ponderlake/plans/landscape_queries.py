@@ -168,7 +168,9 @@ def agg_arm_summary(spark, d):
 def agg_stratified(spark, d):
     dq = F.col("gold_q1") - F.col("gold_q0")
     flips = (F.col("top10") == F.col("gold")) != (F.col("top11") == F.col("gold"))
-    return _pair(spark, d).groupBy(strata.bin_of(F.col("gold_q0")).alias("bin")).agg(F.count("*").alias("n"), R6(F.median(dq)).alias("median_delta"), R6(F.avg((dq < 0).cast("double"))).alias("frac_decreased"), F.count_if(flips).alias("flips"))
+    p = _pair(spark, d).select(strata.bin_of(F.col("gold_q0")).alias("bin"), dq.alias("dq"), flips.alias("flip"))
+    g = p.groupBy("bin").agg(F.count("*").alias("n"), R6(F.avg((F.col("dq") < 0).cast("double"))).alias("frac_decreased"), F.count_if("flip").alias("flips"))
+    return positions.with_quantiles(g, p, ["bin"], {"median_delta": ("dq", 0.5)}).withColumn("median_delta", R6(F.col("median_delta")))
 
 
 # metric logs by step
@@ -229,7 +231,8 @@ def trajectory_pivot(spark, d):
 def agg_trajectory_class(spark, d):
     u = F.col("user_id") % 4
     c = steps(spark, d).where(F.col("step") % 100 == 0).withColumn("class", F.when(u == 0, "stable_correct").when(u == 1, "stable_wrong").otherwise("flip"))
-    return c.groupBy("class", "step").agg(F.round(F.avg("value"), 5).alias("mean"), F.round(F.median("value"), 5).alias("median"))
+    g = c.groupBy("class", "step").agg(F.round(F.avg("value"), 5).alias("mean"))
+    return positions.with_quantiles(g, c, ["class", "step"], {"median": ("value", 0.5)}).withColumn("median", F.round("median", 5))
 
 
 @query("join_pair_budget", f"{S}, m AS (SELECT arm, step, avg(value) AS v FROM st GROUP BY ALL) SELECT a.step, round(a.v, 5) AS small, round(b.v, 5) AS large, round(b.v - a.v, 5) AS delta FROM m a JOIN m b ON b.step = 2 * a.step AND a.arm = 'click' AND b.arm = 'view'")
