@@ -9,6 +9,7 @@ arithmetic inside generated code.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
@@ -93,21 +94,29 @@ def analyse(tree: dict, people: list[str]) -> tuple[int, str, int, int, list[int
     return done[0][0], done[0][1], sum(ops.values()), depth, [ops[k] for k in OPS]
 
 
+@functools.lru_cache(1 << 16)
+def _compiled(tree: str, people: tuple[str, ...]) -> dict:
+    """A tree's compiled form; the trees that a worker meets again cost a look-up."""
+    return dict(zip(("mask", "text", "nodes", "depth", "ops"), analyse(json.loads(tree), list(people)), strict=True))
+
+
 def compile_expr(people: tuple[str, ...] = ("Alice", "Bob", "Carol")):
     """Column function: JSON text of a tree to its compiled struct; null stays null."""
+    none = dict.fromkeys(("mask", "text", "nodes", "depth", "ops"))
 
     @F.pandas_udf(COMPILED)
     def run(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple] = {}
-        out = []
-        for x in texts:
-            if x is None:
-                out.append((None, None, None, None, None))
-                continue
-            if x not in known:
-                known[x] = analyse(json.loads(x), list(people))
-            out.append(known[x])
-        return pd.DataFrame(out, columns=["mask", "text", "nodes", "depth", "ops"])
+        return pd.DataFrame([none if x is None else _compiled(x, people) for x in texts], columns=list(none))
+
+    return run
+
+
+def compile_all(people: tuple[str, ...] = ("Alice", "Bob", "Carol")):
+    """The same for an array of trees: an array of structs, so that a puzzle's statements stay together."""
+
+    @F.pandas_udf(f"array<{COMPILED}>")
+    def run(trees: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [_compiled(t, people) for t in x] for x in trees])
 
     return run
 

@@ -15,18 +15,16 @@ PEOPLE = ("Alice", "Bob", "Carol")
 
 
 def compiled(puzzles: DataFrame, people: tuple[str, ...] = PEOPLE) -> DataFrame:
-    """Adds ``masks``, ``texts``, ``stats`` (per statement) and the solution mask, each tree compiled once.
+    """id, people, speakers, ``masks``, ``texts``, ``stats`` (per statement) and the solution mask.
 
-    Distinct trees are few next to puzzles, so they are compiled as a table of their own and joined back.
+    A puzzle's statements stay in their array: no row is exploded and none shuffled.
     """
-    run = logic.compile_expr(people)
-    rows = puzzles.select("id", "people", F.posexplode("statements").alias("at", "s"))
-    c = rows.select("id", "people", "at", F.col("s.speaker").alias("speaker"), run(F.col("s.expr")).alias("c"))
+    said = puzzles.select("id", "people", F.col("statements.speaker").alias("speakers"), F.col("statements.expr").alias("trees"))
+    c = said.withColumn("stats", logic.compile_all(people)(F.col("trees"))).drop("trees")
     bits = logic.truth_masks(list(people))
-    speaker = F.coalesce(*[F.when(F.col("speaker") == p, F.lit(m)) for p, m in bits.items()])
-    g = c.groupBy("id", "people").agg(F.array_sort(F.collect_list(F.struct("at", "speaker", speaker.alias("bits"), "c"))).alias("x"))  # a puzzle's statements
-    part = lambda f: F.transform("x", f)
-    g = g.select("id", "people", part(lambda s: s["speaker"]).alias("speakers"), part(lambda s: s["c"]["mask"]).alias("masks"), part(lambda s: s["c"]["text"]).alias("texts"), part(lambda s: s["c"]).alias("stats"), part(lambda s: s["bits"]).alias("speaker_bits"))
+    speaker = F.create_map(*[F.lit(x) for p, m in bits.items() for x in (p, m)])
+    masks, texts = F.col("stats.mask").alias("masks"), F.col("stats.text").alias("texts")
+    g = c.select("id", "people", "speakers", masks, texts, "stats", F.transform("speakers", lambda s: speaker[s]).alias("speaker_bits"))
     solved = logic.consistent_mask(F.col("masks"), F.col("speaker_bits"), len(people))
     return g.withColumn("solutions", solved).withColumn("n_solutions", F.bit_count("solutions"))
 
