@@ -279,17 +279,34 @@ def _delta():
     return (B().cast("int") - A().cast("int")).cast("double")
 
 
-@query("bootstrap_paired_mean", f"""{WITH}, v AS (SELECT row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n, CAST(CAST(pred_b = gold AS INT) - CAST(pred_a = gold AS INT) AS DOUBLE) AS x FROM pred),
- dr AS (SELECT rep, CAST(('0x' || substr(md5('1:' || rep || ':' || pos), 1, 8)) AS BIGINT) % n AS idx FROM v, (SELECT unnest(range(200)) AS rep)), m AS (SELECT rep, avg(x) AS value FROM dr JOIN v ON v.pos = dr.idx GROUP BY rep)
- SELECT count(*) AS reps, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, quantile_cont(value, 0.025) < 0 AND quantile_cont(value, 0.975) > 0 AS crosses_zero FROM m""")
-def bootstrap_paired_mean(spark, d):
-    x = predictions(spark, d).select("id", _delta().alias("x"))
-    b = significance.interval(significance.bootstrap(x, "id", ["x"], [F.avg("x").alias("value")], 200))
-    return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
+#: Repetitions of the reference (BASELINE D6).
+REPS, SHUFFLES = 10000, 1000
 
 
-#: Repetitions of the reference (BASELINE D6).  The paired mean above has the 200 of its SQL.
-REPS, SHUFFLES = 10000, 1000
+def _binomial_sql(n: str, p: str) -> str:
+    """Logarithm of a binomial probability of k; p is inside (0, 1)."""
+    return f"lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln({p}) + ({n} - k) * ln(1 - {p})"
+
+
+def _draw_sql(place: int) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('1:' || rep || ':{place}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {1 << 52}.0::DOUBLE"
+
+
+def _signs_sql(where: str) -> str:
+    """The bootstrap of the paired difference over rows, by the same two draws a repetition."""
+    return f"""{WITH}, v AS (SELECT count(*) AS n, count(*) FILTER (pred_b = gold AND pred_a <> gold) AS plus, count(*) FILTER (pred_b <> gold AND pred_a = gold) AS minus FROM pred WHERE {where}),
+ c1 AS (SELECT k, sum(exp({_binomial_sql('n', '(plus / n)')})) OVER (ORDER BY k) AS cdf FROM (SELECT *, unnest(range(n + 1)) AS k FROM v)),
+ r AS (SELECT rep, {_draw_sql(1)} AS u, {_draw_sql(2)} AS w FROM (SELECT unnest(range({REPS})) AS rep)),
+ d1 AS (SELECT rep, any_value(w) AS w, count(k) AS up FROM r LEFT JOIN c1 ON cdf < u GROUP BY rep),
+ c2 AS (SELECT up, k, sum(exp({_binomial_sql('(n - up)', '(minus / (n - plus))')})) OVER (PARTITION BY up ORDER BY k) AS cdf FROM (SELECT *, unnest(range(n - up + 1)) AS k FROM (SELECT DISTINCT up FROM d1), v)),
+ d2 AS (SELECT rep, any_value(d1.up) AS up, count(k) AS down FROM d1 LEFT JOIN c2 ON c2.up = d1.up AND cdf < w GROUP BY rep), m AS (SELECT (up - down) / n AS value FROM d2, v)
+ SELECT count(*) AS reps, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, quantile_cont(value, 0.025) < 0 AND quantile_cont(value, 0.975) > 0 AS crosses_zero FROM m"""
+
+
+@query("bootstrap_paired_mean", _signs_sql("true"))
+def bootstrap_paired_mean(spark, d):
+    b = significance.interval(significance.bootstrap_signs(predictions(spark, d).select(_delta().alias("x")), "x", REPS))
+    return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
 @query("bootstrap_statistics")
@@ -311,10 +328,11 @@ def bootstrap_cluster(spark, d):
     return significance.interval(significance.bootstrap_cells(x, "id", "x", {"value": significance.mean_of}, REPS))
 
 
-@query("bootstrap_region")
+@query("bootstrap_region", _signs_sql("n_chars > 1000"))
 def bootstrap_region(spark, d):
-    x = predictions(spark, d).where("n_chars > 1000").select("id", _delta().alias("x"))
-    return significance.interval(significance.bootstrap_cells(x, "id", "x", {"value": significance.mean_of}, REPS))
+    x = predictions(spark, d).where("n_chars > 1000").select(_delta().alias("x"))
+    b = significance.interval(significance.bootstrap_signs(x, "x", REPS))
+    return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
 @query("permutation_test")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ponderlake.functions import logic, parsing, policy, statistics, text
-from ponderlake.operators import generation, groups, puzzles
+from ponderlake.operators import generation, groups, positions, puzzles, significance
 
 PEOPLE = ["Alice", "Bob", "Carol"]
 
@@ -274,3 +274,44 @@ def test_resampling_by_cells(spark):
     null = [mi(r.permutation(b)) for _ in range(1000)]
     assert abs(one.observed - mi(b)) < 1e-12 and abs(one.null_mean - np.mean(null)) < 6 * np.std(null) / 1000**0.5 and abs(one.null_std - np.std(null)) < 0.15 * np.std(null)
     assert abs(one.p - (1 + sum(m >= mi(b) for m in null)) / 1001) < 0.08
+
+
+def test_binomial_quantiles():
+    """The inverse of the distribution function, summed term by term."""
+    for n, p in ((1, 0.3), (7, 0.5), (40, 0.02), (400, 0.11), (400, 0.97)):
+        u = [0.0001, 0.01, 0.2, 0.5, 0.77, 0.99, 0.99999]
+        cdf, total = [], 0.0
+        for k in range(n + 1):
+            total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+            cdf.append(total)
+        want = [sum(c < x for c in cdf) for x in u]
+        assert significance._binomial_quantile(n, p, significance.np.array(u)).tolist() == want
+    x = significance._binomial_quantile(10**9, 0.3, significance.np.array([0.5, 0.975]))
+    assert abs(x[0] - 3e8) < 3 and abs(x[1] - 3e8 - 1.96 * math.sqrt(2.1e8)) < 50
+
+
+def test_resampled_signs(spark):
+    """Mean and spread of resamples of 1000 paired differences, and the edges."""
+    df = spark.range(1000).selectExpr("CASE WHEN id < 100 THEN 1 WHEN id < 160 THEN -1 ELSE 0 END AS x")
+    v = [r.value for r in significance.bootstrap_signs(df, "x", 4000).collect()]
+    mean = sum(v) / len(v)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in v) / len(v))
+    assert len(v) == 4000 and abs(mean - 0.04) < 0.001 and abs(spread - math.sqrt((0.16 - 0.04**2) / 1000)) < 0.0005
+    assert {r.value for r in significance.bootstrap_signs(df.where("x = 1"), "x", 50).collect()} == {1.0}
+    assert significance.bootstrap_signs(df.limit(0), "x", 50).count() == 0
+
+
+def test_quantiles_ranks_and_quartiles(spark):
+    """Against numpy, with ties, nulls, groups of one and null groups."""
+    rng = significance.np.random.default_rng(4)
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", None if i % 17 == 0 else float(rng.choice([rng.normal(), 0.0, 1e6]))) for i in range(700)] + [("alone", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in positions.with_quantiles(df.groupBy("g").count(), df, ["g"], {"a": ("v", 0.1), "b": ("v", 0.5), "c": ("v", 1.0)}).collect()}
+    for g in {g for g, _ in rows}:
+        v = [x for h, x in rows if h == g and x is not None]
+        want = [significance.np.percentile(v, p) if v else None for p in (10, 50, 100)]
+        assert [got[g].a, got[g].b, got[g].c] == pytest.approx(want) if v else [got[g].a, got[g].b] == [None, None]
+    x = spark.createDataFrame([(i, float(i // 7 % 4)) for i in range(101)], "id long, v double")
+    order = sorted(((i // 7 % 4, i) for i in range(101)))
+    ends = {r.id: r.end for r in positions.quartile_ends(x, "id", ["v", "id"]).collect()}
+    assert {i for i, e in ends.items() if e == "low"} == {i for _, i in order[:25]} and {i for i, e in ends.items() if e == "high"} == {i for _, i in order[-26:]}
