@@ -19,9 +19,15 @@ Decoding.  Piece bytes are gathered flat for all ids of a block; ``_`` becomes a
 space, the first one is dropped, and runs of byte pieces are decoded as UTF-8
 with U+FFFD for what is invalid.
 
+What segments rest on is verified when a model is read: that no piece spans two of
+them, and that long runs of spaces fall into whole pieces of spaces from the left.
+Other models raise.
+
 Defined results: null and empty texts have no ids and decode to the empty text;
 documents of any length are encoded whole; ties in score take the leftmost pair,
-as the library does.
+as the library does; repeated rows are encoded each, null ids kept; an empty table
+gives an empty result; columns besides id, text and those named to carry are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +47,6 @@ from .textops import blocks
 SPACE = "▁"
 #: Segments kept per process; about 100 bytes each.
 CACHE = 400_000
-#: Longest run of spaces that is merged in one piece of work; the longest piece has 16.
-RUN = 16
 
 
 class Pieces:
@@ -65,6 +69,16 @@ class Pieces:
                 self.byte_of[i] = int(x[3:5], 16)
             special[i] = lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)
         self.id_of = {x: i for i, x in enumerate(self.names) if not special[i]}
+        spanning = [x for x in self.id_of if "\n" in x and len(x) > 1 or SPACE in x.lstrip(SPACE)]
+        if spanning:
+            raise ValueError(f"pieces that span segments aren't supported: {spanning[:5]}")
+        #: The longest piece of spaces; longer runs are cut into such pieces.
+        self.run = max([len(x) for x in self.id_of if not x.strip(SPACE)], default=1)
+        for k in range(2 * self.run + 1, 5 * self.run + 2):
+            for tail in ("", "a"):
+                got = [len(x) - len(x.lstrip(SPACE)) for x in lib.encode(" " * (k - 1) + tail, out_type=str)]
+                if got[: (k - self.run - 1) // self.run] != [self.run] * ((k - self.run - 1) // self.run):
+                    raise ValueError("only models that merge runs of spaces from the left are supported")
         scores = np.array([lib.get_score(i) for i in range(n)])
         # equal scores share a rank: the leftmost of them is merged first
         _, rank = np.unique(-scores, return_inverse=True)
@@ -232,8 +246,7 @@ class Pieces:
         self.used += len(ids)
         self.cache.update(zip(segments, range(n, n + len(segments)), strict=True))
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
+    def _cut(self, text: str) -> list[str]:
         """Segments of ``_text`` in order: line feeds alone, else ``_`` runs with what follows."""
         plain = text.replace(SPACE, " ")
         if not plain:
@@ -266,14 +279,14 @@ class Pieces:
             for w in parts[1:]:
                 run += 1
                 if w:
-                    while run > 2 * RUN:  # a full piece of spaces merges with nothing more
-                        out.append(SPACE * RUN)
-                        run -= RUN
+                    while run > 2 * self.run:  # a full piece of spaces merges with nothing more
+                        out.append(SPACE * self.run)
+                        run -= self.run
                     out.append(SPACE * run + w)
                     run = 0
-            while run > 2 * RUN:
-                out.append(SPACE * RUN)
-                run -= RUN
+            while run > 2 * self.run:
+                out.append(SPACE * self.run)
+                run -= self.run
             if run:
                 out.append(SPACE * run)
         return out

@@ -145,14 +145,15 @@ def kth_largest(keys: DataFrame, k: int, n: int) -> float:
         low, high = float(a), float(b)
 
 
-def keyed(docs: DataFrame, labels: DataFrame, seed: int, margin: float) -> tuple[DataFrame, float]:
-    """``docs`` (doc_id, text and any others) with log_weight and key as structs in ``drawn``, as a table, and the least key drawn."""
+def keyed(docs: DataFrame, labels: DataFrame, seed: int, margin: float, carry: list[str]) -> tuple[DataFrame, float]:
+    """Columns to ``carry`` of ``docs`` (doc_id, text and any others) in ``row``, log weight ``w`` and ``key``, as a table; the least key drawn."""
     shared.prepare(docs.sparkSession)
     ratio, share = fit(docs.select("doc_id", "text"), labels)
     text = F.coalesce("text", F.lit(""))
-    weighed = docs.select(F.struct("*").alias("row"), log_weight(ratio)(text).alias("w"))
-    worded = F.regexp_like(F.coalesce("row.text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    key = F.when(worded, F.col("w") + gumbel(F.col("row.doc_id"), seed)).alias("key")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    worded = F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")).alias("worded")
+    weighed = docs.select(row, worded, log_weight(ratio)(text).alias("w"))
+    key = F.when(F.col("worded"), F.col("w") + gumbel(F.col("row.doc_id"), seed)).alias("key")
     out = shared.table(weighed.select("row", "w", key), "keys")
     if share == 1:
         return out, float("-inf")
@@ -171,12 +172,12 @@ def resample(
     """doc_id, log_weight, key, kept: one row per row of ``docs``; a table in the shared folder."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with shared.scratch() as keep:
-        keys, least = keyed(docs, labels, seed, margin)
+        keys, least = keyed(docs, labels, seed, margin, ["doc_id"])
         out = keys.select("row.doc_id", F.col("w").alias("log_weight"), "key", drawn(least).alias("kept"))
         return keep(shared.table(out, "resampled"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 1, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that the sample holds; weights are worked out once."""
-    keys, least = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, seed, margin)
+    keys, least = keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, seed, margin, docs.columns)
     return keys.where(drawn(least)).select("row.*")

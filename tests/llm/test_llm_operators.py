@@ -498,3 +498,21 @@ def test_null_ids(spark, rows):
     for f in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup, mixing.mix, quality_rules.ledger, lambda d: pii.pseudonymise(d, "k"), lm_scoring.lm_scores, lambda d: pieces.round_trip(d, queries.model_path())):
         assert f(df).count() == 14
     assert quality_classifier.resample(df, labels).count() == 14 and toxicity.toxicity(df, labels).count() == 14
+
+
+def test_pieces_that_span_segments_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Spanning(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, i):
+            return "a▁b" if i == 5000 else super().id_to_piece(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Spanning)
+    with pytest.raises(ValueError, match="span segments"):
+        pieces.Pieces(queries.model_path())
+
+
+def test_pieces_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a  b\n", "x", "y"), (1, "a  b\n", "x", "y"), (None, None, "x", "y")], "doc_id long, text string, ids string, n_tokens string")
+    got = pieces.round_trip(df, queries.model_path()).collect()
+    assert len(got) == 3 and len({r.ids_sha256 for r in got if r.doc_id == 1}) == 1 and [r.n_tokens for r in got if r.doc_id is None] == [0]
