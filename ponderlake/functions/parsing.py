@@ -6,38 +6,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The block, the form of a line in it, and what is said of faults.
+BLOCK = r"(?isU)<answer>\s*(.*?)\s*</answer>"
+FORM = r"(?iU)^([A-Za-z][A-Za-z0-9_-]*)\s*:\s*(knight|knave)$"
+NO_BLOCK, BAD_LINE, UNKNOWN, TWICE, MISSING = (
+    "missing <answer> block",
+    "invalid answer line: ",
+    "unknown person: ",
+    "duplicate person: ",
+    "missing people: ",
+)
+
+
 def parse_answer(text: Column, people: Column) -> Column:
     """struct(answer map or null, ok, reason): the first <answer> block, line by line; the first bad line decides.
 
     Names and values are matched without case and returned as in ``people`` and in lower case.
     """
-    block = F.regexp_extract(text, r"(?isU)<answer>\s*(.*?)\s*</answer>", 1)
-    found = F.regexp_like(text, F.lit(r"(?isU)<answer>\s*(.*?)\s*</answer>"))
+    block, found = F.regexp_extract(text, BLOCK, 1), F.regexp_like(text, F.lit(BLOCK))
     lines = F.filter(F.transform(F.split(block, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    form = r"(?iU)^([A-Za-z][A-Za-z0-9_-]*)\s*:\s*(knight|knave)$"
 
     def read(line: Column) -> Column:
-        name = F.lower(F.regexp_extract(line, form, 1))
+        name = F.lower(F.regexp_extract(line, FORM, 1))
         return F.struct(
             line.alias("line"),
-            F.regexp_like(line, F.lit(form)).alias("ok"),
-            F.regexp_extract(line, form, 1).alias("name"),
+            F.regexp_like(line, F.lit(FORM)).alias("ok"),
+            F.regexp_extract(line, FORM, 1).alias("name"),
             F.get(F.filter(people, lambda p: F.lower(p) == name), F.lit(0)).alias("person"),
-            F.lower(F.regexp_extract(line, form, 2)).alias("kind"),
+            F.lower(F.regexp_extract(line, FORM, 2)).alias("kind"),
         )
 
     rows = F.transform(lines, read)
     names = F.transform(rows, lambda r: r["person"])
 
     def fault(r: Column, i: Column) -> Column:
-        bad = F.when(~r["ok"], F.concat(F.lit("invalid answer line: '"), r["line"], F.lit("'")))
-        bad = bad.when(r["person"].isNull(), F.concat(F.lit("unknown person: "), r["name"]))
-        return bad.when(F.array_position(names, r["person"]) <= i, F.concat(F.lit("duplicate person: "), r["person"]))
+        bad = F.when(~r["ok"], F.concat(F.lit(BAD_LINE + "'"), r["line"], F.lit("'")))
+        bad = bad.when(r["person"].isNull(), F.concat(F.lit(UNKNOWN), r["name"]))
+        return bad.when(F.array_position(names, r["person"]) <= i, F.concat(F.lit(TWICE), r["person"]))
 
     first = F.get(F.filter(F.transform(rows, fault), lambda x: x.isNotNull()), F.lit(0))
     absent = F.array_sort(F.array_except(people, names))
-    missing = F.concat(F.lit("missing people: ['"), F.array_join(absent, "', '"), F.lit("']"))
-    reason = F.when(text.isNull() | ~found, "missing <answer> block").when(first.isNotNull(), first).when(F.size(absent) > 0, missing).otherwise("ok")
+    missing = F.concat(F.lit(MISSING + "['"), F.array_join(absent, "', '"), F.lit("']"))
+    reason = F.when(text.isNull() | ~found, NO_BLOCK).when(first.isNotNull(), first).when(F.size(absent) > 0, missing).otherwise("ok")
     answer = F.when(reason == "ok", F.map_from_arrays(names, F.transform(rows, lambda r: r["kind"])))
     return F.struct(answer.alias("answer"), (reason == "ok").alias("ok"), reason.alias("reason"))
 

@@ -45,8 +45,11 @@ PROMPT_TAIL = {
     ),
     "answer_only": ("", "Return exactly one answer block inside <answer>...</answer>:", "Alice: knight", "Bob: knave", "Carol: knight"),
 }
+#: The first and last line of a reasoning trace, and its sentences.
 TRACE_HEAD = "I check all possible assignments."
 TRACE_TAIL = "Only one assignment is valid, so it is the answer."
+TRACE_VALID = "valid; every statement matches its speaker's type."
+TRACE_INVALID = ("invalid because the statement by ", " does not match the speaker's type.")
 
 
 def _lines(xs: tuple[str, ...]) -> Column:
@@ -75,8 +78,8 @@ def fmt_reasoning_trace(statement_masks: Column, speaker_at: Column, people: Col
         kinds = F.transform(people, lambda p, j: F.concat(p, F.when(_knight(i, j), "=knight").otherwise("=knave")))
         wrong = F.filter(F.sequence(F.lit(0), F.size(statement_masks) - 1), lambda s: _bit(F.get(statement_masks, s), i) != _knight(i, F.get(speaker_at, s)))
         names = F.array_join(F.transform(wrong, lambda s: F.get(people, F.get(speaker_at, s))), ", ")
-        because = F.concat(F.lit("invalid because the statement by "), names, F.lit(" does not match the speaker's type."))
-        return F.concat(F.lit("- "), F.array_join(kinds, ", "), F.lit(": "), F.when(F.size(wrong) == 0, F.lit("valid; every statement matches its speaker's type.")).otherwise(because))
+        because = F.concat(F.lit(TRACE_INVALID[0]), names, F.lit(TRACE_INVALID[1]))
+        return F.concat(F.lit("- "), F.array_join(kinds, ", "), F.lit(": "), F.when(F.size(wrong) == 0, F.lit(TRACE_VALID)).otherwise(because))
 
     body = F.transform(F.sequence(F.lit(0), F.lit(7)), line)
     return F.array_join(F.concat(F.array(F.lit(TRACE_HEAD)), body, F.array(F.lit(TRACE_TAIL))), "\n")
@@ -120,11 +123,23 @@ def bin_label(low: Column, high: Column, last: Column) -> Column:
     return F.when(last, F.format_string("[%.2f,1.00]", low)).otherwise(F.format_string("[%.2f,%.2f)", low, high))
 
 
+#: Names of ranges of the number of correct ones among 16.
+M_BUCKETS = {
+    "m=0": (0, 0),
+    "m=1": (1, 1),
+    "m=2": (2, 2),
+    "m=3": (3, 3),
+    "m=4-7": (4, 7),
+    "m=8": (8, 8),
+    "m=9-12": (9, 12),
+    "m=13-15": (13, 15),
+    "m=16": (16, 16),
+}
+
+
 def m_bucket(m: Column) -> Column:
-    """Names of ranges of the number of correct ones among 16."""
-    return (
-        F.when(m.isin(0, 1, 2, 3, 8, 16), F.concat(F.lit("m="), m.cast("string"))).when(m.between(4, 7), "m=4-7").when(m.between(9, 12), "m=9-12").when(m.between(13, 15), "m=13-15")
-    )
+    """Name of the range of the number of correct ones among 16."""
+    return F.coalesce(*[F.when(m.between(a, b), name) for name, (a, b) in M_BUCKETS.items()])
 
 
 def split_seed(seed: Column, offset: Column) -> Column:

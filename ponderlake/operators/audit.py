@@ -69,9 +69,14 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str) -> tuple[DataFrame,
     return facts.join(dimension, key, "left"), facts.join(dimension, key, "left_anti").agg(F.count("*").alias("unmatched"))
 
 
-def decision(rate: Column, stop: float = 0.10, go: float = 0.25) -> Column:
+#: Names of a gate's decisions, and their bounds.
+WEAK, GO_ON, BORDERLINE = "H2_INTERVENTION_WEAK_STOP", "CONTINUE_TO_PHASE_B", "BORDERLINE_REVIEW"
+STOP, GO = 0.10, 0.25
+
+
+def decision(rate: Column, stop: float = STOP, go: float = GO) -> Column:
     """Ladder of a gate: below ``stop`` weak, above ``go`` continue, else (and for null) borderline."""
-    return F.when(rate < stop, "H2_INTERVENTION_WEAK_STOP").when(rate > go, "CONTINUE_TO_PHASE_B").otherwise("BORDERLINE_REVIEW")
+    return F.when(rate < stop, WEAK).when(rate > go, GO_ON).otherwise(BORDERLINE)
 
 
 def rescue_rate(hits: Column, n: Column) -> Column:

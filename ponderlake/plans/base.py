@@ -15,13 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import PATTERNS
 from .registry import read
 
-LABEL = "substr('KKKKKNKNKKNNNKKNKNNNKNNN', 1 + 3 * cast({0} as int), 3)"
-
-
 def label(index: str) -> str:
-    return LABEL.format(f"({index})")
+    """SQL of the label number ``index``, for both engines."""
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATTERNS)) + " END"
 
 
 def _same_bits(a: str, b: str) -> str:

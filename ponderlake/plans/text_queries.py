@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic, parsing, text
 from ..operators import audit, generation, positions, puzzles
-from .base import ASSIGN_SQL, KNIGHT, PUZZLE_SQL, TRUTH, puzzle_trees, puzzles as flat_puzzles
+from .base import ASSIGN_SQL, KNIGHT, PUZZLE_SQL, TRUTH, label, puzzle_trees, puzzles as flat_puzzles
 from .registry import query, read
 
 R6 = lambda c: F.round(c, 6)
@@ -30,7 +30,7 @@ _REASON = ("missing <answer> block", "ok", "ok", "invalid answer line: ''Bob is
 _ANSWER = ("invalid", "KNK", "KNN", "invalid", "invalid", "invalid", "invalid", "NNN", "invalid")
 _case = lambda xs: "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
 #: The oracle parses as well: block, lines, forms, names; the first faulty line decides.
-PARSE_SQL = f"""t AS (SELECT doc_id AS id, CASE doc_id % 9 {_ARMS_DUCK} END AS text, substr('KKKKKNKNKKNNNKKNKNNNKNNN', CAST(1 + 3 * (doc_id % 8) AS INT), 3) AS gold FROM documents),
+PARSE_SQL = f"""t AS (SELECT doc_id AS id, CASE doc_id % 9 {_ARMS_DUCK} END AS text, {label('doc_id % 8')} AS gold FROM documents),
 b AS (SELECT *, regexp_matches(text, '(?is)<answer>.*?</answer>') AS found, list_filter(list_transform(string_split(regexp_extract(text, '(?is)<answer>\\s*(.*?)\\s*</answer>', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM t),
 l AS (SELECT *, list_transform(lines, lambda x: lower(regexp_extract(x, '(?i)^([a-z][a-z0-9_-]*)\\s*:\\s*(knight|knave)$', 1))) AS names, list_transform(lines, lambda x: lower(regexp_extract(x, '(?i)^([a-z][a-z0-9_-]*)\\s*:\\s*(knight|knave)$', 2))) AS kinds FROM b),
 f AS (SELECT *, list_filter(list_transform(lines, lambda x, i: CASE WHEN names[i] = '' THEN 'invalid answer line: ''' || x || '''' WHEN NOT list_contains(['alice', 'bob', 'carol'], names[i]) THEN 'unknown person: ' || regexp_extract(x, '^([^:]*?)\\s*:', 1)
@@ -41,7 +41,7 @@ pa AS (SELECT id, text, gold, reason, reason = 'ok' AS ok, CASE WHEN reason = 'o
 
 
 def _parsed(spark, d):
-    x = read(spark, d, "documents").selectExpr("doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", "substr('KKKKKNKNKKNNNKKNKNNNKNNN', CAST(1 + 3 * (doc_id % 8) AS INT), 3) AS gold")
+    x = read(spark, d, "documents").selectExpr("doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", f"{label('doc_id % 8')} AS gold")
     x = x.withColumn("p", parsing.parse_answer(F.col("text"), people()))
     return x.select("id", "text", "gold", F.col("p.answer").alias("answer"), F.col("p.ok").alias("ok"), F.col("p.reason").alias("reason"), text.pattern_encode(F.col("p.answer"), people()).alias("pattern"))
 
@@ -100,7 +100,7 @@ def fmt_assignment(spark, d):
     return puzzles.assignments(spark).select("a", text.fmt_assignment(F.col("answer"), people()).alias("line"))
 
 
-@query("assign_enumerate", "SELECT a, substr('KKKKKNKNKKNNNKKNKNNNKNNN', 1 + 3 * a, 3) AS pattern FROM (SELECT CAST(unnest(range(8)) AS INT) AS a)")
+@query("assign_enumerate", f"SELECT a, {label('a')} AS pattern FROM (SELECT CAST(unnest(range(8)) AS INT) AS a)")
 def assign_enumerate(spark, d):
     return puzzles.assignments(spark).select("a", "pattern")
 
@@ -149,7 +149,7 @@ def puzzle_consistent(spark, d):
     return c.select("id", "solutions", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("a")).select("id", "a", logic.eval_mask(F.col("solutions"), F.col("a")).alias("consistent"))
 
 
-_SOLVED = f"{ASSIGN}, so AS (SELECT id, count(*) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS n, min(a) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS first FROM asg GROUP BY id), sp AS (SELECT id, n, substr('KKKKKNKNKKNNNKKNKNNNKNNN', CAST(1 + 3 * first AS INT), 3) AS pattern FROM so)"
+_SOLVED = f"{ASSIGN}, so AS (SELECT id, count(*) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS n, min(a) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS first FROM asg GROUP BY id), sp AS (SELECT id, n, {label('first')} AS pattern FROM so)"
 
 
 @query("puzzle_solve", f"{_SOLVED} SELECT id, CAST(n AS INT) AS n_solutions, pattern FROM sp")
