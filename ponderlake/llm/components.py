@@ -17,7 +17,9 @@ from . import shared
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(
+        F.col("v").alias("u"), F.col("m").alias("v")
+    ).where("u <> v").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -29,7 +31,9 @@ def _small(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``edges`` (u, v); nodes without edges aren't listed."""
-    e = shared.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    e = shared.table(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
+    )
     state = None
     while True:
         new = shared.table(_small(_large(e)), "stars")
@@ -39,4 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
         if sums == state:
             break
         state = sums
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

@@ -50,7 +50,9 @@ def digest(text: Column) -> Column:
     return F.sha2(white.cast("binary"), 256)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; a table in the shared folder."""
     shared.prepare(docs.sparkSession)
     size = F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("size")
@@ -62,9 +64,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         hits = rows.groupBy(bit.alias("bit")).agg(F.count("*").alias("n")).where("n > 1")
         place = F.col("bit").bitwiseAND((1 << _BITMAP) - 1)
-        again = hits.groupBy(F.shiftright("bit", _BITMAP).alias("page")).agg(F.bitmap_construct_agg(place).alias("bitmap"))
+        again = hits.groupBy(F.shiftright("bit", _BITMAP).alias("page")).agg(
+            F.bitmap_construct_agg(place).alias("bitmap")
+        )
 
-        probed = rows.withColumn("page", F.shiftright(bit, _BITMAP)).withColumn("at", bit.bitwiseAND((1 << _BITMAP) - 1).cast("int"))
+        probed = rows.withColumn("page", F.shiftright(bit, _BITMAP)).withColumn(
+            "at", bit.bitwiseAND((1 << _BITMAP) - 1).cast("int")
+        )
         probed = probed.join(F.broadcast(again), "page", "left")  # 2 ** MOST_BITS bits at most
         byte = "conv(hex(substring(bitmap, at div 8 + 1, 1)), 16, 10)"
         maybe = F.expr(f"coalesce(shiftright(int({byte}), at % 8) & 1 = 1, false)").alias("maybe")
@@ -83,7 +89,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         single = F.col("group_size").isNull()
         keep_id = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id")
         kept = (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept")
-        found = both.select("doc_id", keep_id, F.coalesce("group_size", F.lit(1)).alias("group_size"), kept, "text_sha256")
+        found = both.select(
+            "doc_id", keep_id, F.coalesce("group_size", F.lit(1)).alias("group_size"), kept, "text_sha256"
+        )
         return keep(shared.table(alone.unionByName(found), "copies"))
 
 

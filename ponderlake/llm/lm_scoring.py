@@ -88,7 +88,9 @@ class Local:
         pair, self.bigram = np.unique(before.astype(np.int64) * (self.n + 1) + token, return_inverse=True)
         self.left, self.right = pair // (self.n + 1), pair % (self.n + 1)
         left = np.append(hashes, _BEGIN)[self.left]
-        asked = np.concatenate([hashes, mix(left * U64(0x9E3779B97F4A7C15) + mix(hashes[self.right] if len(pair) else hashes[:0]))])
+        asked = np.concatenate(
+            [hashes, mix(left * U64(0x9E3779B97F4A7C15) + mix(hashes[self.right] if len(pair) else hashes[:0]))]
+        )
         # the lowest bit tells tokens from bigrams
         asked = asked & ~U64(1) | (np.arange(len(asked)) < self.n).astype(U64)
         bucket = ((mix(asked) >> U64(8)) % U64(n_buckets)).astype(np.int64)
@@ -128,7 +130,12 @@ def _gather(n_buckets: int):
         unique, token = unique[often], place[token]
         local = Local(unique, token, count, n_buckets)
         part = np.repeat(np.where(null, zlib.crc32(b"") % FOLDS, fold(pa.array(ids))), count)
-        sums = [np.concatenate([np.bincount(token[m], minlength=local.n), np.bincount(local.bigram[m], minlength=len(local.left))])[local.order] for m in (part != 0, part == DEV)]
+        sums = [
+            np.concatenate(
+                [np.bincount(token[m], minlength=local.n), np.bincount(local.bigram[m], minlength=len(local.left))]
+            )[local.order]
+            for m in (part != 0, part == DEV)
+        ]
         heads = np.flatnonzero(np.append(True, local.bucket[1:] != local.bucket[:-1]))
         span = list(zip(heads.tolist(), np.append(heads[1:], len(local.bucket)).tolist(), strict=True))
         steps = np.diff(local.asked, prepend=U64(0))
@@ -138,10 +145,25 @@ def _gather(n_buckets: int):
         by = {w: np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for w in set(width)}
         keys = [by[w][w * a : w * e] for (a, e), w in zip(span, width, strict=True)]
         bins = [keys, *(_narrow(x, span) for x in sums), [np.int64(e - a).tobytes() for a, e in span]]
-        yield pa.RecordBatch.from_arrays([pa.array(local.bucket[heads].astype(np.int32)), pa.array([flush] * len(heads), pa.int64()), *(pa.array(x, pa.binary()) for x in bins)], names=_NAMES)
-        planes = np.ascontiguousarray(token.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if local.n < 1 << 24 else 4]).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(local.bucket[heads].astype(np.int32)), pa.array([flush] * len(heads), pa.int64()),
+                *(pa.array(x, pa.binary()) for x in bins)
+            ],
+            names=_NAMES
+        )
+        planes = np.ascontiguousarray(
+            token.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if local.n < 1 << 24 else 4]
+        ).tobytes()
         docs = pa.array([np.concatenate([ids, null.astype(np.int64)]).tobytes()], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - mix_int(flush) % n_buckets], pa.int32()), pa.array([flush], pa.int64()), docs, pa.array([count.astype(np.int64).tobytes()], pa.binary()), pa.array([unique.tobytes()], pa.binary()), pa.array([planes], pa.binary())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1 - mix_int(flush) % n_buckets], pa.int32()), pa.array([flush], pa.int64()), docs,
+                pa.array([count.astype(np.int64).tobytes()], pa.binary()), pa.array([unique.tobytes()], pa.binary()),
+                pa.array([planes], pa.binary())
+            ],
+            names=_NAMES
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -175,7 +197,12 @@ def _answer(p: pd.DataFrame) -> pd.DataFrame:
         key[at : at + n] = np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
         at += n
     unique, at = np.unique(key, return_inverse=True)
-    out = [np.bincount(at, np.concatenate([_widen(x, n) for x, n in zip(p[c], sizes.tolist(), strict=True)]), len(unique)).astype(np.int64) for c in ("b", "c")]
+    out = [
+        np.bincount(
+            at, np.concatenate([_widen(x, n) for x, n in zip(p[c], sizes.tolist(), strict=True)]), len(unique)
+        ).astype(np.int64)
+        for c in ("b", "c")
+    ]
     word = (unique & U64(1)) > 0
     fit = out[0] - out[1]
     total = np.array([out[0][word].sum(), (out[0][word] > 0).sum(), fit[word].sum(), (fit[word] > 0).sum()], np.int64)
@@ -183,7 +210,17 @@ def _answer(p: pd.DataFrame) -> pd.DataFrame:
     span = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
     per = [_narrow(x[at], span) for x in out]
     rows = pd.DataFrame({"bucket": p["bucket"], "flush": p["flush"], "a": None, "b": per[0], "c": per[1], "d": None})
-    return pd.concat([rows, pd.DataFrame({"bucket": p["bucket"].iloc[:1], "flush": [-1], "a": [None], "b": [total.astype(">i8").tobytes()], "c": [b""], "d": [None]})])
+    return pd.concat(
+        [
+            rows,
+            pd.DataFrame(
+                {
+                    "bucket": p["bucket"].iloc[:1], "flush": [-1], "a": [None], "b": [total.astype(">i8").tobytes()],
+                    "c": [b""], "d": [None]
+                }
+            )
+        ]
+    )
 
 
 def _shares(two: np.ndarray, left: np.ndarray, one: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,13 +234,17 @@ def _opened(row: dict, n_buckets: int) -> tuple[Local, np.ndarray, np.ndarray, n
     count = np.frombuffer(row["b"], np.int64)
     planes = np.frombuffer(row["d"], np.uint8).reshape(-1, int(count.sum()))
     token = sum(x.astype(np.int64) << (8 * i) for i, x in enumerate(planes))
-    return Local(np.frombuffer(row["c"], np.uint64), token, count, n_buckets), token, count, ids[: len(count)], ids[len(count) :] > 0
+    return Local(
+        np.frombuffer(row["c"], np.uint64), token, count, n_buckets
+    ), token, count, ids[: len(count)], ids[len(count) :] > 0
 
 
 def _answers(row: dict, which: str, local: Local) -> np.ndarray:
     """Counts in the order asked."""
     size = np.bincount(local.bucket).tolist()
-    return np.concatenate([_widen(x[which], size[x["bucket"]]) for x in sorted(row["answers"], key=lambda x: x["bucket"])])
+    return np.concatenate(
+        [_widen(x[which], size[x["bucket"]]) for x in sorted(row["answers"], key=lambda x: x["bucket"])]
+    )
 
 
 def _cells(n_buckets: int, n: int, docs: int):
@@ -218,7 +259,10 @@ def _cells(n_buckets: int, n: int, docs: int):
                 one, two = local.counts(_answers(row, "b", local) - _answers(row, "c", local))  # without the held-out documents
                 left = np.append(one, docs)[local.before]
                 k, p2, p1 = _shares(two[local.bigram][dev], left[dev], one[token][dev], n)
-                q = [np.where(p > 0, np.rint(-STEP * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (p2, p1)]
+                q = [
+                    np.where(p > 0, np.rint(-STEP * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64)
+                    for p in (p2, p1)
+                ]
                 cell, events = np.unique(k << 40 | (q[0] + 1) << 20 | (q[1] + 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(events)], names=["cell", "events"])
 
@@ -228,7 +272,13 @@ def _cells(n_buckets: int, n: int, docs: int):
 def fit_weights(cell: np.ndarray, events: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
     """Weights (zero-, one-, two-word) for each frequency bucket, by expectation-maximisation."""
     k, q2, q1 = cell >> 40, (cell >> 20 & 0xFFFFF) - 1, (cell & 0xFFFFF) - 1
-    p = np.stack([np.full(len(cell), 1 / (types + 1)), np.where(q1 < 0, 0, 2.0 ** (-q1 / STEP)), np.where(q2 < 0, 0, 2.0 ** (-q2 / STEP))], 1)
+    p = np.stack(
+        [
+            np.full(len(cell), 1 / (types + 1)), np.where(q1 < 0, 0, 2.0 ** (-q1 / STEP)),
+            np.where(q2 < 0, 0, 2.0 ** (-q2 / STEP))
+        ],
+        1
+    )
     out = np.tile([0.1, 0.6, 0.3], (FREQUENCIES, 1))
     out[0] = [0.3, 0.7, 0.0]  # contexts never seen have no bigrams
     for j in range(FREQUENCIES):
@@ -262,9 +312,17 @@ def _score(n_buckets: int, n: int, types: int, docs: int, weights: np.ndarray):
                 at = np.concatenate([[0], np.cumsum(count)])[:-1]
                 held = np.where(null, zlib.crc32(b"") % FOLDS, fold(pa.array(ids))) == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=null), pa.array(held), pa.array(count), pa.array(np.add.reduceat((one[token] > 0).astype(np.int64), at)), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(model, at))],
+                    [
+                        pa.array(ids, mask=null),
+                        pa.array(held),
+                        pa.array(count),
+                        pa.array(np.add.reduceat((one[token] > 0).astype(np.int64), at)),
+                        pa.array(np.full(len(ids), n, np.int64)),
+                        pa.array(np.add.reduceat(base, at)),
+                        pa.array(np.add.reduceat(model, at))
+                    ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                )
 
     return run
 

@@ -49,17 +49,31 @@ def targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     """source_id, source_size, weight, target: one row per source (null-safe key ``source_id``)."""
     total = sizes.groupBy("source_id").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy("source_id")
-    weigh = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int"))
+    weigh = F.element_at(
+        F.array(*[F.lit(float(x)) for x in WEIGHTS]),
+        (F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")
+    )
     t = total.withColumn("weight", weigh).withColumn("cap", (F.col("source_size") * max_repeats).cast("double"))
     rising = Window.orderBy(F.col("cap") / F.col("weight"), "source_id")
     before = rising.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("past", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    t = t.withColumn("all_words", F.sum("source_size").over(whole)).withColumn("all_weight", F.sum("weight").over(whole))
+    t = t.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn(
+        "past", F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    )
+    t = t.withColumn(
+        "all_words", F.sum("source_size").over(whole)
+    ).withColumn("all_weight", F.sum("weight").over(whole))
     # the level if all before are at their caps and none from here on; it holds from the first that stays below its cap
     t = t.withColumn("level", (F.col("all_words") - F.col("capped")) / (F.col("all_weight") - F.col("past")))
-    t = t.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("past"), F.col("level")))).over(whole)["level"])
-    return t.select("source_id", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+    t = t.withColumn(
+        "level",
+        F.min(
+            F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("past"), F.col("level")))
+        ).over(whole)["level"]
+    )
+    return t.select(
+        "source_id", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target")
+    )
 
 
 def _invert(share: Column, weight: Column) -> Column:
@@ -77,18 +91,29 @@ def _invert(share: Column, weight: Column) -> Column:
     return F.round(out, 9)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3,
+    carry: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, size, source_size, target, taken, position (of its first use; null if never), its place ``before`` in the stream, ``weight``, and inner columns to ``carry``."""
     spark = shared.prepare(docs.sparkSession)
     size = words(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.col(source_col).isNull().alias("none"), F.col(source_col).alias("name")).alias("source_id"), size.alias("size"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.struct(F.col(source_col).isNull().alias("none"), F.col(source_col).alias("name")).alias("source_id"),
+        size.alias("size")
+    )
     rows = shared.table(rows.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     rows = rows.withColumn("bucket", F.substring("place", 1, BUCKET_HEX))
     per = targets(rows, max_repeats)
     sums = rows.groupBy("source_id", "bucket").agg(F.sum("size").alias("bucket_words"))
     ahead = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("ahead", F.coalesce(F.sum("bucket_words").over(ahead), F.lit(0))).join(per, "source_id").drop("bucket_words")
-    within = Window.partitionBy("source_id", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(
+        "ahead", F.coalesce(F.sum("bucket_words").over(ahead), F.lit(0))
+    ).join(per, "source_id").drop("bucket_words")
+    within = Window.partitionBy("source_id", "bucket").orderBy("place", "doc_id", "size").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     t = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["source_id", "bucket"])
     t = t.withColumn("before", F.col("ahead") + F.col("inside")).withColumn("goal", F.round("target").cast("long"))
     full = F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long")
@@ -96,10 +121,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     again = (F.col("size") > 0) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
     t = t.withColumn("taken", (F.col("full") + again.cast("long")) * F.col("size"))
     share = F.try_divide(F.col("before").cast("double"), F.col("target"))
-    return t.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, _invert(share, F.col("weight"))).alias("position"), "before", "weight", *carry)
-
-
-def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3) -> DataFrame:
+    return t.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.when(F.col("taken") > 0, _invert(share, F.col("weight"))).alias("position"),
+        "before",
+        "weight",
+        *carry
+    )
+
+
+def training_order(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3
+) -> DataFrame:
     """The rows of ``docs`` as training takes them, repeats included, range-sorted by position.
 
     Texts stay as they are.  Rows that repeat id, source and size share what one of them takes.
@@ -127,7 +164,10 @@ def _oracle() -> str:
         done, n, arms = 0.0, len(parts), []
         for i, m in enumerate(parts):
             part = m / sum(parts)
-            arms.append(f"WHEN share < CAST({done + part!r} AS DOUBLE) THEN (CAST({float(i)!r} AS DOUBLE) + (share - CAST({done!r} AS DOUBLE)) / CAST({part!r} AS DOUBLE)) / CAST({float(n)!r} AS DOUBLE)")
+            arms.append(
+                f"WHEN share < CAST({done + part!r} AS DOUBLE) THEN (CAST({float(i)!r} AS DOUBLE) + (share - "
+                f"CAST({done!r} AS DOUBLE)) / CAST({part!r} AS DOUBLE)) / CAST({float(n)!r} AS DOUBLE)"
+            )
             done += part
         phases.append(f"WHEN weight = {w} THEN least(CASE {' '.join(arms)} ELSE 1.0::DOUBLE END, 1.0::DOUBLE)")
     return rf"""

@@ -103,7 +103,9 @@ def registers(x: np.ndarray) -> np.ndarray:
 
 
 #: Where an empty bucket looks for a register, attempt by attempt.
-_LOOK = (mix(np.arange(REGISTERS * 64, dtype=U64) + U64(0x5DEECE66D)) % U64(REGISTERS)).astype(np.int64).reshape(REGISTERS, 64)
+_LOOK = (
+    mix(np.arange(REGISTERS * 64, dtype=U64) + U64(0x5DEECE66D)) % U64(REGISTERS)
+).astype(np.int64).reshape(REGISTERS, 64)
 
 
 def dense(regs: np.ndarray) -> np.ndarray:
@@ -149,7 +151,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in blocks(batches):
         b = Block(data, off, fold=True)
         value, first = shingles(b)
-        n, k1, k2, regs = np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.full((b.n, REGISTERS), EMPTY, np.uint16)
+        n, k1, k2, regs = np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.zeros(b.n, np.int64), np.full(
+            (b.n, REGISTERS), EMPTY, np.uint16
+        )
         for i in range(b.n):
             x = np.sort(value[first[i] : first[i + 1]])
             if not len(x):
@@ -159,7 +163,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1[i] = mix(x).sum(dtype=U64).astype(np.int64)
             k2[i] = mix(x ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).astype(np.int64)
             regs[i] = registers(x)
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (regs, dense(regs)))], names=["doc_id", "n", "k1", "k2", "regs", "full"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                rows.column("doc_id"),
+                pa.array(n),
+                pa.array(k1),
+                pa.array(k2),
+                *(pa.array([x.tobytes() for x in m], pa.binary()) for m in (regs, dense(regs)))
+            ],
+            names=["doc_id", "n", "k1", "k2", "regs", "full"]
+        )
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -315,7 +328,9 @@ def _lead_pairs(named: DataFrame, bands: DataFrame) -> DataFrame:
 def _search(named: DataFrame, bands: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (u, v) between different components of a band, found block against block, as a table."""
     parts = F.ceil(F.greatest(F.col("size") / PER_BLOCK, F.col("shingles") / PER_SETS)).cast("int")
-    rows = named.join(bands.select("band", parts.alias("parts")), "band").withColumn("mine", F.pmod(F.hash("node"), F.col("parts")))
+    rows = named.join(
+        bands.select("band", parts.alias("parts")), "band"
+    ).withColumn("mine", F.pmod(F.hash("node"), F.col("parts")))
     # a row goes to each pair of blocks that its own is one of: side 0 within a block, 1 and 2 between two
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)

@@ -102,7 +102,15 @@ class Pieces:
         worse = self.rank[made2[known]] <= self.rank[side[known]]
         safe[side[known][worse]] = False
         self.safe = safe
-        raw = [bytes([self.byte_of[i]]) if self.byte_of[i] >= 0 else b"" if special[i] else x.replace(SPACE, " ").encode() for i, x in enumerate(self.names)]
+        raw = [
+            bytes([self.byte_of[i]])
+            if self.byte_of[i] >= 0
+            else b""
+            if special[i]
+            else x.replace(SPACE, " ").encode()
+            for i,
+            x in enumerate(self.names)
+        ]
         self.raw_len = np.array([len(x) for x in raw], np.int64)
         self.raw_at = np.concatenate([[0], np.cumsum(self.raw_len)])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -134,7 +142,9 @@ class Pieces:
             self.slots[at[put]], self.makes[at[put]] = key[put], made[put]
             left = np.setdiff1d(left, put, assume_unique=True)
             at[left] += 1
-        self.probes = int((np.arange(len(self.slots))[self.slots >= 0] - self._slot(self.slots[self.slots >= 0])).max(initial=0)) + 1
+        self.probes = int(
+            (np.arange(len(self.slots))[self.slots >= 0] - self._slot(self.slots[self.slots >= 0])).max(initial=0)
+        ) + 1
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -215,7 +225,9 @@ class Pieces:
             nxt = np.minimum(near_ + 1, len(sym) - 1)
             ok = (nxt > near_) & (seg[near_] == seg[nxt])
             made[near_] = np.where(ok, self._pair(sym[near_], sym[nxt]), -1)
-        sym, seg = np.concatenate(done_sym or [np.zeros(0, np.int64)]), np.concatenate(done_seg or [np.zeros(0, np.int64)])
+        sym, seg = np.concatenate(
+            done_sym or [np.zeros(0, np.int64)]
+        ), np.concatenate(done_seg or [np.zeros(0, np.int64)])
         order = np.argsort(seg, kind="stable")
         sym, seg = sym[order], seg[order]
         return self._fallback(sym, seg, len(segments))
@@ -239,7 +251,9 @@ class Pieces:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         n = len(self.cache)
         while n + len(segments) > len(self.begin):
-            self.begin, self.length = np.concatenate([self.begin, self.begin * 0]), np.concatenate([self.length, self.length * 0])
+            self.begin, self.length = np.concatenate([self.begin, self.begin * 0]), np.concatenate(
+                [self.length, self.length * 0]
+            )
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + len(segments)] = self.used + np.concatenate([[0], np.cumsum(count)[:-1]])
         self.length[n : n + len(segments)] = count
@@ -396,9 +410,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         model = pieces(path)
         for rows, data, off in blocks(batches, size=1 << 20):
             ids, count = model.encode(_texts(data, off))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids)
+                    )
+                ],
+                names=["doc_id", "ids"]
+            )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    ).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -409,9 +433,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         model = pieces(path)
         for rows in batches:
             col = rows.column("ids")
-            count = np.diff(np.asarray(col.offsets)) if not col.null_count else np.array([0 if x is None else len(x) for x in col.to_pylist()])
+            count = np.diff(np.asarray(col.offsets)) if not col.null_count else np.array(
+                [0 if x is None else len(x) for x in col.to_pylist()]
+            )
             ids = np.asarray(col.flatten())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([x.decode() for x in model.decode(ids, count)], pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array([x.decode() for x in model.decode(ids, count)], pa.string())],
+                names=["doc_id", "text"]
+            )
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -424,12 +453,19 @@ def tokenise(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), te
         model = pieces(path)
         for rows, data, off in blocks(batches, text="__text", size=1 << 20):
             ids, count = model.encode(_texts(data, off))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids))
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(ids)
+            )
             sha = pa.array([hashlib.sha256(x).hexdigest() for x in model.decode(ids, count)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(count, pa.int64()), lists, sha], names=[*keep, "n_tokens", "ids", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c) for c in keep), pa.array(count, pa.int64()), lists, sha],
+                names=[*keep, "n_tokens", "ids", "decoded_sha256"]
+            )
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids array<int>", "decoded_sha256 string"])
+    schema = ", ".join(
+        [*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids array<int>", "decoded_sha256 string"]
+    )
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -442,6 +478,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
         for rows, data, off in blocks(batches, size=1 << 20):
             ids, count = model.encode(_texts(data, off))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(count, pa.int64()), sha(model.listed(ids, count)), sha(model.decode(ids, count))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"), pa.array(count, pa.int64()), sha(model.listed(ids, count)),
+                    sha(model.decode(ids, count))
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

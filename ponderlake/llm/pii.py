@@ -60,7 +60,9 @@ _FIRST_DAY, _DAYS = "1900-01-01", 73049
 
 def _sql(text: str) -> str:
     """An SQL string literal."""
-    return "r'" + text.replace("'", "''") + "'" if "'" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "r'" + text.replace("'", "''") + "'" if "'" not in text else "'" + text.replace(
+        "\\", "\\\\"
+    ).replace("'", "\\'") + "'"
 
 
 def _network(value: str, left: str, right: str, kind: str, key: str) -> str:
@@ -158,6 +160,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     arms = " ".join(f"WHEN kind = '{k}' THEN {_replace(k, 'v', key)}" for k in KINDS)
     d = d.withColumn("new", F.expr(f"zip_with(hits, kinds, (v, kind) -> CASE {arms} END)"))
     masked = f"CASE WHEN size(hits) > 0 THEN array_join(zip_with(split(text, {_sql(ALL)}, -1), concat(zip_with(hits, new, (v, n) -> coalesce(n, v)), array('')), (a, b) -> concat(a, b)), '') ELSE text END"
-    count = lambda k: F.expr(f"cast(coalesce(size(filter(zip_with(kinds, new, (k, n) -> k = '{k}' AND n IS NOT NULL), x -> x)), 0) as bigint)").alias(f"n_{k}")
+    count = lambda k: F.expr(
+        f"cast(coalesce(size(filter(zip_with(kinds, new, (k, n) -> k = '{k}' AND n IS NOT NULL), x -> x)), 0) as "
+        f"bigint)"
+    ).alias(f"n_{k}")
     found = F.expr("cast(coalesce(size(filter(new, x -> x IS NOT NULL)), 0) as bigint)").alias("n_found")
     return d.select("doc_id", F.expr(masked).alias("text"), found, *[count(k) for k in KINDS])

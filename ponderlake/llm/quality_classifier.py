@@ -59,7 +59,9 @@ def ngrams(b: Block) -> tuple[np.ndarray, np.ndarray]:
         classes |= ((sums[b.end] - sums[b.start]) > 0).astype(np.uint8) * np.uint8(bit)
     pair = np.append(False, doc[1:] == doc[:-1]) if len(h) else np.zeros(0, bool)
     same = pair & (h == np.roll(h, 1))
-    shape = mix(classes.astype(U64) | (np.minimum(b.end - b.start, 3).astype(U64) << U64(8)) | (same.astype(U64) << U64(16)))
+    shape = mix(
+        classes.astype(U64) | (np.minimum(b.end - b.start, 3).astype(U64) << U64(8)) | (same.astype(U64) << U64(16))
+    )
     out, owner = [], []
     for x, seed in ((h, mix_int(1)), (shape, mix_int(2))):
         two = mix(np.roll(x, 1) * U64(0x9E3779B97F4A7C15) + x)[pair]
@@ -79,7 +81,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums[1] += np.bincount(bucket[label[owner] == 1], minlength=BUCKETS)
         docs += [b.n, int((label == 1).sum()), int((label >= 0).sum())]
     model, at = np.nonzero(sums)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(model, [0, 1, 2]).astype(np.int32)), pa.array(np.append(at, [-1, -1, -1]).astype(np.int32)), pa.array(np.append(sums[model, at], docs))], names=["model", "bucket", "n"])
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(model, [0, 1, 2]).astype(np.int32)),
+            pa.array(np.append(at, [-1, -1, -1]).astype(np.int32)), pa.array(np.append(sums[model, at], docs))
+        ],
+        names=["model", "bucket", "n"]
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
@@ -92,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
         return np.zeros(BUCKETS), 1.0
     ids = usable.where("quality = 1").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class)
     x = docs.join(F.broadcast(ids), "doc_id", "left").select("text", "quality")  # per_class ids at most
-    rows = x.mapInArrow(_counts, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).where("bucket >= 0").toPandas()
+    rows = x.mapInArrow(
+        _counts, "model int, bucket int, n long"
+    ).groupBy("model", "bucket").agg(F.sum("n").alias("n")).where("bucket >= 0").toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[rows["model"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     p = (counts + 1) / (counts + 1).sum(1, keepdims=True)
@@ -120,7 +130,9 @@ def log_weight(ratio: np.ndarray):
 
 def gumbel(doc_id: Column, seed: int) -> Column:
     """Standard Gumbel noise that depends on the id and the seed."""
-    u = (F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (
+        F.pmod(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52)) + 0.5
+    ) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
@@ -134,7 +146,9 @@ def kth_largest(keys: DataFrame, k: int, n: int) -> float:
         width = (high - low) / 1024
         if width <= 0:
             return high
-        counts = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(1023)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).toPandas().sort_values("bin", ascending=False)
+        counts = inside.groupBy(F.least(F.floor((F.col("key") - low) / width), F.lit(1023)).alias("bin")).agg(
+            F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")
+        ).toPandas().sort_values("bin", ascending=False)
         for n_bin, a, b in zip(counts["n"], counts["a"], counts["b"], strict=True):
             if above + n_bin >= k:
                 break

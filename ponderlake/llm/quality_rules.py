@@ -42,7 +42,10 @@ RULES: tuple[tuple[str, str], ...] = (
 BITS = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BITS["few_words"] | BITS["repeated_words"]
 #: Versions of the policy: the rules that remove a document.
-POLICIES = {"v1": BASE | BITS["symbols"], "v2": BASE | BITS["symbols"] | BITS["duplicate_lines"] | BITS["short_words"] | BITS["long_words"]}
+POLICIES = {
+    "v1": BASE | BITS["symbols"],
+    "v2": BASE | BITS["symbols"] | BITS["duplicate_lines"] | BITS["short_words"] | BITS["long_words"]
+}
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -89,13 +92,18 @@ def measure_block(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, off in blocks(batches):
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *map(pa.array, measure_block(data, off))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), *map(pa.array, measure_block(data, off))],
+            names=[x.split()[0] for x in _SCHEMA.split(", ")]
+        )
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and ``failed`` (bit mask of failed rules), one row per document."""
     shared.prepare(docs.sparkSession)
-    m = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_measure, _SCHEMA)
+    m = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    ).mapInArrow(_measure, _SCHEMA)
     failed = sum((F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)) for name, rule in RULES), F.lit(0))
     return m.withColumn("failed", failed.cast("long"))
 
@@ -115,7 +123,12 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
     """
     mask = POLICIES[policy]
     masks = led.groupBy(F.col("failed").bitwiseAND(mask).alias("failed")).agg(F.count("*").alias("n"))
-    rules = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(BITS[name]).cast("long").alias("bit")) for name, _ in RULES if BITS[name] & mask])
+    rules = F.array(
+        *[
+            F.struct(F.lit(name).alias("rule"), F.lit(BITS[name]).cast("long").alias("bit")) for name,
+            _ in RULES if BITS[name] & mask
+        ]
+    )
     x = masks.withColumn("r", F.explode(rules)).select("failed", "n", "r.rule", "r.bit")
     hit = F.col("failed").bitwiseAND(F.col("bit")) != 0
     only = F.col("failed") == F.col("bit")

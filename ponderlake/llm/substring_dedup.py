@@ -87,7 +87,9 @@ def _pack(bucket: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     out = [pa.array(bucket[heads].astype(np.int32))]
     for c in cols:
         raw, w = np.ascontiguousarray(c).tobytes(), c.dtype.itemsize
-        out.append(pa.array([raw[a * w : b * w] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary()))
+        out.append(
+            pa.array([raw[a * w : b * w] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary())
+        )
     return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _ROW.split(", ")])
 
 
@@ -239,7 +241,9 @@ def _fulls(n_buckets: int, window: int, half: int):
                 d = b.doc_of_word()[full]
                 one = windows(h, window, 0xC2B2AE3D27D4EB4F)[full]
                 more = (windows(mix(h ^ U64(0x165667B19E3779F9)), window)[full] >> U64(32)).astype(np.uint32)
-                yield (one, more, np.asarray(rows.column("doc_id"))[d], (full - b.first[d]).astype(np.int32)), 8 * len(full)
+                yield (
+                    one, more, np.asarray(rows.column("doc_id"))[d], (full - b.first[d]).astype(np.int32)
+                ), 8 * len(full)
 
     return lambda batches: _held(entries(batches), n_buckets)
 
@@ -284,7 +288,9 @@ def _longer(window: int):
                 got, (at, hs) = _cut(place[pick] >> 40, [(place[pick] & 0xFFFFFFFF).astype(np.int32), h[pick]])
                 if len(got):
                     ids = rows.column("doc_id").take(pa.array(got))
-                    cols = [ids, pa.array(np.full(len(got), length)), pa.array(at, pa.binary()), pa.array(hs, pa.binary())]
+                    cols = [
+                        ids, pa.array(np.full(len(got), length)), pa.array(at, pa.binary()), pa.array(hs, pa.binary())
+                    ]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "length", "at", "hash"])
 
     return run
@@ -324,8 +330,12 @@ def _result(window: int):
             span = zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
             sha = [hashlib.sha256(raw[a : max(a, e - 1)]).hexdigest() for a, e in span]
             lost = pa.array(per_doc(gone, b.first))
-            cols = [rows.column("doc_id"), pa.array(b.counts.astype(np.int64)), lost, pa.array(sha), rows.column("longest")]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
+            cols = [
+                rows.column("doc_id"), pa.array(b.counts.astype(np.int64)), lost, pa.array(sha), rows.column("longest")
+            ]
+            yield pa.RecordBatch.from_arrays(
+                cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"]
+            )
 
     return run
 

@@ -165,7 +165,9 @@ def strings(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches cut so that each holds about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         data, off = strings(batch.column(text))

@@ -98,10 +98,16 @@ class Network:
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         draw = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype(f32)
         self.p = {
-            "word": (r.normal(size=(len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(f32), "char": (r.normal(size=(1 << GRAM_BITS, CHAR_DIM)) * 0.1).astype(f32),
-            "wf": draw(d, 3 * h), "uf": draw(h, 3 * h), "bf": np.zeros(3 * h, f32), "wb": draw(d, 3 * h), "ub": draw(h, 3 * h), "bb": np.zeros(3 * h, f32),
-            "att": draw(2 * h, ATTEND), "v": draw(ATTEND, 1)[:, 0], "out": draw(2 * h, 1)[:, 0], "bias": np.array([-3], f32),
-        }
+            "word": (
+                r.normal(size=(len(vocabulary) + 1, WORD_DIM)) * 0.1
+            ).astype(f32), "char": (r.normal(size=(1 << GRAM_BITS, CHAR_DIM)) * 0.1).astype(f32),
+            "wf": draw(d, 3 * h), "uf": draw(h, 3 * h), "bf": np.zeros(
+                3 * h, f32
+            ), "wb": draw(d, 3 * h), "ub": draw(h, 3 * h), "bb": np.zeros(3 * h, f32),
+            "att": draw(
+                2 * h, ATTEND
+            ), "v": draw(ATTEND, 1)[:, 0], "out": draw(2 * h, 1)[:, 0], "bias": np.array([-3], f32),
+        }
         self.m = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.s = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.t = 0
@@ -112,10 +118,14 @@ class Network:
         at = np.searchsorted(self.vocabulary, w.hash)
         known = (at < n) & (self.vocabulary[np.minimum(at, n - 1)] == w.hash) if n else np.zeros(len(at), bool)
         ids = np.where(known, at, n)
-        sums = np.add.reduceat(self.p["char"][w.grams], np.concatenate([[0], np.cumsum(w.n_grams)[:-1]])) if len(w.hash) else np.zeros((0, CHAR_DIM), f32)
+        sums = np.add.reduceat(
+            self.p["char"][w.grams], np.concatenate([[0], np.cumsum(w.n_grams)[:-1]])
+        ) if len(w.hash) else np.zeros((0, CHAR_DIM), f32)
         return np.concatenate([self.p["word"][ids], sums * w.scale], 1), ids
 
-    def _run(self, proj: np.ndarray, index: np.ndarray, mask: np.ndarray | None, d: str, keep: list | None) -> np.ndarray:
+    def _run(
+        self, proj: np.ndarray, index: np.ndarray, mask: np.ndarray | None, d: str, keep: list | None
+    ) -> np.ndarray:
         """States [step, window, hidden] in one direction; index [window, step] into proj."""
         u, n, h = self.p["u" + d], len(index), HIDDEN
         out = np.empty((WIDTH, n, h), f32)
@@ -137,7 +147,9 @@ class Network:
         """Logit of each window; x: inputs of distinct words, index [window, step]."""
         mask = None if (size == WIDTH).all() else np.arange(WIDTH) < size[:, None]
         kf, kb = ([], []) if store is not None else (None, None)
-        h = np.concatenate([self._run(x @ self.p["w" + d] + self.p["b" + d], index, mask, d, k) for d, k in (("f", kf), ("b", kb))], 2)
+        h = np.concatenate(
+            [self._run(x @ self.p["w" + d] + self.p["b" + d], index, mask, d, k) for d, k in (("f", kf), ("b", kb))], 2
+        )
         a = np.tanh(h @ self.p["att"])
         e = a @ self.p["v"]
         if mask is not None:
@@ -197,7 +209,11 @@ class Network:
 
 def _block(texts: list[str]) -> Block:
     raw = [x.encode() for x in texts]
-    return Block(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), fold=True)
+    return Block(
+        np.frombuffer(b"".join(raw), np.uint8),
+        np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64),
+        fold=True
+    )
 
 
 def _index(b: Block, of: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -214,7 +230,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     often = np.argsort(-n, kind="stable")[:VOCABULARY]
     net = Network(u[often[n[often] >= 3]])
     order, r = np.arange(len(texts)), np.random.default_rng(seed)
-    weight = np.where(toxic == 1, len(toxic) / 2 / max(1, (toxic == 1).sum()), len(toxic) / 2 / max(1, (toxic == 0).sum()))
+    weight = np.where(
+        toxic == 1, len(toxic) / 2 / max(1, (toxic == 1).sum()), len(toxic) / 2 / max(1, (toxic == 0).sum())
+    )
     rounds = EPOCHS * max(1, min(8, 600 // max(1, len(texts))))
     for epoch in range(rounds):
         r.shuffle(order)
@@ -251,7 +269,11 @@ def score_block(net: Network, b: Block) -> np.ndarray:
             # only the words of these windows are projected
             index = _index(b, w.of, doc[pick], at[pick])
             used, index = np.unique(index, return_inverse=True)
-            np.maximum.at(out, doc[pick], _sigmoid(net.forward(x[used], index.reshape(len(pick), WIDTH), size[pick]).astype(float)))
+            np.maximum.at(
+                out,
+                doc[pick],
+                _sigmoid(net.forward(x[used], index.reshape(len(pick), WIDTH), size[pick]).astype(float))
+            )
     return out
 
 
@@ -263,7 +285,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     """Whole texts and labels of the bounded training sample, in a fixed order."""
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.where((rest != HELD_OUT) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = usable.where(
+        (rest != HELD_OUT) & F.col("toxic").isin(0, 1)
+    ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     worded = docs.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     known = usable.join(worded.select("doc_id"), "doc_id", "left_semi")
     place = F.md5(F.col("doc_id").cast("string"))
@@ -273,7 +297,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     rows.sort(key=lambda r: r["doc_id"])
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     if rows and len(set(toxic.tolist())) < 2:
-        warnings.warn(f"all {len(rows)} labelled documents outside the held-out part have toxic = {toxic[0]}: nothing is learnt", stacklevel=3)
+        warnings.warn(
+            f"all {len(rows)} labelled documents outside the held-out part have toxic = {toxic[0]}: nothing is learnt",
+            stacklevel=3
+        )
     return [r["text"] for r in rows], toxic
 
 
@@ -290,6 +317,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             b = Block(data, off, fold=True)
             s = score_block(net, b) if net else np.where(b.counts > 0, prior, 0.0)
             ids = rows.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_remainder(ids) == HELD_OUT), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(_remainder(ids) == HELD_OUT), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))],
+                names=["doc_id", "held_out", "score", "predicted"]
+            )
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
