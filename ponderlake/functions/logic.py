@@ -69,7 +69,9 @@ def truth_masks(people: list[str]) -> dict[str, int]:
 def analyse(tree: dict, people: list[str]) -> tuple[int, str, int, int, list[int]]:
     """Mask, sentence, nodes, depth and count of each operator, by an explicit stack (any depth)."""
     masks, full = truth_masks(people), (1 << (1 << len(people))) - 1
-    meaning: dict[str, Callable[..., int]] = {"not": lambda a: full & ~a, "and": lambda a, b: a & b, "or": lambda a, b: a | b}
+    meaning: dict[str, Callable[..., int]] = {
+        "not": lambda a: full & ~a, "and": lambda a, b: a & b, "or": lambda a, b: a | b
+    }
     ops, depth, done, todo = dict.fromkeys(OPS, 0), 0, [], [(tree, 1, False)]
     while todo:
         node, level, ready = todo.pop()
@@ -84,10 +86,17 @@ def analyse(tree: dict, people: list[str]) -> tuple[int, str, int, int, list[int
         depth = max(depth, level)
         if op == "person_is":
             mask = masks[node["person"]]
-            done.append((mask if node["value"] == "knight" else full & ~mask, SENTENCES[op].format(node["person"], node["value"])))
+            done.append(
+                (
+                    mask if node["value"] == "knight" else full & ~mask,
+                    SENTENCES[op].format(node["person"], node["value"])
+                )
+            )
         elif op in ("same", "different"):
             differ = masks[node["left"]] ^ masks[node["right"]]
-            done.append((differ if op == "different" else full & ~differ, SENTENCES[op].format(node["left"], node["right"])))
+            done.append(
+                (differ if op == "different" else full & ~differ, SENTENCES[op].format(node["left"], node["right"]))
+            )
         else:
             todo.append((node, level, True))
             todo.extend((node[k], level + 1, False) for k in (("expr",) if op == "not" else ("right", "left")))
@@ -129,7 +138,11 @@ def eval_mask(mask: Column, assignment: Column) -> Column:
 def consistent_mask(statement_masks: Column, speaker_masks: Column, n_people: int = 3) -> Column:
     """Bit i: under assignment i every statement is as true as its speaker is a knight."""
     full = (1 << (1 << n_people)) - 1
-    return F.aggregate(F.arrays_zip(statement_masks.alias("m"), speaker_masks.alias("s")), F.lit(full), lambda t, x: t.bitwiseAND(F.bitwise_not(x["m"].bitwiseXOR(x["s"]))))
+    return F.aggregate(
+        F.arrays_zip(statement_masks.alias("m"), speaker_masks.alias("s")),
+        F.lit(full),
+        lambda t, x: t.bitwiseAND(F.bitwise_not(x["m"].bitwiseXOR(x["s"])))
+    )
 
 
 def puzzle_key(people: Column, statements: Column) -> Column:
@@ -137,5 +150,11 @@ def puzzle_key(people: Column, statements: Column) -> Column:
 
     ``statements``: array of struct(speaker, expr as JSON text).
     """
-    canon = F.transform(statements, lambda s: F.concat(F.lit('{"expr":'), F.to_json(F.parse_json(s["expr"])), F.lit(',"speaker":'), F.to_json(F.struct(s["speaker"].alias("x"))), F.lit("}")))
+    canon = F.transform(
+        statements,
+        lambda s: F.concat(
+            F.lit('{"expr":'), F.to_json(F.parse_json(s["expr"])), F.lit(',"speaker":'),
+            F.to_json(F.struct(s["speaker"].alias("x"))), F.lit("}")
+        )
+    )
     return F.sha2(F.concat(F.to_json(F.struct(people.alias("people"))), F.array_join(canon, ",")), 256)

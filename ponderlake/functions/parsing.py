@@ -24,7 +24,9 @@ def parse_answer(text: Column, people: Column) -> Column:
     Names and values are matched without case and returned as in ``people`` and in lower case.
     """
     block, found = F.regexp_extract(text, BLOCK, 1), F.regexp_like(text, F.lit(BLOCK))
-    lines = F.filter(F.transform(F.split(block, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    lines = F.filter(
+        F.transform(F.split(block, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""
+    )
 
     def read(line: Column) -> Column:
         name = F.lower(F.regexp_extract(line, FORM, 1))
@@ -47,7 +49,9 @@ def parse_answer(text: Column, people: Column) -> Column:
     first = F.get(F.filter(F.transform(rows, fault), lambda x: x.isNotNull()), F.lit(0))
     absent = F.array_sort(F.array_except(people, names))
     missing = F.concat(F.lit(MISSING + "['"), F.array_join(absent, "', '"), F.lit("']"))
-    reason = F.when(text.isNull() | ~found, NO_BLOCK).when(first.isNotNull(), first).when(F.size(absent) > 0, missing).otherwise("ok")
+    reason = F.when(
+        text.isNull() | ~found, NO_BLOCK
+    ).when(first.isNotNull(), first).when(F.size(absent) > 0, missing).otherwise("ok")
     answer = F.when(reason == "ok", F.map_from_arrays(names, F.transform(rows, lambda r: r["kind"])))
     return F.struct(answer.alias("answer"), (reason == "ok").alias("ok"), reason.alias("reason"))
 
@@ -63,7 +67,11 @@ def reward_exact(answer: Column, gold: Column) -> Column:
 
 def reward_partial(answer: Column, gold: Column) -> Column:
     """Share of people whose type is right (K/N strings of one length)."""
-    same = F.aggregate(F.sequence(F.lit(1), F.length(gold)), F.lit(0), lambda t, i: t + (F.substring(answer, i, 1) == F.substring(gold, i, 1)).cast("int"))
+    same = F.aggregate(
+        F.sequence(F.lit(1), F.length(gold)),
+        F.lit(0),
+        lambda t, i: t + (F.substring(answer, i, 1) == F.substring(gold, i, 1)).cast("int")
+    )
     return F.coalesce(same / F.length(gold), F.lit(0.0))
 
 
@@ -72,11 +80,18 @@ def reward(answer: Column, gold: Column, mode: str = "exact") -> Column:
     modes = {"exact": reward_exact, "partial": reward_partial}
     if mode not in modes:
         raise ValueError(f"unknown reward mode {mode!r}")
-    return F.when(F.length(gold) == 0, F.raise_error(F.lit("no people"))).when(answer.isNull(), F.lit(0.0)).otherwise(modes[mode](answer, gold))
+    return F.when(
+        F.length(gold) == 0, F.raise_error(F.lit("no people"))
+    ).when(answer.isNull(), F.lit(0.0)).otherwise(modes[mode](answer, gold))
 
 
-def reward_configurable(correct: Column, parsed: Column, format_valid: Column, right: float = 1.0, unparsed: float = 0.0, malformed: float = 0.0, wrong: float = 0.0) -> Column:
-    return F.when(correct, F.lit(right)).when(~parsed, F.lit(unparsed)).when(~format_valid, F.lit(malformed)).otherwise(F.lit(wrong))
+def reward_configurable(
+    correct: Column, parsed: Column, format_valid: Column, right: float = 1.0, unparsed: float = 0.0,
+    malformed: float = 0.0, wrong: float = 0.0
+) -> Column:
+    return F.when(correct, F.lit(right)).when(~parsed, F.lit(unparsed)).when(
+        ~format_valid, F.lit(malformed)
+    ).otherwise(F.lit(wrong))
 
 
 def eval_record(text: Column, people: Column, gold: Column) -> Column:
@@ -85,4 +100,7 @@ def eval_record(text: Column, people: Column, gold: Column) -> Column:
 
     p = parse_answer(text, people)
     pattern = pattern_encode(p["answer"], people)
-    return F.struct(p["answer"].alias("parsed_answer"), p["reason"].alias("parse_reason"), p["ok"].alias("format_valid"), pattern.alias("prediction_pattern"), (pattern == gold).alias("correct"))
+    return F.struct(
+        p["answer"].alias("parsed_answer"), p["reason"].alias("parse_reason"), p["ok"].alias("format_valid"),
+        pattern.alias("prediction_pattern"), (pattern == gold).alias("correct")
+    )

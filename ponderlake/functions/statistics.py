@@ -23,7 +23,11 @@ def wilson_ci(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
 
 
 def log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1)).cast("bigint")), F.lit(0.0), lambda t, i: t + F.log(i.cast("double")))
+    return F.aggregate(
+        F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1)).cast("bigint")),
+        F.lit(0.0),
+        lambda t, i: t + F.log(i.cast("double"))
+    )
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
@@ -32,9 +36,14 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
     # terms C(n, i) / 2^n by their ratios, from i = 0
     start = F.struct((-n * math.log(2)).alias("term"), F.exp(-n * math.log(2)).alias("sum"))
     tail = F.aggregate(
-        F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<bigint>")),
+        F.when(
+            k >= 1, F.sequence(F.lit(1).cast("bigint"), F.greatest(k, F.lit(1)))
+        ).otherwise(F.array().cast("array<bigint>")),
         start,
-        lambda s, i: F.struct((s["term"] + F.log((n - i + 1) / i)).alias("term"), (s["sum"] + F.exp(s["term"] + F.log((n - i + 1) / i))).alias("sum")),
+        lambda s, i: F.struct(
+            (s["term"] + F.log((n - i + 1) / i)).alias("term"),
+            (s["sum"] + F.exp(s["term"] + F.log((n - i + 1) / i))).alias("sum")
+        ),
         lambda s: s["sum"],
     )
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
@@ -76,7 +85,10 @@ def _upper_gamma(a: float, x: float) -> float:
 @F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution."""
-    return pd.Series([None if v is None or np.isnan(v) else _upper_gamma(d / 2, v / 2) for v, d in zip(x, dof, strict=True)], dtype="float64")
+    return pd.Series(
+        [None if v is None or np.isnan(v) else _upper_gamma(d / 2, v / 2) for v, d in zip(x, dof, strict=True)],
+        dtype="float64"
+    )
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -84,7 +96,10 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     d = 1 / (d or tiny)
     h = d
     for m in range(1, 10000):
-        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+        for t in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        ):
             d = 1 / (1 + t * d or tiny)
             c = 1 + t / c or tiny
             h *= d * c
@@ -95,12 +110,16 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
 
 def _t_two_sided(t: float, dof: float) -> float:
     x, a, b = dof / (dof + t * t), dof / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if 0 < x < 1 else 0.0
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)
+    ) if 0 < x < 1 else 0.0
     if x <= 0:
         return 0.0
     if x >= 1:
         return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(
+        b, a, 1 - x
+    ) / b
 
 
 @F.pandas_udf(DoubleType())

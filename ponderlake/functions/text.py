@@ -12,7 +12,10 @@ OPS = ("person_is", "same", "different", "not", "and", "or")
 
 def pattern_encode(answer: Column, people: Column, invalid: str = "invalid") -> Column:
     """K/N string of an assignment map in the order of ``people``; a null map or a missing person is invalid."""
-    marks = F.transform(people, lambda p: F.when(F.try_element_at(answer, p) == "knight", "K").when(F.try_element_at(answer, p) == "knave", "N"))
+    marks = F.transform(
+        people,
+        lambda p: F.when(F.try_element_at(answer, p) == "knight", "K").when(F.try_element_at(answer, p) == "knave", "N")
+    )
     whole = F.when(~F.exists(marks, lambda m: m.isNull()), F.array_join(marks, ""))
     return F.coalesce(F.when(answer.isNotNull(), whole), F.lit(invalid))
 
@@ -43,7 +46,13 @@ PROMPT_TAIL = {
         "Bob: knight|knave",
         "Carol: knight|knave",
     ),
-    "answer_only": ("", "Return exactly one answer block inside <answer>...</answer>:", "Alice: knight", "Bob: knave", "Carol: knight"),
+    "answer_only": (
+        "",
+        "Return exactly one answer block inside <answer>...</answer>:",
+        "Alice: knight",
+        "Bob: knave",
+        "Carol: knight"
+    ),
 }
 #: The first and last line of a reasoning trace, and its sentences.
 TRACE_HEAD = "I check all possible assignments."
@@ -76,10 +85,18 @@ def fmt_reasoning_trace(statement_masks: Column, speaker_at: Column, people: Col
 
     def line(i: Column) -> Column:
         kinds = F.transform(people, lambda p, j: F.concat(p, F.when(_knight(i, j), "=knight").otherwise("=knave")))
-        wrong = F.filter(F.sequence(F.lit(0), F.size(statement_masks) - 1), lambda s: _bit(F.get(statement_masks, s), i) != _knight(i, F.get(speaker_at, s)))
+        wrong = F.filter(
+            F.sequence(F.lit(0), F.size(statement_masks) - 1),
+            lambda s: _bit(F.get(statement_masks, s), i) != _knight(i, F.get(speaker_at, s))
+        )
         names = F.array_join(F.transform(wrong, lambda s: F.get(people, F.get(speaker_at, s))), ", ")
         because = F.concat(F.lit(TRACE_INVALID[0]), names, F.lit(TRACE_INVALID[1]))
-        return F.concat(F.lit("- "), F.array_join(kinds, ", "), F.lit(": "), F.when(F.size(wrong) == 0, F.lit(TRACE_VALID)).otherwise(because))
+        return F.concat(
+            F.lit("- "),
+            F.array_join(kinds, ", "),
+            F.lit(": "),
+            F.when(F.size(wrong) == 0, F.lit(TRACE_VALID)).otherwise(because)
+        )
 
     body = F.transform(F.sequence(F.lit(0), F.lit(7)), line)
     return F.array_join(F.concat(F.array(F.lit(TRACE_HEAD)), body, F.array(F.lit(TRACE_TAIL))), "\n")
@@ -104,7 +121,10 @@ def has_repeated_line(text: Column) -> Column:
     """Whether three consecutive non-empty lines, trimmed, are equal."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     runs = F.sequence(F.lit(0), F.greatest(F.size(lines) - 3, F.lit(0)))
-    return F.when(F.size(lines) >= 3, F.exists(runs, lambda i: (F.get(lines, i) == F.get(lines, i + 1)) & (F.get(lines, i) == F.get(lines, i + 2)))).otherwise(F.lit(False))
+    return F.when(
+        F.size(lines) >= 3,
+        F.exists(runs, lambda i: (F.get(lines, i) == F.get(lines, i + 1)) & (F.get(lines, i) == F.get(lines, i + 2)))
+    ).otherwise(F.lit(False))
 
 
 def json_len(role: Column, content: Column) -> Column:

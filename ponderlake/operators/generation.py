@@ -90,7 +90,10 @@ def stages(dialect: Dialect, names: list[str], depth: int, fields: tuple[str, ..
         draws.append(f"{dialect.draw(len(tables['mask']), place + ':leaf' + chr(39))} AS leaf_{i}_{path}")
         if len(path) <= depth:
             op = f"{dialect.draw(3, place + ':op' + chr(39))}"
-            draws.append(f"CASE WHEN {dialect.draw(100, place + ':stop' + chr(39))} < {STOP} THEN -1 ELSE {op} END AS op_{i}_{path}")
+            draws.append(
+                f"CASE WHEN {dialect.draw(100, place + ':stop' + chr(39))} < {STOP} THEN -1 ELSE {op} END AS "
+                f"op_{i}_{path}"
+            )
     out = [draws]
     for level in reversed(paths):
         now = []
@@ -98,7 +101,10 @@ def stages(dialect: Dialect, names: list[str], depth: int, fields: tuple[str, ..
             leaf = dialect.entry(tables[field], f"leaf_{i}_{path}")
             a, b = f"{field}_{i}_{path}a", f"{field}_{i}_{path}b"
             arms = " ".join(f"WHEN {k} THEN {_inner(field, op, a, b)}" for k, op in enumerate(("not", "and", "or")))
-            now.append((leaf if len(path) > depth else f"CASE op_{i}_{path} {arms} ELSE {leaf} END") + f" AS {field}_{i}_{path}")
+            now.append(
+                (leaf if len(path) > depth else f"CASE op_{i}_{path} {arms} ELSE {leaf} END")
+                + f" AS {field}_{i}_{path}"
+            )
         out.append(now)
     return out
 
@@ -178,7 +184,9 @@ def label_first_sql(seeds: str, first: int, last: int, depth: int, dialect: Dial
     rows = f"""(SELECT seed, attempt, try, cast(power(2, {target_sql(dialect)}) as int) AS bit FROM {seeds} AS s,
  (SELECT unnest(range({first}, {last + 1})) AS attempt) AS t, (SELECT unnest(range({TRIES})) AS try) AS u)"""
     x = sql(rows, dialect, tags("seed", "attempt", "try"), depth, SAID)
-    best = [f"min_by({f}_{i}_r, try) FILTER (WHERE {_agrees(i)}) AS {f}_{i}_r" for i in range(len(PEOPLE)) for f in SAID]
+    best = [
+        f"min_by({f}_{i}_r, try) FILTER (WHERE {_agrees(i)}) AS {f}_{i}_r" for i in range(len(PEOPLE)) for f in SAID
+    ]
     solved = solutions([f"mask_{i}_r" for i in range(len(PEOPLE))])
     g = f"(SELECT seed, attempt, {', '.join(best)} FROM {x} AS g GROUP BY seed, attempt)"
     return _picked(f"(SELECT *, {solved} AS solutions FROM {g} AS h)", "seed")
@@ -189,16 +197,25 @@ def _statement_first(tries: DataFrame, depth: int) -> DataFrame:
 
 
 def _label_first(tries: DataFrame, depth: int) -> DataFrame:
-    x = tries.selectExpr("seed", "attempt", f"explode(sequence(0, {TRIES - 1})) AS try", f"cast(power(2, {target_sql(SPARK)}) as int) AS bit")
+    x = tries.selectExpr(
+        "seed", "attempt", f"explode(sequence(0, {TRIES - 1})) AS try",
+        f"cast(power(2, {target_sql(SPARK)}) as int) AS bit"
+    )
     x = grown(x, tags("seed", "attempt", "try"), depth, SAID)
-    best = [F.expr(f"min_by({f}_{i}_r, try) FILTER (WHERE {_agrees(i)})").alias(f"{f}_{i}_r") for i in range(len(PEOPLE)) for f in SAID]
+    best = [
+        F.expr(f"min_by({f}_{i}_r, try) FILTER (WHERE {_agrees(i)})").alias(f"{f}_{i}_r")
+        for i in range(len(PEOPLE))
+        for f in SAID
+    ]
     return x.groupBy("seed", "attempt").agg(*best)
 
 
 KINDS = {"statement": _statement_first, "label": _label_first}
 
 
-def generate(seeds: DataFrame, kind: str = "statement", depth: int = 2, attempts: int = 10_000, at_once: int = 64) -> DataFrame:
+def generate(
+    seeds: DataFrame, kind: str = "statement", depth: int = 2, attempts: int = 10_000, at_once: int = 64
+) -> DataFrame:
     """One uniquely solvable puzzle for each seed (column seed): pattern, attempts, people and statements.
 
     Attempts are made ``at_once`` at a time for the seeds that are left, each time's puzzles written to the shared folder; a
@@ -209,10 +226,25 @@ def generate(seeds: DataFrame, kind: str = "statement", depth: int = 2, attempts
         last = min(start + at_once - 1, attempts)
         tries = left.select("seed", F.explode(F.sequence(F.lit(start), F.lit(last))).alias("attempt"))
         x = KINDS[kind](tries, depth)
-        x = x.withColumn("solutions", F.expr(solutions([f"mask_{i}_r" for i in range(len(PEOPLE))]))).where(unique("solutions"))
-        said = F.array(*[F.struct(F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr"), F.concat(f"said_{i}_r", F.lit(".")).alias("text")) for i, p in enumerate(PEOPLE)])
-        row = F.struct(F.expr(pattern("solutions")).alias("pattern"), F.col("attempt").alias("attempts"), said.alias("statements"))
-        found = exchange.table(x.groupBy("seed").agg(F.min_by(row, "attempt").alias("row")).select("seed", "row.*"), "puzzles")
+        x = x.withColumn(
+            "solutions", F.expr(solutions([f"mask_{i}_r" for i in range(len(PEOPLE))]))
+        ).where(unique("solutions"))
+        said = F.array(
+            *[
+                F.struct(
+                    F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr"),
+                    F.concat(f"said_{i}_r", F.lit(".")).alias("text")
+                )
+                for i,
+                p in enumerate(PEOPLE)
+            ]
+        )
+        row = F.struct(
+            F.expr(pattern("solutions")).alias("pattern"), F.col("attempt").alias("attempts"), said.alias("statements")
+        )
+        found = exchange.table(
+            x.groupBy("seed").agg(F.min_by(row, "attempt").alias("row")).select("seed", "row.*"), "puzzles"
+        )
         out = found if out is None else out.unionByName(found)
         left = exchange.table(left.join(found.select("seed"), "seed", "left_anti"), "seeds")
         if left.isEmpty():

@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 ZERO = 1e-12
 
 
-def rollout_group(rollouts: DataFrame, group: str = "id", reward: str = "reward", answer: str | None = "answer") -> DataFrame:
+def rollout_group(
+    rollouts: DataFrame, group: str = "id", reward: str = "reward", answer: str | None = "answer"
+) -> DataFrame:
     """Scalars of each group; one shuffle, partial aggregation first."""
     r = F.col(reward)
-    extra = [F.count_distinct(answer).alias("unique_answer_count"), F.count(answer).alias("parse_success_count")] if answer else []
-    g = rollouts.groupBy(group).agg(F.count("*").alias("n"), F.avg(r).alias("reward_mean"), F.stddev_pop(r).alias("reward_std"), F.count_if(r == 1).alias("correct_count"), *extra)
-    g = g.withColumn("all_wrong", F.col("correct_count") == 0).withColumn("all_correct", F.col("correct_count") == F.col("n"))
+    extra = [
+        F.count_distinct(answer).alias("unique_answer_count"), F.count(answer).alias("parse_success_count")
+    ] if answer else []
+    g = rollouts.groupBy(group).agg(
+        F.count("*").alias("n"), F.avg(r).alias("reward_mean"), F.stddev_pop(r).alias("reward_std"),
+        F.count_if(r == 1).alias("correct_count"), *extra
+    )
+    g = g.withColumn("all_wrong", F.col("correct_count") == 0).withColumn(
+        "all_correct", F.col("correct_count") == F.col("n")
+    )
     g = g.withColumn("zero_variance", F.col("reward_std") * F.col("reward_std") <= ZERO)
     return g.withColumn("mixed_reward", ~F.col("all_wrong") & ~F.col("all_correct"))
 
@@ -24,9 +33,13 @@ def rollout_summary(groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Pass rate, shares of group states and averages over groups."""
     share = lambda c: F.avg(F.col(c).cast("double"))
     return groups.groupBy(*keys).agg(
-        F.count("*").alias("groups"), F.avg("reward_mean").alias("mean_reward"), F.avg("reward_std").alias("mean_std"), share("all_wrong").alias("all_wrong_ratio"), share("all_correct").alias("all_correct_ratio"),
-        share("mixed_reward").alias("mixed_ratio"), share("zero_variance").alias("zero_variance_ratio"), (1 - share("all_wrong")).alias("pass_at_k"), F.avg("correct_count").alias("avg_correct"),
-    )
+        F.count("*").alias("groups"), F.avg("reward_mean").alias("mean_reward"), F.avg("reward_std").alias("mean_std"), share("all_wrong").alias("all_wrong_ratio"), share("all_correct").alias(
+            "all_correct_ratio"
+        ),
+        share("mixed_reward").alias("mixed_ratio"), share("zero_variance").alias("zero_variance_ratio"), (
+            1 - share("all_wrong")
+        ).alias("pass_at_k"), F.avg("correct_count").alias("avg_correct"),
+    )
 
 
 def state(correct: Column, n: Column) -> Column:
@@ -34,7 +47,10 @@ def state(correct: Column, n: Column) -> Column:
     return F.when(correct == n, "all-correct").when(correct == 0, "all-wrong").otherwise("mixed")
 
 
-def advantage(rollouts: DataFrame, mode: str, group: Sequence[str] = ("id",), reward: str = "reward", eps: float | None = None, name: str = "advantage") -> DataFrame:
+def advantage(
+    rollouts: DataFrame, mode: str, group: Sequence[str] = ("id",), reward: str = "reward", eps: float | None = None,
+    name: str = "advantage"
+) -> DataFrame:
     """Group-normalised advantage by one of four conventions.
 
     population: (r - mean) / (population deviation + 1e-8); population_masked: 0 where the deviation is below eps;
@@ -57,38 +73,56 @@ def advantage(rollouts: DataFrame, mode: str, group: Sequence[str] = ("id",), re
     return rollouts.withColumn(name, out)
 
 
-def rescue(rollouts: DataFrame, group: str = "id", exact: str = "reward", shaped: str = "shaped", min_advantage: float = 1e-3) -> DataFrame:
+def rescue(
+    rollouts: DataFrame, group: str = "id", exact: str = "reward", shaped: str = "shaped", min_advantage: float = 1e-3
+) -> DataFrame:
     """Per group: whether all are wrong, and whether the shaped reward then still separates them."""
     s = F.round(F.col(shaped), 6)
     g = rollouts.groupBy(group).agg(
-        F.count("*").alias("n"), F.count_if(F.col(exact) == 1).alias("correct"), F.count_distinct(s).alias("unique_values"), F.coalesce(F.stddev_samp(shaped), F.lit(0.0)).alias("shaped_std"),
+        F.count("*").alias("n"), F.count_if(F.col(exact) == 1).alias("correct"), F.count_distinct(s).alias("unique_values"), F.coalesce(
+            F.stddev_samp(shaped), F.lit(0.0)
+        ).alias("shaped_std"),
         F.avg(shaped).alias("mean"), F.min(shaped).alias("low"), F.max(shaped).alias("high"),
-    )
+    )
     top = F.greatest(F.col("high") - F.col("mean"), F.col("mean") - F.col("low")) / (F.col("shaped_std") + 1e-4)
     g = g.withColumn("max_abs_advantage", top).withColumn("all_wrong", F.col("correct") == 0)
-    ok = F.col("all_wrong") & (F.col("unique_values") > 1) & (F.col("shaped_std") > 1e-6) & (F.col("max_abs_advantage") > min_advantage)
-    return g.withColumn("rescued", ok).select(group, "n", "correct", "unique_values", "shaped_std", "max_abs_advantage", "all_wrong", "rescued")
+    ok = F.col("all_wrong") & (F.col("unique_values") > 1) & (F.col("shaped_std") > 1e-6) & (
+        F.col("max_abs_advantage") > min_advantage
+    )
+    return g.withColumn("rescued", ok).select(
+        group, "n", "correct", "unique_values", "shaped_std", "max_abs_advantage", "all_wrong", "rescued"
+    )
 
 
 def reward_values(rollouts: DataFrame, keys: Sequence[str], reward: str) -> DataFrame:
     r = F.round(F.col(reward), 6)
-    return rollouts.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(reward).alias("mean"), F.stddev_samp(reward).alias("std"), F.count_distinct(r).alias("distinct_values"))
+    return rollouts.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(reward).alias("mean"), F.stddev_samp(reward).alias("std"),
+        F.count_distinct(r).alias("distinct_values")
+    )
 
 
 def halves(member: Column, size: Column) -> dict[str, Column]:
     """Three ways to split a group of any size: which half (0 or 1) a member, numbered from 0, is in."""
     inner = (4 * member >= size) & (4 * member < 3 * size)
-    return {"first_last": (2 * member >= size).cast("int"), "even_odd": (member % 2).cast("int"), "outer_inner": inner.cast("int")}
+    return {
+        "first_last": (2 * member >= size).cast("int"), "even_odd": (member % 2).cast("int"),
+        "outer_inner": inner.cast("int")
+    }
 
 
-def partition_counterfactual(rollouts: DataFrame, group: str = "id", member: str = "k", reward: str = "reward", least: int = 4) -> DataFrame:
+def partition_counterfactual(
+    rollouts: DataFrame, group: str = "id", member: str = "k", reward: str = "reward", least: int = 4
+) -> DataFrame:
     """Whole-group advantages against those of two halves, for each of the ways to split.
 
     All members of a group take part.  Groups of under ``least`` (4) give no row: a half of one member has no deviation.
     """
     whole = rollouts.select(group, member, reward).withColumn("size", F.count("*").over(Window.partitionBy(group)))
     whole = advantage(whole.where(F.col("size") >= least), "noeps", (group,), reward, name="a16")
-    ways = [F.struct(F.lit(n).alias("partition"), h.alias("half")) for n, h in halves(F.col(member), F.col("size")).items()]
+    ways = [
+        F.struct(F.lit(n).alias("partition"), h.alias("half")) for n, h in halves(F.col(member), F.col("size")).items()
+    ]
     x = whole.select("*", F.explode(F.array(*ways)).alias("way")).select(group, member, reward, "a16", "way.*")
     x = advantage(x, "noeps", (group, "partition", "half"), reward, name="a8")
     d, a, b = F.col("a16") - F.col("a8"), F.col("a16"), F.col("a8")
@@ -96,17 +130,29 @@ def partition_counterfactual(rollouts: DataFrame, group: str = "id", member: str
     negative = lambda c: F.coalesce(F.sum(F.when(c < -ZERO, -c)), F.lit(0.0))
     norm = F.sqrt(F.sum(a * a) * F.sum(b * b))
     return x.groupBy(group, "partition").agg(
-        F.sum(F.col(reward)).cast("long").alias("m_correct"), F.avg(F.abs(d)).alias("mean_abs_delta"), F.max(F.abs(d)).alias("max_abs_delta"), F.sum(F.abs(d)).alias("l1"), F.sqrt(F.sum(d * d)).alias("l2"),
-        F.try_divide(F.sum(a * b), F.nullif(norm, F.lit(0.0))).alias("cosine"), positive(a).alias("k16_positive"), positive(b).alias("k8_positive"), negative(a).alias("k16_negative"), negative(b).alias("k8_negative"),
+        F.sum(F.col(reward)).cast("long").alias("m_correct"), F.avg(F.abs(d)).alias(
+            "mean_abs_delta"
+        ), F.max(F.abs(d)).alias("max_abs_delta"), F.sum(F.abs(d)).alias("l1"), F.sqrt(F.sum(d * d)).alias("l2"),
+        F.try_divide(
+            F.sum(a * b), F.nullif(norm, F.lit(0.0))
+        ).alias("cosine"), positive(a).alias(
+            "k16_positive"
+        ), positive(b).alias("k8_positive"), negative(a).alias("k16_negative"), negative(b).alias("k8_negative"),
         F.count_if(F.abs(a) > ZERO).alias("k16_nonzero"), F.count_if(F.abs(b) > ZERO).alias("k8_nonzero"),
-        F.count_if((F.abs(b) <= ZERO) & (a < -ZERO) & (F.col(reward) == 0)).alias("newly_nonzero_wrong"), F.count_if((F.abs(b) <= ZERO) & (a > ZERO) & (F.col(reward) == 1)).alias("newly_nonzero_correct"),
-    )
+        F.count_if(
+            (F.abs(b) <= ZERO) & (a < -ZERO) & (F.col(reward) == 0)
+        ).alias("newly_nonzero_wrong"), F.count_if(
+            (F.abs(b) <= ZERO) & (a > ZERO) & (F.col(reward) == 1)
+        ).alias("newly_nonzero_correct"),
+    )
 
 
 def make_partitions(spark, k: int = 16, n: int = 20, seed: int = 1) -> DataFrame:
     """partition, k, half: the first half against the last, and n shuffles, in each of which members go by their digests."""
     member = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")
-    plain = spark.range(1).select(F.lit("first_last").alias("partition"), member).withColumn("half", (F.col("k") >= k // 2).cast("int"))
+    plain = spark.range(1).select(
+        F.lit("first_last").alias("partition"), member
+    ).withColumn("half", (F.col("k") >= k // 2).cast("int"))
     drawn = spark.range(n).select(F.col("id").alias("p"), member)
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("p").cast("string"), F.col("k").cast("string")))
     rank = F.row_number().over(Window.partitionBy("p").orderBy(place)) - 1
@@ -114,14 +160,25 @@ def make_partitions(spark, k: int = 16, n: int = 20, seed: int = 1) -> DataFrame
     return plain.unionByName(drawn.select(name, "k", (rank >= k // 2).cast("int").alias("half")))
 
 
-def step_group_stats(rollouts: DataFrame, step: str = "step", group: str = "id", exact: str = "reward", shaped: str = "shaped") -> DataFrame:
+def step_group_stats(
+    rollouts: DataFrame, step: str = "step", group: str = "id", exact: str = "reward", shaped: str = "shaped"
+) -> DataFrame:
     """Per step: exact and shaped rewards, and shares of group states, in two levels."""
-    g = rollouts.groupBy(step, group).agg(F.count("*").alias("n"), F.count_if(F.col(exact) == 1).alias("c"), F.sum(exact).alias("e"), F.sum(shaped).alias("s"), F.count_distinct(F.round(shaped, 6)).alias("u"))
+    g = rollouts.groupBy(step, group).agg(
+        F.count("*").alias("n"), F.count_if(F.col(exact) == 1).alias("c"), F.sum(exact).alias("e"),
+        F.sum(shaped).alias("s"), F.count_distinct(F.round(shaped, 6)).alias("u")
+    )
     wrong = F.col("c") == 0
     return g.groupBy(step).agg(
-        F.count("*").alias("groups"), (F.sum("e") / F.sum("n")).alias("exact_reward_mean"), (F.sum("s") / F.sum("n")).alias("shaped_reward_mean"), F.count_if(wrong).alias("all_wrong_groups"),
-        F.count_if(F.col("c") == F.col("n")).alias("all_correct_groups"), F.count_if(wrong & (F.col("u") > 1)).alias("rescued_groups"),
-    )
+        F.count("*").alias("groups"), (
+            F.sum("e") / F.sum("n")
+        ).alias("exact_reward_mean"), (
+            F.sum("s") / F.sum("n")
+        ).alias("shaped_reward_mean"), F.count_if(wrong).alias("all_wrong_groups"),
+        F.count_if(
+            F.col("c") == F.col("n")
+        ).alias("all_correct_groups"), F.count_if(wrong & (F.col("u") > 1)).alias("rescued_groups"),
+    )
 
 
 def repeat_k(df: DataFrame, k: int) -> DataFrame:
@@ -131,4 +188,6 @@ def repeat_k(df: DataFrame, k: int) -> DataFrame:
 
 def consecutive_groups(rows: DataFrame, pos: str, size: int, prompt: str) -> DataFrame:
     """Blocks of ``size`` consecutive positions and whether each holds one prompt only."""
-    return rows.groupBy(F.floor(F.col(pos) / size).alias("block")).agg(F.count("*").alias("n"), F.count_distinct(prompt).alias("prompts")).withColumn("aligned", F.col("prompts") == 1)
+    return rows.groupBy(F.floor(F.col(pos) / size).alias("block")).agg(
+        F.count("*").alias("n"), F.count_distinct(prompt).alias("prompts")
+    ).withColumn("aligned", F.col("prompts") == 1)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 WIDTH = 1 << 16
 
 
-def numbered(df: DataFrame, key: str, name: str = "pos", by: Sequence[str] = (), width: int = WIDTH, ties: Sequence[str] = ()) -> DataFrame:
+def numbered(
+    df: DataFrame, key: str, name: str = "pos", by: Sequence[str] = (), width: int = WIDTH, ties: Sequence[str] = ()
+) -> DataFrame:
     """``name``: 0-based position in the order of an integer key (then ``ties``), within each group of ``by``; ``total``: rows of the group.
 
     Rows are numbered within buckets of neighbouring keys; only the bucket counts are accumulated in order.
@@ -21,9 +23,16 @@ def numbered(df: DataFrame, key: str, name: str = "pos", by: Sequence[str] = (),
     counts = x.groupBy(*g, "__b").agg(F.count("*").alias("__n"))
     order = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
     before = F.coalesce(F.sum("__n").over(order.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*g, "__b", before.alias("__before"), F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    counts = counts.select(
+        *g,
+        "__b",
+        before.alias("__before"),
+        F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
+    )
     inside = F.row_number().over(Window.partitionBy(*g, "__b").orderBy(key, *ties)) - 1
-    return x.withColumn("__in", inside).join(counts, [*g, "__b"]).withColumn(name, F.col("__before") + F.col("__in")).drop("__b", "__in", "__before")
+    return x.withColumn("__in", inside).join(counts, [*g, "__b"]).withColumn(
+        name, F.col("__before") + F.col("__in")
+    ).drop("__b", "__in", "__before")
 
 
 def scan_slice(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
@@ -35,7 +44,9 @@ def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def running(counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts: int = 1024, name: str = "before") -> DataFrame:
+def running(
+    counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts: int = 1024, name: str = "before"
+) -> DataFrame:
     """``counts`` (one row for each value of ``key``, ``n`` rows of it) with the number of rows of smaller values, and ``total``.
 
     Values are summed within ``parts`` intervals between the least and the greatest, and only the intervals' sums in order of
@@ -46,7 +57,9 @@ def running(counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts:
     ends = x.groupBy(*g).agg(F.min(key).alias("__low"), F.max(key).alias("__high"), F.sum(n).alias("total"))
     x = _null_safe(x, ends, g)
     width = (F.col("__high") - F.col("__low")) / F.lit(float(parts))
-    at = F.when(width > 0, F.least(F.floor((F.col(key) - F.col("__low")) / width), F.lit(parts - 1))).otherwise(F.lit(0))
+    at = F.when(
+        width > 0, F.least(F.floor((F.col(key) - F.col("__low")) / width), F.lit(parts - 1))
+    ).otherwise(F.lit(0))
     x = x.withColumn("__b", at.cast("long")).drop("__low", "__high")
     sums = x.groupBy(*g, "__b").agg(F.sum(n).alias("__n"))
     ahead = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +86,9 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, flo
     """
     out = None
     for column in dict.fromkeys(c for c, _ in wanted.values()):
-        counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+        counts = df.where(F.col(column).isNotNull()).groupBy(
+            *by, F.col(column).cast("double").alias("__v")
+        ).agg(F.count("*").alias("__c"))
         x = running(counts, "__v", "__c", by)
         aggs = []
         for name, (c, p) in wanted.items():
@@ -81,7 +96,9 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, flo
                 at = F.lit(p) * (F.col("total") - 1)
 
                 def value(rank):
-                    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("__c")), F.col("__v")))
+                    return F.max(
+                        F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("__c")), F.col("__v"))
+                    )
 
                 share = F.max(at - F.floor(at))
                 aggs.append((value(F.floor(at)) + share * (value(F.ceil(at)) - value(F.floor(at)))).alias(name))
@@ -90,7 +107,9 @@ def quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, flo
     return out
 
 
-def with_quantiles(aggregated: DataFrame, df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def with_quantiles(
+    aggregated: DataFrame, df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
     """A grouping of ``df`` with quantiles of its groups; null for groups without values."""
     q = quantiles(df, by, wanted)
     other = q.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(by)], *wanted)
@@ -125,7 +144,10 @@ def unique_in_order(df: DataFrame, value: str, pos: str) -> DataFrame:
 def first_mismatch(a: DataFrame, b: DataFrame, step: str, value: str) -> DataFrame:
     """One row: the first step at which two sequences differ (null if they never do), and the steps compared."""
     j = a.select(step, F.col(value).alias("x")).join(b.select(step, F.col(value).alias("y")), step)
-    return j.agg(F.count("*").alias("compared"), F.min(F.when(~F.col("x").eqNullSafe(F.col("y")), F.col(step))).alias("first_mismatch"))
+    return j.agg(
+        F.count("*").alias("compared"),
+        F.min(F.when(~F.col("x").eqNullSafe(F.col("y")), F.col(step))).alias("first_mismatch")
+    )
 
 
 def topk(df: DataFrame, groups: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
@@ -141,4 +163,9 @@ def select_interleave(df: DataFrame, m: str, key: str, n: int) -> DataFrame:
     kind = F.when(F.col(m).between(1, 3), 0).when(F.col(m).between(4, 12), 1).when(F.col(m).between(13, 15), 2)
     rows = topk(df.withColumn("kind", kind).where(F.col("kind").isNotNull()), ["kind"], [key], n, "turn")
     rare = F.col("kind") == 0
-    return rows.withColumn("place", F.struct((~rare).cast("int"), "turn", "kind")).orderBy("place").limit(n).withColumn("rank", F.row_number().over(Window.orderBy("place"))).drop("kind", "turn", "place")
+    return rows.withColumn(
+        "place", F.struct((~rare).cast("int"), "turn", "kind")
+    ).orderBy("place").limit(n).withColumn(
+        "rank",
+        F.row_number().over(Window.orderBy("place"))
+    ).drop("kind", "turn", "place")

@@ -19,12 +19,22 @@ def compiled(puzzles: DataFrame, people: tuple[str, ...] = PEOPLE) -> DataFrame:
 
     A puzzle's statements stay in their array: no row is exploded and none shuffled.
     """
-    said = puzzles.select("id", "people", F.col("statements.speaker").alias("speakers"), F.col("statements.expr").alias("trees"))
+    said = puzzles.select(
+        "id", "people", F.col("statements.speaker").alias("speakers"), F.col("statements.expr").alias("trees")
+    )
     c = said.withColumn("stats", logic.compile_all(people)(F.col("trees"))).drop("trees")
     bits = logic.truth_masks(list(people))
     speaker = F.create_map(*[F.lit(x) for p, m in bits.items() for x in (p, m)])
     masks, texts = F.col("stats.mask").alias("masks"), F.col("stats.text").alias("texts")
-    g = c.select("id", "people", "speakers", masks, texts, "stats", F.transform("speakers", lambda s: speaker[s]).alias("speaker_bits"))
+    g = c.select(
+        "id",
+        "people",
+        "speakers",
+        masks,
+        texts,
+        "stats",
+        F.transform("speakers", lambda s: speaker[s]).alias("speaker_bits")
+    )
     solved = logic.consistent_mask(F.col("masks"), F.col("speaker_bits"), len(people))
     return g.withColumn("solutions", solved).withColumn("n_solutions", F.bit_count("solutions"))
 
@@ -39,7 +49,9 @@ def assignments(spark, people: tuple[str, ...] = PEOPLE) -> DataFrame:
     """a (0 to 2^n - 1, all knights first), pattern and map: a table of fixed small size, to broadcast."""
     n = len(people)
     a = spark.range(1 << n).select(F.col("id").cast("int").alias("a"))
-    marks = [F.when(F.shiftright("a", n - 1 - j).bitwiseAND(1) == 0, F.lit("K")).otherwise(F.lit("N")) for j in range(n)]
+    marks = [
+        F.when(F.shiftright("a", n - 1 - j).bitwiseAND(1) == 0, F.lit("K")).otherwise(F.lit("N")) for j in range(n)
+    ]
     names = F.array(*[F.lit(p) for p in people])
     return a.withColumn("pattern", F.concat(*marks)).withColumn("answer", text.pattern_decode(F.col("pattern"), names))
 
@@ -51,11 +63,26 @@ def row_features(c: DataFrame) -> DataFrame:
         return F.aggregate("stats", F.lit(0), lambda t, s: t + s["ops"][i])
 
     c = c.withColumns({f"n_{o}": count(i) for i, o in enumerate(text.OPS)})
-    sign = F.array_join(F.filter(F.array(*[F.when(F.col(f"n_{o}") > 0, F.concat(F.lit(f"{o}:"), F.col(f"n_{o}").cast("string"))) for o in text.OPS]), lambda x: x.isNotNull()), ",")
+    sign = F.array_join(
+        F.filter(
+            F.array(
+                *[
+                    F.when(F.col(f"n_{o}") > 0, F.concat(F.lit(f"{o}:"), F.col(f"n_{o}").cast("string")))
+                    for o in text.OPS
+                ]
+            ),
+            lambda x: x.isNotNull()
+        ),
+        ","
+    )
     return c.select(
-        "id", solution(F.col("solutions")).alias("pattern"), sign.alias("op_signature"), F.aggregate("texts", F.lit(0), lambda t, x: t + F.length(x)).alias("chars"), F.aggregate("stats", F.lit(0), lambda t, s: t + s["nodes"]).alias("nodes"),
-        F.array_max(F.transform("stats", lambda s: s["depth"])).alias("depth"), *[f"n_{o}" for o in text.OPS], F.array_join("speakers", ">").alias("speaker_order"),
-    )
+        "id", solution(F.col("solutions")).alias("pattern"), sign.alias("op_signature"), F.aggregate(
+            "texts", F.lit(0), lambda t, x: t + F.length(x)
+        ).alias("chars"), F.aggregate("stats", F.lit(0), lambda t, s: t + s["nodes"]).alias("nodes"),
+        F.array_max(
+            F.transform("stats", lambda s: s["depth"])
+        ).alias("depth"), *[f"n_{o}" for o in text.OPS], F.array_join("speakers", ">").alias("speaker_order"),
+    )
 
 
 def balanced(solved: DataFrame, pattern: str = "pattern", pos: str = "id") -> DataFrame:
@@ -67,5 +94,9 @@ def split_ids(new: DataFrame, key: str, pos: str, n: int, prefix: str) -> DataFr
     """The first n distinct keys in order of position, named ``prefix_000000`` on; n is the size of a split."""
     from pyspark.sql import Window
 
-    first = new.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in new.columns]), pos).alias("row")).select("row.*").orderBy(pos).limit(n)
-    return first.withColumn("id", F.format_string(f"{prefix}_%06d", (F.row_number().over(Window.orderBy(pos)) - 1).cast("int")))
+    first = new.groupBy(key).agg(
+        F.min_by(F.struct(*[F.col(c) for c in new.columns]), pos).alias("row")
+    ).select("row.*").orderBy(pos).limit(n)
+    return first.withColumn(
+        "id", F.format_string(f"{prefix}_%06d", (F.row_number().over(Window.orderBy(pos)) - 1).cast("int"))
+    )

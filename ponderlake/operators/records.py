@@ -14,7 +14,9 @@ def message(role: str, content: Column) -> Column:
 
 def sft_example(df: DataFrame, prompt: Column, completion: Column) -> DataFrame:
     """prompt, completion and messages (their concatenation) as chat turns."""
-    x = df.withColumn("prompt", F.array(message("user", prompt))).withColumn("completion", F.array(message("assistant", completion)))
+    x = df.withColumn("prompt", F.array(message("user", prompt))).withColumn(
+        "completion", F.array(message("assistant", completion))
+    )
     return x.withColumn("messages", F.concat("prompt", "completion"))
 
 
@@ -30,7 +32,9 @@ def rl_example(examples: DataFrame) -> DataFrame:
 
 def candidates(spark, people: Column) -> DataFrame:
     """cand, pattern and completion of all eight answers: a fixed table, to broadcast."""
-    c = spark.range(8).select(F.col("id").cast("int").alias("cand"), text.pattern_of_index(F.col("id")).alias("pattern"))
+    c = spark.range(8).select(
+        F.col("id").cast("int").alias("cand"), text.pattern_of_index(F.col("id")).alias("pattern")
+    )
     return c.withColumn("completion", text.fmt_answer_block(text.pattern_decode(F.col("pattern"), people), people))
 
 
@@ -41,7 +45,9 @@ def differing(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def canonical_answer(answer: Column, people: Column) -> Column:
     """Sorted compact JSON of an assignment; null stays null."""
-    pairs = F.array_sort(F.transform(people, lambda p: F.concat(F.lit('"'), p, F.lit('":"'), F.try_element_at(answer, p), F.lit('"'))))
+    pairs = F.array_sort(
+        F.transform(people, lambda p: F.concat(F.lit('"'), p, F.lit('":"'), F.try_element_at(answer, p), F.lit('"')))
+    )
     return F.when(answer.isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))
 
 
@@ -52,12 +58,19 @@ def sample_fixed(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 def checkpoint_eval(records: DataFrame, checkpoint: str, gold: str, pred: str, invalid: str = "invalid") -> DataFrame:
     """Per checkpoint: rows, exact and valid counts and rates."""
-    g = records.groupBy(checkpoint).agg(F.count("*").alias("count"), F.count_if(F.col(gold) == F.col(pred)).alias("exact"), F.count_if(F.col(pred) != invalid).alias("format_valid"))
-    return g.withColumn("exact_accuracy", F.col("exact") / F.col("count")).withColumn("format_accuracy", F.col("format_valid") / F.col("count"))
+    g = records.groupBy(checkpoint).agg(
+        F.count("*").alias("count"), F.count_if(F.col(gold) == F.col(pred)).alias("exact"),
+        F.count_if(F.col(pred) != invalid).alias("format_valid")
+    )
+    return g.withColumn("exact_accuracy", F.col("exact") / F.col("count")).withColumn(
+        "format_accuracy", F.col("format_valid") / F.col("count")
+    )
 
 
 def probe_by_step(rollouts: DataFrame, step: str, reward: str) -> DataFrame:
-    return rollouts.groupBy(step).agg(F.count("*").alias("n"), F.count_if(F.col(reward) == 1).alias("correct")).withColumn("hit_rate", F.col("correct") / F.col("n"))
+    return rollouts.groupBy(step).agg(
+        F.count("*").alias("n"), F.count_if(F.col(reward) == 1).alias("correct")
+    ).withColumn("hit_rate", F.col("correct") / F.col("n"))
 
 
 def param_delta(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

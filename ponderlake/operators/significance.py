@@ -17,7 +17,9 @@ from .positions import numbered, running
 def mcnemar(df: DataFrame, a: Column, b: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Discordant counts, statistic, and exact and asymptotic p."""
     g = df.groupBy(*keys).agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
-    g = g.withColumn("chi2", S.mcnemar_chi2(F.col("b"), F.col("c"))).withColumn("exact_p", S.mcnemar_exact(F.col("b"), F.col("c")))
+    g = g.withColumn("chi2", S.mcnemar_chi2(F.col("b"), F.col("c"))).withColumn(
+        "exact_p", S.mcnemar_exact(F.col("b"), F.col("c"))
+    )
     return g.withColumn("chi2_p", S.chi2_sf(F.col("chi2"), F.lit(1.0)))
 
 
@@ -33,29 +35,53 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     r = df.select(x, y).join(ranks(x), x).join(ranks(y), y)
     a, b = F.col(f"rank_{x}"), F.col(f"rank_{y}")
-    s = r.agg(F.count("*").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
+    s = r.agg(
+        F.count("*").alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("aa"),
+        F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab")
+    )
     n = F.col("n").cast("double")
     va, vb = n * F.col("aa") - F.col("sa") * F.col("sa"), n * F.col("bb") - F.col("sb") * F.col("sb")
-    return s.select("n", F.when((va > 0) & (vb > 0), (n * F.col("ab") - F.col("sa") * F.col("sb")) / F.sqrt(va) / F.sqrt(vb)).alias("rho"))
+    return s.select(
+        "n",
+        F.when(
+            (va > 0) & (vb > 0), (n * F.col("ab") - F.col("sa") * F.col("sb")) / F.sqrt(va) / F.sqrt(vb)
+        ).alias("rho")
+    )
 
 
 def chi2_independence(df: DataFrame, x: str, y: str) -> DataFrame:
     """statistic and dof of the table x by y, empty cells included."""
     c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("o"))
-    rows, cols, total = c.groupBy("x").agg(F.sum("o").alias("r")), c.groupBy("y").agg(F.sum("o").alias("k")), c.agg(F.sum("o").alias("t"))
+    rows, cols, total = c.groupBy("x").agg(
+        F.sum("o").alias("r")
+    ), c.groupBy("y").agg(F.sum("o").alias("k")), c.agg(F.sum("o").alias("t"))
     # cells without rows add their expectation: their sum is the total less the expectations of the others
     e = F.col("r").cast("double") * F.col("k") / F.col("t")
     full = c.join(rows, "x").join(cols, "y").crossJoin(F.broadcast(total))
-    s = full.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("seen"), F.sum(e).alias("expected"), F.max("t").alias("t"), F.count_distinct("x").alias("nx"), F.count_distinct("y").alias("ny"))
-    return s.select((F.col("seen") + F.col("t") - F.col("expected")).alias("statistic"), ((F.col("nx") - 1) * (F.col("ny") - 1)).alias("dof"))
+    s = full.agg(
+        F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("seen"),
+        F.sum(e).alias("expected"),
+        F.max("t").alias("t"),
+        F.count_distinct("x").alias("nx"),
+        F.count_distinct("y").alias("ny")
+    )
+    return s.select(
+        (F.col("seen") + F.col("t") - F.col("expected")).alias("statistic"),
+        ((F.col("nx") - 1) * (F.col("ny") - 1)).alias("dof")
+    )
 
 
 def resample_index(seed: int, rep: Column, pos: Column, n: Column) -> Column:
     """Deterministic draw of a row number, the same in any engine with md5."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), pos.cast("string"))), 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(
+        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), pos.cast("string"))), 1, 8), 16, 10
+    ).cast("bigint") % n
 
 
-def bootstrap(df: DataFrame, key: str, columns: Sequence[str], stat: Sequence[Column], reps: int, seed: int = 1, strata: str | None = None) -> DataFrame:
+def bootstrap(
+    df: DataFrame, key: str, columns: Sequence[str], stat: Sequence[Column], reps: int, seed: int = 1,
+    strata: str | None = None
+) -> DataFrame:
     """rep and the statistics of each resample (rows, or whole clusters if ``key`` repeats; within ``strata`` if named).
 
     Positions are given to distinct keys; drawing multiplies rows by reps, never rows by rows: each (rep, position)
@@ -63,10 +89,16 @@ def bootstrap(df: DataFrame, key: str, columns: Sequence[str], stat: Sequence[Co
     """
     spark = df.sparkSession
     keys = numbered(df.select(*([strata] if strata else []), key).distinct(), key, by=[strata] if strata else [])
-    draws = keys.select(*([strata] if strata else []), "pos", "total").crossJoin(F.broadcast(spark.range(reps).withColumnRenamed("id", "rep")))
-    draws = draws.withColumn("idx", resample_index(seed, F.col("rep"), F.col("pos"), F.col("total"))).select(*([strata] if strata else []), "rep", "idx")
+    draws = keys.select(*([strata] if strata else []), "pos", "total").crossJoin(
+        F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))
+    )
+    draws = draws.withColumn(
+        "idx", resample_index(seed, F.col("rep"), F.col("pos"), F.col("total"))
+    ).select(*([strata] if strata else []), "rep", "idx")
     on = [strata, "idx"] if strata else ["idx"]
-    rows = keys.withColumnRenamed("pos", "idx").drop("total").join(df.select(*dict.fromkeys([*([strata] if strata else []), key, *columns])), [*([strata] if strata else []), key])
+    rows = keys.withColumnRenamed("pos", "idx").drop("total").join(
+        df.select(*dict.fromkeys([*([strata] if strata else []), key, *columns])), [*([strata] if strata else []), key]
+    )
     return draws.join(rows, on).groupBy("rep").agg(*stat)
 
 
@@ -74,7 +106,13 @@ def interval(reps: DataFrame, value: str = "value") -> DataFrame:
     """Mean and the 2.5 and 97.5 percentiles (linear), and whether they enclose 0 strictly."""
     p = F.expr(f"percentile({value}, array(0.025D, 0.975D))")
     x = reps.agg(F.avg(value).alias("mean"), p.alias("p"), F.count("*").alias("reps"))
-    return x.select("reps", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), ((F.col("p")[0] < 0) & (F.col("p")[1] > 0)).alias("crosses_zero"))
+    return x.select(
+        "reps",
+        "mean",
+        F.col("p")[0].alias("low"),
+        F.col("p")[1].alias("high"),
+        ((F.col("p")[0] < 0) & (F.col("p")[1] > 0)).alias("crosses_zero")
+    )
 
 
 #: Statistics of a resample: (sorted values, how often each was drawn) -> number.
@@ -116,14 +154,20 @@ def _per_rep(cells: DataFrame, reps: int, run: Callable[[dict, int], tuple], sch
     return chunks.crossJoin(F.broadcast(cells)).mapInPandas(each, schema)
 
 
-def bootstrap_cells(df: DataFrame, key: str, value: str, stats: dict[str, Statistic], reps: int, seed: int = 1) -> DataFrame:
+def bootstrap_cells(
+    df: DataFrame, key: str, value: str, stats: dict[str, Statistic], reps: int, seed: int = 1
+) -> DataFrame:
     """rep and the statistics of each resample of keys, each with all its rows.
 
     Keys with the same values are one cell.  How often the keys of each cell are drawn is multinomial, which is what
     drawing the keys one by one comes to; a rep costs a number for each cell, not for each row.
     """
-    cells = df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("xs")).groupBy("xs").agg(F.count("*").alias("n"))
-    cells = cells.agg(F.array_sort(F.collect_list(F.struct("xs", "n"))).alias("cells")).select(F.col("cells.n").alias("n"), F.flatten("cells.xs").alias("x"), F.transform("cells.xs", F.size).alias("size"))
+    cells = df.groupBy(key).agg(
+        F.array_sort(F.collect_list(value)).alias("xs")
+    ).groupBy("xs").agg(F.count("*").alias("n"))
+    cells = cells.agg(F.array_sort(F.collect_list(F.struct("xs", "n"))).alias("cells")).select(
+        F.col("cells.n").alias("n"), F.flatten("cells.xs").alias("x"), F.transform("cells.xs", F.size).alias("size")
+    )
 
     def run(row: dict, rep: int) -> tuple:
         n, x = np.asarray(row["n"], np.int64), np.asarray(row["x"], float)
@@ -146,14 +190,22 @@ def _binomial_quantile(n: int, p: float, u: np.ndarray) -> np.ndarray:
     spread = 12 * math.sqrt(n * p * (1 - p)) + 40
     low, high = max(0, math.floor(n * p - spread)), min(n, math.ceil(n * p + spread))
     k = np.arange(low, high + 1, dtype=float)
-    first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    first = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(
+        n - low + 1
+    ) + low * math.log(p) + (n - low) * math.log1p(-p)
     steps = np.log((n - k[:-1]) / (k[:-1] + 1)) + math.log(p / (1 - p))
     return low + np.searchsorted(np.cumsum(np.exp(first + np.concatenate([[0.0], np.cumsum(steps)]))), u)
 
 
 def _uniform(seed: int, rep: Column, place: int) -> Column:
     """A number between 0 and 1 from a digest, the same in any engine with md5."""
-    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), F.lit(str(place)))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return (
+        F.conv(
+            F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), F.lit(str(place)))), 1, 13),
+            16,
+            10
+        ).cast("double") + 0.5
+    ) / float(1 << 52)
 
 
 def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> DataFrame:
@@ -184,7 +236,9 @@ def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> Data
 def bootstrap_two_sample(a: DataFrame, b: DataFrame, key: str, value: str, reps: int, seed: int = 1) -> DataFrame:
     """rep and the difference of means of independent resamples of two tables."""
     mean = lambda d, s, n: bootstrap_cells(d, key, value, {n: mean_of}, reps, s)
-    return mean(a, seed, "a").join(mean(b, seed + 1, "b"), "rep").select("rep", (F.col("b") - F.col("a")).alias("value"))
+    return mean(a, seed, "a").join(mean(b, seed + 1, "b"), "rep").select(
+        "rep", (F.col("b") - F.col("a")).alias("value")
+    )
 
 
 def _information(t: np.ndarray) -> float:
@@ -201,8 +255,12 @@ def permutation_test(df: DataFrame, x: str, y: str, reps: int, seed: int = 1) ->
     from those that the rows before left (multivariate hypergeometric).  Rep 0 is the table as it is.
     """
     c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    c = c.select(F.dense_rank().over(Window.orderBy("x")).alias("i"), F.dense_rank().over(Window.orderBy("y")).alias("j"), "n")
-    c = c.agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("c")).select("c.i", "c.j", "c.n").where(F.size("n") > 0)
+    c = c.select(
+        F.dense_rank().over(Window.orderBy("x")).alias("i"), F.dense_rank().over(Window.orderBy("y")).alias("j"), "n"
+    )
+    c = c.agg(
+        F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("c")
+    ).select("c.i", "c.j", "c.n").where(F.size("n") > 0)
 
     def run(row: dict, rep: int) -> tuple:
         i, j, n = (np.asarray(row[k], np.int64) for k in "ijn")
@@ -218,8 +276,12 @@ def permutation_test(df: DataFrame, x: str, y: str, reps: int, seed: int = 1) ->
     mi = _per_rep(c, reps + 1, run, "rep bigint, mi double")
     null, seen = F.when(F.col("rep") > 0, F.col("mi")), F.max(F.when(F.col("rep") == 0, F.col("mi")))
     g = mi.agg(
-        seen.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.expr("percentile(CASE WHEN rep > 0 THEN mi END, 0.95D)").alias("null_p95"), F.max(null).alias("null_max"),
+        seen.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.expr(
+            "percentile(CASE WHEN rep > 0 THEN mi END, 0.95D)"
+        ).alias("null_p95"), F.max(null).alias("null_max"),
         F.collect_list(null).alias("all"),
     ).where("observed IS NOT NULL")
     over = F.size(F.filter("all", lambda v: v >= F.col("observed") - 1e-12))
-    return g.select("observed", "null_mean", "null_std", "null_p95", "null_max", ((over + 1) / F.lit(reps + 1)).alias("p"))
+    return g.select(
+        "observed", "null_mean", "null_std", "null_p95", "null_max", ((over + 1) / F.lit(reps + 1)).alias("p")
+    )

@@ -17,7 +17,9 @@ STEPS = ((1, 100), (101, 200), (201, 300), (301, 400), (401, 500), (501, 600), (
 MIN_BIN = 30
 
 
-def merged_bins(df: DataFrame, q: str, bins: Sequence[tuple[float, float]] = BINS, least: int = MIN_BIN) -> list[tuple[float, float]]:
+def merged_bins(
+    df: DataFrame, q: str, bins: Sequence[tuple[float, float]] = BINS, least: int = MIN_BIN
+) -> list[tuple[float, float]]:
     """Edges after joining the lowest bins until the first has ``least`` rows; seven counts reach the driver."""
     counts = list(df.agg(*[F.count_if((F.col(q) >= a) & (F.col(q) < b)) for a, b in bins]).first())
     edges = list(bins)
@@ -53,23 +55,40 @@ def bin_table(df: DataFrame, k: int = 8) -> DataFrame:
     d = F.col("gold_q1") - F.col("gold_q0")
     share = lambda c: F.avg(c.cast("double"))
     return df.groupBy(bin_of(F.col("gold_q0")).alias("bin")).agg(
-        F.count("*").alias("n"), F.avg("gold_q0").alias("initial_q"), F.avg("gold_q1").alias("final_q"), F.avg(d).alias("mean_delta"), F.avg("gold_rank0").alias("initial_rank"), F.avg("gold_rank1").alias("final_rank"),
-        share(F.col("top11") == F.col("gold")).alias("final_top1"), share(F.col("top10") == F.col("gold")).alias("initial_top1"), share(d > 0).alias("increased"), share(d < 0).alias("decreased"),
-        F.avg(implied_hit(F.col("gold_q0"), k)).alias("implied_hit_rate"), F.avg(1 - implied_hit(F.col("gold_q0"), k)).alias("implied_miss_rate"), F.avg(F.col("control_q") - F.col("gold_q0")).alias("control_delta"),
-    )
+        F.count("*").alias("n"), F.avg("gold_q0").alias("initial_q"), F.avg("gold_q1").alias("final_q"), F.avg(d).alias("mean_delta"), F.avg("gold_rank0").alias(
+            "initial_rank"
+        ), F.avg("gold_rank1").alias("final_rank"),
+        share(
+            F.col("top11") == F.col("gold")
+        ).alias("final_top1"), share(
+            F.col("top10") == F.col("gold")
+        ).alias("initial_top1"), share(d > 0).alias("increased"), share(d < 0).alias("decreased"),
+        F.avg(implied_hit(F.col("gold_q0"), k)).alias("implied_hit_rate"), F.avg(1 - implied_hit(F.col("gold_q0"), k)).alias("implied_miss_rate"), F.avg(
+            F.col("control_q") - F.col("gold_q0")
+        ).alias("control_delta"),
+    )
 
 
 def hit_miss(df: DataFrame, keys: Sequence[str], hit: Column, delta: Column, least: int = 5) -> DataFrame:
     """HIT against MISS within strata; null difference and ``insufficient`` if either has under ``least`` rows."""
-    x = df.groupBy(*keys).agg(F.count_if(hit).alias("n_hit"), F.count_if(~hit).alias("n_miss"), F.avg(F.when(hit, delta)).alias("hit_delta"), F.avg(F.when(~hit, delta)).alias("miss_delta"))
+    x = df.groupBy(*keys).agg(
+        F.count_if(hit).alias("n_hit"), F.count_if(~hit).alias("n_miss"), F.avg(F.when(hit, delta)).alias("hit_delta"),
+        F.avg(F.when(~hit, delta)).alias("miss_delta")
+    )
     few = (F.col("n_hit") < least) | (F.col("n_miss") < least)
-    return x.withColumn("difference", F.when(~few, F.col("hit_delta") - F.col("miss_delta"))).withColumn("verdict", F.when(few, "insufficient").otherwise("ok"))
+    return x.withColumn(
+        "difference", F.when(~few, F.col("hit_delta") - F.col("miss_delta"))
+    ).withColumn("verdict", F.when(few, "insufficient").otherwise("ok"))
 
 
 def arm_summary(df: DataFrame, keys: Sequence[str], q: str, rank: str, entropy: str, low: Column) -> DataFrame:
     """Distribution of gold probability by arm (and step), over all rows and over the low-support subset."""
     x = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg(q).alias("mean"), F.avg((F.col(q) < 0.05).cast("double")).alias("frac_low"), F.avg((F.col(rank) == 1).cast("double")).alias("top1"), F.avg((F.col(rank) <= 3).cast("double")).alias("top3"),
-        F.avg(entropy).alias("entropy"), F.count_if(low).alias("n_subset"), F.avg(F.when(low, F.col(q))).alias("mean_subset"),
-    )
+        F.count("*").alias("n"), F.avg(q).alias("mean"), F.avg((F.col(q) < 0.05).cast("double")).alias("frac_low"), F.avg(
+            (F.col(rank) == 1).cast("double")
+        ).alias("top1"), F.avg((F.col(rank) <= 3).cast("double")).alias("top3"),
+        F.avg(entropy).alias("entropy"), F.count_if(low).alias("n_subset"), F.avg(
+            F.when(low, F.col(q))
+        ).alias("mean_subset"),
+    )
     return with_quantiles(x, df, list(keys), {"p10": (q, 0.1), "median": (q, 0.5)})

@@ -48,7 +48,10 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts without numbers within the group: no window, so only what a query needs is shuffled."""
-    x = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS id", "l_orderkey % 25 AS step", f"{_ROLL['gold_i']} AS gold_i", f"{_ROLL['answer_i']} AS answer_i")
+    x = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS id", "l_orderkey % 25 AS step", f"{_ROLL['gold_i']} AS gold_i",
+        f"{_ROLL['answer_i']} AS answer_i"
+    )
     return x.selectExpr(*[c for c in _split(_ROLL_COLS) if not c.startswith(("k", "price"))])
 
 
@@ -79,7 +82,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").join(d, "doc_id").selectExpr(*_split(_PRED_COLS))
 
 
-LONG_SQL = "lng AS (" + " UNION ALL ".join(f"SELECT id, gold, lang, source, '{m}' AS model, pred_{m} AS pred FROM pred" for m in "abc") + ")"
+LONG_SQL = "lng AS (" + " UNION ALL ".join(
+    f"SELECT id, gold, lang, source, '{m}' AS model, pred_{m} AS pred FROM pred" for m in "abc"
+) + ")"
 
 SCORE_SQL = """sc AS (SELECT vec_id AS id, m AS model, label % 8 AS gold, CAST(c AS INT) AS cand,
  round(3 * CAST(embedding[6 * c + 1 + CASE WHEN m = 'b' THEN 1 ELSE 0 END] AS DOUBLE) + CASE WHEN m = 'b' AND c = label % 8 THEN 0.5 ELSE 0.0 END, 4) AS score
@@ -87,11 +92,21 @@ SCORE_SQL = """sc AS (SELECT vec_id AS id, m AS model, label % 8 AS gold, CAST(c
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 8).alias("gold"), "embedding")
-    x = e.select("id", "gold", "embedding", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")).select("id", "gold", "embedding", "model", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("cand"))
+    e = read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), (F.col("label") % 8).alias("gold"), "embedding"
+    )
+    x = e.select("id", "gold", "embedding", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model")).select(
+        "id", "gold", "embedding", "model", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("cand")
+    )
     at = 6 * F.col("cand") + 1 + (F.col("model") == "b").cast("int")
     lift = F.when((F.col("model") == "b") & (F.col("cand") == F.col("gold")), 0.5).otherwise(0.0)
-    return x.select("id", "model", "gold", "cand", F.round(3 * F.element_at("embedding", at).cast("double") + lift, 4).alias("score"))
+    return x.select(
+        "id",
+        "model",
+        "gold",
+        "cand",
+        F.round(3 * F.element_at("embedding", at).cast("double") + lift, 4).alias("score")
+    )
 
 
 #: Landscape of the scores in SQL: q, gold_q, gold_rank, top1, margins, entropy for each (id, model).
@@ -107,7 +122,13 @@ STEP_SQL = """st AS (SELECT event_id AS id, CAST(event_id % 625 + 1 AS BIGINT) A
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").selectExpr("event_id AS id", "CAST(event_id % 625 + 1 AS BIGINT) AS step", "event_type AS arm", "user_id", "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value")
+    return read(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
+        "CAST(event_id % 625 + 1 AS BIGINT) AS step",
+        "event_type AS arm",
+        "user_id",
+        "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value"
+    )
 
 
 #: Three statements for each order: kind 0-2 (is a knight/knave, same, different), two people, negated or not.
@@ -116,7 +137,9 @@ def _statement(j: int) -> tuple[str, str, str, str]:
     return f"{x} % 3", f"cast(floor({x} / 3.0E0) as bigint) % 3", f"cast(floor({x} / 9.0E0) as bigint) % 2", f"cast(floor({x} / 18.0E0) as bigint) % 2"
 
 
-PUZZLE_COLS = ", ".join(f"{v} AS {n}{j}" for j in range(3) for n, v in zip(("kind", "first", "shift", "neg"), _statement(j), strict=True))
+PUZZLE_COLS = ", ".join(
+    f"{v} AS {n}{j}" for j in range(3) for n, v in zip(("kind", "first", "shift", "neg"), _statement(j), strict=True)
+)
 PUZZLE_SQL = f"pz AS (SELECT o_orderkey AS id, {PUZZLE_COLS} FROM orders)"
 #: Truth of statement j of a puzzle under an assignment a (0 to 7), and whether person p is a knight under it.
 KNIGHT = "(cast(floor((7 - a) / power(2.0E0, 2 - ({0}))) as bigint) % 2 = 1)"
@@ -147,9 +170,13 @@ def puzzle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     def expr(j: int):
         kind, first, shift, neg = (F.col(f"{n}{j}") for n in ("kind", "first", "shift", "neg"))
         one, two = name(first), name((first + 1 + shift) % 3)
-        leaf = F.when(kind == 0, L.person_is(one, F.when(shift == 0, "knight").otherwise("knave"))).when(kind == 1, L.same(one, two)).otherwise(L.different(one, two))
+        leaf = F.when(
+            kind == 0, L.person_is(one, F.when(shift == 0, "knight").otherwise("knave"))
+        ).when(kind == 1, L.same(one, two)).otherwise(L.different(one, two))
         return F.when(neg == 1, L.negate(leaf)).otherwise(leaf)
 
     p = puzzles(spark, sf_dir)
-    said = F.array(*[F.struct(F.lit(s).alias("speaker"), expr(j).alias("expr")) for j, s in enumerate(("Alice", "Bob", "Carol"))])
+    said = F.array(
+        *[F.struct(F.lit(s).alias("speaker"), expr(j).alias("expr")) for j, s in enumerate(("Alice", "Bob", "Carol"))]
+    )
     return p.select("id", people.alias("people"), said.alias("statements"))

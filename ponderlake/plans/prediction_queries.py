@@ -31,10 +31,18 @@ def _long(spark, d):
     return tables.long_models(predictions(spark, d), {m: f"pred_{m}" for m in "abc"}, ("id", "gold", "lang", "source"))
 
 
-@query("agg_metrics", f"{LONG} SELECT model, count(*) AS count, round(avg(CAST(pred = gold AS INT)), 6) AS exact_accuracy, round(avg(CAST(pred <> 'invalid' AS INT)), 6) AS format_accuracy, round(avg(CAST(pred <> 'invalid' AS INT)), 6) AS parse_success_rate, round(avg(length(source)), 6) AS average_response_chars, round(avg(CAST(lang = 'en' AS INT)), 6) AS repetition_rate FROM lng GROUP BY model")
+@query(
+    "agg_metrics",
+    f"{LONG} SELECT model, count(*) AS count, round(avg(CAST(pred = gold AS INT)), 6) AS exact_accuracy, "
+    f"round(avg(CAST(pred <> 'invalid' AS INT)), 6) AS format_accuracy, round(avg(CAST(pred <> 'invalid' AS INT)), 6) "
+    f"AS parse_success_rate, round(avg(length(source)), 6) AS average_response_chars, round(avg(CAST(lang = 'en' AS "
+    f"INT)), 6) AS repetition_rate FROM lng GROUP BY model"
+)
 def agg_metrics(spark, d):
     ok = F.col("pred") != "invalid"
-    x = tables.metrics(_long(spark, d), ["model"], F.col("pred") == F.col("gold"), ok, ok, F.length("source"), F.col("lang") == "en")
+    x = tables.metrics(
+        _long(spark, d), ["model"], F.col("pred") == F.col("gold"), ok, ok, F.length("source"), F.col("lang") == "en"
+    )
     return x.select("model", "count", *[R6(F.col(c)).alias(c) for c in x.columns[2:]])
 
 
@@ -43,12 +51,22 @@ def agg_distribution(spark, d):
     return tables.distribution(_long(spark, d), "model", "pred")
 
 
-@query("agg_crosstab", f"{WITH}, f AS (SELECT DISTINCT source FROM pred), c AS (SELECT gold, source, count(*) AS n FROM pred GROUP BY ALL) SELECT g.gold, f.source, coalesce(c.n, 0) AS n FROM {PATTERN_SQL} g(gold) CROSS JOIN f LEFT JOIN c ON c.gold = g.gold AND c.source = f.source")
+@query(
+    "agg_crosstab",
+    f"{WITH}, f AS (SELECT DISTINCT source FROM pred), c AS (SELECT gold, source, count(*) AS n FROM pred GROUP BY ALL) "
+    f"SELECT g.gold, f.source, coalesce(c.n, 0) AS n FROM {PATTERN_SQL} g(gold) CROSS JOIN f LEFT JOIN c ON c.gold = "
+    f"g.gold AND c.source = f.source"
+)
 def agg_crosstab(spark, d):
     return tables.crosstab(predictions(spark, d), "gold", "source", tables.labels(spark, name="gold"))
 
 
-@query("agg_confusion", f"{WITH}, c AS (SELECT gold, pred_a, count(*) AS n FROM pred WHERE pred_a <> 'invalid' GROUP BY ALL) SELECT g.gold, p.pred_a, coalesce(c.n, 0) AS n FROM {PATTERN_SQL} g(gold) CROSS JOIN {PATTERN_SQL} p(pred_a) LEFT JOIN c ON c.gold = g.gold AND c.pred_a = p.pred_a")
+@query(
+    "agg_confusion",
+    f"{WITH}, c AS (SELECT gold, pred_a, count(*) AS n FROM pred WHERE pred_a <> 'invalid' GROUP BY ALL) SELECT g.gold, "
+    f"p.pred_a, coalesce(c.n, 0) AS n FROM {PATTERN_SQL} g(gold) CROSS JOIN {PATTERN_SQL} p(pred_a) LEFT JOIN c ON "
+    f"c.gold = g.gold AND c.pred_a = p.pred_a"
+)
 def agg_confusion(spark, d):
     return tables.confusion(predictions(spark, d), "gold", "pred_a")
 
@@ -56,19 +74,35 @@ def agg_confusion(spark, d):
 _CLASS = f"{WITH}, c AS (SELECT gold, count(*) FILTER (pred_a <> 'invalid') AS support, count(*) FILTER (pred_a = gold) AS hits, count(*) FILTER (pred_a = 'invalid') AS n_invalid FROM pred GROUP BY gold)"
 
 
-@query("agg_per_class", f"{_CLASS} SELECT gold, support, round(hits / nullif(support, 0), 6) AS accuracy, n_invalid FROM c")
+@query(
+    "agg_per_class",
+    f"{_CLASS} SELECT gold, support, round(hits / nullif(support, 0), 6) AS accuracy, n_invalid FROM c"
+)
 def agg_per_class(spark, d):
     return tables.per_class(predictions(spark, d), "gold", "pred_a").withColumn("accuracy", R6(F.col("accuracy")))
 
 
-@query("agg_per_class_macro", f"{_CLASS} SELECT round(avg(hits / nullif(support, 0)), 6) AS macro_accuracy, count(*) FILTER (support > 0) AS classes FROM c")
+@query(
+    "agg_per_class_macro",
+    f"{_CLASS} SELECT round(avg(hits / nullif(support, 0)), 6) AS macro_accuracy, count(*) FILTER (support > 0) AS "
+    f"classes FROM c"
+)
 def agg_per_class_macro(spark, d):
-    return tables.macro(tables.per_class(predictions(spark, d), "gold", "pred_a")).withColumn("macro_accuracy", R6(F.col("macro_accuracy")))
+    return tables.macro(
+        tables.per_class(predictions(spark, d), "gold", "pred_a")
+    ).withColumn("macro_accuracy", R6(F.col("macro_accuracy")))
 
 
-@query("agg_feature_means_by_label", f"{WITH} SELECT gold, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, round(avg(length(source)), 6) AS mean_source FROM pred GROUP BY gold")
+@query(
+    "agg_feature_means_by_label",
+    f"{WITH} SELECT gold, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, round(avg(length(source)), 6) AS "
+    f"mean_source FROM pred GROUP BY gold"
+)
 def agg_feature_means_by_label(spark, d):
-    return predictions(spark, d).groupBy("gold").agg(F.count("*").alias("n"), R6(F.avg("n_chars")).alias("mean_chars"), R6(F.avg(F.length("source"))).alias("mean_source"))
+    return predictions(spark, d).groupBy("gold").agg(
+        F.count("*").alias("n"), R6(F.avg("n_chars")).alias("mean_chars"),
+        R6(F.avg(F.length("source"))).alias("mean_source")
+    )
 
 
 _PAIR = "count(*) AS n, count(*) FILTER (pred_a = gold AND pred_b = gold) AS cc, count(*) FILTER (pred_a = gold AND pred_b <> gold) AS cw, count(*) FILTER (pred_a <> gold AND pred_b = gold) AS wc, count(*) FILTER (pred_a <> gold AND pred_b <> gold) AS ww"
@@ -81,22 +115,37 @@ def agg_paired_correctness(spark, d):
     return x.withColumns({c: R6(F.col(c)) for c in ("acc_a", "acc_b", "delta")})
 
 
-@query("agg_class_transition", f"{WITH} SELECT gold, {_PAIRED}, wc - cw AS net FROM (SELECT gold, {_PAIR} FROM pred GROUP BY gold)")
+@query(
+    "agg_class_transition",
+    f"{WITH} SELECT gold, {_PAIRED}, wc - cw AS net FROM (SELECT gold, {_PAIR} FROM pred GROUP BY gold)"
+)
 def agg_class_transition(spark, d):
     x = tables.paired_correctness(predictions(spark, d), A(), B(), ["gold"])
-    return x.withColumns({c: R6(F.col(c)) for c in ("acc_a", "acc_b", "delta")}).withColumn("net", F.col("wc") - F.col("cw"))
+    return x.withColumns(
+        {c: R6(F.col(c)) for c in ("acc_a", "acc_b", "delta")}
+    ).withColumn("net", F.col("wc") - F.col("cw"))
 
 
 @query("agg_per_class_compare", f"{WITH} SELECT gold, n, round((cc + cw) / n, 6) AS acc_left, round((cc + wc) / n, 6) AS acc_right, round(100.0 * (wc - cw) / n, 4) AS delta_pp FROM (SELECT gold, {_PAIR} FROM pred GROUP BY gold)".replace("100.0 *", "100.0::DOUBLE *"))
 def agg_per_class_compare(spark, d):
     x = tables.paired_correctness(predictions(spark, d), A(), B(), ["gold"])
-    return x.select("gold", "n", R6(F.col("acc_a")).alias("acc_left"), R6(F.col("acc_b")).alias("acc_right"), F.round(100.0 * (F.col("wc") - F.col("cw")) / F.col("n"), 4).alias("delta_pp"))
+    return x.select(
+        "gold",
+        "n",
+        R6(F.col("acc_a")).alias("acc_left"),
+        R6(F.col("acc_b")).alias("acc_right"),
+        F.round(100.0 * (F.col("wc") - F.col("cw")) / F.col("n"), 4).alias("delta_pp")
+    )
 
 
 @query("agg_feature_transition", f"""{WITH}, t AS (SELECT {TR} AS transition, * FROM pred), l AS (SELECT transition, 'n_chars' AS feature, CAST(n_chars AS DOUBLE) AS v FROM t UNION ALL SELECT transition, 'toxic', toxic FROM t UNION ALL SELECT transition, 'quality', quality FROM t)
  SELECT transition, feature, count(*) AS n, round(avg(v), 6) AS mean, round(median(v), 6) AS median, min(v) AS low, max(v) AS high FROM l GROUP BY ALL""")
 def agg_feature_transition(spark, d):
-    x = tables.feature_transition(predictions(spark, d).withColumn("transition", tables.transition(A(), B())), "transition", ["n_chars", "toxic", "quality"])
+    x = tables.feature_transition(
+        predictions(spark, d).withColumn("transition", tables.transition(A(), B())),
+        "transition",
+        ["n_chars", "toxic", "quality"]
+    )
     return x.withColumns({"mean": R6(F.col("mean")), "median": R6(F.col("median"))})
 
 
@@ -106,7 +155,9 @@ _NINE = "(SELECT unnest(['KKK', 'KKN', 'KNK', 'KNN', 'NKK', 'NKN', 'NNK', 'NNN',
 @query("agg_prediction_transition", f"""{WITH}, t AS (SELECT {TR} AS tr, pred_a, pred_b FROM pred), s AS (SELECT 'all' AS subset, pred_a, pred_b FROM t UNION ALL SELECT tr, pred_a, pred_b FROM t WHERE tr IN ('WC', 'CW')), c AS (SELECT subset, pred_a, pred_b, count(*) AS n FROM s GROUP BY ALL)
  SELECT u.subset, a."from", b."to", coalesce(c.n, 0) AS n FROM (SELECT unnest(['all', 'WC', 'CW'])) u(subset) CROSS JOIN {_NINE} a("from") CROSS JOIN {_NINE} b("to") LEFT JOIN c ON c.subset = u.subset AND c.pred_a = a."from" AND c.pred_b = b."to" """)
 def agg_prediction_transition(spark, d):
-    return tables.prediction_transition(predictions(spark, d).withColumn("tr", tables.transition(A(), B())), "pred_a", "pred_b", "tr")
+    return tables.prediction_transition(
+        predictions(spark, d).withColumn("tr", tables.transition(A(), B())), "pred_a", "pred_b", "tr"
+    )
 
 
 @query("agg_prompt_bias", f"""{LONG}, n AS (SELECT model, count(*) AS t FROM lng GROUP BY 1), g AS (SELECT model, label, sum(p) AS p, sum(g) AS g FROM (SELECT model, pred AS label, 1 AS p, 0 AS g FROM lng UNION ALL SELECT model, gold, 0, 1 FROM lng) GROUP BY ALL)
@@ -129,7 +180,9 @@ def agg_structure_accuracy(spark, d):
     return _structure(spark, d, ["source"])
 
 
-@query("agg_conditional_accuracy", _SA.format(LONG, "gold, lang", "g.gold, g.lang", "g.gold = b.gold AND g.lang = b.lang"))
+@query(
+    "agg_conditional_accuracy", _SA.format(LONG, "gold, lang", "g.gold, g.lang", "g.gold = b.gold AND g.lang = b.lang")
+)
 def agg_conditional_accuracy(spark, d):
     return _structure(spark, d, ["gold", "lang"])
 
@@ -140,19 +193,36 @@ def agg_class_bias(spark, d):
     return tables.class_bias(_long(spark, d), "lang").withColumn("rate", R6(F.col("rate")))
 
 
-@query("agg_transition_by_structure", f"{WITH} SELECT source, n, wc, cw, round(wc / n, 6) AS wc_rate, round(cw / n, 6) AS cw_rate FROM (SELECT source, {_PAIR} FROM pred GROUP BY source)")
+@query(
+    "agg_transition_by_structure",
+    f"{WITH} SELECT source, n, wc, cw, round(wc / n, 6) AS wc_rate, round(cw / n, 6) AS cw_rate FROM (SELECT source, "
+    f"{_PAIR} FROM pred GROUP BY source)"
+)
 def agg_transition_by_structure(spark, d):
     x = tables.paired_correctness(predictions(spark, d), A(), B(), ["source"])
-    return x.select("source", "n", "wc", "cw", R6(F.col("wc") / F.col("n")).alias("wc_rate"), R6(F.col("cw") / F.col("n")).alias("cw_rate"))
+    return x.select(
+        "source", "n", "wc", "cw", R6(F.col("wc") / F.col("n")).alias("wc_rate"),
+        R6(F.col("cw") / F.col("n")).alias("cw_rate")
+    )
 
 
-@query("agreement_rate", f"{WITH} SELECT round(avg(CAST(pred_a = pred_b AS INT)), 6) AS agreement, count(*) FILTER (pred_a <> pred_b) AS disagreements FROM pred")
+@query(
+    "agreement_rate",
+    f"{WITH} SELECT round(avg(CAST(pred_a = pred_b AS INT)), 6) AS agreement, count(*) FILTER (pred_a <> pred_b) AS "
+    f"disagreements FROM pred"
+)
 def agreement_rate(spark, d):
     same = F.col("pred_a") == F.col("pred_b")
-    return predictions(spark, d).agg(R6(F.avg(same.cast("double"))).alias("agreement"), F.count_if(~same).alias("disagreements"))
+    return predictions(spark, d).agg(
+        R6(F.avg(same.cast("double"))).alias("agreement"), F.count_if(~same).alias("disagreements")
+    )
 
 
-@query("implied_agreement_gate", f"{WITH} SELECT round(avg(CAST(pred_a = pred_c AS INT)), 6) AS agreement, avg(CAST(pred_a = pred_c AS INT)) >= 0.95 AS passed FROM pred")
+@query(
+    "implied_agreement_gate",
+    f"{WITH} SELECT round(avg(CAST(pred_a = pred_c AS INT)), 6) AS agreement, avg(CAST(pred_a = pred_c AS INT)) >= 0.95 "
+    f"AS passed FROM pred"
+)
 def implied_agreement_gate(spark, d):
     r = F.avg((F.col("pred_a") == F.col("pred_c")).cast("double"))
     return predictions(spark, d).agg(R6(r).alias("agreement"), (r >= 0.95).alias("passed"))
@@ -161,28 +231,48 @@ def implied_agreement_gate(spark, d):
 # joins
 
 
-@query("join_paired_inner", f"{WITH}, l AS (SELECT id, pred_a FROM pred), r AS (SELECT id, pred_b FROM pred WHERE id % 10 <> 3) SELECT count(*) FILTER (r.id IS NULL) AS left_only, count(*) FILTER (l.id IS NULL) AS right_only, count(*) FILTER (l.id IS NOT NULL AND r.id IS NOT NULL) AS both FROM l FULL JOIN r ON l.id = r.id")
+@query(
+    "join_paired_inner",
+    f"{WITH}, l AS (SELECT id, pred_a FROM pred), r AS (SELECT id, pred_b FROM pred WHERE id % 10 <> 3) SELECT count(*) "
+    f"FILTER (r.id IS NULL) AS left_only, count(*) FILTER (l.id IS NULL) AS right_only, count(*) FILTER (l.id IS NOT "
+    f"NULL AND r.id IS NOT NULL) AS both FROM l FULL JOIN r ON l.id = r.id"
+)
 def join_paired_inner(spark, d):
     p = predictions(spark, d)
     return audit.paired_gate(p.select("id"), p.where("id % 10 <> 3").select("id"), "id")
 
 
-@query("join_multi_model", f"{LONG} SELECT id, gold, max(pred) FILTER (model = 'a') AS a, max(pred) FILTER (model = 'b') AS b, max(pred) FILTER (model = 'c') AS c FROM lng GROUP BY id, gold")
+@query(
+    "join_multi_model",
+    f"{LONG} SELECT id, gold, max(pred) FILTER (model = 'a') AS a, max(pred) FILTER (model = 'b') AS b, max(pred) "
+    f"FILTER (model = 'c') AS c FROM lng GROUP BY id, gold"
+)
 def join_multi_model(spark, d):
     return _long(spark, d).groupBy("id", "gold").pivot("model", ["a", "b", "c"]).agg(F.max("pred"))
 
 
-@query("join_lookup", "SELECT o_orderpriority AS priority, count(*) AS orders, count(c_custkey) AS matched, round(avg(c_acctbal), 4) AS mean_balance FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query(
+    "join_lookup",
+    "SELECT o_orderpriority AS priority, count(*) AS orders, count(c_custkey) AS matched, round(avg(c_acctbal), 4) AS "
+    "mean_balance FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"
+)
 def join_lookup(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("hit"), "c_acctbal")
     x, _ = audit.lookup(read(spark, d, "orders").select("o_custkey", "o_orderpriority"), c, "o_custkey")
-    return x.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"), F.count("hit").alias("matched"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
+    return x.groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count("*").alias("orders"), F.count("hit").alias("matched"),
+        F.round(F.avg("c_acctbal"), 4).alias("mean_balance")
+    )
 
 
 # information theory
 
 
-@query("entropy_nats", f"{WITH}, c AS (SELECT gold, count(*) AS n FROM pred GROUP BY 1) SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM c, (SELECT sum(n) AS t FROM c)")
+@query(
+    "entropy_nats",
+    f"{WITH}, c AS (SELECT gold, count(*) AS n FROM pred GROUP BY 1) SELECT round(-sum(n / t * ln(n / t)), 6) AS "
+    f"entropy FROM c, (SELECT sum(n) AS t FROM c)"
+)
 def entropy_nats(spark, d):
     return infotheory.entropy(predictions(spark, d), "gold").select(R6(F.col("entropy")).alias("entropy"))
 
@@ -194,7 +284,9 @@ def _mi_sql(log: str) -> str:
 
 @query("mi_bits", f"{_mi_sql('log2')} SELECT round(mi, 6) AS mi FROM s")
 def mi_bits(spark, d):
-    return infotheory.mutual_information(predictions(spark, d), "source", "gold", "bits").select(R6(F.col("mi")).alias("mi"))
+    return infotheory.mutual_information(
+        predictions(spark, d), "source", "gold", "bits"
+    ).select(R6(F.col("mi")).alias("mi"))
 
 
 @query("mi_nats", f"{_mi_sql('ln')} SELECT round(mi, 6) AS mi FROM s")
@@ -202,7 +294,11 @@ def mi_nats(spark, d):
     return infotheory.mutual_information(predictions(spark, d), "source", "gold").select(R6(F.col("mi")).alias("mi"))
 
 
-@query("nmi", f"{_mi_sql('ln')} SELECT round(mi, 6) AS mi, round(hx, 6) AS h_x, round(hy, 6) AS h_y, round(mi / hx, 6) AS nmi_x, round(mi / hy, 6) AS nmi_y FROM s")
+@query(
+    "nmi",
+    f"{_mi_sql('ln')} SELECT round(mi, 6) AS mi, round(hx, 6) AS h_x, round(hy, 6) AS h_y, round(mi / hx, 6) AS nmi_x, "
+    f"round(mi / hy, 6) AS nmi_y FROM s"
+)
 def nmi(spark, d):
     x = infotheory.mutual_information(predictions(spark, d), "source", "gold")
     return x.select(*[R6(F.col(c)).alias(c) for c in x.columns])
@@ -218,7 +314,9 @@ def conditional_mi(spark, d):
 
 @query("conditional_entropy", f"{_COND} SELECT round(-sum(n / t * ln(nxz / nz)), 6) AS h_x_given_z FROM m")
 def conditional_entropy(spark, d):
-    return infotheory.conditional(predictions(spark, d), "pred_a", "gold", "lang").select(R6(F.col("h_x_given_z")).alias("h_x_given_z"))
+    return infotheory.conditional(
+        predictions(spark, d), "pred_a", "gold", "lang"
+    ).select(R6(F.col("h_x_given_z")).alias("h_x_given_z"))
 
 
 # tests
@@ -226,13 +324,22 @@ def conditional_entropy(spark, d):
 _BC = f"{WITH}, bc AS (SELECT lang, count(*) FILTER (pred_a = gold AND pred_b <> gold) AS b, count(*) FILTER (pred_a <> gold AND pred_b = gold) AS c FROM pred GROUP BY lang)"
 
 
-@query("mcnemar_exact", f"{_BC} SELECT lang, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))) FROM (SELECT unnest(range(least(b, c) + 1)) AS i))) END, 8) AS exact_p FROM bc")
+@query(
+    "mcnemar_exact",
+    f"{_BC} SELECT lang, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - "
+    f"lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))) FROM (SELECT unnest(range(least(b, c) + 1)) "
+    f"AS i))) END, 8) AS exact_p FROM bc"
+)
 def mcnemar_exact(spark, d):
     g = predictions(spark, d).groupBy("lang").agg(F.count_if(A() & ~B()).alias("b"), F.count_if(~A() & B()).alias("c"))
     return g.withColumn("exact_p", F.round(S.mcnemar_exact(F.col("b"), F.col("c")), 8))
 
 
-@query("mcnemar_chi2", f"{_BC} SELECT lang, b, c, round((abs(b - c) - 1) * (abs(b - c) - 1) / nullif(CAST(b + c AS DOUBLE), 0), 6) AS chi2 FROM bc")
+@query(
+    "mcnemar_chi2",
+    f"{_BC} SELECT lang, b, c, round((abs(b - c) - 1) * (abs(b - c) - 1) / nullif(CAST(b + c AS DOUBLE), 0), 6) AS chi2 "
+    f"FROM bc"
+)
 def mcnemar_chi2(spark, d):
     g = predictions(spark, d).groupBy("lang").agg(F.count_if(A() & ~B()).alias("b"), F.count_if(~A() & B()).alias("c"))
     return g.withColumn("chi2", R6(S.mcnemar_chi2(F.col("b"), F.col("c"))))
@@ -243,13 +350,22 @@ def mcnemar_p_values(spark, d):
     return significance.mcnemar(predictions(spark, d), A(), B(), ["lang"])
 
 
-@query("indicator_test", f"{WITH} SELECT source, count(*) FILTER (pred_a = 'invalid' AND pred_b <> 'invalid') AS b, count(*) FILTER (pred_a <> 'invalid' AND pred_b = 'invalid') AS c FROM pred GROUP BY source")
+@query(
+    "indicator_test",
+    f"{WITH} SELECT source, count(*) FILTER (pred_a = 'invalid' AND pred_b <> 'invalid') AS b, count(*) FILTER (pred_a "
+    f"<> 'invalid' AND pred_b = 'invalid') AS c FROM pred GROUP BY source"
+)
 def indicator_test(spark, d):
     x, y = F.col("pred_a") == "invalid", F.col("pred_b") == "invalid"
     return predictions(spark, d).groupBy("source").agg(F.count_if(x & ~y).alias("b"), F.count_if(~x & y).alias("c"))
 
 
-@query("spearman", f"{WITH}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS a, rank() OVER (ORDER BY length(source) * 10 + toxic) + (count(*) OVER (PARTITION BY length(source) * 10 + toxic) - 1) / 2 AS b FROM pred) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r")
+@query(
+    "spearman",
+    f"{WITH}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS a, rank() "
+    f"OVER (ORDER BY length(source) * 10 + toxic) + (count(*) OVER (PARTITION BY length(source) * 10 + toxic) - 1) / 2 "
+    f"AS b FROM pred) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"
+)
 def spearman(spark, d):
     x = predictions(spark, d).select("n_chars", (F.length("source") * 10 + F.col("toxic")).alias("other"))
     return significance.spearman(x, "n_chars", "other").withColumn("rho", R6(F.col("rho")))
@@ -257,20 +373,28 @@ def spearman(spark, d):
 
 @query("spearman_p")
 def spearman_p(spark, d):
-    x = significance.spearman(predictions(spark, d).select("n_chars", (F.length("source") * 10 + F.col("toxic")).alias("other")), "n_chars", "other")
+    x = significance.spearman(
+        predictions(spark, d).select("n_chars", (F.length("source") * 10 + F.col("toxic")).alias("other")),
+        "n_chars",
+        "other"
+    )
     return x.withColumn("p", S.correlation_p(F.col("rho"), F.col("n")))
 
 
 @query("chi2_independence", f"""{WITH}, t AS (SELECT source, {TR} AS tr FROM pred), c AS (SELECT source AS x, tr AS y, count(*) AS o FROM t WHERE tr IN ('WC', 'CW') GROUP BY ALL), xs AS (SELECT x, sum(o) AS r FROM c GROUP BY 1), ys AS (SELECT y, sum(o) AS k FROM c GROUP BY 1), n AS (SELECT sum(o) AS t FROM c)
  SELECT round(sum((coalesce(o, 0) - r * k / t) * (coalesce(o, 0) - r * k / t) / (r * k / t)), 6) AS statistic, CAST((count(DISTINCT xs.x) - 1) * (count(DISTINCT ys.y) - 1) AS BIGINT) AS dof FROM xs CROSS JOIN ys CROSS JOIN n LEFT JOIN c ON c.x = xs.x AND c.y = ys.y""")
 def chi2_independence(spark, d):
-    t = predictions(spark, d).select("source", tables.transition(A(), B()).alias("tr")).where(F.col("tr").isin("WC", "CW"))
+    t = predictions(spark, d).select(
+        "source", tables.transition(A(), B()).alias("tr")
+    ).where(F.col("tr").isin("WC", "CW"))
     return significance.chi2_independence(t, "source", "tr").withColumn("statistic", R6(F.col("statistic")))
 
 
 @query("chi2_p_value")
 def chi2_p_value(spark, d):
-    t = predictions(spark, d).select("source", tables.transition(A(), B()).alias("tr")).where(F.col("tr").isin("WC", "CW"))
+    t = predictions(spark, d).select(
+        "source", tables.transition(A(), B()).alias("tr")
+    ).where(F.col("tr").isin("WC", "CW"))
     x = significance.chi2_independence(t, "source", "tr")
     return x.withColumn("p", S.chi2_sf(F.col("statistic"), F.col("dof").cast("double")))
 
@@ -305,21 +429,28 @@ def _signs_sql(where: str) -> str:
 
 @query("bootstrap_paired_mean", _signs_sql("true"))
 def bootstrap_paired_mean(spark, d):
-    b = significance.interval(significance.bootstrap_signs(predictions(spark, d).select(_delta().alias("x")), "x", REPS))
+    b = significance.interval(
+        significance.bootstrap_signs(predictions(spark, d).select(_delta().alias("x")), "x", REPS)
+    )
     return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
 @query("bootstrap_statistics")
 def bootstrap_statistics(spark, d):
     x = predictions(spark, d).select("id", F.col("n_chars").cast("double").alias("x"))
-    stats = {"median": significance.percentile_of(0.5), "p10": significance.percentile_of(0.1), "fraction": significance.share_above(1000)}
+    stats = {
+        "median": significance.percentile_of(0.5), "p10": significance.percentile_of(0.1),
+        "fraction": significance.share_above(1000)
+    }
     return significance.bootstrap_cells(x, "id", "x", stats, REPS)
 
 
 @query("bootstrap_two_sample")
 def bootstrap_two_sample(spark, d):
     x = predictions(spark, d).select("id", "toxic", F.col("n_chars").cast("double").alias("x"))
-    return significance.interval(significance.bootstrap_two_sample(x.where("toxic = 0"), x.where("toxic = 1"), "id", "x", REPS))
+    return significance.interval(
+        significance.bootstrap_two_sample(x.where("toxic = 0"), x.where("toxic = 1"), "id", "x", REPS)
+    )
 
 
 @query("bootstrap_cluster")

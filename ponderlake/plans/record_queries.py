@@ -19,13 +19,17 @@ _BLOCK = "'<answer>' || chr(10) || 'Alice: ' || CASE pattern[1] WHEN 'K' THEN 'k
 
 
 def _said(j: int) -> str:
-    one, two = (f"(['Alice', 'Bob', 'Carol'])[CAST({x} AS INT) + 1]" for x in (f"first{j}", f"((first{j} + 1 + shift{j}) % 3)"))
+    one, two = (
+        f"(['Alice', 'Bob', 'Carol'])[CAST({x} AS INT) + 1]" for x in (f"first{j}", f"((first{j} + 1 + shift{j}) % 3)")
+    )
     leaf = f"CASE kind{j} WHEN 0 THEN {one} || ' is a ' || CASE WHEN shift{j} = 0 THEN 'knight' ELSE 'knave' END WHEN 1 THEN {one} || ' and ' || {two} || ' are the same type' ELSE {one} || ' and ' || {two} || ' are different types' END"
     return f"CASE neg{j} WHEN 1 THEN 'it is not true that ' ELSE '' END || {leaf}"
 
 
 def _prompt(kind: str) -> str:
-    lines = [f"'{x}'" for x in text.PROMPT_HEAD] + [f"'{p} says: ' || {_said(j)} || '.'" for j, p in enumerate(("Alice", "Bob", "Carol"))] + [f"'{x}'" for x in text.PROMPT_TAIL[kind]]
+    lines = [f"'{x}'" for x in text.PROMPT_HEAD] + [
+        f"'{p} says: ' || {_said(j)} || '.'" for j, p in enumerate(("Alice", "Bob", "Carol"))
+    ] + [f"'{x}'" for x in text.PROMPT_TAIL[kind]]
     return " || chr(10) || ".join(lines)
 
 
@@ -34,7 +38,10 @@ def _compiled(spark, d):
 
 
 def _statements():
-    return F.transform(F.arrays_zip("speakers", "texts"), lambda x: F.struct(x["speakers"].alias("speaker"), F.concat(x["texts"], F.lit(".")).alias("text")))
+    return F.transform(
+        F.arrays_zip("speakers", "texts"),
+        lambda x: F.struct(x["speakers"].alias("speaker"), F.concat(x["texts"], F.lit(".")).alias("text"))
+    )
 
 
 def _solved(spark, d):
@@ -47,9 +54,14 @@ def expr_render(spark, d):
     return _compiled(spark, d).select("id", *[F.get("texts", F.lit(j)).alias(f"s{j}") for j in range(3)])
 
 
-@query("expr_construct", f"WITH {PUZZLE_SQL} SELECT id, {_tree_sql(0)} AS t0, {_tree_sql(1)} AS t1, {_tree_sql(2)} AS t2 FROM pz")
+@query(
+    "expr_construct",
+    f"WITH {PUZZLE_SQL} SELECT id, {_tree_sql(0)} AS t0, {_tree_sql(1)} AS t1, {_tree_sql(2)} AS t2 FROM pz"
+)
 def expr_construct(spark, d):
-    return puzzle_trees(spark, d).select("id", *[F.get("statements", F.lit(j))["expr"].alias(f"t{j}") for j in range(3)])
+    return puzzle_trees(spark, d).select(
+        "id", *[F.get("statements", F.lit(j))["expr"].alias(f"t{j}") for j in range(3)]
+    )
 
 
 @query("fmt_prompt", f"WITH {PUZZLE_SQL} SELECT id, md5({_prompt('reasoning')}) AS prompt_md5 FROM pz")
@@ -70,24 +82,41 @@ def fmt_completion_answer_only(spark, d):
 _LINES = f"{_UNIQUE}, tr AS (SELECT id, {TRACE_SQL} AS trace FROM asg WHERE id IN (SELECT id FROM un) GROUP BY id)"
 
 
-@query("fmt_completion", f"{_LINES} SELECT id, '<reasoning>' || chr(10) || trace || chr(10) || '</reasoning>' || chr(10) || {_BLOCK} AS completion FROM un JOIN tr USING (id)")
+@query(
+    "fmt_completion",
+    f"{_LINES} SELECT id, '<reasoning>' || chr(10) || trace || chr(10) || '</reasoning>' || chr(10) || {_BLOCK} AS "
+    f"completion FROM un JOIN tr USING (id)"
+)
 def fmt_completion(spark, d):
     trace = text.fmt_reasoning_trace(F.col("masks"), F.array(F.lit(0), F.lit(1), F.lit(2)), F.col("people"))
-    return _solved(spark, d).select("id", text.fmt_completion(trace, F.col("answer"), people(), F.col("n_solutions")).alias("completion"))
+    return _solved(spark, d).select(
+        "id", text.fmt_completion(trace, F.col("answer"), people(), F.col("n_solutions")).alias("completion")
+    )
 
 
 def _examples(spark, d):
     x = _solved(spark, d)
-    return records.sft_example(x.select("id", "answer", _statements().alias("said")), text.fmt_prompt(F.col("said")), text.fmt_answer_block(F.col("answer"), people())).drop("said")
+    return records.sft_example(
+        x.select("id", "answer", _statements().alias("said")), text.fmt_prompt(F.col("said")),
+        text.fmt_answer_block(F.col("answer"), people())
+    ).drop("said")
 
 
 _EXAMPLE = f"{_UNIQUE}, ex AS (SELECT id, {_prompt('reasoning')} AS prompt, {_BLOCK} AS completion FROM un JOIN pz USING (id))"
 
 
-@query("build_sft_example", f"{_EXAMPLE} SELECT id, 2 AS turns, 'user>assistant' AS roles, md5(prompt || completion) AS text_md5 FROM ex")
+@query(
+    "build_sft_example",
+    f"{_EXAMPLE} SELECT id, 2 AS turns, 'user>assistant' AS roles, md5(prompt || completion) AS text_md5 FROM ex"
+)
 def build_sft_example(spark, d):
     m = F.col("messages")
-    return _examples(spark, d).select("id", F.size(m).alias("turns"), F.array_join(F.transform(m, lambda x: x["role"]), ">").alias("roles"), F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "")).alias("text_md5"))
+    return _examples(spark, d).select(
+        "id",
+        F.size(m).alias("turns"),
+        F.array_join(F.transform(m, lambda x: x["role"]), ">").alias("roles"),
+        F.md5(F.array_join(F.transform(m, lambda x: x["content"]), "")).alias("text_md5")
+    )
 
 
 @query("convert_answer_only", f"{_EXAMPLE} SELECT id, md5(prompt || 'x' || completion) AS text_md5 FROM ex")
@@ -98,30 +127,56 @@ def convert_answer_only(spark, d):
 
 @query("to_rl_processed", f"{_EXAMPLE} SELECT id, md5(prompt) AS prompt_md5 FROM ex")
 def to_rl_processed(spark, d):
-    return records.rl_example(_examples(spark, d)).select("id", F.md5(F.col("prompt")[0]["content"]).alias("prompt_md5"))
+    return records.rl_example(_examples(spark, d)).select(
+        "id", F.md5(F.col("prompt")[0]["content"]).alias("prompt_md5")
+    )
 
 
-@query("all_candidates", f"SELECT cand, pattern, {_BLOCK} AS completion FROM (SELECT CAST(c AS INT) AS cand, {label('c')} AS pattern FROM (SELECT unnest(range(8)) AS c))")
+@query(
+    "all_candidates",
+    f"SELECT cand, pattern, {_BLOCK} AS completion FROM (SELECT CAST(c AS INT) AS cand, {label('c')} AS pattern FROM "
+    f"(SELECT unnest(range(8)) AS c))"
+)
 def all_candidates(spark, d):
     return records.candidates(spark, people())
 
 
-@query("verify_formatter", f"{_UNIQUE}, f AS (SELECT pattern, {_BLOCK} AS completion FROM un), c AS (SELECT {label('c')} AS pattern, '<answer>' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda i: ['Alice: ', 'Bob: ', 'Carol: '][i + 1] || CASE WHEN c // [4, 2, 1][i + 1] % 2 = 0 THEN 'knight' ELSE 'knave' END), chr(10)) || chr(10) || '</answer>' AS completion FROM (SELECT unnest(range(8)) AS c)) SELECT count(*) AS rows, count(*) FILTER (f.completion IS DISTINCT FROM c.completion) AS different FROM f LEFT JOIN c USING (pattern)")
+@query(
+    "verify_formatter",
+    f"{_UNIQUE}, f AS (SELECT pattern, {_BLOCK} AS completion FROM un), c AS (SELECT {label('c')} AS pattern, "
+    f"'<answer>' || chr(10) || array_to_string(list_transform([0, 1, 2], lambda i: ['Alice: ', 'Bob: ', 'Carol: '][i + "
+    f"1] || CASE WHEN c // [4, 2, 1][i + 1] % 2 = 0 THEN 'knight' ELSE 'knave' END), chr(10)) || chr(10) || '</answer>' "
+    f"AS completion FROM (SELECT unnest(range(8)) AS c)) SELECT count(*) AS rows, count(*) FILTER (f.completion IS "
+    f"DISTINCT FROM c.completion) AS different FROM f LEFT JOIN c USING (pattern)"
+)
 def verify_formatter(spark, d):
     c = F.broadcast(records.candidates(spark, people()))
-    return records.differing(_solved(spark, d).join(c, "pattern"), text.fmt_answer_block(F.col("answer"), people()), F.col("completion"))
+    return records.differing(
+        _solved(spark, d).join(c, "pattern"), text.fmt_answer_block(F.col("answer"), people()), F.col("completion")
+    )
 
 
-@query("join_cross_candidates", f"{_UNIQUE} SELECT id, CAST(c AS INT) AS cand, {label('c')} = pattern AS gold FROM un, (SELECT unnest(range(8)) AS c)")
+@query(
+    "join_cross_candidates",
+    f"{_UNIQUE} SELECT id, CAST(c AS INT) AS cand, {label('c')} = pattern AS gold FROM un, (SELECT unnest(range(8)) AS "
+    f"c)"
+)
 def join_cross_candidates(spark, d):
     c = F.broadcast(records.candidates(spark, people()).select("cand", F.col("pattern").alias("p")))
-    return _solved(spark, d).select("id", "pattern").crossJoin(c).select("id", "cand", (F.col("p") == F.col("pattern")).alias("gold"))
+    return _solved(spark, d).select("id", "pattern").crossJoin(c).select(
+        "id", "cand", (F.col("p") == F.col("pattern")).alias("gold")
+    )
 
 
-@query("join_cross_assign", f"WITH {PUZZLE_SQL}, {ASSIGN_SQL} SELECT id, count(*) AS n, CAST(sum(a) AS BIGINT) AS total FROM asg GROUP BY id")
+@query(
+    "join_cross_assign",
+    f"WITH {PUZZLE_SQL}, {ASSIGN_SQL} SELECT id, count(*) AS n, CAST(sum(a) AS BIGINT) AS total FROM asg GROUP BY id"
+)
 def join_cross_assign(spark, d):
     a = F.broadcast(puzzles.assignments(spark).select("a"))
-    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id")).crossJoin(a).groupBy("id").agg(F.count("*").alias("n"), F.sum("a").alias("total"))
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id")).crossJoin(a).groupBy("id").agg(
+        F.count("*").alias("n"), F.sum("a").alias("total")
+    )
 
 
 _CANON = "CASE WHEN ok THEN '{\"Alice\":\"' || CASE pattern[1] WHEN 'K' THEN 'knight' ELSE 'knave' END || '\",\"Bob\":\"' || CASE pattern[2] WHEN 'K' THEN 'knight' ELSE 'knave' END || '\",\"Carol\":\"' || CASE pattern[3] WHEN 'K' THEN 'knight' ELSE 'knave' END || '\"}' END"
@@ -132,50 +187,84 @@ def canonical_answer(spark, d):
     return _parsed(spark, d).select("id", records.canonical_answer(F.col("answer"), people()).alias("answer"))
 
 
-@query("eval_record", f"WITH {PARSE_SQL} SELECT reason, ok AS format_valid, pattern AS prediction_pattern, count(*) AS n, count(*) FILTER (pattern = gold) AS correct FROM pa GROUP BY ALL")
+@query(
+    "eval_record",
+    f"WITH {PARSE_SQL} SELECT reason, ok AS format_valid, pattern AS prediction_pattern, count(*) AS n, count(*) FILTER "
+    f"(pattern = gold) AS correct FROM pa GROUP BY ALL"
+)
 def eval_record(spark, d):
     from ..functions.parsing import eval_record as build
 
     e = _parsed(spark, d).select(build(F.col("text"), people(), F.col("gold")).alias("e")).select("e.*")
-    return e.groupBy(F.col("parse_reason").alias("reason"), "format_valid", "prediction_pattern").agg(F.count("*").alias("n"), F.count_if(F.col("correct")).alias("correct"))
+    return e.groupBy(
+        F.col("parse_reason").alias("reason"), "format_valid", "prediction_pattern"
+    ).agg(F.count("*").alias("n"), F.count_if(F.col("correct")).alias("correct"))
 
 
-@query("gen_split_seeds", "SELECT n_nationkey AS split_index, CAST(20260831 + n_nationkey * 1000003 AS BIGINT) AS seed FROM nation")
+@query(
+    "gen_split_seeds",
+    "SELECT n_nationkey AS split_index, CAST(20260831 + n_nationkey * 1000003 AS BIGINT) AS seed FROM nation"
+)
 def gen_split_seeds(spark, d):
     n = F.col("n_nationkey").cast("bigint")
-    return read(spark, d, "nation").select(F.col("n_nationkey").alias("split_index"), text.split_seed(F.lit(20260831).cast("bigint"), n).alias("seed"))
+    return read(spark, d, "nation").select(
+        F.col("n_nationkey").alias("split_index"), text.split_seed(F.lit(20260831).cast("bigint"), n).alias("seed")
+    )
 
 
-@query("filter_predicates", f"{LAND} SELECT count(*) AS n, round(avg(gold_q), 6) AS mean_q FROM ls WHERE gold_rank > 1 AND gold_q < 0.2 AND gold IN (0, 2, 4)")
+@query(
+    "filter_predicates",
+    f"{LAND} SELECT count(*) AS n, round(avg(gold_q), 6) AS mean_q FROM ls WHERE gold_rank > 1 AND gold_q < 0.2 AND "
+    f"gold IN (0, 2, 4)"
+)
 def filter_predicates(spark, d):
     x = _ls(spark, d).where((F.col("gold_rank") > 1) & (F.col("gold_q") < 0.2) & F.col("gold").isin(0, 2, 4))
     return x.agg(F.count("*").alias("n"), R6(F.avg("gold_q")).alias("mean_q"))
 
 
-@query("agg_checkpoint_eval", f"WITH {PRED_SQL} SELECT id % 5 AS step, count(*) AS count, count(*) FILTER (pred_a = gold) AS exact, count(*) FILTER (pred_a <> 'invalid') AS format_valid, round(avg(CAST(pred_a = gold AS INT)), 6) AS exact_accuracy, round(avg(CAST(pred_a <> 'invalid' AS INT)), 6) AS format_accuracy FROM pred GROUP BY 1")
+@query(
+    "agg_checkpoint_eval",
+    f"WITH {PRED_SQL} SELECT id % 5 AS step, count(*) AS count, count(*) FILTER (pred_a = gold) AS exact, count(*) "
+    f"FILTER (pred_a <> 'invalid') AS format_valid, round(avg(CAST(pred_a = gold AS INT)), 6) AS exact_accuracy, "
+    f"round(avg(CAST(pred_a <> 'invalid' AS INT)), 6) AS format_accuracy FROM pred GROUP BY 1"
+)
 def agg_checkpoint_eval(spark, d):
     x = records.checkpoint_eval(predictions(spark, d).withColumn("step", F.col("id") % 5), "step", "gold", "pred_a")
     return x.withColumns({c: R6(F.col(c)) for c in ("exact_accuracy", "format_accuracy")})
 
 
-@query("agg_val_table", f"WITH {PRED_SQL} SELECT id % 5 AS step, round(avg(CAST(pred_a = gold AS INT)), 6) AS exact_accuracy, round(avg(CAST(pred_a <> 'invalid' AS INT)), 6) AS format_accuracy FROM pred GROUP BY 1")
+@query(
+    "agg_val_table",
+    f"WITH {PRED_SQL} SELECT id % 5 AS step, round(avg(CAST(pred_a = gold AS INT)), 6) AS exact_accuracy, "
+    f"round(avg(CAST(pred_a <> 'invalid' AS INT)), 6) AS format_accuracy FROM pred GROUP BY 1"
+)
 def agg_val_table(spark, d):
     return agg_checkpoint_eval(spark, d).select("step", "exact_accuracy", "format_accuracy")
 
 
-@query("agg_probe_by_step", f"WITH {ROLL_SQL} SELECT step, count(*) AS n, count(*) FILTER (reward = 1) AS correct, round(avg(reward), 6) AS hit_rate FROM roll GROUP BY step")
+@query(
+    "agg_probe_by_step",
+    f"WITH {ROLL_SQL} SELECT step, count(*) AS n, count(*) FILTER (reward = 1) AS correct, round(avg(reward), 6) AS "
+    f"hit_rate FROM roll GROUP BY step"
+)
 def agg_probe_by_step(spark, d):
-    return records.probe_by_step(plain_rollouts(spark, d), "step", "reward").withColumn("hit_rate", R6(F.col("hit_rate")))
+    return records.probe_by_step(
+        plain_rollouts(spark, d), "step", "reward"
+    ).withColumn("hit_rate", R6(F.col("hit_rate")))
 
 
 @query("param_delta", "SELECT count(*) AS values, round(max(abs(p_retailprice - p_retailprice * (1 + p_size / 1000.0::DOUBLE))), 6) AS max_abs_delta FROM part".replace("AS values", 'AS "values"'))
 def param_delta(spark, d):
     p = read(spark, d, "part")
     b = p.select("p_partkey", (F.col("p_retailprice") * (1 + F.col("p_size") / 1000.0)).alias("p_retailprice"))
-    return records.param_delta(p, b, "p_partkey", "p_retailprice").withColumn("max_abs_delta", R6(F.col("max_abs_delta")))
+    return records.param_delta(p, b, "p_partkey", "p_retailprice").withColumn(
+        "max_abs_delta", R6(F.col("max_abs_delta"))
+    )
 
 
-@query("sort_counts", f"WITH {PRED_SQL} SELECT gold, pred_a, count(*) AS n FROM pred GROUP BY ALL ORDER BY gold, pred_a")
+@query(
+    "sort_counts", f"WITH {PRED_SQL} SELECT gold, pred_a, count(*) AS n FROM pred GROUP BY ALL ORDER BY gold, pred_a"
+)
 def sort_counts(spark, d):
     return tables.distribution(predictions(spark, d), "gold", "pred_a").orderBy("gold", "pred_a")
 
@@ -192,8 +281,18 @@ def make_partitions(spark, d):
     return groups.make_partitions(spark)
 
 
-_GROWN = generation.sql("(SELECT n_nationkey * 1000 + s_suppkey AS seed FROM supplier, nation WHERE s_nationkey = n_nationkey)", generation.DUCK, generation.tags("seed"), 3)
-_ROOTS = " UNION ALL ".join(f"SELECT seed, '{p}' AS speaker, CAST(mask_{i}_r AS INT) AS mask, CAST(depth_{i}_r AS INT) AS depth, CAST(nodes_{i}_r AS INT) AS nodes, md5(said_{i}_r) AS said FROM g" for i, p in enumerate(puzzles.PEOPLE))
+_GROWN = generation.sql(
+    "(SELECT n_nationkey * 1000 + s_suppkey AS seed FROM supplier, nation WHERE s_nationkey = n_nationkey)",
+    generation.DUCK,
+    generation.tags("seed"),
+    3
+)
+_ROOTS = " UNION ALL ".join(
+    f"SELECT seed, '{p}' AS speaker, CAST(mask_{i}_r AS INT) AS mask, CAST(depth_{i}_r AS INT) AS depth, "
+    f"CAST(nodes_{i}_r AS INT) AS nodes, md5(said_{i}_r) AS said FROM g"
+    for i,
+    p in enumerate(puzzles.PEOPLE)
+)
 
 
 @query("rand_expr", f"WITH g AS ({_GROWN.replace('(SELECT', 'SELECT', 1)[:-1]}) {_ROOTS}")
@@ -201,8 +300,12 @@ def rand_expr(spark, d):
     """Trees drawn by digests, compiled from their JSON; the SQL has mask, depth and size from the draws themselves."""
     s = read(spark, d, "supplier").select((F.col("s_nationkey") * 1000 + F.col("s_suppkey")).alias("seed"))
     g = generation.grown(s, generation.tags("seed"), 3, ("expr",))
-    said = F.array(*[F.struct(F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr")) for i, p in enumerate(puzzles.PEOPLE)])
-    x = g.select("seed", F.explode(said).alias("s")).select("seed", "s.speaker", logic.compile_expr()(F.col("s.expr")).alias("c"))
+    said = F.array(
+        *[F.struct(F.lit(p).alias("speaker"), F.col(f"expr_{i}_r").alias("expr")) for i, p in enumerate(puzzles.PEOPLE)]
+    )
+    x = g.select("seed", F.explode(said).alias("s")).select(
+        "seed", "s.speaker", logic.compile_expr()(F.col("s.expr")).alias("c")
+    )
     return x.select("seed", "speaker", "c.mask", "c.depth", "c.nodes", F.md5("c.text").alias("said"))
 
 

@@ -46,7 +46,10 @@ def sink_jsonl(spark, d):
     return x.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
 
 
-@query("scan_jsonl_keyed", "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+@query(
+    "scan_jsonl_keyed",
+    "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
+)
 def scan_jsonl_keyed(spark, d):
     """Files in order of event_id: the last row of a user is the one of the greatest id."""
     ordered = _events(spark, d).repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id")
@@ -61,23 +64,40 @@ def scan_optional(spark, d):
     return there.unionByName(missing).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("scan_json_doc", "SELECT r_regionkey AS region, r_name AS name, n_nationkey AS nation, n_name AS nation_name FROM region JOIN nation ON n_regionkey = r_regionkey")
+@query(
+    "scan_json_doc",
+    "SELECT r_regionkey AS region, r_name AS name, n_nationkey AS nation, n_name AS nation_name FROM region JOIN nation "
+    "ON n_regionkey = r_regionkey"
+)
 def scan_json_doc(spark, d):
     """A document of several lines for each region."""
     inner = F.struct(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("nation_name"))
     x = read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(inner).alias("nations"))  # a dozen
     x = x.join(read(spark, d, "region"), "r_regionkey")
-    doc = F.to_json(F.struct(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"), "nations"), {"pretty": "true"})
+    doc = F.to_json(
+        F.struct(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"), "nations"), {"pretty": "true"}
+    )
     path = exchange.folder(spark, "regions")
-    x.select("r_regionkey", doc.alias("value")).repartition("r_regionkey").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    x.select(
+        "r_regionkey", doc.alias("value")
+    ).repartition("r_regionkey").select("value").write.option("maxRecordsPerFile", 1).text(path)
     schema = "region bigint, name string, nations array<struct<nation:bigint,nation_name:string>>"
-    return readers.json_doc(spark, path, schema).select("region", "name", F.explode("nations").alias("n")).select("region", "name", "n.*")
+    return readers.json_doc(spark, path, schema).select(
+        "region", "name", F.explode("nations").alias("n")
+    ).select("region", "name", "n.*")
 
 
-@query("scan_probe_nested", f"WITH {ROLL_SQL} SELECT id || '@step' || step AS key, CAST(id AS VARCHAR) AS id, CAST(step AS INT) AS probe_step, any_value(gold) AS gold, CAST(count(*) AS INT) AS n, sum(reward) AS reward FROM roll GROUP BY id, step")
+@query(
+    "scan_probe_nested",
+    f"WITH {ROLL_SQL} SELECT id || '@step' || step AS key, CAST(id AS VARCHAR) AS id, CAST(step AS INT) AS probe_step, "
+    f"any_value(gold) AS gold, CAST(count(*) AS INT) AS n, sum(reward) AS reward FROM roll GROUP BY id, step"
+)
 def scan_probe_nested(spark, d):
     """Probe documents, one for each prompt, as JSON Lines."""
-    r = F.struct(F.lit("t").alias("text"), "reward", F.col("answer").alias("pattern"), F.col("answer").isNotNull().alias("format_valid"))
+    r = F.struct(
+        F.lit("t").alias("text"), "reward", F.col("answer").alias("pattern"),
+        F.col("answer").isNotNull().alias("format_valid")
+    )
     g = rollouts(spark, d).groupBy("id", "step", "gold").agg(F.collect_list(r).alias("rollouts"))  # a group's completions
     prompt = F.struct(F.col("id").cast("string").alias("id"), F.col("gold").alias("ground_truth_pattern"), "rollouts")
     group = F.struct(F.col("step").cast("int").alias("probe_step"), F.array(prompt).alias("prompts"))
@@ -85,10 +105,16 @@ def scan_probe_nested(spark, d):
     schema = f"groups array<struct<probe_step:int,prompts:array<struct<id:string,ground_truth_pattern:string,rollouts:array<{one}>>>>>"
     x = readers.probe(readers.jsonl(spark, _written(g.select(F.array(group).alias("groups")), "probe"), schema))
     total = F.aggregate("rollouts", F.lit(0.0), lambda t, v: t + v["reward"]).alias("reward")
-    return x.select("key", "id", "probe_step", F.col("ground_truth_pattern").alias("gold"), F.size("rollouts").alias("n"), total)
+    return x.select(
+        "key", "id", "probe_step", F.col("ground_truth_pattern").alias("gold"), F.size("rollouts").alias("n"), total
+    )
 
 
-@query("scan_rollout_groups", f"WITH {ROLL_SQL} SELECT CAST(id AS VARCHAR) AS id, gold, k, coalesce(answer, 'invalid') AS pattern, reward, answer IS NOT NULL AS format_valid FROM roll")
+@query(
+    "scan_rollout_groups",
+    f"WITH {ROLL_SQL} SELECT CAST(id AS VARCHAR) AS id, gold, k, coalesce(answer, 'invalid') AS pattern, reward, answer "
+    f"IS NOT NULL AS format_valid FROM roll"
+)
 def scan_rollout_groups(spark, d):
     """Groups with answers as maps; patterns are worked out anew from them."""
     def generation(v):
@@ -110,17 +136,28 @@ def scan_multi_model(spark, d):
     return readers.multi_model(spark, paths, "id bigint, gold string, pred string")
 
 
-@query("scan_landscape", f"WITH {SCORE_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(gold AS INT) AS gold, model, cand, score FROM sc")
+@query(
+    "scan_landscape",
+    f"WITH {SCORE_SQL} SELECT CAST(id AS VARCHAR) AS id, CAST(gold AS INT) AS gold, model, cand, score FROM sc"
+)
 def scan_landscape(spark, d):
     """Nested scores by model."""
     from ..functions.text import pattern_of_index
 
     g = scores(spark, d).groupBy("id", "gold", "model").agg(F.array_sort(F.collect_list(F.struct("cand", "score"))).alias("c"))  # eight
-    m = g.groupBy("id", "gold").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(F.transform("c", lambda x: x["score"]).alias("scores"))))).alias("models"))
-    rec = m.select(F.col("id").cast("string").alias("id"), pattern_of_index(F.col("gold")).alias("gold_pattern"), "models")
+    m = g.groupBy("id", "gold").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("model", F.struct(F.transform("c", lambda x: x["score"]).alias("scores"))))
+        ).alias("models")
+    )
+    rec = m.select(
+        F.col("id").cast("string").alias("id"), pattern_of_index(F.col("gold")).alias("gold_pattern"), "models"
+    )
     schema = "id string, gold_pattern string, models map<string,struct<scores:array<double>>>"
     x = readers.landscape_long(readers.jsonl(spark, _written(rec, "landscape"), schema))
-    return x.select("id", F.col("gold").cast("int").alias("gold"), "model", F.col("cand").cast("int").alias("cand"), "score")
+    return x.select(
+        "id", F.col("gold").cast("int").alias("gold"), "model", F.col("cand").cast("int").alias("cand"), "score"
+    )
 
 
 @query("scan_wide_arrays", f"WITH {ROLL_SQL} SELECT step, k, reward, gold FROM roll")
@@ -141,27 +178,44 @@ class _Settings:
     limit: int = 0
 
 
-@query("scan_yaml_config", "SELECT 'batch' AS name, '8' AS value UNION ALL SELECT 'rate', '0.25' UNION ALL SELECT 'mode', 'fast' UNION ALL SELECT 'limit', '0'")
+@query(
+    "scan_yaml_config",
+    "SELECT 'batch' AS name, '8' AS value UNION ALL SELECT 'rate', '0.25' UNION ALL SELECT 'mode', 'fast' UNION ALL "
+    "SELECT 'limit', '0'"
+)
 def scan_yaml_config(spark, d):
     """Defaults, then a file's settings, then the command line's."""
-    merged = readers.config(_Settings, {"batch": 32, "rate": 0.25, "mode": None}, {"batch": 8, "mode": "fast", "limit": None})
+    merged = readers.config(
+        _Settings, {"batch": 32, "rate": 0.25, "mode": None}, {"batch": 8, "mode": "fast", "limit": None}
+    )
     return spark.createDataFrame([(k, str(v)) for k, v in asdict(merged).items()], "name string, value string")
 
 
 _PATHS = "CASE WHEN s_suppkey % 7 = 0 THEN 'runs/final' ELSE 'runs/checkpoint-' || s_suppkey * 25 END"
 
 
-@query("scan_checkpoint_dirs", f"SELECT {_PATHS} AS path, CAST(s_suppkey * 25 AS INT) AS step FROM supplier WHERE s_suppkey % 7 <> 0")
+@query(
+    "scan_checkpoint_dirs",
+    f"SELECT {_PATHS} AS path, CAST(s_suppkey * 25 AS INT) AS step FROM supplier WHERE s_suppkey % 7 <> 0"
+)
 def scan_checkpoint_dirs(spark, d):
     return readers.checkpoint_dirs(read(spark, d, "supplier").selectExpr(f"{_PATHS} AS path"))
 
 
-@query("scan_metrics_normalize", "SELECT event_id AS step, value AS loss, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS DOUBLE) ELSE 0.0::DOUBLE END AS kl, CASE WHEN event_id % 2 = 1 THEN event_type END AS mode FROM events")
+@query(
+    "scan_metrics_normalize",
+    "SELECT event_id AS step, value AS loss, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS DOUBLE) ELSE 0.0::DOUBLE "
+    "END AS kl, CASE WHEN event_id % 2 = 1 THEN event_type END AS mode FROM events"
+)
 def scan_metrics_normalize(spark, d):
     """An older log without ``mode``, a newer one without ``kl``."""
     e = _events(spark, d)
-    old = e.where("event_id % 2 = 0").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("user_id").cast("double").alias("kl"))
-    new = e.where("event_id % 2 = 1").select(F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("event_type").alias("mode"))
+    old = e.where("event_id % 2 = 0").select(
+        F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("user_id").cast("double").alias("kl")
+    )
+    new = e.where("event_id % 2 = 1").select(
+        F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("event_type").alias("mode")
+    )
     x = readers.jsonl(spark, _written(old, "old"), "step bigint, loss double, kl double")
     y = readers.jsonl(spark, _written(new, "new"), "step bigint, loss double, mode string")
     return readers.metrics_normalised(x, y, fill={"kl": 0.0})
@@ -178,7 +232,10 @@ def sink_jsonl_incremental(spark, d):
     return x.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
-@query("sink_metrics_append", f"{EVENT_SQL} UNION ALL SELECT event_id, event_type, user_id, -value FROM events WHERE event_id % 3 = 0")
+@query(
+    "sink_metrics_append",
+    f"{EVENT_SQL} UNION ALL SELECT event_id, event_type, user_id, -value FROM events WHERE event_id % 3 = 0"
+)
 def sink_metrics_append(spark, d):
     path, e = exchange.folder(spark, "metrics"), _events(spark, d)
     sinks.append_metrics(e, path)
@@ -186,20 +243,36 @@ def sink_metrics_append(spark, d):
     return readers.jsonl(spark, path, EVENT)
 
 
-@query("sink_json_report", "SELECT count(*) AS orders, max(o_orderkey) AS last, count(DISTINCT o_orderpriority) AS priorities, min(o_orderpriority) AS first FROM orders")
+@query(
+    "sink_json_report",
+    "SELECT count(*) AS orders, max(o_orderkey) AS last, count(DISTINCT o_orderpriority) AS priorities, "
+    "min(o_orderpriority) AS first FROM orders"
+)
 def sink_json_report(spark, d):
     o = read(spark, d, "orders")
-    report = sinks.json_report(o.agg(F.count("*").alias("orders"), F.max("o_orderkey").alias("last"), F.count_distinct("o_orderpriority").alias("priorities"), F.min("o_orderpriority").alias("first")))
+    report = sinks.json_report(
+        o.agg(
+            F.count("*").alias("orders"), F.max("o_orderkey").alias("last"),
+            F.count_distinct("o_orderpriority").alias("priorities"), F.min("o_orderpriority").alias("first")
+        )
+    )
     schema = "orders bigint, last bigint, priorities bigint, first string"
     return spark.createDataFrame([(report,)], "r string").select(F.from_json("r", schema).alias("r")).select("r.*")
 
 
-@query("sink_csv", "SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+@query(
+    "sink_csv",
+    "SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"
+)
 def sink_csv(spark, d):
-    g = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    g = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
     path = exchange.folder(spark, "priorities")
     sinks.csv(g, path)
-    return spark.read.schema("priority string, n bigint, total double").option("header", True).option("enforceSchema", False).csv(path)
+    return spark.read.schema(
+        "priority string, n bigint, total double"
+    ).option("header", True).option("enforceSchema", False).csv(path)
 
 
 @query("sink_markdown", """WITH c AS (SELECT r_regionkey AS k, r_name AS name, count(n_nationkey) / 3.0::DOUBLE AS third FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL),
@@ -208,22 +281,35 @@ def sink_csv(spark, d):
 def sink_markdown(spark, d):
     n = read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg((F.count("*") / 3.0).alias("third"))
     r = read(spark, d, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name"))
-    text = sinks.markdown(r.join(n, "region", "left").fillna(0.0, ["third"]).orderBy("region").select("region", "name", "third"))
+    text = sinks.markdown(
+        r.join(n, "region", "left").fillna(0.0, ["third"]).orderBy("region").select("region", "name", "third")
+    )
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "at int, line string")
 
 
-@query("sink_manifest", "SELECT 7 AS seed, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS count, count(DISTINCT md5(text)) AS keys, (SELECT count(*) FROM documents) AS rows FROM documents GROUP BY 2")
+@query(
+    "sink_manifest",
+    "SELECT 7 AS seed, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split, count(*) AS count, "
+    "count(DISTINCT md5(text)) AS keys, (SELECT count(*) FROM documents) AS rows FROM documents GROUP BY 2"
+)
 def sink_manifest(spark, d):
-    x = read(spark, d, "documents").selectExpr("CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split", "md5(text) AS key")
+    x = read(spark, d, "documents").selectExpr(
+        "CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'test' END AS split", "md5(text) AS key"
+    )
     path = _written(sinks.manifest(x, "split", "key", 7), "manifest")
     m = readers.jsonl(spark, path, "seed int, splits array<struct<split:string,count:bigint,keys:bigint>>, rows bigint")
     return m.select("seed", "rows", F.explode("splits").alias("s")).select("seed", "s.*", "rows")
 
 
-@query("sink_guard_overwrite", "SELECT true AS refused, (SELECT count(*) FROM nation) AS kept, (SELECT count(*) FROM region) AS replaced")
+@query(
+    "sink_guard_overwrite",
+    "SELECT true AS refused, (SELECT count(*) FROM nation) AS kept, (SELECT count(*) FROM region) AS replaced"
+)
 def sink_guard_overwrite(spark, d):
     """A second write is refused and leaves the first; told to, it replaces it."""
-    n, r = read(spark, d, "nation").select(F.col("n_nationkey").alias("k")), read(spark, d, "region").select(F.col("r_regionkey").alias("k"))
+    n, r = read(spark, d, "nation").select(
+        F.col("n_nationkey").alias("k")
+    ), read(spark, d, "region").select(F.col("r_regionkey").alias("k"))
     path, refused = _written(n, "guarded"), False
     try:
         sinks.jsonl(r, path)
@@ -233,13 +319,21 @@ def sink_guard_overwrite(spark, d):
             raise
     kept = readers.jsonl(spark, path, "k bigint").count()
     sinks.jsonl(r, path, overwrite=True)
-    return readers.jsonl(spark, path, "k bigint").agg(F.lit(refused).alias("refused"), F.lit(kept).cast("bigint").alias("kept"), F.count("*").alias("replaced"))
+    return readers.jsonl(spark, path, "k bigint").agg(
+        F.lit(refused).alias("refused"), F.lit(kept).cast("bigint").alias("kept"), F.count("*").alias("replaced")
+    )
 
 
-@query("sink_gate_exit", "SELECT count(*) > 0 AS failed, CAST(count(*) AS INT) AS splits FROM (SELECT lang FROM documents GROUP BY lang HAVING count(*) > count(DISTINCT md5(text)))")
+@query(
+    "sink_gate_exit",
+    "SELECT count(*) > 0 AS failed, CAST(count(*) AS INT) AS splits FROM (SELECT lang FROM documents GROUP BY lang "
+    "HAVING count(*) > count(DISTINCT md5(text)))"
+)
 def sink_gate_exit(spark, d):
     """A gate over languages: no text twice.  Its failure names every language that breaks it."""
-    g = read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("keys"))
+    g = read(spark, d, "documents").groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("keys")
+    )
     try:
         audit.require(g.where(F.col("lang").isNotNull()), F.col("n") == F.col("keys"), "no text twice")
         failed: list[str] = []
@@ -248,20 +342,31 @@ def sink_gate_exit(spark, d):
     return spark.createDataFrame([(len(failed) > 0, len(failed))], "failed boolean, splits int")
 
 
-@query("puzzle_of", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'wrapped' ELSE 'plain' END AS form, o_custkey AS seed FROM orders")
+@query(
+    "puzzle_of",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'wrapped' ELSE 'plain' END AS form, o_custkey AS seed "
+    "FROM orders"
+)
 def puzzle_of(spark, d):
     """A record's puzzle, whether it is the record itself or a field of it."""
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     inner = F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seed"))
     even = F.col("o_orderkey") % 2 == 0
-    rec = o.select(F.when(even, inner).alias("puzzle"), F.when(~even, F.col("o_orderkey")).alias("id"), F.when(~even, F.col("o_custkey")).alias("seed"))
+    rec = o.select(
+        F.when(even, inner).alias("puzzle"), F.when(~even, F.col("o_orderkey")).alias("id"),
+        F.when(~even, F.col("o_custkey")).alias("seed")
+    )
     x = readers.jsonl(spark, _written(rec, "puzzles"), "puzzle struct<id:bigint,seed:bigint>, id bigint, seed bigint")
     form = F.when(F.col("puzzle").isNotNull(), "wrapped").otherwise("plain").alias("form")
     p = readers.puzzle_of(x)
     return p.select("id", form, "seed")
 
 
-@query("sort_ids", "SELECT name, CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS at FROM (SELECT 'r' || s_suppkey AS name, s_suppkey AS n FROM supplier)")
+@query(
+    "sort_ids",
+    "SELECT name, CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS at FROM (SELECT 'r' || s_suppkey AS name, "
+    "s_suppkey AS n FROM supplier)"
+)
 def sort_ids(spark, d):
     """Names in the order of their numbers: r2 before r10."""
     from ..operators.positions import numbered

@@ -23,10 +23,13 @@ _TEXTS = (
     "no block at all", "<answer>\\nAlice: knight\\nBob: knave\\nCarol: knight\\n</answer>", "<ANSWER>\\nalice: KNIGHT\\n\\nBob: Knave\\nCAROL: knave\\n</ANSWER> tail",
     "<answer>\\nAlice: knight\\nBob is a knave\\nCarol: knight\\n</answer>", "<answer>\\nAlice: knight\\nDave: knave\\nCarol: knight\\n</answer>", "<answer>\\nAlice: knight\\nAlice: knave\\nCarol: knight\\n</answer>",
     "<answer>\\nAlice: knight\\nCarol: knight\\n</answer>", "x <answer>\\nAlice: knave\\nBob: knave\\nCarol: knave\\n</answer> <answer>\\nAlice: knight\\n</answer>", "<answer></answer>",
-)
+)
 _ARMS = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TEXTS))
 _ARMS_DUCK = " ".join(f"WHEN {i} THEN E'{t}'" for i, t in enumerate(_TEXTS))
-_REASON = ("missing <answer> block", "ok", "ok", "invalid answer line: ''Bob is a knave''", "unknown person: Dave", "duplicate person: Alice", "missing people: [''Bob'']", "ok", "missing people: [''Alice'', ''Bob'', ''Carol'']")
+_REASON = (
+    "missing <answer> block", "ok", "ok", "invalid answer line: ''Bob is a knave''", "unknown person: Dave",
+    "duplicate person: Alice", "missing people: [''Bob'']", "ok", "missing people: [''Alice'', ''Bob'', ''Carol'']"
+)
 _ANSWER = ("invalid", "KNK", "KNN", "invalid", "invalid", "invalid", "invalid", "NNN", "invalid")
 _case = lambda xs: "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(xs)) + " END"
 #: The oracle parses as well: block, lines, forms, names; the first faulty line decides.
@@ -41,9 +44,19 @@ pa AS (SELECT id, text, gold, reason, reason = 'ok' AS ok, CASE WHEN reason = 'o
 
 
 def _parsed(spark, d):
-    x = read(spark, d, "documents").selectExpr("doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", f"{label('doc_id % 8')} AS gold")
+    x = read(spark, d, "documents").selectExpr(
+        "doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", f"{label('doc_id % 8')} AS gold"
+    )
     x = x.withColumn("p", parsing.parse_answer(F.col("text"), people()))
-    return x.select("id", "text", "gold", F.col("p.answer").alias("answer"), F.col("p.ok").alias("ok"), F.col("p.reason").alias("reason"), text.pattern_encode(F.col("p.answer"), people()).alias("pattern"))
+    return x.select(
+        "id",
+        "text",
+        "gold",
+        F.col("p.answer").alias("answer"),
+        F.col("p.ok").alias("ok"),
+        F.col("p.reason").alias("reason"),
+        text.pattern_encode(F.col("p.answer"), people()).alias("pattern")
+    )
 
 
 @query("parse_answer", f"WITH {PARSE_SQL} SELECT id, ok, reason, pattern FROM pa")
@@ -59,26 +72,48 @@ _STORED = f"CASE WHEN doc_id % 11 = 0 THEN 'KKK' ELSE {_case(_ANSWER)} END AS st
  SELECT count(*) AS checked, count(*) FILTER (pattern = stored AND ok = stored_ok) AS equal, count(*) FILTER (pattern <> stored) AS answer_changed, count(*) FILTER (ok <> stored_ok) AS verdict_changed FROM pa JOIN s USING (id)""")
 def parser_consistency(spark, d):
     """All stored texts parsed again, against the stored answers and verdicts."""
-    rec = read(spark, d, "documents").selectExpr("doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", *_STORED.split(", (", 1)[:1], "(" + _STORED.split(", (", 1)[1])
+    rec = read(spark, d, "documents").selectExpr(
+        "doc_id AS id", f"CASE doc_id % 9 {_ARMS} END AS text", *_STORED.split(", (", 1)[:1],
+        "(" + _STORED.split(", (", 1)[1]
+    )
     return audit.parser_consistency(rec, "text", people(), "stored", "stored_ok")
 
 
-@query("score_completion", f"WITH {PARSE_SQL} SELECT id, round(CAST(pattern = gold AS INT) + 0.1::DOUBLE * CAST(ok AS INT), 6) AS total FROM pa")
+@query(
+    "score_completion",
+    f"WITH {PARSE_SQL} SELECT id, round(CAST(pattern = gold AS INT) + 0.1::DOUBLE * CAST(ok AS INT), 6) AS total FROM "
+    f"pa"
+)
 def score_completion(spark, d):
-    return _parsed(spark, d).select("id", R6(parsing.score_completion(F.col("pattern"), F.col("gold"), F.col("ok"))).alias("total"))
+    return _parsed(spark, d).select(
+        "id", R6(parsing.score_completion(F.col("pattern"), F.col("gold"), F.col("ok"))).alias("total")
+    )
 
 
 @query("reward_exact", f"WITH {PARSE_SQL} SELECT id, CAST(CAST(pattern = gold AS INT) AS DOUBLE) AS reward FROM pa")
 def reward_exact(spark, d):
-    return _parsed(spark, d).select("id", parsing.reward(F.when(F.col("ok"), F.col("pattern")), F.col("gold")).alias("reward"))
+    return _parsed(spark, d).select(
+        "id", parsing.reward(F.when(F.col("ok"), F.col("pattern")), F.col("gold")).alias("reward")
+    )
 
 
-@query("reward_partial", f"WITH {PARSE_SQL} SELECT id, round(CASE WHEN ok THEN (CAST(pattern[1] = gold[1] AS INT) + CAST(pattern[2] = gold[2] AS INT) + CAST(pattern[3] = gold[3] AS INT)) / 3 ELSE 0 END, 6) AS reward FROM pa")
+@query(
+    "reward_partial",
+    f"WITH {PARSE_SQL} SELECT id, round(CASE WHEN ok THEN (CAST(pattern[1] = gold[1] AS INT) + CAST(pattern[2] = "
+    f"gold[2] AS INT) + CAST(pattern[3] = gold[3] AS INT)) / 3 ELSE 0 END, 6) AS reward FROM pa"
+)
 def reward_partial(spark, d):
-    return _parsed(spark, d).select("id", R6(parsing.reward(F.when(F.col("ok"), F.col("pattern")), F.col("gold"), "partial")).alias("reward"))
+    return _parsed(spark, d).select(
+        "id", R6(parsing.reward(F.when(F.col("ok"), F.col("pattern")), F.col("gold"), "partial")).alias("reward")
+    )
 
 
-@query("reward_configurable", f"WITH {PARSE_SQL} SELECT reason = 'missing <answer> block' AS unparsed, round(sum(CASE WHEN pattern = gold THEN 1 WHEN reason = 'missing <answer> block' THEN -0.5 WHEN NOT ok THEN -0.25 ELSE 0 END::DOUBLE), 6) AS total FROM pa GROUP BY 1")
+@query(
+    "reward_configurable",
+    f"WITH {PARSE_SQL} SELECT reason = 'missing <answer> block' AS unparsed, round(sum(CASE WHEN pattern = gold THEN 1 "
+    f"WHEN reason = 'missing <answer> block' THEN -0.5 WHEN NOT ok THEN -0.25 ELSE 0 END::DOUBLE), 6) AS total FROM pa "
+    f"GROUP BY 1"
+)
 def reward_configurable(spark, d):
     parsed = F.col("reason") != "missing <answer> block"
     r = parsing.reward_configurable(F.col("pattern") == F.col("gold"), parsed, F.col("ok"), 1.0, -0.5, -0.25, 0.0)
@@ -90,12 +125,22 @@ def pattern_encode(spark, d):
     return _parsed(spark, d).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-@query("pattern_decode", "SELECT a, CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END AS alice, CASE WHEN a % 4 < 2 THEN 'knight' ELSE 'knave' END AS bob, CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS carol FROM (SELECT CAST(unnest(range(8)) AS INT) AS a)")
+@query(
+    "pattern_decode",
+    "SELECT a, CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END AS alice, CASE WHEN a % 4 < 2 THEN 'knight' ELSE 'knave' "
+    "END AS bob, CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS carol FROM (SELECT CAST(unnest(range(8)) AS INT) "
+    "AS a)"
+)
 def pattern_decode(spark, d):
     return puzzles.assignments(spark).select("a", *[F.col("answer")[p].alias(p.lower()) for p in puzzles.PEOPLE])
 
 
-@query("fmt_assignment", "SELECT a, 'Alice=' || CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END || ', Bob=' || CASE WHEN a % 4 < 2 THEN 'knight' ELSE 'knave' END || ', Carol=' || CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS line FROM (SELECT CAST(unnest(range(8)) AS INT) AS a)")
+@query(
+    "fmt_assignment",
+    "SELECT a, 'Alice=' || CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END || ', Bob=' || CASE WHEN a % 4 < 2 THEN "
+    "'knight' ELSE 'knave' END || ', Carol=' || CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS line FROM (SELECT "
+    "CAST(unnest(range(8)) AS INT) AS a)"
+)
 def fmt_assignment(spark, d):
     return puzzles.assignments(spark).select("a", text.fmt_assignment(F.col("answer"), people()).alias("line"))
 
@@ -111,19 +156,36 @@ def has_repeated_line(spark, d):
     return read(spark, d, "documents").select("doc_id", text.has_repeated_line(F.col("text")).alias("repeated"))
 
 
-@query("json_len", "SELECT conv_id, turn, CAST(length(to_json(role)) + length(to_json(text)) + 25 AS INT) AS chars FROM conversations")
+@query(
+    "json_len",
+    "SELECT conv_id, turn, CAST(length(to_json(role)) + length(to_json(text)) + 25 AS INT) AS chars FROM conversations"
+)
 def json_len(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", text.json_len(F.col("role"), F.col("text")).alias("chars"))
+    return read(spark, d, "conversations").select(
+        "conv_id", "turn", text.json_len(F.col("role"), F.col("text")).alias("chars")
+    )
 
 
-@query("char_len", "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS INT) AS longest FROM documents GROUP BY lang")
+@query(
+    "char_len",
+    "SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS INT) AS longest FROM documents "
+    "GROUP BY lang"
+)
 def char_len(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"))
+    return read(spark, d, "documents").groupBy("lang").agg(
+        F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest")
+    )
 
 
-@query("top_ops_multiset", "SELECT p_partkey, array_to_string(list_sort(string_split(p_type || '+' || p_brand || '+and', '+')), '|') AS ops FROM part")
+@query(
+    "top_ops_multiset",
+    "SELECT p_partkey, array_to_string(list_sort(string_split(p_type || '+' || p_brand || '+and', '+')), '|') AS ops "
+    "FROM part"
+)
 def top_ops_multiset(spark, d):
-    return read(spark, d, "part").select("p_partkey", text.top_ops_multiset(F.concat("p_type", F.lit("+"), "p_brand", F.lit("+and"))).alias("ops"))
+    return read(spark, d, "part").select(
+        "p_partkey", text.top_ops_multiset(F.concat("p_type", F.lit("+"), "p_brand", F.lit("+and"))).alias("ops")
+    )
 
 
 @query("json_field", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -140,13 +202,20 @@ ASSIGN = f"WITH {PUZZLE_SQL}, {ASSIGN_SQL}"
 def expr_eval(spark, d):
     c = puzzles.compiled(puzzle_trees(spark, d))
     x = c.select("id", "masks", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("a"))
-    return x.select("id", "a", *[logic.eval_mask(F.get("masks", F.lit(j)), F.col("a")).alias(f"t{j}") for j in range(3)])
+    return x.select(
+        "id", "a", *[logic.eval_mask(F.get("masks", F.lit(j)), F.col("a")).alias(f"t{j}") for j in range(3)]
+    )
 
 
-@query("puzzle_consistent", f"{ASSIGN} SELECT id, CAST(a AS INT) AS a, t0 = k0 AND t1 = k1 AND t2 = k2 AS consistent FROM asg")
+@query(
+    "puzzle_consistent",
+    f"{ASSIGN} SELECT id, CAST(a AS INT) AS a, t0 = k0 AND t1 = k1 AND t2 = k2 AS consistent FROM asg"
+)
 def puzzle_consistent(spark, d):
     c = puzzles.compiled(puzzle_trees(spark, d))
-    return c.select("id", "solutions", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("a")).select("id", "a", logic.eval_mask(F.col("solutions"), F.col("a")).alias("consistent"))
+    return c.select("id", "solutions", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("a")).select(
+        "id", "a", logic.eval_mask(F.col("solutions"), F.col("a")).alias("consistent")
+    )
 
 
 _SOLVED = f"{ASSIGN}, so AS (SELECT id, count(*) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS n, min(a) FILTER (t0 = k0 AND t1 = k1 AND t2 = k2) AS first FROM asg GROUP BY id), sp AS (SELECT id, n, {label('first')} AS pattern FROM so)"
@@ -154,7 +223,9 @@ _SOLVED = f"{ASSIGN}, so AS (SELECT id, count(*) FILTER (t0 = k0 AND t1 = k1 AND
 
 @query("puzzle_solve", f"{_SOLVED} SELECT id, CAST(n AS INT) AS n_solutions, pattern FROM sp")
 def puzzle_solve(spark, d):
-    return puzzles.compiled(puzzle_trees(spark, d)).select("id", "n_solutions", puzzles.solution(F.col("solutions")).alias("pattern"))
+    return puzzles.compiled(puzzle_trees(spark, d)).select(
+        "id", "n_solutions", puzzles.solution(F.col("solutions")).alias("pattern")
+    )
 
 
 @query("puzzle_solve_flat", f"{_SOLVED} SELECT n AS n_solutions, pattern, count(*) AS puzzles FROM sp GROUP BY ALL")
@@ -163,22 +234,50 @@ def puzzle_solve_flat(spark, d):
     a = puzzles.assignments(spark).select("a")
     x = flat_puzzles(spark, d).crossJoin(F.broadcast(a))
     ok = " AND ".join(f"({TRUTH[j]} = {KNIGHT.format(j)})" for j in range(3))
-    s = x.groupBy("id").agg(F.count_if(F.expr(ok)).alias("n_solutions"), F.min(F.when(F.expr(ok), F.col("a"))).alias("first"))
-    return s.select("n_solutions", text.pattern_of_index(F.col("first")).alias("pattern")).groupBy("n_solutions", "pattern").agg(F.count("*").alias("puzzles"))
-
-
-@query("expr_walk", f"WITH {PUZZLE_SQL}, s AS (SELECT id, kind0 AS kind, neg0 AS neg FROM pz UNION ALL SELECT id, kind1, neg1 FROM pz UNION ALL SELECT id, kind2, neg2 FROM pz) SELECT CASE kind WHEN 0 THEN 'person_is' WHEN 1 THEN 'same' ELSE 'different' END AS op, count(*) AS nodes, CAST(max(1 + neg) AS INT) AS depth FROM s GROUP BY 1 UNION ALL SELECT 'not', count(*) FILTER (neg = 1), 1 FROM s")
+    s = x.groupBy("id").agg(
+        F.count_if(F.expr(ok)).alias("n_solutions"), F.min(F.when(F.expr(ok), F.col("a"))).alias("first")
+    )
+    return s.select(
+        "n_solutions", text.pattern_of_index(F.col("first")).alias("pattern")
+    ).groupBy("n_solutions", "pattern").agg(F.count("*").alias("puzzles"))
+
+
+@query(
+    "expr_walk",
+    f"WITH {PUZZLE_SQL}, s AS (SELECT id, kind0 AS kind, neg0 AS neg FROM pz UNION ALL SELECT id, kind1, neg1 FROM pz "
+    f"UNION ALL SELECT id, kind2, neg2 FROM pz) SELECT CASE kind WHEN 0 THEN 'person_is' WHEN 1 THEN 'same' ELSE "
+    f"'different' END AS op, count(*) AS nodes, CAST(max(1 + neg) AS INT) AS depth FROM s GROUP BY 1 UNION ALL SELECT "
+    f"'not', count(*) FILTER (neg = 1), 1 FROM s"
+)
 def expr_walk(spark, d):
     c = puzzles.compiled(puzzle_trees(spark, d)).select(F.explode("stats").alias("s"))
-    x = c.select("s.depth", F.explode(F.array(*[F.struct(F.lit(o).alias("op"), F.get("s.ops", F.lit(i)).alias("n")) for i, o in enumerate(text.OPS)])).alias("x")).where("x.n > 0")
-    return x.groupBy("x.op").agg(F.sum("x.n").alias("nodes"), F.max(F.when(F.col("x.op") == "not", F.lit(1)).otherwise(F.col("depth"))).alias("depth"))
-
-
-_NOPS = {o: "CAST(" + " + ".join(f"CAST(kind{j} = {i} AS INT)" for j in range(3)) + " AS INT)" for i, o in enumerate(("person_is", "same", "different"))} | {"not": "CAST(neg0 + neg1 + neg2 AS INT)", "and": "0", "or": "0"}
+    x = c.select(
+        "s.depth",
+        F.explode(
+            F.array(
+                *[F.struct(F.lit(o).alias("op"), F.get("s.ops", F.lit(i)).alias("n")) for i, o in enumerate(text.OPS)]
+            )
+        ).alias("x")
+    ).where("x.n > 0")
+    return x.groupBy("x.op").agg(
+        F.sum("x.n").alias("nodes"),
+        F.max(F.when(F.col("x.op") == "not", F.lit(1)).otherwise(F.col("depth"))).alias("depth")
+    )
+
+
+_NOPS = {
+    o: "CAST(" + " + ".join(f"CAST(kind{j} = {i} AS INT)" for j in range(3)) + " AS INT)" for i,
+    o in enumerate(("person_is", "same", "different"))
+} | {"not": "CAST(neg0 + neg1 + neg2 AS INT)", "and": "0", "or": "0"}
 _SIGN = "concat_ws(',', " + ", ".join(f"CASE WHEN n_{o} > 0 THEN '{o}:' || n_{o} END" for o in text.OPS) + ")"
 
 
-@query("row_features", f"WITH {PUZZLE_SQL}, n AS (SELECT id, {', '.join(f'{v} AS n_{k}' for k, v in _NOPS.items())}, CAST(3 + neg0 + neg1 + neg2 AS INT) AS nodes, CAST(1 + greatest(neg0, neg1, neg2) AS INT) AS depth FROM pz) SELECT id, {_SIGN} AS op_signature, nodes, depth, {', '.join(f'n_{o}' for o in text.OPS)}, 'Alice>Bob>Carol' AS speaker_order FROM n")
+@query(
+    "row_features",
+    f"WITH {PUZZLE_SQL}, n AS (SELECT id, {', '.join(f'{v} AS n_{k}' for k, v in _NOPS.items())}, CAST(3 + neg0 + neg1 "
+    f"+ neg2 AS INT) AS nodes, CAST(1 + greatest(neg0, neg1, neg2) AS INT) AS depth FROM pz) SELECT id, {_SIGN} AS "
+    f"op_signature, nodes, depth, {', '.join(f'n_{o}' for o in text.OPS)}, 'Alice>Bob>Carol' AS speaker_order FROM n"
+)
 def row_features(spark, d):
     f = puzzles.row_features(puzzles.compiled(puzzle_trees(spark, d)))
     return f.select("id", "op_signature", "nodes", "depth", *[f"n_{o}" for o in text.OPS], "speaker_order")
@@ -193,7 +292,10 @@ def _tree_sql(j: int) -> str:
     return f"""CASE neg{j} WHEN 1 THEN '{{"expr":' || {leaf} || ',"op":"not"}}' ELSE {leaf} END"""
 
 
-_KEY = """sha256('{"people":["Alice","Bob","Carol"]}' || """ + " || ',' || ".join(f"""'{{"expr":' || {_tree_sql(j)} || ',"speaker":{{"x":"{p}"}}}}'""" for j, p in enumerate(("Alice", "Bob", "Carol"))) + ")"
+_KEY = """sha256('{"people":["Alice","Bob","Carol"]}' || """ + " || ',' || ".join(
+    f"""'{{"expr":' || {_tree_sql(j)} || ',"speaker":{{"x":"{p}"}}}}'""" for j,
+    p in enumerate(("Alice", "Bob", "Carol"))
+) + ")"
 
 
 @query("puzzle_key", f"WITH {PUZZLE_SQL} SELECT id, {_KEY} AS key FROM pz")
@@ -223,10 +325,19 @@ def fmt_reasoning_trace(spark, d):
 @query("fmt_prompts")
 def fmt_prompts(spark, d):
     c = puzzles.compiled(puzzle_trees(spark, d)).where("n_solutions = 1")
-    said = F.transform(F.arrays_zip("speakers", "texts"), lambda x: F.struct(x["speakers"].alias("speaker"), F.concat(x["texts"], F.lit(".")).alias("text")))
+    said = F.transform(
+        F.arrays_zip("speakers", "texts"),
+        lambda x: F.struct(x["speakers"].alias("speaker"), F.concat(x["texts"], F.lit(".")).alias("text"))
+    )
     answer = text.pattern_decode(puzzles.solution(F.col("solutions")), people())
     trace = text.fmt_reasoning_trace(F.col("masks"), F.array(F.lit(0), F.lit(1), F.lit(2)), F.col("people"))
-    return c.select("id", text.fmt_prompt(said).alias("prompt"), text.fmt_prompt(said, "answer_only").alias("answer_prompt"), text.fmt_completion(trace, answer, people(), F.col("n_solutions")).alias("completion"), text.fmt_answer_block(answer, people()).alias("answer_only"))
+    return c.select(
+        "id",
+        text.fmt_prompt(said).alias("prompt"),
+        text.fmt_prompt(said, "answer_only").alias("answer_prompt"),
+        text.fmt_completion(trace, answer, people(), F.col("n_solutions")).alias("completion"),
+        text.fmt_answer_block(answer, people()).alias("answer_only")
+    )
 
 
 # generation: a seed for each supplier; both engines draw by the same digests
@@ -247,10 +358,16 @@ def _generated(spark, d, kind):
     return g.select("seed", "pattern", "attempts", joined("expr").alias("trees"), joined("text").alias("texts"))
 
 
-@query("rand_atom", f"SELECT seed, mask_0_r AS mask, expr_0_r AS expr, said_0_r AS said FROM {generation.sql(_SEEDS, generation.DUCK, generation.tags('seed')[:1], 0, generation.SAID)}")
+@query(
+    "rand_atom",
+    f"SELECT seed, mask_0_r AS mask, expr_0_r AS expr, said_0_r AS said FROM "
+    f"{generation.sql(_SEEDS, generation.DUCK, generation.tags('seed')[:1], 0, generation.SAID)}"
+)
 def rand_atom(spark, d):
     x = generation.grown(_seeds(spark, d), generation.tags("seed")[:1], 0, generation.SAID)
-    return x.select("seed", F.col("mask_0_r").alias("mask"), F.col("expr_0_r").alias("expr"), F.col("said_0_r").alias("said"))
+    return x.select(
+        "seed", F.col("mask_0_r").alias("mask"), F.col("expr_0_r").alias("expr"), F.col("said_0_r").alias("said")
+    )
 
 
 @query("gen_statement_first", f"SELECT seed, pattern, attempts, {_TREES} FROM ({_STATEMENT})")
@@ -258,12 +375,17 @@ def gen_statement_first(spark, d):
     return _generated(spark, d, "statement")
 
 
-@query("gen_label_first", f"SELECT seed, pattern, attempts, {_TREES} FROM ({generation.label_first_sql(_SEEDS, 1, _ATTEMPTS, 2)})")
+@query(
+    "gen_label_first",
+    f"SELECT seed, pattern, attempts, {_TREES} FROM ({generation.label_first_sql(_SEEDS, 1, _ATTEMPTS, 2)})"
+)
 def gen_label_first(spark, d):
     return _generated(spark, d, "label")
 
 
-_GEN_KEY = """sha256('{"people":["Alice","Bob","Carol"]}' || """ + " || ',' || ".join(f"""'{{"expr":' || expr_{j} || ',"speaker":{{"x":"{p}"}}}}'""" for j, p in enumerate(("Alice", "Bob", "Carol"))) + ")"
+_GEN_KEY = """sha256('{"people":["Alice","Bob","Carol"]}' || """ + " || ',' || ".join(
+    f"""'{{"expr":' || expr_{j} || ',"speaker":{{"x":"{p}"}}}}'""" for j, p in enumerate(("Alice", "Bob", "Carol"))
+) + ")"
 
 
 @query("gen_split_dedup", f"""WITH g AS (SELECT seed, pattern, {_GEN_KEY} AS key FROM ({_STATEMENT})), f AS (SELECT key, min(seed) AS seed, arg_min(pattern, seed) AS pattern FROM g GROUP BY key)
@@ -282,29 +404,55 @@ _DOCS = f"WITH d AS (SELECT doc_id, {_SPLIT} AS split, md5(lower(trim(text))) AS
 
 
 def _docs(spark, d):
-    return read(spark, d, "documents").selectExpr("doc_id", f"{_SPLIT} AS split", "md5(lower(trim(text))) AS key", "length(text) AS chars")
-
-
-@query("agg_split_audit", f"{_DOCS} SELECT split, count(*) AS count, count(DISTINCT doc_id) AS unique_ids, count(DISTINCT key) AS unique_keys, count(*) FILTER (chars % 17 = 0) AS bad_solution_counts, CAST(min(chars) AS INT) AS min_chars, CAST(max(chars) AS INT) AS max_chars, round(avg(chars), 4) AS mean_chars, count(*) - count(DISTINCT key) AS duplicate_count FROM d GROUP BY split")
+    return read(spark, d, "documents").selectExpr(
+        "doc_id", f"{_SPLIT} AS split", "md5(lower(trim(text))) AS key", "length(text) AS chars"
+    )
+
+
+@query(
+    "agg_split_audit",
+    f"{_DOCS} SELECT split, count(*) AS count, count(DISTINCT doc_id) AS unique_ids, count(DISTINCT key) AS "
+    f"unique_keys, count(*) FILTER (chars % 17 = 0) AS bad_solution_counts, CAST(min(chars) AS INT) AS min_chars, "
+    f"CAST(max(chars) AS INT) AS max_chars, round(avg(chars), 4) AS mean_chars, count(*) - count(DISTINCT key) AS "
+    f"duplicate_count FROM d GROUP BY split"
+)
 def agg_split_audit(spark, d):
-    x = audit.split_audit(_docs(spark, d), "split", "doc_id", F.col("key"), F.col("chars"), F.when(F.col("chars") % 17 == 0, 2).otherwise(1))
+    x = audit.split_audit(
+        _docs(spark, d), "split", "doc_id", F.col("key"), F.col("chars"),
+        F.when(F.col("chars") % 17 == 0, 2).otherwise(1)
+    )
     return x.withColumn("mean_chars", F.round("mean_chars", 4))
 
 
-@query("agg_processed_audit", "SELECT role, count(*) AS count, count(DISTINCT conv_id) AS unique_ids, CAST(min(length(text)) AS INT) AS min_chars, CAST(max(length(text)) AS INT) AS max_chars, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY role")
+@query(
+    "agg_processed_audit",
+    "SELECT role, count(*) AS count, count(DISTINCT conv_id) AS unique_ids, CAST(min(length(text)) AS INT) AS "
+    "min_chars, CAST(max(length(text)) AS INT) AS max_chars, round(avg(length(text)), 4) AS mean_chars FROM "
+    "conversations GROUP BY role"
+)
 def agg_processed_audit(spark, d):
     c = read(spark, d, "conversations").select("role", "conv_id", F.length("text").alias("chars"))
     x = audit.split_audit(c, "role", "conv_id", F.col("conv_id"), F.col("chars"))
-    return x.select("role", "count", "unique_ids", "min_chars", "max_chars", F.round("mean_chars", 4).alias("mean_chars"))
+    return x.select(
+        "role", "count", "unique_ids", "min_chars", "max_chars", F.round("mean_chars", 4).alias("mean_chars")
+    )
 
 
-@query("agg_char_stats", "SELECT role, CAST(min(length(text)) AS INT) AS min_chars, CAST(max(length(text)) AS INT) AS max_chars, round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY role")
+@query(
+    "agg_char_stats",
+    "SELECT role, CAST(min(length(text)) AS INT) AS min_chars, CAST(max(length(text)) AS INT) AS max_chars, "
+    "round(avg(length(text)), 4) AS mean_chars FROM conversations GROUP BY role"
+)
 def agg_char_stats(spark, d):
     x = audit.char_stats(read(spark, d, "conversations"), ["role"], F.length("text"))
     return x.withColumn("mean_chars", F.round("mean_chars", 4))
 
 
-@query("agg_duplicates", f"{_DOCS}, k AS (SELECT key, count(*) AS n FROM d GROUP BY key) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_keys, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM k")
+@query(
+    "agg_duplicates",
+    f"{_DOCS}, k AS (SELECT key, count(*) AS n FROM d GROUP BY key) SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS "
+    f"unique_keys, count(*) FILTER (n > 1) AS duplicate_keys, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM k"
+)
 def agg_duplicates(spark, d):
     return audit.duplicates(_docs(spark, d), F.col("key"))
 
@@ -317,42 +465,81 @@ def join_split_pairs(spark, d):
     return audit.overlaps(_docs(spark, d), "split", F.col("key"))
 
 
-@query("set_overlap", f"{_DOCS} SELECT count(*) AS shared FROM (SELECT key FROM d WHERE split = 'train' INTERSECT SELECT key FROM d WHERE split = 'test')")
+@query(
+    "set_overlap",
+    f"{_DOCS} SELECT count(*) AS shared FROM (SELECT key FROM d WHERE split = 'train' INTERSECT SELECT key FROM d WHERE "
+    f"split = 'test')"
+)
 def set_overlap(spark, d):
     x = _docs(spark, d)
-    return x.where("split = 'train'").select("key").intersect(x.where("split = 'test'").select("key")).agg(F.count("*").alias("shared"))
+    return x.where("split = 'train'").select("key").intersect(
+        x.where("split = 'test'").select("key")
+    ).agg(F.count("*").alias("shared"))
 
 
-@query("set_union_keys", f"{_DOCS}, u AS (SELECT key FROM d UNION ALL SELECT md5(lower(trim(text))) FROM benchmark) SELECT n, count(*) AS keys FROM (SELECT key, count(*) AS n FROM u GROUP BY key) GROUP BY n")
+@query(
+    "set_union_keys",
+    f"{_DOCS}, u AS (SELECT key FROM d UNION ALL SELECT md5(lower(trim(text))) FROM benchmark) SELECT n, count(*) AS "
+    f"keys FROM (SELECT key, count(*) AS n FROM u GROUP BY key) GROUP BY n"
+)
 def set_union_keys(spark, d):
     b = read(spark, d, "benchmark").select(F.md5(F.lower(F.trim("text"))).alias("key"))
-    return _docs(spark, d).select("key").unionByName(b).groupBy("key").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+    return _docs(spark, d).select("key").unionByName(b).groupBy("key").agg(F.count("*").alias("n")).groupBy("n").agg(
+        F.count("*").alias("keys")
+    )
 
 
 @query("set_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
 def set_difference(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).exceptAll(read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct())
+    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).exceptAll(
+        read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    )
 
 
-@query("set_equality", "SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) = 0 AND (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) = 0 AS equal")
+@query(
+    "set_equality",
+    "SELECT (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) = 0 AND (SELECT "
+    "count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) = 0 AS equal"
+)
 def set_equality(spark, d):
-    g = audit.paired_gate(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")
+    g = audit.paired_gate(
+        read(spark, d, "customer").select(F.col("c_custkey").alias("id")),
+        read(spark, d, "orders").select(F.col("o_custkey").alias("id")),
+        "id"
+    )
     return g.select(((F.col("left_only") == 0) & (F.col("right_only") == 0)).alias("equal"))
 
 
-@query("join_anti_dedup", f"{_DOCS}, f AS (SELECT key, min(doc_id) AS doc_id FROM d WHERE split <> 'train' GROUP BY key) SELECT doc_id FROM f WHERE key NOT IN (SELECT key FROM d WHERE split = 'train')")
+@query(
+    "join_anti_dedup",
+    f"{_DOCS}, f AS (SELECT key, min(doc_id) AS doc_id FROM d WHERE split <> 'train' GROUP BY key) SELECT doc_id FROM f "
+    f"WHERE key NOT IN (SELECT key FROM d WHERE split = 'train')"
+)
 def join_anti_dedup(spark, d):
     x = _docs(spark, d)
-    return audit.anti_dedup(x.where("split <> 'train'").select("doc_id", "key"), x.where("split = 'train'"), "key", "doc_id").select("doc_id")
+    return audit.anti_dedup(
+        x.where("split <> 'train'").select("doc_id", "key"), x.where("split = 'train'"), "key", "doc_id"
+    ).select("doc_id")
 
 
-@query("join_semi_membership", "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1")
+@query(
+    "join_semi_membership",
+    "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > "
+    "5000) GROUP BY 1"
+)
 def join_semi_membership(spark, d):
     rich = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"))
-    return read(spark, d, "events").join(rich, "user_id", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+    return read(spark, d, "events").join(
+        rich, "user_id", "left_semi"
+    ).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("join_positional", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey FROM orders), c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey FROM customer) SELECT pos, o_orderkey, c_custkey FROM o JOIN c USING (pos)")
+@query(
+    "join_positional",
+    "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey FROM orders), c AS (SELECT "
+    "row_number() OVER (ORDER BY c_custkey) - 1 AS pos, c_custkey FROM customer) SELECT pos, o_orderkey, c_custkey FROM "
+    "o JOIN c USING (pos)"
+)
 def join_positional(spark, d):
     o = positions.numbered(read(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("pos", "o_orderkey")
     c = positions.numbered(read(spark, d, "customer").select("c_custkey"), "c_custkey").select("pos", "c_custkey")

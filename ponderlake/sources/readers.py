@@ -27,9 +27,14 @@ def jsonl_keyed(spark: SparkSession, path: str, schema: str, key: str = "id") ->
     The order is that of (file, byte block of it, row in block), known without a global sort.
     """
     x = jsonl(spark, path, schema)
-    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    at = F.struct(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("r")
+    )
     names = x.columns
-    return x.select(at.alias("__at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).groupBy(f"row.{key}").agg(F.max_by("row", "__at").alias("row")).select("row.*")
+    return x.select(
+        at.alias("__at"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    ).groupBy(f"row.{key}").agg(F.max_by("row", "__at").alias("row")).select("row.*")
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,15 +50,30 @@ def json_doc(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def probe(doc: DataFrame) -> DataFrame:
     """Groups of a probe document: key ``id@stepN``, its step, gold pattern and rollouts."""
     g = doc.select(F.explode("groups").alias("g")).select("g.probe_step", F.explode("g.prompts").alias("p"))
-    return g.select(F.concat("p.id", F.lit("@step"), F.col("probe_step").cast("string")).alias("key"), F.col("p.id").alias("id"), "probe_step", "p.ground_truth_pattern", "p.rollouts")
+    return g.select(
+        F.concat("p.id", F.lit("@step"), F.col("probe_step").cast("string")).alias("key"),
+        F.col("p.id").alias("id"),
+        "probe_step",
+        "p.ground_truth_pattern",
+        "p.rollouts"
+    )
 
 
 def rollout_groups(groups: DataFrame, people: Column) -> DataFrame:
     """Rollouts in long form: id, gold pattern, k, pattern, reward; the order of people is carried explicitly."""
     from ..functions.text import pattern_encode
 
-    x = groups.select("id", pattern_encode(F.col("ground_truth"), people).alias("gold"), F.posexplode("generations").alias("k", "g"))
-    return x.select("id", "gold", "k", pattern_encode(F.col("g.parsed_answer"), people).alias("pattern"), F.col("g.reward").cast("double").alias("reward"), F.col("g.format_valid").alias("format_valid"))
+    x = groups.select(
+        "id", pattern_encode(F.col("ground_truth"), people).alias("gold"), F.posexplode("generations").alias("k", "g")
+    )
+    return x.select(
+        "id",
+        "gold",
+        "k",
+        pattern_encode(F.col("g.parsed_answer"), people).alias("pattern"),
+        F.col("g.reward").cast("double").alias("reward"),
+        F.col("g.format_valid").alias("format_valid")
+    )
 
 
 def multi_model(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:

@@ -25,16 +25,24 @@ def step_means(metrics: DataFrame, bucket: Column, columns: list[str]) -> DataFr
     return metrics.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in columns])
 
 
-def windowed(events: DataFrame, time: str, size: str, slide: str | None, late: str, keys: list[str], aggs: list[Column]) -> DataFrame:
+def windowed(
+    events: DataFrame, time: str, size: str, slide: str | None, late: str, keys: list[str], aggs: list[Column]
+) -> DataFrame:
     """Sliding or tumbling windows of event time with a watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, size, slide or size), *keys).agg(*aggs)
 
 
 def append_to(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Append to a folder of JSON Lines, exactly once by the checkpoint; handles what has arrived, then stops."""
-    return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return rows.writeStream.format("json").option("path", path).option(
+        "checkpointLocation", checkpoint
+    ).outputMode(mode).trigger(availableNow=True).start()
 
 
-def each_batch(rows: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+def each_batch(
+    rows: DataFrame, f: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     """A callback for each batch (its number makes repeats recognisable)."""
-    return rows.writeStream.foreachBatch(f).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(f).option(
+        "checkpointLocation", checkpoint
+    ).outputMode(mode).trigger(availableNow=True).start()
