@@ -94,6 +94,13 @@ def fmt_completion(spark, d):
     )
 
 
+ORACLES["fmt_prompts"] = (
+    f"{_LINES} SELECT id, {_prompt('reasoning')} AS prompt, {_prompt('answer_only')} AS answer_prompt, '<reasoning>' || "
+    f"chr(10) || trace || chr(10) || '</reasoning>' || chr(10) || {_BLOCK} AS completion, {_BLOCK} AS answer_only "
+    f"FROM un JOIN tr USING (id) JOIN pz USING (id)"
+)
+
+
 def _examples(spark, d):
     x = _solved(spark, d)
     return records.sft_example(
