@@ -80,16 +80,26 @@ def chosen(h: np.ndarray, b: Block, window: int, half: int) -> tuple[np.ndarray,
     return full, at, g
 
 
+def _steps(x: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, each run from ``heads`` on by itself: small numbers, which compress."""
+    out = np.diff(x, prepend=x[:1] * 0)
+    out[heads] = x[heads]
+    return out
+
+
+def _places(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers that ``_steps`` made differences of, by sizes of the runs."""
+    total = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], total])[np.cumsum(sizes) - sizes]
+    return (total - np.repeat(before, sizes)).astype(np.int32)
+
+
 def _pack(bucket: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket, columns as bytes; ``bucket`` is sorted."""
-    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    tails = np.append(heads[1:], len(bucket)) if len(heads) else heads
-    out = [pa.array(bucket[heads].astype(np.int32))]
-    for c in cols:
-        raw, w = np.ascontiguousarray(c).tobytes(), c.dtype.itemsize
-        out.append(
-            pa.array([raw[a * w : b * w] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary())
-        )
+    """One row for each bucket, columns as bytes; ``bucket`` is sorted, and each bucket's entries by document and place."""
+    heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+    h, more, doc, at, known = cols
+    got, packed = _cut(bucket, [h, more, doc, _steps(at, heads), known])
+    out = [pa.array(got.astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)]
     return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _ROW.split(", ")])
 
 
@@ -113,11 +123,12 @@ def _send(entries: list[tuple[np.ndarray, ...]], n_buckets: int) -> Iterator[pa.
     several = np.bincount(np.cumsum(new) - 1, weights=local) > 0
     known = several[np.cumsum(new) - 1].astype(np.uint8)
     if local.any():
-        yield _pack(np.full(int(local.sum()), -1), [h[local], more[:0], doc[local], at[local], known[:0]])
-    sent = ~local
+        local = np.flatnonzero(local)[np.lexsort((at[local], doc[local]))]
+        yield _pack(np.full(len(local), -1), [h[local], more[:0], doc[local], at[local], known[:0]])
+    sent = doc == doc[head]
     h, more, doc, at, known = (x[sent] for x in (h, more, doc, at, known))
     bucket = (h >> U64(20)) % U64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((at, doc, bucket))
     yield _pack(bucket[order].astype(np.int64), [x[order] for x in (h, more, doc, at, known)])
 
 
@@ -134,8 +145,10 @@ def _by_part(h: np.ndarray, doc: np.ndarray, at: np.ndarray, low: np.ndarray, pa
     if places:
         h, low = h[:0], low[:0]
     part = ((mix(doc.astype(U64)) >> U64(20)) % U64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part, (d, a, hs, lo) = _cut(part[order], [x[order] if len(x) else x for x in (doc, at, h, low)])
+    order = np.lexsort((at, doc, part))
+    part, at = part[order], at[order]
+    at = _steps(at, np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]))
+    part, (d, a, hs, lo) = _cut(part, [doc[order], at, *(x[order] if len(x) else x for x in (h, low))])
     return pd.DataFrame({"part": part, "doc": d, "at": a, "hash": hs, "low": lo})
 
 
@@ -143,16 +156,19 @@ def _by_doc(p: pd.DataFrame) -> pd.DataFrame:
     """A part's documents, each with its findings in order of position."""
     kinds = (("doc", np.int64), ("at", np.int32), ("hash", np.uint64), ("low", np.uint8))
     doc, at, h, low = (np.frombuffer(b"".join(p[c]), t) for c, t in kinds)
+    at = _places(at, p["at"].map(len).to_numpy(np.int64) // 4)
     order = np.lexsort((at, doc))
     doc, at = doc[order], at[order]
     once = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))[: len(doc)]  # a repeated row found the same again
-    order = order[once]
-    doc, (a, hs, lo) = _cut(doc[once], [at[once], *(x[order] if len(x) else x for x in (h, low))])
+    order, doc, at = order[once], doc[once], at[once]
+    at = _steps(at, np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)]))
+    doc, (a, hs, lo) = _cut(doc, [at, *(x[order] if len(x) else x for x in (h, low))])
     return pd.DataFrame({"doc_id": doc, "at": a, "hash": hs, "low": lo})
 
 
 def _unpack(p: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(p[c]), t) for c, t in _TYPES]
+    h, more, doc, at, known = (np.frombuffer(b"".join(p[c]), t) for c, t in _TYPES)
+    return [h, more, doc, _places(at, p["at"].map(len).to_numpy(np.int64) // 4), known]
 
 
 def _meet(parts: int, places: bool):
@@ -221,7 +237,7 @@ def _flagged(lists: pa.Array, b: Block, length: int, only: pa.Array | None = Non
     marks = [None] * len(lists) if only is None else only.to_pylist()
     for i, (x, mark) in enumerate(zip(lists.to_pylist(), marks, strict=True)):
         if x:
-            at = np.frombuffer(x, np.int32).astype(np.int64)
+            at = np.cumsum(np.frombuffer(x, np.int32), dtype=np.int64)
             if mark is not None:
                 at = at[np.frombuffer(mark, np.uint8) > 0]
             out[at[at <= b.first[i + 1] - b.first[i] - length] + b.first[i]] = True  # rows of one id may differ in text
@@ -275,8 +291,9 @@ def _longer(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             ats = rows.column("at").to_pylist()
-            row = np.repeat(np.arange(len(ats)), [len(x) // 4 for x in ats])
-            place = row << 40 | np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
+            sizes = np.array([len(x) // 4 for x in ats], np.int64)
+            at = _places(np.frombuffer(b"".join(ats), np.int32), sizes).astype(np.int64)
+            place = np.repeat(np.arange(len(ats)), sizes) << 40 | at
             h = np.frombuffer(b"".join(rows.column("hash").to_pylist()), np.uint64)
             length = window
             while len(place):
