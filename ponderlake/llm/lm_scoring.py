@@ -108,15 +108,26 @@ class Local:
 _WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
 
 
+def _squeeze(blob: bytes) -> bytes:
+    """A blob with its size, compressed: counts and token numbers are small and uneven, which the shuffle's codec leaves."""
+    return len(blob).to_bytes(4, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def _loosen(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:4], "little")
+    return pa.decompress(blob[4:], decompressed_size=size, codec="zstd", asbytes=True)
+
+
 def _narrow(x: np.ndarray, span: list[tuple[int, int]]) -> list[bytes]:
     """Each span's counts as bytes, as narrow as its largest allows."""
     top = np.maximum.reduceat(x, [a for a, _ in span])
     width = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, np.where(top < 1 << 32, 4, 8))).tolist()
     raw = {w: x.astype(_WIDTHS[w]).tobytes() for w in set(width)}
-    return [raw[w][w * a : w * e] for (a, e), w in zip(span, width, strict=True)]
+    return [_squeeze(raw[w][w * a : w * e]) for (a, e), w in zip(span, width, strict=True)]
 
 
 def _widen(blob: bytes, n: int) -> np.ndarray:
+    blob = _loosen(blob)
     return np.frombuffer(blob, _WIDTHS[len(blob) // n]).astype(np.int64)
 
 
@@ -160,7 +171,7 @@ def _gather(n_buckets: int):
             [
                 pa.array([-1 - mix_int(flush) % n_buckets], pa.int32()), pa.array([flush], pa.int64()), docs,
                 pa.array([count.astype(np.int64).tobytes()], pa.binary()), pa.array([unique.tobytes()], pa.binary()),
-                pa.array([planes], pa.binary())
+                pa.array([_squeeze(planes)], pa.binary())
             ],
             names=_NAMES
         )
@@ -232,7 +243,7 @@ def _shares(two: np.ndarray, left: np.ndarray, one: np.ndarray, n: int) -> tuple
 def _opened(row: dict, n_buckets: int) -> tuple[Local, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(row["a"], np.int64)
     count = np.frombuffer(row["b"], np.int64)
-    planes = np.frombuffer(row["d"], np.uint8).reshape(-1, int(count.sum()))
+    planes = np.frombuffer(_loosen(row["d"]), np.uint8).reshape(-1, int(count.sum()))
     token = sum(x.astype(np.int64) << (8 * i) for i, x in enumerate(planes))
     return Local(
         np.frombuffer(row["c"], np.uint64), token, count, n_buckets
