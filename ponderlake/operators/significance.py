@@ -208,31 +208,40 @@ def _uniform(seed: int, rep: Column, place: int) -> Column:
     ) / float(1 << 52)
 
 
-def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> DataFrame:
-    """rep and the mean of each resample of a column of -1, 0 and 1 (paired differences of two verdicts).
+def bootstrap_levels(df: DataFrame, level: str, weights: dict[int, float], reps: int, seed: int = 1) -> DataFrame:
+    """rep and the mean of each resample of a column of a few integers, each weighing ``weights`` (those left out: 0).
 
-    A resample is how often each of the three values is drawn: a binomial number of the greatest, then of the least among the
-    rest, by the inverse of their distribution functions.  A rep costs two numbers, whatever the number of rows.
+    A resample is how often each level is drawn: a binomial number of the first, then of the next among the rest, and so on,
+    by the inverse of their distribution functions.  A rep costs a number for each level, whatever the number of rows.
     """
-    v = F.col(value)
-    cells = df.agg(F.count(v).alias("n"), F.count_if(v > 0).alias("plus"), F.count_if(v < 0).alias("minus"))
+    v = F.col(level)
+    counts = [F.count_if(v == x).alias(f"c{i}") for i, x in enumerate(weights)]
+    cells = df.agg(F.count(v).alias("n"), *counts)
     draws = df.sparkSession.range(0, reps, 1, max(1, reps // 2500)).withColumnRenamed("id", "rep")
-    draws = draws.select("rep", _uniform(seed, F.col("rep"), 1).alias("u"), _uniform(seed, F.col("rep"), 2).alias("w"))
+    draws = draws.select("rep", *[_uniform(seed, F.col("rep"), i + 1).alias(f"u{i}") for i in range(len(weights))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f) or not f["n"].iat[0]:
                 continue
-            n, plus, minus = (int(f[c].iat[0]) for c in ("n", "plus", "minus"))
-            up = _binomial_quantile(n, plus / n, f["u"].to_numpy())
-            down = np.zeros(len(f), np.int64)
-            for k in np.unique(up):
-                down[up == k] = _binomial_quantile(n - int(k), minus / max(1, n - plus), f["w"].to_numpy()[up == k])
-            yield pd.DataFrame({"rep": f["rep"], "value": (up - down) / n})
+            n, before = int(f["n"].iat[0]), 0
+            left, total = np.full(len(f), n), np.zeros(len(f))
+            for i, weight in enumerate(weights.values()):
+                count, u = int(f[f"c{i}"].iat[0]), f[f"u{i}"].to_numpy()
+                drawn = np.zeros(len(f), np.int64)
+                for k in np.unique(left):
+                    drawn[left == k] = _binomial_quantile(int(k), count / max(1, n - before), u[left == k])
+                left, total, before = left - drawn, total + weight * drawn, before + count
+            yield pd.DataFrame({"rep": f["rep"], "value": total / n})
 
     return draws.crossJoin(F.broadcast(cells)).mapInPandas(run, "rep bigint, value double")
 
 
+def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> DataFrame:
+    """The same for a column of -1, 0 and 1 (paired differences of two verdicts)."""
+    return bootstrap_levels(df.select(F.signum(value).cast("int").alias("sign")), "sign", {1: 1.0, -1: -1.0}, reps, seed)
+
+
 def bootstrap_two_sample(a: DataFrame, b: DataFrame, key: str, value: str, reps: int, seed: int = 1) -> DataFrame:
     """rep and the difference of means of independent resamples of two tables."""
     mean = lambda d, s, n: bootstrap_cells(d, key, value, {n: mean_of}, reps, s)

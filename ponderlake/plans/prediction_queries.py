@@ -416,15 +416,33 @@ def _draw_sql(place: int) -> str:
     return f"(CAST(CAST('0x' || substr(md5('1:' || rep || ':{place}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / {1 << 52}.0::DOUBLE"
 
 
+def _levels_sql(source: str, weights: dict[int, str]) -> str:
+    """The bootstrap of a few levels (SQL of a table of ``level``), by the same draws: one binomial number for each in turn."""
+    counts = ", ".join(f"count(*) FILTER (level = {x}) AS c{i}" for i, x in enumerate(weights))
+    out = [
+        f"v AS (SELECT count(*) AS n, {counts} FROM {source})",
+        f"s0 AS (SELECT rep, n AS rest, 0.0::DOUBLE AS total FROM (SELECT unnest(range({REPS})) AS rep), v)",
+    ]
+    for i, weight in enumerate(weights.values()):
+        before = "".join(f" - c{j}" for j in range(i))
+        p = f"(SELECT DISTINCT rest, (SELECT c{i} / (n{before}) FROM v) AS p FROM s{i})"
+        cdf = f"sum(exp({_binomial_sql('rest', 'p')})) OVER (PARTITION BY rest ORDER BY k)"
+        out.append(f"t{i} AS (SELECT rest, k, {cdf} AS cdf FROM (SELECT *, unnest(range(rest + 1)) AS k FROM {p}))")
+        drawn = f"any_value(s.rest) - count(k) AS rest, any_value(s.total) + {weight} * count(k) AS total"
+        met = f"t.rest = s.rest AND t.cdf < {_draw_sql(i + 1)}"
+        out.append(f"s{i + 1} AS (SELECT rep, {drawn} FROM s{i} AS s LEFT JOIN t{i} AS t ON {met} GROUP BY rep)")
+    out.append(f"m AS (SELECT total / n AS value FROM s{len(weights)}, v)")
+    low, high = "quantile_cont(value, 0.025)", "quantile_cont(value, 0.975)"
+    return (
+        f"{LONG}, {', '.join(out)} SELECT count(*) AS reps, round(avg(value), 6) AS mean, round({low}, 6) AS low, "
+        f"round({high}, 6) AS high, {low} < 0 AND {high} > 0 AS crosses_zero FROM m"
+    )
+
+
 def _signs_sql(where: str) -> str:
-    """The bootstrap of the paired difference over rows, by the same two draws a repetition."""
-    return f"""{WITH}, v AS (SELECT count(*) AS n, count(*) FILTER (pred_b = gold AND pred_a <> gold) AS plus, count(*) FILTER (pred_b <> gold AND pred_a = gold) AS minus FROM pred WHERE {where}),
- c1 AS (SELECT k, sum(exp({_binomial_sql('n', '(plus / n)')})) OVER (ORDER BY k) AS cdf FROM (SELECT *, unnest(range(n + 1)) AS k FROM v)),
- r AS (SELECT rep, {_draw_sql(1)} AS u, {_draw_sql(2)} AS w FROM (SELECT unnest(range({REPS})) AS rep)),
- d1 AS (SELECT rep, any_value(w) AS w, count(k) AS up FROM r LEFT JOIN c1 ON cdf < u GROUP BY rep),
- c2 AS (SELECT up, k, sum(exp({_binomial_sql('(n - up)', '(minus / (n - plus))')})) OVER (PARTITION BY up ORDER BY k) AS cdf FROM (SELECT *, unnest(range(n - up + 1)) AS k FROM (SELECT DISTINCT up FROM d1), v)),
- d2 AS (SELECT rep, any_value(d1.up) AS up, count(k) AS down FROM d1 LEFT JOIN c2 ON c2.up = d1.up AND cdf < w GROUP BY rep), m AS (SELECT (up - down) / n AS value FROM d2, v)
- SELECT count(*) AS reps, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, quantile_cont(value, 0.025) < 0 AND quantile_cont(value, 0.975) > 0 AS crosses_zero FROM m"""
+    """The paired difference over rows."""
+    sign = "CAST(pred_b = gold AS INT) - CAST(pred_a = gold AS INT)"
+    return _levels_sql(f"(SELECT {sign} AS level FROM pred WHERE {where})", {1: "1.0", -1: "-1.0"})
 
 
 @query("bootstrap_paired_mean", _signs_sql("true"))
@@ -453,10 +471,15 @@ def bootstrap_two_sample(spark, d):
     )
 
 
-@query("bootstrap_cluster")
+_RIGHT = "(SELECT CAST(sum(CAST(pred = gold AS INT)) AS INT) AS level FROM lng GROUP BY id)"
+
+
+@query("bootstrap_cluster", _levels_sql(_RIGHT, {3: "1.0", 2: "(2 / 3.0::DOUBLE)", 1: "(1 / 3.0::DOUBLE)"}))
 def bootstrap_cluster(spark, d):
-    x = _long(spark, d).select("id", (F.col("pred") == F.col("gold")).cast("double").alias("x"))
-    return significance.interval(significance.bootstrap_cells(x, "id", "x", {"value": significance.mean_of}, REPS))
+    """Questions are drawn with all three models' answers; a question counts how many of them are right."""
+    x = _long(spark, d).groupBy("id").agg(F.count_if(F.col("pred") == F.col("gold")).cast("int").alias("level"))
+    b = significance.interval(significance.bootstrap_levels(x, "level", {3: 1.0, 2: 2 / 3, 1: 1 / 3}, REPS))
+    return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
 @query("bootstrap_region", _signs_sql("n_chars > 1000"))
