@@ -7,8 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, pieces, pii, quality_classifier, quality_rules, substring_dedup, toxicity
-
+from . import (
+    conversation_repair,
+    conversation_trie,
+    exact_dedup,
+    learned_partitions,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    pieces,
+    pii,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+)
 
 #: Key of the pseudonyms in the query, whose tables hold invented persons; real ones need a secret key.
 KEY = "invented persons"
@@ -71,6 +84,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -82,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
@@ -89,4 +117,6 @@ ORACLES: dict[str, str] = {
     "op7_near_dedup": near_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_prefix_trie": conversation_trie.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }

@@ -11,7 +11,7 @@ def test_matches_sql(spark, name):
     same(QUERIES[name](spark, f"{DATA}/sf0.001"), connection(f"{DATA}/sf0.001"), ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op11_nearest_neighbours"}))
 def test_one_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     out = QUERIES[name](spark, f"{DATA}/sf0.001")
