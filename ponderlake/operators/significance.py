@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
-from .positions import numbered, running
+from .positions import running
 
 
 def mcnemar(df: DataFrame, a: Column, b: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,37 +71,6 @@ def chi2_independence(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def resample_index(seed: int, rep: Column, pos: Column, n: Column) -> Column:
-    """Deterministic draw of a row number, the same in any engine with md5."""
-    return F.conv(
-        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), rep.cast("string"), pos.cast("string"))), 1, 8), 16, 10
-    ).cast("bigint") % n
-
-
-def bootstrap(
-    df: DataFrame, key: str, columns: Sequence[str], stat: Sequence[Column], reps: int, seed: int = 1,
-    strata: str | None = None
-) -> DataFrame:
-    """rep and the statistics of each resample (rows, or whole clusters if ``key`` repeats; within ``strata`` if named).
-
-    Positions are given to distinct keys; drawing multiplies rows by reps, never rows by rows: each (rep, position)
-    joins the one key drawn.
-    """
-    spark = df.sparkSession
-    keys = numbered(df.select(*([strata] if strata else []), key).distinct(), key, by=[strata] if strata else [])
-    draws = keys.select(*([strata] if strata else []), "pos", "total").crossJoin(
-        F.broadcast(spark.range(reps).withColumnRenamed("id", "rep"))
-    )
-    draws = draws.withColumn(
-        "idx", resample_index(seed, F.col("rep"), F.col("pos"), F.col("total"))
-    ).select(*([strata] if strata else []), "rep", "idx")
-    on = [strata, "idx"] if strata else ["idx"]
-    rows = keys.withColumnRenamed("pos", "idx").drop("total").join(
-        df.select(*dict.fromkeys([*([strata] if strata else []), key, *columns])), [*([strata] if strata else []), key]
-    )
-    return draws.join(rows, on).groupBy("rep").agg(*stat)
-
-
 def interval(reps: DataFrame, value: str = "value") -> DataFrame:
     """Mean and the 2.5 and 97.5 percentiles (linear), and whether they enclose 0 strictly."""
     p = F.expr(f"percentile({value}, array(0.025D, 0.975D))")
@@ -115,31 +84,9 @@ def interval(reps: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-#: Statistics of a resample: (sorted values, how often each was drawn) -> number.
-Statistic = Callable[[np.ndarray, np.ndarray], float]
 CHUNK = 100
 
 
-def mean_of(x: np.ndarray, n: np.ndarray) -> float:
-    return float(x @ n / n.sum())
-
-
-def share_above(bound: float) -> Statistic:
-    return lambda x, n: float(n[x > bound].sum() / n.sum())
-
-
-def percentile_of(p: float) -> Statistic:
-    """Linear between the two nearest ranks, as ``percentile``."""
-
-    def value(x: np.ndarray, n: np.ndarray) -> float:
-        ends = np.cumsum(n)
-        at = p * (ends[-1] - 1)
-        low, high = x[np.searchsorted(ends, [np.floor(at), np.ceil(at)], "right")]
-        return float(low + (high - low) * (at - np.floor(at)))
-
-    return value
-
-
 def _per_rep(cells: DataFrame, reps: int, run: Callable[[dict, int], tuple], schema: str) -> DataFrame:
     """A row of ``run`` for each rep; ``cells`` is one row, which each chunk of reps gets once."""
     chunks = cells.sparkSession.range(0, -(-reps // CHUNK), 1, -(-reps // CHUNK)).withColumnRenamed("id", "chunk")
@@ -154,33 +101,6 @@ def _per_rep(cells: DataFrame, reps: int, run: Callable[[dict, int], tuple], sch
     return chunks.crossJoin(F.broadcast(cells)).mapInPandas(each, schema)
 
 
-def bootstrap_cells(
-    df: DataFrame, key: str, value: str, stats: dict[str, Statistic], reps: int, seed: int = 1
-) -> DataFrame:
-    """rep and the statistics of each resample of keys, each with all its rows.
-
-    Keys with the same values are one cell.  How often the keys of each cell are drawn is multinomial, which is what
-    drawing the keys one by one comes to; a rep costs a number for each cell, not for each row.
-    """
-    cells = df.groupBy(key).agg(
-        F.array_sort(F.collect_list(value)).alias("xs")
-    ).groupBy("xs").agg(F.count("*").alias("n"))
-    cells = cells.agg(F.array_sort(F.collect_list(F.struct("xs", "n"))).alias("cells")).select(
-        F.col("cells.n").alias("n"), F.flatten("cells.xs").alias("x"), F.transform("cells.xs", F.size).alias("size")
-    )
-
-    def run(row: dict, rep: int) -> tuple:
-        n, x = np.asarray(row["n"], np.int64), np.asarray(row["x"], float)
-        if not len(x):
-            return (rep, *[None] * len(stats))
-        order = np.argsort(x, kind="stable")
-        of = np.repeat(np.arange(len(n)), np.asarray(row["size"], np.int64))[order]
-        drawn = np.random.default_rng([seed, rep]).multinomial(n.sum(), n / n.sum())[of]
-        return (rep, *[s(x[order], drawn) if drawn.any() else None for s in stats.values()])
-
-    return _per_rep(cells, reps, run, ", ".join(["rep bigint", *[f"{c} double" for c in stats]]))
-
-
 def _binomial_quantile(n: int, p: float, u: np.ndarray) -> np.ndarray:
     """Least k whose binomial distribution function reaches u; what lies 12 deviations off is left out."""
     if n == 0 or p <= 0:
@@ -242,14 +162,6 @@ def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> Data
     return bootstrap_levels(df.select(F.signum(value).cast("int").alias("sign")), "sign", {1: 1.0, -1: -1.0}, reps, seed)
 
 
-def bootstrap_two_sample(a: DataFrame, b: DataFrame, key: str, value: str, reps: int, seed: int = 1) -> DataFrame:
-    """rep and the difference of means of independent resamples of two tables."""
-    mean = lambda d, s, n: bootstrap_cells(d, key, value, {n: mean_of}, reps, s)
-    return mean(a, seed, "a").join(mean(b, seed + 1, "b"), "rep").select(
-        "rep", (F.col("b") - F.col("a")).alias("value")
-    )
-
-
 def _information(t: np.ndarray) -> float:
     """Mutual information (nats) of a table of counts."""
     n, e = t.sum(), np.outer(t.sum(1), t.sum(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
-from ..operators import audit, infotheory, significance, tables
+from ..operators import audit, bootstrap, infotheory, significance, tables
 from .base import LONG_SQL, PRED_SQL, predictions
 from .registry import query, read
 
@@ -453,22 +453,57 @@ def bootstrap_paired_mean(spark, d):
     return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
-@query("bootstrap_statistics")
+def _weighted_sql(columns: str) -> str:
+    """SQL of ``w``: each row of ``pred`` with its weight in each repetition."""
+    mask = 2**32 - 1
+    mixed = f"((xor(h, h >> 16) * {bootstrap.FACTOR}) & {mask})"
+    word = lambda i: f"CAST('0x' || substr(md5('1:' || id), {i}, 8) AS BIGINT)"
+    heavier = " + ".join(f"CAST(xor(h, h >> 16) >= {k} AS INT)" for k in bootstrap.LIMITS)
+    return (
+        f"WITH {PRED_SQL}, h0 AS (SELECT {columns}, rep, b, (a + rep * {bootstrap.STRIDE}) & {mask} AS h FROM "
+        f"(SELECT *, {word(1)} AS a, {word(9)} AS b FROM pred), (SELECT unnest(range({REPS})) AS rep)), "
+        f"h1 AS (SELECT * REPLACE (xor({mixed}, b) AS h) FROM h0), h2 AS (SELECT * REPLACE ({mixed} AS h) FROM h1), "
+        f"h3 AS (SELECT * REPLACE ({mixed} AS h) FROM h2), w AS (SELECT *, {heavier} AS w FROM h3)"
+    )
+
+
+def _rank_sql(p: float) -> str:
+    """SQL of a quantile from ``upto`` (weights up to a value) and ``total``."""
+    at = f"({p}::DOUBLE * (any_value(total) - 1))"
+    low, high = (f"min(x) FILTER (upto > {f}({p}::DOUBLE * (total - 1)))" for f in ("floor", "ceil"))
+    return f"{low} + ({high} - {low}) * ({at} - floor({at}))"
+
+
+@query(
+    "bootstrap_statistics",
+    _weighted_sql("CAST(n_chars AS DOUBLE) AS x") + ", c AS (SELECT rep, x, w, sum(w) OVER (PARTITION BY rep ORDER BY x) "
+    "AS upto, sum(w) OVER (PARTITION BY rep) AS total FROM w WHERE w > 0) SELECT rep, "
+    f"round({_rank_sql(0.5)}, 6) AS median, round({_rank_sql(0.1)}, 6) AS p10, "
+    "round(sum(CASE WHEN x > 1000 THEN w ELSE 0 END) / sum(w), 6) AS fraction FROM c GROUP BY rep"
+)
 def bootstrap_statistics(spark, d):
-    x = predictions(spark, d).select("id", F.col("n_chars").cast("double").alias("x"))
+    x = F.col("n_chars")
     stats = {
-        "median": significance.percentile_of(0.5), "p10": significance.percentile_of(0.1),
-        "fraction": significance.share_above(1000)
+        "median": bootstrap.Quantile(x, 0.5), "p10": bootstrap.Quantile(x, 0.1), "fraction": bootstrap.share(x > 1000)
     }
-    return significance.bootstrap_cells(x, "id", "x", stats, REPS)
+    b = bootstrap.resample(predictions(spark, d), F.col("id"), stats, REPS)
+    return b.withColumns({c: R6(F.col(c)) for c in stats})
 
 
-@query("bootstrap_two_sample")
+@query(
+    "bootstrap_two_sample",
+    _weighted_sql("CAST(n_chars AS DOUBLE) AS x, toxic") + ", m AS (SELECT rep, sum(w * x) FILTER (toxic = 1) / "
+    "sum(w) FILTER (toxic = 1) - sum(w * x) FILTER (toxic = 0) / sum(w) FILTER (toxic = 0) AS value FROM w GROUP BY rep) "
+    "SELECT count(*) AS reps, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS low, "
+    "round(quantile_cont(value, 0.975), 6) AS high, quantile_cont(value, 0.025) < 0 AND quantile_cont(value, 0.975) > 0 "
+    "AS crosses_zero FROM m"
+)
 def bootstrap_two_sample(spark, d):
-    x = predictions(spark, d).select("id", "toxic", F.col("n_chars").cast("double").alias("x"))
-    return significance.interval(
-        significance.bootstrap_two_sample(x.where("toxic = 0"), x.where("toxic = 1"), "id", "x", REPS)
-    )
+    """Difference of means of two samples; their rows are other units, so the samples are drawn independently."""
+    mean = lambda k: bootstrap.Ratio(F.when(F.col("toxic") == k, F.col("n_chars")))
+    b = bootstrap.resample(predictions(spark, d), F.col("id"), {"a": mean(0), "b": mean(1)}, REPS)
+    b = significance.interval(b.select("rep", (F.col("b") - F.col("a")).alias("value")))
+    return b.withColumns({c: R6(F.col(c)) for c in ("mean", "low", "high")})
 
 
 _RIGHT = "(SELECT CAST(sum(CAST(pred = gold AS INT)) AS INT) AS level FROM lng GROUP BY id)"

@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders made since each scratch that is open.
+_open: list[list[tuple[SparkSession, str]]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -26,7 +30,10 @@ def folder(spark: SparkSession, name: str) -> str:
             _own[app] = tempfile.mkdtemp(prefix="ponderlake-io-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = _own[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append((spark, path))
+    return path
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -34,3 +41,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops all folders named inside when left, also on failure: for work whose results don't read them any more."""
+    made: list[tuple[SparkSession, str]] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+        for spark, path in made:
+            drop(spark, path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ponderlake import schemas
-from ponderlake.operators import audit, positions, significance, tables
+from ponderlake.operators import audit, bootstrap, positions, significance, tables
 from ponderlake.sources import readers, sinks
 from ponderlake.streaming import logs
 
@@ -101,8 +101,9 @@ def test_paired_identity(spark):
     m = significance.mcnemar(df, F.col("a"), F.col("b")).first()
     assert m.exact_p == pytest.approx(0.23772336278505) and m.chi2_p == pytest.approx(0.23777649970011)
     b = df.withColumn("id", F.monotonically_increasing_id()).withColumn("x", (F.col("b").cast("int") - F.col("a").cast("int")).cast("double"))
-    i = significance.interval(significance.bootstrap(b.select("id", "x"), "id", ["x"], [F.avg("x").alias("value")], 300)).first()
-    assert i.low == pytest.approx(-0.006, abs=0.004) and i.high == pytest.approx(0.0275, abs=0.004) and i.crosses_zero
+    i = significance.interval(bootstrap.resample(b, F.col("id"), {"value": bootstrap.Ratio(F.col("x"))}, 10000)).first()
+    apart = 0.2 * (0.0275 + 0.006) / 3.92  # a fifth of a deviation
+    assert i.low == pytest.approx(-0.006, abs=apart) and i.high == pytest.approx(0.0275, abs=apart) and i.crosses_zero
 
 
 def test_numbered_and_constant_correlation(spark):
