@@ -43,7 +43,7 @@ ROUNDS, WALK = 8, 256
 KINDS = ("email", "secret", "ip", "card", "ssn", "date", "phone")
 #: Patterns by kind; earlier kinds win.  Quantifiers before a rare sign are possessive, so that no text makes them slow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b)[ \t]*[=:][ \t]*\"?[A-Za-z0-9_/+=.-]{8,}+\"?",
     "ip": r"(?<![\w.])(?<!(?i:version|release|chapter|section) )\d{1,3}+(?:\.\d{1,3}+){3}(?!\.?\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}(?![ -]?\d)|\d{4}(?:[ -]\d{4}){3}|\d{4}(?:[ -]\d{4}){2}[ -]\d|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\d-])",

@@ -168,3 +168,18 @@ def test_a_walk_that_does_not_end_is_an_error(spark, monkeypatch):
     x = pii._walk("id", "10", "100", "t", "k", lambda v: f"({v} = 5)")
     with pytest.raises(Exception, match="pseudonym was not found"):
         spark.range(1000).selectExpr(f"sum({x})").collect()
+
+
+def test_no_pattern_ends_an_executor(spark):
+    """Long runs of each pattern's inner parts: no recursion in the pattern, whatever the text."""
+    many = 1_000_000
+    inner = {
+        "email": ["a@b" + ".b" * many, "a." * many + "@b.c", "a@" + "b" * many, "a@b." * many], "secret": ["password=" + "x" * many, "token: " * many, "secret=" + '"' * many],
+        "ip": ["1.2.3." * many, "1" * many, "1.1.1.1" + ".1" * many], "card": ["4111 " * many, "4" * many, "4111-1111-1111-1111-" * (many // 4)],
+        "ssn": ["123-45-" * many, "123-" * many], "date": ["2024-1-" * many, "1.2." * many, "1/2/" * many], "phone": ["+1 " * many, "(212) " * many, "212-" * many, "+" * many],
+    }
+    assert set(inner) == set(pii.KINDS)
+    texts = [t for v in inner.values() for t in v]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), KEY)
+    got = {r.doc_id: r for r in out.selectExpr("doc_id", "n_email", "length(text) AS n").collect()}
+    assert len(got) == len(texts) and got[0].n_email == 1 and got[0].n < 100
