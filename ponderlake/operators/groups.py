@@ -147,17 +147,27 @@ def partition_counterfactual(
     )
 
 
-def make_partitions(spark, k: int = 16, n: int = 20, seed: int = 1) -> DataFrame:
-    """partition, k, half: the first half against the last, and n shuffles, in each of which members go by their digests."""
-    member = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")
-    plain = spark.range(1).select(
-        F.lit("first_last").alias("partition"), member
-    ).withColumn("half", (F.col("k") >= k // 2).cast("int"))
-    drawn = spark.range(n).select(F.col("id").alias("p"), member)
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("p").cast("string"), F.col("k").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(place)) - 1
-    name = F.format_string("rand%02d", F.col("p").cast("int")).alias("partition")
-    return plain.unionByName(drawn.select(name, "k", (rank >= k // 2).cast("int").alias("half")))
+def make_partitions(rollouts: DataFrame, group: str = "id", member: str = "k", n: int = 20, seed: int = 1) -> DataFrame:
+    """Each member with ``partition`` and ``half``: the first half against the last, and ``n`` shuffles by digests.
+
+    A group's members are one array, sorted by digest for each shuffle: one shuffle of rows whatever ``n``.
+    """
+    others = [c for c in rollouts.columns if c not in (group, member)]
+    members = F.array_sort(F.collect_list(F.struct(member, *others))).alias("__m")
+    g = rollouts.groupBy(group).agg(members)
+    place = lambda p: F.transform(
+        F.array_sort(F.transform("__m", lambda x: F.struct(
+            F.md5(F.concat_ws(":", F.lit(str(seed)), p.cast("string"), F.col(group).cast("string"), x[member].cast("string"))), x.alias("x")
+        ))), lambda s: s["x"]
+    )
+    plain = F.struct(F.lit("first_last").alias("partition"), F.col("__m").alias("m"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(
+        F.format_string("rand%02d", p).alias("partition"), place(p).alias("m")
+    ))
+    x = g.select(group, F.explode(F.concat(F.array(plain), drawn) if n else F.array(plain)).alias("w"))
+    x = x.select(group, "w.partition", F.size("w.m").alias("__n"), F.posexplode("w.m").alias("__at", "x"))
+    half = (2 * F.col("__at") >= F.col("__n")).cast("int").alias("half")
+    return x.select(group, "x.*", "partition", half)
 
 
 def step_group_stats(

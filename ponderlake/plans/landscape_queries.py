@@ -152,9 +152,9 @@ _BINS = "CASE " + " ".join(
 ) + " END"
 
 
-@query("bin_label", "SELECT i, " + _BINS.format("(i / 20.0::DOUBLE)") + " AS bin FROM (SELECT unnest(range(21)) AS i)")
+@query("bin_label", f"{WITH} SELECT id, model, {_BINS.format('gold_q')} AS bin FROM ls")
 def bin_label(spark, d):
-    return spark.range(21).select(F.col("id").alias("i"), strata.bin_of(F.col("id") / 20.0).alias("bin"))
+    return _ls(spark, d).select("id", "model", strata.bin_of(F.col("gold_q")).alias("bin"))
 
 
 @query(

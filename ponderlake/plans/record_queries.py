@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic, text
 from ..operators import generation, groups, landscape, puzzles, records, tables
-from .base import ASSIGN_SQL, PRED_SQL, PUZZLE_SQL, ROLL_SQL, label, plain_rollouts, predictions, puzzle_trees
+from .base import ASSIGN_SQL, PRED_SQL, PUZZLE_SQL, ROLL_SQL, label, plain_rollouts, predictions, puzzle_trees, rollouts
 from .landscape_queries import WITH as LAND
 from .landscape_queries import _ls
 from .registry import QUERIES, ORACLES, query, read
@@ -141,11 +141,14 @@ def to_rl_processed(spark, d):
 
 @query(
     "all_candidates",
-    f"SELECT cand, pattern, {_BLOCK} AS completion FROM (SELECT CAST(c AS INT) AS cand, {label('c')} AS pattern FROM "
-    f"(SELECT unnest(range(8)) AS c))"
+    f"WITH {PRED_SQL}, c AS (SELECT CAST(c AS INT) AS cand, {label('c')} AS pattern FROM (SELECT unnest(range(8)) AS c)) "
+    f"SELECT id, cand, {_BLOCK} AS completion, pattern = gold AS gold FROM pred, c"
 )
 def all_candidates(spark, d):
-    return records.candidates(spark, people())
+    """All eight completions of each question."""
+    x = predictions(spark, d).select("id", F.col("gold").alias("right"))
+    x = x.crossJoin(F.broadcast(records.candidates(spark, people())))
+    return x.select("id", "cand", "completion", (F.col("pattern") == F.col("right")).alias("gold"))
 
 
 @query(
@@ -282,10 +285,16 @@ def sample_fixed(spark, d):
     return records.sample_fixed(e, "event_id", 50, 42)
 
 
-@query("make_partitions", """WITH m AS (SELECT p, CAST(k AS INT) AS k, row_number() OVER (PARTITION BY p ORDER BY md5('1:' || p || ':' || k)) - 1 AS r FROM (SELECT unnest(range(20)) AS p), (SELECT unnest(range(16)) AS k))
- SELECT 'first_last' AS partition, CAST(k AS INT) AS k, CAST(k >= 8 AS INT) AS half FROM (SELECT unnest(range(16)) AS k) UNION ALL SELECT printf('rand%02d', CAST(p AS INT)), k, CAST(r >= 8 AS INT) FROM m""")
+@query("make_partitions", f"""WITH {ROLL_SQL}, r AS (SELECT id, k, reward, count(*) OVER (PARTITION BY id) AS n FROM roll),
+ m AS (SELECT id, k, reward, n, p, row_number() OVER (PARTITION BY id, p ORDER BY md5('1:' || p || ':' || id || ':' || k)) - 1 AS r FROM r, (SELECT unnest(range(20)) AS p)),
+ h AS (SELECT 'first_last' AS partition, id, k, reward, CAST(2 * k >= n AS INT) AS half FROM r UNION ALL SELECT printf('rand%02d', CAST(p AS INT)), id, k, reward, CAST(2 * r >= n AS INT) FROM m)
+ SELECT partition, half, count(*) AS n, CAST(sum(k) AS BIGINT) AS members, CAST(sum(reward) AS BIGINT) AS correct, CAST(sum(id * k) AS BIGINT) AS places FROM h GROUP BY ALL""")
 def make_partitions(spark, d):
-    return groups.make_partitions(spark)
+    x = groups.make_partitions(rollouts(spark, d).select("id", "k", "reward"), "id", "k")
+    return x.groupBy("partition", "half").agg(
+        F.count("*").alias("n"), F.sum("k").alias("members"), F.sum("reward").cast("long").alias("correct"),
+        F.sum(F.col("id") * F.col("k")).alias("places")
+    )
 
 
 _GROWN = generation.sql(

@@ -272,9 +272,13 @@ def agg_partition_summary(spark, d):
     )
 
 
-@query("m_bucket", "SELECT m, " + _BUCKET.replace("m_correct", "m") + " AS bucket FROM (SELECT unnest(range(17)) AS m)")
+@query(
+    "m_bucket",
+    f"{GROUP_SQL} SELECT id, correct_count AS m, {_BUCKET.replace('m_correct', 'correct_count')} AS bucket FROM g"
+)
 def m_bucket(spark, d):
-    return spark.range(17).select(F.col("id").alias("m"), text.m_bucket(F.col("id")).alias("bucket"))
+    m = F.col("correct_count")
+    return groups.rollout_group(plain_rollouts(spark, d)).select("id", m.alias("m"), text.m_bucket(m).alias("bucket"))
 
 
 @query(
@@ -285,16 +289,17 @@ def vector_distances(spark, d):
     return _partitions(spark, d).select("id", "partition", *[F.round(c, 5).alias(c) for c in ("l1", "l2", "cosine")])
 
 
-_AT = """km AS (SELECT k, m, CASE WHEN m > 0 AND m < k THEN sqrt(CAST(m * (k - m) AS DOUBLE) / (k * (k - 1))) ELSE 0.0::DOUBLE END AS std, CAST(m AS DOUBLE) / k AS p FROM (SELECT unnest([8, 16]) AS k), (SELECT unnest(range(17)) AS m) WHERE m <= k)"""
+_AT = """km AS (SELECT id, n AS k, correct_count AS m FROM g WHERE n > 1), av AS (SELECT id, k, m, CASE WHEN m > 0 AND m < k THEN sqrt(CAST(m * (k - m) AS DOUBLE) / (k * (k - 1))) ELSE 0.0::DOUBLE END AS std, CAST(m AS DOUBLE) / k AS p FROM km)"""
 
 
-@query("analytic_advantage", f"""WITH {_AT} SELECT CAST(k AS INT) AS k, m, round(std, 8) AS std, round(CASE WHEN m > 0 AND m < k THEN (1 - p) / std ELSE 0 END, 8) AS a_plus, round(CASE WHEN m > 0 AND m < k THEN -p / std ELSE 0 END, 8) AS a_minus,
- round(CASE WHEN m > 0 THEN (1 - p) / (std + 1e-4) ELSE 0 END, 8) AS a_plus_eps, round(CASE WHEN m < k THEN -p / (std + 1e-4) ELSE 0 END, 8) + 0.0 AS a_minus_eps FROM km""")
+@query("analytic_advantage", f"""{GROUP_SQL}, {_AT} SELECT id, k, m, round(std, 8) AS std, round(CASE WHEN m > 0 AND m < k THEN (1 - p) / std ELSE 0 END, 8) AS a_plus, round(CASE WHEN m > 0 AND m < k THEN -p / std ELSE 0 END, 8) AS a_minus,
+ round(CASE WHEN m > 0 THEN (1 - p) / (std + 1e-4) ELSE 0 END, 8) AS a_plus_eps, round(CASE WHEN m < k THEN -p / (std + 1e-4) ELSE 0 END, 8) + 0.0 AS a_minus_eps FROM av""")
 def analytic_advantage(spark, d):
-    x = spark.range(17).withColumnRenamed("id", "m").withColumn(
-        "k", F.explode(F.array(F.lit(8), F.lit(16)))
-    ).where("m <= k")
+    """Closed forms for each group's number of rollouts and of correct ones."""
+    x = groups.rollout_group(plain_rollouts(spark, d)).where("n > 1")
+    x = x.select("id", F.col("n").alias("k"), F.col("correct_count").alias("m"))
     return x.select(
+        "id",
         "k",
         "m",
         *[(F.round(c, 8) + 0.0).alias(n) for n, c in policy.analytic_advantage(F.col("k"), F.col("m")).items()]

@@ -5,7 +5,7 @@ The SQL has the rows themselves, so a green row means that nothing was lost, add
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,15 +180,20 @@ class _Settings:
 
 @query(
     "scan_yaml_config",
-    "SELECT 'batch' AS name, '8' AS value UNION ALL SELECT 'rate', '0.25' UNION ALL SELECT 'mode', 'fast' UNION ALL "
-    "SELECT 'limit', '0'"
+    "SELECT s_suppkey AS id, CAST(CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey ELSE coalesce(CASE WHEN s_suppkey % 3 > 0 "
+    "THEN s_suppkey % 64 END, 16) END AS INT) AS batch, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey / 8.0::DOUBLE ELSE 0.5 "
+    "END AS rate, CASE WHEN s_suppkey % 7 = 0 THEN 'fast' ELSE 'full' END AS mode, 0 AS \"limit\" FROM supplier"
 )
 def scan_yaml_config(spark, d):
-    """Defaults, then a file's settings, then the command line's."""
-    merged = readers.config(
-        _Settings, {"batch": 32, "rate": 0.25, "mode": None}, {"batch": 8, "mode": "fast", "limit": None}
-    )
-    return spark.createDataFrame([(k, str(v)) for k, v in asdict(merged).items()], "name string, value string")
+    """Defaults, then each run's file (a document a row), then its command line."""
+    s = read(spark, d, "supplier")
+    file = F.to_json(F.struct(
+        F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 64).alias("batch"),
+        F.when(F.col("s_suppkey") % 5 > 0, F.col("s_suppkey") / 8).alias("rate"),
+        F.when(F.col("s_suppkey") % 7 == 0, "fast").alias("mode"),
+    ))
+    line = {"batch": F.when(F.col("s_suppkey") % 4 == 0, F.col("s_nationkey"))}
+    return s.select(F.col("s_suppkey").alias("id"), *readers.configured(_Settings, file, line))
 
 
 _PATHS = "CASE WHEN s_suppkey % 7 = 0 THEN 'runs/final' ELSE 'runs/checkpoint-' || s_suppkey * 25 END"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic, parsing, text
 from ..operators import audit, generation, positions, puzzles
-from .base import ASSIGN_SQL, KNIGHT, PUZZLE_SQL, TRUTH, label, puzzle_trees, puzzles as flat_puzzles
+from .base import ASSIGN_SQL, KNIGHT, PRED_SQL, PUZZLE_SQL, TRUTH, label, predictions, puzzle_trees, puzzles as flat_puzzles
 from .registry import query, read
 
 R6 = lambda c: F.round(c, 6)
@@ -125,29 +125,41 @@ def pattern_encode(spark, d):
     return _parsed(spark, d).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+_KIND = "CASE gold[{}] WHEN 'K' THEN 'knight' ELSE 'knave' END"
+
+
 @query(
     "pattern_decode",
-    "SELECT a, CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END AS alice, CASE WHEN a % 4 < 2 THEN 'knight' ELSE 'knave' "
-    "END AS bob, CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS carol FROM (SELECT CAST(unnest(range(8)) AS INT) "
-    "AS a)"
+    f"WITH {PRED_SQL} SELECT id, {_KIND.format(1)} AS alice, {_KIND.format(2)} AS bob, {_KIND.format(3)} AS carol FROM pred"
 )
 def pattern_decode(spark, d):
-    return puzzles.assignments(spark).select("a", *[F.col("answer")[p].alias(p.lower()) for p in puzzles.PEOPLE])
+    answer = text.pattern_decode(F.col("gold"), people())
+    return predictions(spark, d).select("id", *[answer[p].alias(p.lower()) for p in puzzles.PEOPLE])
 
 
 @query(
     "fmt_assignment",
-    "SELECT a, 'Alice=' || CASE WHEN a < 4 THEN 'knight' ELSE 'knave' END || ', Bob=' || CASE WHEN a % 4 < 2 THEN "
-    "'knight' ELSE 'knave' END || ', Carol=' || CASE WHEN a % 2 = 0 THEN 'knight' ELSE 'knave' END AS line FROM (SELECT "
-    "CAST(unnest(range(8)) AS INT) AS a)"
+    f"WITH {PRED_SQL} SELECT id, 'Alice=' || {_KIND.format(1)} || ', Bob=' || {_KIND.format(2)} || ', Carol=' || "
+    f"{_KIND.format(3)} AS line FROM pred"
 )
 def fmt_assignment(spark, d):
-    return puzzles.assignments(spark).select("a", text.fmt_assignment(F.col("answer"), people()).alias("line"))
+    line = text.fmt_assignment(text.pattern_decode(F.col("gold"), people()), people())
+    return predictions(spark, d).select("id", line.alias("line"))
+
 
+_AGREE = " + ".join(f"CAST(t{j} = k{j} AS INT)" for j in range(3))
 
-@query("assign_enumerate", f"SELECT a, {label('a')} AS pattern FROM (SELECT CAST(unnest(range(8)) AS INT) AS a)")
+
+@query(
+    "assign_enumerate",
+    f"WITH {PUZZLE_SQL}, {ASSIGN_SQL} SELECT id, CAST(a AS INT) AS a, {label('a')} AS pattern, {_AGREE} AS agree FROM asg"
+)
 def assign_enumerate(spark, d):
-    return puzzles.assignments(spark).select("a", "pattern")
+    """Each puzzle under each assignment: how many statements are as true as their speaker is a knight."""
+    c = puzzles.compiled(puzzle_trees(spark, d)).select("id", F.arrays_zip("masks", "speaker_bits").alias("z"))
+    x = c.crossJoin(F.broadcast(puzzles.assignments(spark).select("a", "pattern")))
+    same = lambda z: logic.eval_mask(z["masks"], F.col("a")) == logic.eval_mask(z["speaker_bits"], F.col("a"))
+    return x.select("id", "a", "pattern", F.size(F.filter("z", same)).alias("agree"))
 
 
 @query("has_repeated_line", """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)

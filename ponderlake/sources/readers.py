@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import fields, is_dataclass
-from typing import Any
+from typing import Any, get_type_hints
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,3 +130,21 @@ def config(cls: type, file: dict[str, Any] | None = None, overrides: dict[str, A
     if extra := set(merged) - known:
         raise ValueError(f"unknown settings: {sorted(extra)}")
     return cls(**merged)
+
+
+def configured(cls: type, file: Column, overrides: dict[str, Column] | None = None) -> list[Column]:
+    """Columns of a dataclass's settings for each row: defaults, then a document (JSON text), then a command line's.
+
+    Null means not given; a name in a document that the class hasn't is an error, as is one in ``overrides``.
+    """
+    kinds, types = {int: "int", float: "double", str: "string", bool: "boolean"}, get_type_hints(cls)
+    known = {f.name: f.default for f in fields(cls)}
+    if extra := set(overrides or {}) - set(known):
+        raise ValueError(f"unknown settings: {sorted(extra)}")
+    schema = ", ".join(f"`{n}`: {kinds[types[n]]}" for n in known)
+    own = F.from_json(file, f"struct<{schema}>")
+    unknown = F.array_except(F.json_object_keys(file), F.array(*[F.lit(n) for n in known]))
+    wrong = F.raise_error(F.concat(F.lit("unknown settings: "), F.array_join(unknown, ", ")))
+    checked = F.when(F.size(unknown) > 0, wrong.cast(f"struct<{schema}>")).otherwise(own)
+    value = lambda n: F.coalesce((overrides or {}).get(n, F.lit(None)), checked[n], F.lit(known[n]))
+    return [value(n).cast(kinds[types[n]]).alias(n) for n in known]

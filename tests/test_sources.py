@@ -47,6 +47,21 @@ def test_models_arrays_logs(spark, tmp_path):
     assert [r.step for r in readers.checkpoint_dirs(d).collect()] == [20, 100]
 
 
+def test_configured_rows(spark):
+    @dataclass
+    class C:
+        a: int = 1
+        b: str = "x"
+
+    df = spark.createDataFrame([(1, '{"a": 2}', None), (2, '{"b": "y", "a": null}', 5), (3, None, None), (4, "{}", 6)], "id int, doc string, a int")
+    got = df.select("id", *readers.configured(C, F.col("doc"), {"a": F.col("a")})).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, 2, "x"), (2, 5, "y"), (3, 1, "x"), (4, 6, "x")]
+    with pytest.raises(ValueError, match="unknown"):
+        readers.configured(C, F.col("doc"), {"c": F.lit(1)})
+    with pytest.raises(Exception, match="unknown settings: c"):
+        df.select(*readers.configured(C, F.lit('{"c": 1}'))).collect()
+
+
 def test_config():
     @dataclass
     class C:
