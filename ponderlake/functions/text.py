@@ -168,8 +168,3 @@ def split_seed(seed: Column, offset: Column) -> Column:
 
 def epoch_of_step(step: Column, train_rows: int, batch: int = 16) -> Column:
     return step / F.lit(train_rows / batch)
-
-
-def label_mask(ids: Column, prefix: Column, ignore: int = -100) -> Column:
-    """Token ids with those of the common prefix ignored."""
-    return F.transform(ids, lambda x, i: F.when(i < prefix, F.lit(ignore)).otherwise(x))

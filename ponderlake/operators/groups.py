@@ -111,12 +111,12 @@ def halves(member: Column, size: Column) -> dict[str, Column]:
     }
 
 
-def partition_counterfactual(
+def partition_advantages(
     rollouts: DataFrame, group: str = "id", member: str = "k", reward: str = "reward", least: int = 4
 ) -> DataFrame:
-    """Whole-group advantages against those of two halves, for each of the ways to split.
+    """Each member under each way to split its group: ``partition``, a16 (whole-group advantage) and a8 (its half's).
 
-    All members of a group take part.  Groups of under ``least`` (4) give no row: a half of one member has no deviation.
+    Groups of under ``least`` give no row: a half of one member has no deviation.
     """
     whole = rollouts.select(group, member, reward).withColumn("size", F.count("*").over(Window.partitionBy(group)))
     whole = advantage(whole.where(F.col("size") >= least), "noeps", (group,), reward, name="a16")
@@ -124,7 +124,17 @@ def partition_counterfactual(
         F.struct(F.lit(n).alias("partition"), h.alias("half")) for n, h in halves(F.col(member), F.col("size")).items()
     ]
     x = whole.select("*", F.explode(F.array(*ways)).alias("way")).select(group, member, reward, "a16", "way.*")
-    x = advantage(x, "noeps", (group, "partition", "half"), reward, name="a8")
+    return advantage(x, "noeps", (group, "partition", "half"), reward, name="a8")
+
+
+def partition_counterfactual(
+    rollouts: DataFrame, group: str = "id", member: str = "k", reward: str = "reward", least: int = 4
+) -> DataFrame:
+    """Whole-group advantages against those of two halves, for each of the ways to split.
+
+    All members of a group take part.
+    """
+    x = partition_advantages(rollouts, group, member, reward, least)
     d, a, b = F.col("a16") - F.col("a8"), F.col("a16"), F.col("a8")
     positive = lambda c: F.coalesce(F.sum(F.when(c > ZERO, c)), F.lit(0.0))
     negative = lambda c: F.coalesce(F.sum(F.when(c < -ZERO, -c)), F.lit(0.0))

@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     rollout_queries,
     source_queries,
     text_queries,
+    token_queries,
 )
 from .registry import ORACLES, QUERIES
 
