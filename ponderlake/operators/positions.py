@@ -4,63 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that share a bucket: rows numbered by one task at a time.
-WIDTH = 1 << 16
+from ..sources import exchange
 
+_INSIDE = (1 << 33) - 1
 
-def numbered(
-    df: DataFrame, key: str, name: str = "pos", by: Sequence[str] = (), width: int = WIDTH, ties: Sequence[str] = ()
-) -> DataFrame:
-    """``name``: 0-based position in the order of an integer key (then ``ties``), within each group of ``by``; ``total``: rows of the group.
 
-    Rows are numbered within buckets of neighbouring keys; only the bucket counts are accumulated in order.
-    """
-    x = df.withColumn("__b", F.floor(F.col(key) / width))
-    g = list(by)
-    counts = x.groupBy(*g, "__b").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(1))
-    before = F.coalesce(F.sum("__n").over(order.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(
-        *g,
-        "__b",
-        before.alias("__before"),
-        F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total")
-    )
-    inside = F.row_number().over(Window.partitionBy(*g, "__b").orderBy(key, *ties)) - 1
-    return x.withColumn("__in", inside).join(counts, [*g, "__b"]).withColumn(
-        name, F.col("__before") + F.col("__in")
-    ).drop("__b", "__in", "__before")
+def spread(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` in order over range partitions: ``__pid`` (partition) and ``__in`` (place in it), in a table of its own.
 
+    Splitters come from a sample, so partitions are alike however keys are distributed; rows that are equal in ``order`` are
+    split as well, as the place of a row in the input comes last.
+    """
+    last = df.withColumn("__row", F.monotonically_increasing_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*order, "__row"]
+    x = last.repartitionByRange(n, *by).sortWithinPartitions(*by).drop("__row")
+    inside = F.monotonically_increasing_id().bitwiseAND(_INSIDE)
+    return exchange.table(x.select("*", F.spark_partition_id().alias("__pid"), inside.alias("__in")), "spread")
 
-def scan_slice(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset + limit in the order of ``key``: a bounded top-k, not a sort of the table."""
-    return df.orderBy(key).limit(offset + limit).orderBy(key).offset(offset)
 
+def numbered(df: DataFrame, key: str, name: str = "pos", by: Sequence[str] = (), ties: Sequence[str] = ()) -> DataFrame:
+    """``name``: 0-based position in the order of ``key`` (then ``ties``), within each group of ``by``; ``total``: its rows.
 
-def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(key).limit(n)
+    A row's number is its place in its partition and the rows of the partitions before: of all rows, only a count for each
+    partition is put in order, so neither sparse keys nor equal ones bring many rows together.  Writes a table when called.
+    """
+    rows = spread(df, [*by, key, *ties])
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = rows.groupBy("__pid").agg(F.count("*").alias("__n"))
+    counts = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    x = rows.join(F.broadcast(counts), "__pid").withColumn(name, F.col("__before") + F.col("__in"))
+    x = x.drop("__pid", "__in", "__before")
+    if not by:
+        return x.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+    starts = x.groupBy(*by).agg(F.min(name).alias("__start"), F.count("*").alias("total"))
+    return _null_safe(x, starts, by).withColumn(name, F.col(name) - F.col("__start")).drop("__start")
 
 
 def running(
-    counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts: int = 1024, name: str = "before"
+    counts: DataFrame, key: str, n: str, by: Sequence[str] = (), parts: int = 256, name: str = "before"
 ) -> DataFrame:
     """``counts`` (one row for each value of ``key``, ``n`` rows of it) with the number of rows of smaller values, and ``total``.
 
-    Values are summed within ``parts`` intervals between the least and the greatest, and only the intervals' sums in order of
-    them: no task orders all values of a group unless they crowd in one interval.  Groups may be null.
+    Values are summed within ``parts`` intervals and only the intervals' sums in order of them.  Intervals end at quantiles
+    of a group's values, so each holds about as many of them, whatever their distribution.  Groups may be null.
     """
     g = list(by) or ["__all"]
     x = counts if by else counts.withColumn("__all", F.lit(0))
-    ends = x.groupBy(*g).agg(F.min(key).alias("__low"), F.max(key).alias("__high"), F.sum(n).alias("total"))
+    shares = [i / parts for i in range(1, parts)]
+    ends = x.groupBy(*g).agg(F.percentile_approx(key, shares, 10 * parts).alias("__ends"), F.sum(n).alias("total"))
     x = _null_safe(x, ends, g)
-    width = (F.col("__high") - F.col("__low")) / F.lit(float(parts))
-    at = F.when(
-        width > 0, F.least(F.floor((F.col(key) - F.col("__low")) / width), F.lit(parts - 1))
-    ).otherwise(F.lit(0))
-    x = x.withColumn("__b", at.cast("long")).drop("__low", "__high")
+    # how many ends are no greater than the value, by bisection
+    steps = F.array(*[F.lit(1 << b) for b in range((parts - 1).bit_length() - 1, -1, -1)])
+    up = lambda at, s: F.when(F.get("__ends", at + s - 1) <= F.col(key), at + s).otherwise(at)
+    x = x.withColumn("__b", F.aggregate(steps, F.lit(0), up)).drop("__ends")
     sums = x.groupBy(*g, "__b").agg(F.sum(n).alias("__n"))
     ahead = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*g, "__b", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
@@ -122,18 +122,13 @@ def with_quantiles(
 def quartile_ends(df: DataFrame, key: str, total_order: Sequence[str]) -> DataFrame:
     """Rows with ``end``: low for the lowest floor(n / 4) by the order, high for the highest ceil(n / 4), others dropped.
 
-    ``total_order``: a number, then columns that break its ties.  Ranks come from counts by value; only rows of equal value
-    are numbered, each value's by itself.
+    ``total_order``: a column, then columns that break its ties.
     """
-    value, *ties = total_order
-    counts = df.groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    ranks = running(counts, "__v", "__c")
-    x = df.withColumn("__v", F.col(value).cast("double")).join(ranks, "__v")
-    inside = F.row_number().over(Window.partitionBy("__v").orderBy(*ties or [key])) - 1
-    x = x.withColumn("__r", F.col("before") + F.when(F.col("__c") > 1, inside).otherwise(F.lit(0)))
+    first, *ties = total_order
+    x = numbered(df, first, "__r", ties=ties or [key])
     low, high = F.floor(F.col("total") / 4), F.col("total") - F.ceil(F.col("total") / 4)
     end = F.when(F.col("__r") < low, "low").when(F.col("__r") >= high, "high")
-    return x.withColumn("end", end).where(F.col("end").isNotNull()).drop("__v", "__c", "__r", "before", "total")
+    return x.withColumn("end", end).where(F.col("end").isNotNull()).drop("__r", "total")
 
 
 def unique_in_order(df: DataFrame, value: str, pos: str) -> DataFrame:

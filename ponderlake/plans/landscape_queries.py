@@ -431,16 +431,6 @@ def first_mismatch(spark, d):
     return positions.first_mismatch(a, b, "event_id", "v")
 
 
-@query("scan_slice", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
-def scan_slice(spark, d):
-    return positions.scan_slice(read(spark, d, "events").select("event_id", "user_id"), "event_id", 100, 50)
-
-
-@query("scan_first_n", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 200")
-def scan_first_n(spark, d):
-    return positions.first_n(read(spark, d, "events").select("event_id", "user_id"), "event_id", 200)
-
-
 @query("step_ratio", f"{S} SELECT DISTINCT step, round(step / (1000 / 16.0::DOUBLE), 6) AS epoch FROM st")
 def step_ratio(spark, d):
     return steps(spark, d).select("step").distinct().select(

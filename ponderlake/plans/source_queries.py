@@ -57,6 +57,22 @@ def scan_jsonl_keyed(spark, d):
     return x.select("user_id", "event_id", "value")
 
 
+def _in_order(spark: SparkSession, d: str) -> str:
+    """Events as files in order of event_id, in several files; the path."""
+    return _written(_events(spark, d).repartitionByRange(6, "event_id").sortWithinPartitions("event_id"), "ordered")
+
+
+@query("scan_slice", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
+def scan_slice(spark, d):
+    """Lines 100 to 149 in file order."""
+    return readers.jsonl_slice(spark, _in_order(spark, d), EVENT, 100, 50).select("event_id", "user_id")
+
+
+@query("scan_first_n", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 200")
+def scan_first_n(spark, d):
+    return readers.jsonl_first(spark, _in_order(spark, d), EVENT, 200).select("event_id", "user_id")
+
+
 @query("scan_optional", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def scan_optional(spark, d):
     there = readers.optional(spark, _written(_events(spark, d), "events"), EVENT)

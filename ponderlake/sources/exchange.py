@@ -7,13 +7,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-#: Folders made since each scratch that is open.
+#: Folders made since each scratch that is open; those that lazy results may read, which go when Python ends.
 _open: list[list[tuple[SparkSession, str]]] = []
+_left: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -31,7 +32,9 @@ def folder(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = _own[app]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for made in _open:
+    if not _left:
+        atexit.register(_sweep)
+    for made in [*_open, _left]:
         made.append((spark, path))
     return path
 
@@ -48,6 +51,14 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _sweep() -> None:
+    """Drops what is left, where the session still runs."""
+    for spark, path in _left:
+        with suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                drop(spark, path)
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Drops all folders named inside when left, also on failure: for work whose results don't read them any more."""
@@ -59,3 +70,4 @@ def scratch() -> Iterator[None]:
         _open[:] = [x for x in _open if x is not made]
         for spark, path in made:
             drop(spark, path)
+        _left[:] = [x for x in _left if x not in made]

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import fields, is_dataclass
 from typing import Any, get_type_hints
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,51 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def lines_index(spark: SparkSession, path: str) -> DataFrame:
+    """file, lines, before: lines of each file that aren't blank, and those of the files before it in order of name.
+
+    One scan; a row for each file.  To be kept where slices of the same files are taken often.
+    """
+    x = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"))
+    counts = x.groupBy("file").agg(F.count("*").alias("lines"))
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("file", "lines", F.coalesce(F.sum("lines").over(ahead), F.lit(0)).alias("before"))
+
+
+def jsonl_slice(
+    spark: SparkSession, path: str, schema: str, offset: int, limit: int, index: DataFrame | None = None
+) -> DataFrame:
+    """``line`` and the record of lines offset .. offset + limit in file order (names, then lines; blank lines are none).
+
+    Only files that hold lines of the range are opened.  Of these, blocks that are within the range are counted, not moved;
+    lines are numbered within blocks.
+    """
+    found = (lines_index(spark, path) if index is None else index).where(
+        (F.col("before") < offset + limit) & (F.col("before") + F.col("lines") > offset)
+    ).collect()  # a row for each file of the range
+    if not found:
+        return spark.createDataFrame([], f"line long, {schema}")
+    before = spark.createDataFrame([(r.file, r.before) for r in found], "file string, start long")
+    block = F.col("_metadata.file_block_start").alias("block")
+    rows = spark.read.text([unquote(r.file) for r in found]).where("trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("file"), block, "value", F.monotonically_increasing_id().alias("row")
+    )
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n")).join(F.broadcast(before), "file")
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.withColumn("first", F.col("start") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    blocks = blocks.where((F.col("first") < offset + limit) & (F.col("first") + F.col("n") > offset))
+    mine = rows.join(blocks.select("file", "block", "first"), ["file", "block"])
+    # rows of a block come from one task, in order
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("row")) - 1
+    lines = mine.withColumn("line", F.col("first") + place).where(F.col("line").between(offset, offset + limit - 1))
+    return lines.select("line", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("line", "r.*")
+
+
+def jsonl_first(spark: SparkSession, path: str, schema: str, n: int, index: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` records in file order."""
+    return jsonl_slice(spark, path, schema, 0, n, index)
+
+
 def jsonl_keyed(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """One row for each key; of repeated keys the last in file order stays.
 

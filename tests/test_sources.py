@@ -123,7 +123,7 @@ def test_paired_identity(spark):
 
 def test_numbered_and_constant_correlation(spark):
     df = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
-    x = positions.numbered(df, "k", width=64).orderBy("k").collect()
+    x = positions.numbered(df, "k").orderBy("k").collect()
     assert [r.pos for r in x] == list(range(len(x))) and {r.total for r in x} == {len(x)}
     assert significance.spearman(spark.createDataFrame([(1, 1), (2, 1)], "a int, b int"), "a", "b").first().rho is None
     assert positions.quartile_ends(df, "k", ["k"]).groupBy("end").count().orderBy("end").collect()[0]["count"] == -(-len(x) // 4)
