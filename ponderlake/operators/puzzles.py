@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import logic, text
+from ..functions import logic, text, worlds
 
 PEOPLE = ("Alice", "Bob", "Carol")
 
@@ -45,6 +45,20 @@ def solution(solutions: Column) -> Column:
     return F.when(solutions != 0, text.pattern_of_index(first))
 
 
+def solved(puzzles: DataFrame) -> DataFrame:
+    """``puzzles`` of any number of people with ``steps`` (of each statement), ``n_solutions`` and ``pattern`` (of the first).
+
+    A puzzle's table has a 64-bit word for each 64 assignments and stays in its row.
+    """
+    n = F.size("people")
+    x = puzzles.withColumn("steps", F.transform("statements", lambda s: worlds.compiled(s["expr"], F.col("people"))))
+    speaker = lambda s: F.array_position(F.col("people"), s["speaker"]).cast("int") - 1
+    said = F.zip_with("statements", "steps", lambda s, t: F.struct(speaker(s).alias("speaker"), t.alias("steps")))
+    x = x.withColumn("__said", said).withColumn("__table", worlds.solutions(F.col("__said"), n))
+    x = x.withColumn("n_solutions", worlds.count(F.col("__table")))
+    return x.withColumn("pattern", worlds.pattern(worlds.first(F.col("__table")), n)).drop("__said", "__table")
+
+
 def assignments(spark, people: tuple[str, ...] = PEOPLE) -> DataFrame:
     """a (0 to 2^n - 1, all knights first), pattern and map: a table of fixed small size, to broadcast."""
     n = len(people)

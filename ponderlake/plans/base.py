@@ -180,3 +180,56 @@ def puzzle_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.struct(F.lit(s).alias("speaker"), expr(j).alias("expr")) for j, s in enumerate(("Alice", "Bob", "Carol"))]
     )
     return p.select("id", people.alias("people"), said.alias("statements"))
+
+
+#: Puzzles of three to six people, a statement for each: a plain one, or two joined by and / or.
+NAMES = ("Alice", "Bob", "Carol", "Dave", "Erin", "Frank")
+_CROWD = "o_orderkey * (7 + 4 * p) + o_custkey * (3 + 2 * p) + p"
+_PLAIN = {
+    "kind": "{0} % 3", "first": "{0} // 3 % n", "other": "({0} // 3 % n + 1 + {0} // 9 % (n - 1)) % n",
+    "knave": "{0} // 9 % 2", "neg": "{0} // 27 % 2"
+}
+CROWD_SQL = f"""cr AS (SELECT o_orderkey AS id, 3 + o_orderkey % 4 AS n, p, {_CROWD} AS x FROM orders, (SELECT unnest(range(6)) AS p) WHERE p < 3 + o_orderkey % 4),
+cs AS (SELECT id, n, p, x // 54 % 3 AS form, x, x * 31 + 17 AS y FROM cr),
+cw AS (SELECT *, unnest(range(CAST(1 << n AS BIGINT))) AS a FROM cs)"""
+
+
+def _crowd_truth(x: str) -> str:
+    v = {k: f"({f.format(x)})" for k, f in _PLAIN.items()}
+    knight = lambda j: f"((a >> CAST(n - 1 - {j} AS INT)) & 1 = 0)"
+    one, two = knight(v["first"]), knight(v["other"])
+    plain = f"CASE {v['kind']} WHEN 0 THEN {one} = ({v['knave']} = 0) WHEN 1 THEN {one} = {two} ELSE {one} <> {two} END"
+    return f"(({plain}) <> ({v['neg']} = 1))"
+
+
+#: Truth of a statement under an assignment, and whether its speaker is a knight under it.
+CROWD_TRUE = f"CASE form WHEN 0 THEN {_crowd_truth('x')} WHEN 1 THEN {_crowd_truth('x')} AND {_crowd_truth('y')} ELSE {_crowd_truth('x')} OR {_crowd_truth('y')} END"
+CROWD_KNIGHT = "((a >> CAST(n - 1 - p AS INT)) & 1 = 0)"
+
+
+def crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same puzzles: id, people, statements of (speaker, expr as JSON)."""
+    from ..functions import logic as L
+
+    n = (3 + F.col("o_orderkey") % 4).cast("int")
+    x = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderkey", "o_custkey", n.alias("n"))
+    x = x.withColumn("people", F.slice(F.array(*[F.lit(p) for p in NAMES]), F.lit(1), F.col("n")))
+    div = lambda a, b: F.floor(a / F.lit(b))
+
+    def plain(x):
+        n = F.col("n")
+        first = div(x, 3) % n
+        other = (first + 1 + div(x, 9) % (n - 1)) % n
+        name = lambda i: F.get(F.col("people"), i.cast("int"))
+        leaf = F.when(
+            x % 3 == 0, L.person_is(name(first), F.when(div(x, 9) % 2 == 0, "knight").otherwise("knave"))
+        ).when(x % 3 == 1, L.same(name(first), name(other))).otherwise(L.different(name(first), name(other)))
+        return F.when(div(x, 27) % 2 == 1, L.negate(leaf)).otherwise(leaf)
+
+    def said(p):
+        x = F.col("o_orderkey") * (7 + 4 * p) + F.col("o_custkey") * (3 + 2 * p) + p
+        one, two, form = plain(x), plain(x * 31 + 17), div(x, 54) % 3
+        expr = F.when(form == 0, one).when(form == 1, L.both(one, two)).otherwise(L.either(one, two))
+        return F.struct(F.get(F.col("people"), p).alias("speaker"), expr.alias("expr"))
+
+    return x.select("id", "people", F.transform(F.sequence(F.lit(0), F.col("n") - 1), said).alias("statements"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import logic, parsing, text
+from ..functions import logic, parsing, text, worlds
 from ..operators import audit, generation, positions, puzzles
-from .base import ASSIGN_SQL, KNIGHT, PRED_SQL, PUZZLE_SQL, TRUTH, label, predictions, puzzle_trees, puzzles as flat_puzzles
+from .base import ASSIGN_SQL, CROWD_KNIGHT, CROWD_SQL, CROWD_TRUE, KNIGHT, PRED_SQL, PUZZLE_SQL, TRUTH, crowds, label, predictions, puzzle_trees, puzzles as flat_puzzles
 from .registry import query, read
 
 R6 = lambda c: F.round(c, 6)
@@ -556,3 +556,24 @@ def join_positional(spark, d):
     o = positions.numbered(read(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("pos", "o_orderkey")
     c = positions.numbered(read(spark, d, "customer").select("c_custkey"), "c_custkey").select("pos", "c_custkey")
     return o.join(c, "pos")
+
+
+@query("puzzle_solve_people", f"""WITH {CROWD_SQL}, ok AS (SELECT id, n, a, bool_and(({CROWD_TRUE}) = {CROWD_KNIGHT}) AS ok FROM cw GROUP BY ALL),
+ so AS (SELECT id, CAST(n AS INT) AS n, CAST(count(*) FILTER (ok) AS INT) AS n_solutions, min(a) FILTER (ok) AS f FROM ok GROUP BY ALL)
+ SELECT id, n AS people, n_solutions, CASE WHEN f IS NOT NULL THEN array_to_string(list_transform(range(n), lambda j: CASE WHEN (f >> CAST(n - 1 - j AS INT)) & 1 = 0 THEN 'K' ELSE 'N' END), '') END AS pattern FROM so""")
+def puzzle_solve_people(spark, d):
+    """Puzzles of three to six people: how many assignments solve them, and the first."""
+    x = puzzles.solved(crowds(spark, d))
+    return x.select("id", F.size("people").alias("people"), "n_solutions", "pattern")
+
+
+@query(
+    "expr_eval_people",
+    f"WITH {CROWD_SQL} SELECT id, CAST(p AS INT) AS speaker, CAST(count(*) FILTER ({CROWD_TRUE}) AS INT) AS n_true FROM cw "
+    "GROUP BY ALL"
+)
+def expr_eval_people(spark, d):
+    """Each statement: under how many assignments it is true."""
+    x = crowds(spark, d).select("id", F.size("people").alias("n"), "people", F.posexplode("statements").alias("speaker", "s"))
+    x = x.withColumn("steps", worlds.compiled(F.col("s.expr"), F.col("people")))
+    return x.select("id", "speaker", worlds.count(worlds.truth_table(F.col("steps"), F.col("n"))).alias("n_true"))
