@@ -21,10 +21,10 @@ also carries what it has counted itself.  A bucket adds up and answers in the
 order asked.  A frequent word is one entry for each ``FLUSH`` bytes, so no key is
 hot; nothing is capped and every token of every text is counted.  The number of
 buckets follows the bytes of all texts (``PER_BUCKET``), so a bucket stays as
-large at any size.  A bucket is chosen by all 64 bits of an n-gram's hash; within
-it n-grams are told apart by 48, 56 or 64 of them (``key_bits``), sent as the
-differences of sorted values.  Requests and token numbers go through one shuffle,
-and only token numbers and answers are kept.
+large at any size.  A bucket is a range of hashes, and n-grams are told apart by
+all 64 bits at any size: sent are the differences of a flush's sorted hashes, whose
+size depends on the flush alone, not on the number of buckets.  Requests and token
+numbers go through one shuffle, and only token numbers and answers are kept.
 
 Defined results: null and empty texts have one token, the end; texts of any
 length are scored whole, one by one if longer than a flush; a null doc_id counts
@@ -50,8 +50,8 @@ from . import shared
 from .textops import U64, Block, blocks, mix, mix_int
 
 FLUSH = 6 << 20
-#: Bytes of text for each bucket, and the distinct n-grams (2 ** DISTINCT) that it has then at most.
-PER_BUCKET, DISTINCT = 5 << 20, 20
+#: Bytes of text for each bucket.
+PER_BUCKET = 5 << 20
 DEV, FOLDS = 1, 10
 STEP, FREQUENCIES = 8, 24
 _END, _BEGIN = U64(mix_int(0x656E64)), U64(mix_int(0x626567))
@@ -66,14 +66,14 @@ def fold(ids: pa.Array) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % FOLDS for x in ids.to_pylist()], np.int64)
 
 
-def key_bits(n_buckets: int) -> int:
-    """Bits that tell a bucket's n-grams apart, one of them for tokens from bigrams.
+def bucket_of(key: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Ranges of keys of equal size, in order."""
+    return (((key >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int64)
 
-    By the birthday bound, expected confusions of all buckets are below 1/64; with all 64 bits they are up to 1.3 TB of
-    text, and about one at 100 TB.
-    """
-    few = (b for b in (48, 56) if n_buckets * 2.0 ** (2 * DISTINCT - b) <= 1 / 64)
-    return next(few, 64)
+
+def first_key(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The least key of each bucket."""
+    return (((bucket.astype(U64) << U64(32)) + U64(n_buckets - 1)) // U64(n_buckets)) << U64(32)
 
 
 class Local:
@@ -93,10 +93,9 @@ class Local:
         )
         # the lowest bit tells tokens from bigrams
         asked = asked & ~U64(1) | (np.arange(len(asked)) < self.n).astype(U64)
-        bucket = ((mix(asked) >> U64(8)) % U64(n_buckets)).astype(np.int64)
-        asked &= U64((1 << key_bits(n_buckets)) - 1)
-        self.order = np.lexsort((asked, bucket))
-        self.asked, self.bucket = asked[self.order], bucket[self.order]
+        self.order = np.argsort(asked, kind="stable")
+        self.asked = asked[self.order]
+        self.bucket = bucket_of(self.asked, n_buckets)
 
     def counts(self, answered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts by token and by bigram from answers in the order asked."""
@@ -150,7 +149,7 @@ def _gather(n_buckets: int):
         heads = np.flatnonzero(np.append(True, local.bucket[1:] != local.bucket[:-1]))
         span = list(zip(heads.tolist(), np.append(heads[1:], len(local.bucket)).tolist(), strict=True))
         steps = np.diff(local.asked, prepend=U64(0))
-        steps[heads] = local.asked[heads]
+        steps[heads] = local.asked[heads] - first_key(local.bucket[heads], n_buckets)
         top = np.maximum.reduceat(steps, heads)
         width = (4 + sum((top >= U64(1 << bits)).astype(np.int64) for bits in (32, 40, 48, 56))).tolist()
         by = {w: np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :w]).tobytes() for w in set(width)}
@@ -195,7 +194,10 @@ def _gather(n_buckets: int):
 
 
 def _answer(p: pd.DataFrame) -> pd.DataFrame:
-    """Counts over all flushes, in the order of each request; and this bucket's tokens and types.  Rows that ask nothing pass."""
+    """Counts over all flushes, in the order of each request; and this bucket's tokens and types.  Rows that ask nothing pass.
+
+    Keys count from the bucket's first one.
+    """
     if p["bucket"].iat[0] < 0:
         return p
     sizes = np.frombuffer(b"".join(p["d"]), np.int64)
