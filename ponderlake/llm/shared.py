@@ -103,10 +103,14 @@ def buckets(spark: SparkSession, size: int, target: int) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // target))
 
 
+#: Buckets that Spark allows a table.  Beyond that many times a bucket's size, buckets grow.
+MOST_BUCKETS = 100_000
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str, n: int) -> Iterator[DataFrame]:
     """``df`` dealt once into ``n`` buckets by ``key`` in the shared folder: joins on ``key`` inside move only their other side."""
-    spark = df.sparkSession
+    spark, n = df.sparkSession, min(n, MOST_BUCKETS)
     name, path = f"ponderlake_{uuid.uuid4().hex}", f"{folder(spark)}/bucketed-{uuid.uuid4().hex}"
     try:
         out = df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd")

@@ -393,11 +393,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = shared.prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = shared.buckets(spark, shared.text_bytes(docs), PER_BUCKET)
-    with shared.scratch() as keep, shared.bucketed(docs, "doc_id", n) as dealt:
-        found = repeated(dealt.where("doc_id IS NOT NULL"), n, window)
+    # rows without id share nothing with others: they stay where they are
+    known, others = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    with shared.scratch() as keep, shared.bucketed(known, "doc_id", n) as dealt:
+        found = repeated(dealt, n, window)
         longest = shared.table(repeat_lengths(found, window), "longest")
         x = dealt.join(found.drop("hash"), "doc_id", "left").join(longest, "doc_id", "left")
         x = x.select("doc_id", "text", "at", "low", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+        nothing = [F.lit(None).cast("binary").alias(c) for c in ("at", "low")]
+        x = x.unionByName(others.select("doc_id", "text", *nothing, F.lit(0).cast("long").alias("longest")))
         schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long"
         return keep(shared.table(x.mapInArrow(_result(window), schema), "substrings"))
 

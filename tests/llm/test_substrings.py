@@ -77,3 +77,15 @@ def test_nothing_is_left_behind(spark, passages):
     substring_dedup.substring_dedup(spark.createDataFrame(passages, "doc_id long, text string")).count()
     assert {x.split("-")[0] for x in set(os.listdir(shared.folder(spark))) - before} == {"substrings"}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("ponderlake")]
+
+
+def test_more_buckets_than_spark_allows(spark, monkeypatch):
+    """Sizes beyond Spark's limit of buckets: larger buckets, no error; rows without id in any number stay where they are."""
+    monkeypatch.setattr(shared, "MOST_BUCKETS", 5)
+    df = spark.range(100).selectExpr("id AS doc_id", "repeat('some words ', 20) AS text")
+    with shared.bucketed(df, "doc_id", 100_001) as t:
+        assert t.count() == 100 and "bucketSpec" not in t.columns
+    nulls = spark.range(300).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "repeat('some words ', 20) AS text").repartition(7)
+    out = substring_dedup.substring_dedup(df.unionByName(nulls))
+    got = [(r.n_words, r.n_removed) for r in out.where("doc_id IS NULL").collect()]
+    assert got == [(40, 0)] * 300 and out.count() == 400
