@@ -9,8 +9,9 @@ text scores the largest probability of its windows.
 
 Training.  Labels are read only for rows whose ``crc32(doc_id as text) mod 3`` is
 not 1.  The number of labelled rows is bounded: of each class the ``PER_CLASS``
-documents with words that have the least ``md5(doc_id)``, whatever their length;
-all windows of their whole texts are learnt from.  The loss is that of a noisy or
+documents with words that have the least ``md5(doc_id)``, of these the first that
+have ``BYTES`` together; all windows of their whole texts are learnt from, in about
+``STEPS`` steps whatever their number.  The loss is that of a noisy or
 over a document's windows; gradients are worked out by hand (backpropagation
 through time) and followed by Adam from fixed seeds.  The model has a bounded
 size and travels to the executors with the function.  Nothing but the text
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -44,7 +45,10 @@ PER_CLASS = 1000
 WIDTH, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 8, 8, 8
 VOCABULARY, GRAM_BITS, GRAMS = 4000, 14, (3, 5)
-EPOCHS, BATCH, RATE = 6, 32, 0.012
+#: Steps of training, whatever the number of documents; documents of a step.
+STEPS, BATCH, RATE = 378, 32, 0.012
+#: Bytes of the texts of a class that are learnt from.
+BYTES = 32 << 20
 THRESHOLD, HELD_OUT, FOLDS = 0.7, 1, 3
 f32 = np.float32
 
@@ -233,7 +237,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 11) -> Network:
     weight = np.where(
         toxic == 1, len(toxic) / 2 / max(1, (toxic == 1).sum()), len(toxic) / 2 / max(1, (toxic == 0).sum())
     )
-    rounds = EPOCHS * max(1, min(8, 600 // max(1, len(texts))))
+    rounds = max(1, round(STEPS / max(1, -(-len(texts) // BATCH))))
     for epoch in range(rounds):
         r.shuffle(order)
         for i in range(0, len(order), BATCH):
@@ -293,7 +297,11 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     place = F.md5(F.col("doc_id").cast("string"))
     first = [known.where(F.col("toxic") == c).orderBy(place, "doc_id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(first[0].unionByName(first[1]))  # 2 * per_class rows at most
-    rows = worded.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    own = worded.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place", "doc_id"))
+    with shared.scratch():
+        own = shared.table(own.withColumn("place", F.md5(F.col("doc_id").cast("string"))), "sample")
+        rows = own.withColumn("upto", upto).where(F.col("upto") <= BYTES).select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: r["doc_id"])
     toxic = np.array([r["toxic"] for r in rows], np.int64)
     if rows and len(set(toxic.tolist())) < 2:
