@@ -13,7 +13,8 @@ within one document.
 
 Defined results: null and empty texts have no words and fail the base rules;
 texts of any length are measured whole in blocks; an empty table gives an empty
-ledger; rows repeat as in the input; columns besides id and text are ignored.
+ledger; rows repeat as in the input (ties don't occur: no row is chosen among
+others); columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -151,3 +152,17 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
 b AS (SELECT *, CAST({bits} AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {base} <> 0 AS base_failed, failed & {policy} = 0 AS kept, n_lines, failed FROM b
 """.replace("{bits}", " + ".join(f"CASE WHEN {rule} THEN {BITS[name]} ELSE 0 END" for name, rule in RULES)).replace("{base}", str(BASE)).replace("{policy}", str(POLICIES["v1"]))
+
+
+def _ablation_sql() -> str:
+    ledger = ORACLE.split("SELECT doc_id, n_words, word_chars")[0]
+    parts = [
+        f"SELECT '{p}' AS policy, '{name}' AS rule, count(*) FILTER (failed & {BITS[name]} <> 0) AS n_failed, "
+        f"count(*) FILTER (failed & {mask} = {BITS[name]}) AS n_only FROM b"
+        for p, mask in POLICIES.items() for name in BITS if BITS[name] & mask
+    ]
+    return ledger + " UNION ALL ".join(parts)
+
+
+#: For each policy and rule, from the same ledger: documents that fail it, and those that nothing else would remove.
+ABLATIONS = _ablation_sql()

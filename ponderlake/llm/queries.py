@@ -84,6 +84,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, and what it alone removes."""
+    led = quality_rules.ledger(_read(spark, sf_dir, "documents")).select("failed")
+    parts = [
+        quality_rules.ablations(led, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_only")
+        for p in quality_rules.POLICIES
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned_partitions.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -107,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
     "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_conversation_repair": op13_conversation_repair,
@@ -117,6 +128,7 @@ ORACLES: dict[str, str] = {
     "op7_near_dedup": near_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "quality_ablations": quality_rules.ABLATIONS,
     "op12_prefix_trie": conversation_trie.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }
