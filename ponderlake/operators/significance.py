@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,23 +84,6 @@ def interval(reps: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-CHUNK = 100
-
-
-def _per_rep(cells: DataFrame, reps: int, run: Callable[[dict, int], tuple], schema: str) -> DataFrame:
-    """A row of ``run`` for each rep; ``cells`` is one row, which each chunk of reps gets once."""
-    chunks = cells.sparkSession.range(0, -(-reps // CHUNK), 1, -(-reps // CHUNK)).withColumnRenamed("id", "chunk")
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.to_dict("records"):
-                first = row["chunk"] * CHUNK
-                yield pd.DataFrame([run(row, rep) for rep in range(first, min(first + CHUNK, reps))], columns=names)
-
-    return chunks.crossJoin(F.broadcast(cells)).mapInPandas(each, schema)
-
-
 def _binomial_quantile(n: int, p: float, u: np.ndarray) -> np.ndarray:
     """Least k whose binomial distribution function reaches u; what lies 12 deviations off is left out."""
     if n == 0 or p <= 0:
@@ -160,49 +143,3 @@ def bootstrap_levels(df: DataFrame, level: str, weights: dict[int, float], reps:
 def bootstrap_signs(df: DataFrame, value: str, reps: int, seed: int = 1) -> DataFrame:
     """The same for a column of -1, 0 and 1 (paired differences of two verdicts)."""
     return bootstrap_levels(df.select(F.signum(value).cast("int").alias("sign")), "sign", {1: 1.0, -1: -1.0}, reps, seed)
-
-
-def _information(t: np.ndarray) -> float:
-    """Mutual information (nats) of a table of counts."""
-    n, e = t.sum(), np.outer(t.sum(1), t.sum(0))
-    some = t > 0
-    return float((t[some] / n * np.log(t[some] * n / e[some])).sum())
-
-
-def permutation_test(df: DataFrame, x: str, y: str, reps: int, seed: int = 1) -> DataFrame:
-    """Mutual information (nats) of x and y, and of x and y shuffled: observed, null mean, deviation, 95th percentile, p.
-
-    A shuffle of y matters by its table of counts alone: row by row, the counts of y are drawn without replacement
-    from those that the rows before left (multivariate hypergeometric).  Rep 0 is the table as it is.
-    """
-    c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
-    c = c.select(
-        F.dense_rank().over(Window.orderBy("x")).alias("i"), F.dense_rank().over(Window.orderBy("y")).alias("j"), "n"
-    )
-    c = c.agg(
-        F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("c")
-    ).select("c.i", "c.j", "c.n").where(F.size("n") > 0)
-
-    def run(row: dict, rep: int) -> tuple:
-        i, j, n = (np.asarray(row[k], np.int64) for k in "ijn")
-        t = np.zeros((i.max(), j.max()), np.int64)
-        t[i - 1, j - 1] = n
-        if rep:
-            rng, left, per = np.random.default_rng([seed, rep]), t.sum(0), t.sum(1)
-            for k, m in enumerate(per):
-                t[k] = rng.multivariate_hypergeometric(left, m, method="marginals")
-                left = left - t[k]
-        return (rep, _information(t))
-
-    mi = _per_rep(c, reps + 1, run, "rep bigint, mi double")
-    null, seen = F.when(F.col("rep") > 0, F.col("mi")), F.max(F.when(F.col("rep") == 0, F.col("mi")))
-    g = mi.agg(
-        seen.alias("observed"), F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.expr(
-            "percentile(CASE WHEN rep > 0 THEN mi END, 0.95D)"
-        ).alias("null_p95"), F.max(null).alias("null_max"),
-        F.collect_list(null).alias("all"),
-    ).where("observed IS NOT NULL")
-    over = F.size(F.filter("all", lambda v: v >= F.col("observed") - 1e-12))
-    return g.select(
-        "observed", "null_mean", "null_std", "null_p95", "null_max", ((over + 1) / F.lit(reps + 1)).alias("p")
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import statistics as S
-from ..operators import audit, bootstrap, infotheory, significance, tables
+from ..operators import audit, bootstrap, infotheory, permutation, significance, tables
 from .base import LONG_SQL, PRED_SQL, predictions
 from .registry import query, read
 
@@ -526,4 +526,28 @@ def bootstrap_region(spark, d):
 
 @query("permutation_test")
 def permutation_test(spark, d):
-    return significance.permutation_test(predictions(spark, d), "source", "gold", SHUFFLES)
+    return permutation.permutation_test(predictions(spark, d), "source", "gold", SHUFFLES)
+
+
+_LOG_WAYS = (
+    "lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(j + 1) - "
+    "lgamma(a - j + 1) - lgamma(b - j + 1) - lgamma(n - a - b + j + 1)"
+)
+
+
+@query(
+    "permutation_expected",
+    f"{WITH}, xs AS (SELECT source AS x, count(*) AS a FROM pred GROUP BY 1), ys AS (SELECT gold AS y, count(*) AS b FROM "
+    f"pred GROUP BY 1), t AS (SELECT count(*) AS n FROM pred), c AS (SELECT source AS x, gold AS y, count(*) AS k FROM pred "
+    f"GROUP BY ALL), o AS (SELECT sum(k / n::DOUBLE * ln(k * n::DOUBLE / (a * b))) AS observed FROM c JOIN xs USING (x) JOIN "
+    f"ys USING (y), t), j AS (SELECT a, b, n, unnest(range(greatest(1, a + b - n), least(a, b) + 1)) AS j FROM xs, ys, t), e "
+    f"AS (SELECT sum(exp({_LOG_WAYS}) * j / n::DOUBLE * ln(j * n::DOUBLE / (a * b))) AS expected FROM j) "
+    "SELECT round(observed, 6) AS observed, round(expected, 6) AS expected, true AS agrees FROM o, e"
+)
+def permutation_expected(spark, d):
+    """Observed value, the mean over all shuffles in closed form, and whether the shuffles' mean is within 5 standard errors."""
+    cells = permutation.cells_of(predictions(spark, d), "source", "gold")
+    null = permutation.shuffled(cells, SHUFFLES).agg(F.avg("mi").alias("m"), F.stddev_samp("mi").alias("s"))
+    x = permutation.observed(cells).crossJoin(permutation.expected(cells)).crossJoin(null)  # one row each
+    near = F.abs(F.col("m") - F.col("expected")) <= 5 * F.col("s") / SHUFFLES**0.5 + 1e-12
+    return x.select(R6("mi").alias("observed"), R6("expected").alias("expected"), near.alias("agrees"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import pattern_decode
-from ..operators import audit
+from ..operators import audit, seen
 from ..sources import exchange, readers, sinks
 from ..streaming import logs
 from .base import LONG_SQL, PRED_SQL, ROLL_SQL, SCORE_SQL, predictions, rollouts, scores
@@ -395,3 +395,19 @@ def sort_ids(spark, d):
     x = read(spark, d, "supplier").select(F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("name"))
     x = x.withColumn("n", F.regexp_extract("name", r"(\d+)$", 1).cast("bigint"))
     return numbered(x, "n", "at").select("name", "at")
+
+
+@query(
+    "seen_keys_splits",
+    "SELECT CAST(o_orderkey % 3 AS INT) AS split, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY "
+    "o_custkey ORDER BY o_orderkey % 3, o_orderkey) AS n FROM orders) WHERE n = 1"
+)
+def seen_keys_splits(spark, d):
+    """Three splits one after another, each without the customers that earlier ones had: by the index of their keys."""
+    index = seen.KeyIndex(spark, exchange.folder(spark, "seen"))
+    o, out = read(spark, d, "orders").select("o_orderkey", "o_custkey"), None
+    for k in range(3):
+        kept = index.split(o.where(F.col("o_orderkey") % 3 == k), F.col("o_custkey"), ["o_orderkey"])
+        kept = kept.select(F.lit(k).alias("split"), "o_orderkey")
+        out = kept if out is None else out.unionByName(kept)
+    return out

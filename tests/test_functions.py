@@ -248,26 +248,6 @@ def test_resampling_counts(spark):
     assert p >= 1 - 1e-9 and abs(p - round(p)) < 1e-6
 
 
-def test_permutation_by_counts(spark):
-    """Shuffled tables of counts against shuffled columns in numpy."""
-    import numpy as np
-
-    from ponderlake.operators import significance as G
-
-    r = np.random.default_rng(3)
-    a, b = r.integers(0, 3, 200), r.integers(0, 4, 200)
-    one = G.permutation_test(spark.createDataFrame([(int(i), int(j)) for i, j in zip(a, b)], "a int, b int"), "a", "b", 1000).collect()[0]
-
-    def mi(b):
-        t = np.zeros((3, 4), int)
-        np.add.at(t, (a, b), 1)
-        return G._information(t)
-
-    null = [mi(r.permutation(b)) for _ in range(1000)]
-    assert abs(one.observed - mi(b)) < 1e-12 and abs(one.null_mean - np.mean(null)) < 6 * np.std(null) / 1000**0.5 and abs(one.null_std - np.std(null)) < 0.15 * np.std(null)
-    assert abs(one.p - (1 + sum(m >= mi(b) for m in null)) / 1001) < 0.08
-
-
 def test_binomial_quantiles():
     """The inverse of the distribution function, summed term by term."""
     for n, p in ((1, 0.3), (7, 0.5), (40, 0.02), (400, 0.11), (400, 0.97)):
