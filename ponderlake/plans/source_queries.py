@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import pattern_decode
 from ..operators import audit, seen
 from ..sources import exchange, readers, sinks
-from ..streaming import logs
+from ..streaming import logs, paired
 from .base import LONG_SQL, PRED_SQL, ROLL_SQL, SCORE_SQL, predictions, rollouts, scores
 from .registry import query, read
 from .text_queries import people
@@ -411,3 +411,31 @@ def seen_keys_splits(spark, d):
         kept = kept.select(F.lit(k).alias("split"), "o_orderkey")
         out = kept if out is None else out.unionByName(kept)
     return out
+
+
+@query(
+    "paired_step_log",
+    "WITH r AS (SELECT CAST(event_id % 4 AS INT) AS run, event_id // 4 % 97 AS step, CASE WHEN event_id % 3 = 0 THEN 'log' ELSE "
+    "'stats' END AS kind, event_id FROM events), p AS (SELECT run, step, min(event_id) FILTER (kind = 'log') AS log, "
+    "min(event_id) FILTER (kind = 'stats') AS stats FROM r GROUP BY ALL) SELECT 'r' || run AS run, step, log, stats FROM p "
+    "WHERE log IS NOT NULL AND stats IS NOT NULL"
+)
+def paired_step_log(spark, d):
+    """Steps' log entries and statistics, out of order in one stream: the first of each half, paired by a stateful processor."""
+    e = read(spark, d, "events")
+    step, kind = F.floor(F.col("event_id") / 4) % 97, F.when(F.col("event_id") % 3 == 0, "log").otherwise("stats")
+    rows = e.groupBy(F.concat(F.lit("r"), F.col("event_id") % 4).alias("run"), step.alias("step"), kind.alias("kind")).agg(
+        F.lpad(F.min("event_id").cast("string"), 12, "0").alias("body")
+    )
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step")).alias("at")
+    arrived, out, state = (exchange.folder(spark, n) for n in ("arriving", "pairs", "pairing"))
+    sinks.jsonl(rows.select("run", "step", at, "kind", "body"), arrived)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    paired.rocksdb_state(spark)
+    try:
+        pairs = paired.paired(logs.stream_jsonl(spark, arrived, paired.ROWS), "1 day")
+        logs.append_to(pairs, out, state).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    x = spark.read.schema(paired.PAIRS).json(out)
+    return x.select("run", "step", F.col("log").cast("long"), F.col("stats").cast("long"))
