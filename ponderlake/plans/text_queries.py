@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import logic, parsing, text, worlds
-from ..operators import audit, generation, positions, puzzles
+from ..operators import audit, generation, positions, puzzles, replay
 from .base import ASSIGN_SQL, CROWD_KNIGHT, CROWD_SQL, CROWD_TRUE, KNIGHT, PRED_SQL, PUZZLE_SQL, TRUTH, crowds, label, predictions, puzzle_trees, puzzles as flat_puzzles
 from .registry import query, read
 
@@ -409,6 +409,43 @@ def gen_split_dedup(spark, d):
     return puzzles.split_ids(g.select("seed", "key", "pattern"), "key", "seed", 40, "split")
 
 
+# puzzles replayed from seeds: draws of a Mersenne Twister, which SQL has no words for
+
+
+def _trees():
+    joined = lambda f: F.md5(F.array_join(F.transform("statements", lambda s: s[f]), ""))
+    return [joined("expr").alias("trees"), joined("text").alias("texts")]
+
+
+@query("replay_statement_first")
+def replay_statement_first(spark, d):
+    """The puzzle of each order's key, statements drawn first."""
+    return replay.puzzles(read(spark, d, "orders").select(F.col("o_orderkey").alias("seed"))).select("seed", "pattern", "attempts", *_trees())
+
+
+@query("replay_label_first")
+def replay_label_first(spark, d):
+    """The puzzle of each customer's key, answer drawn first."""
+    return replay.puzzles(read(spark, d, "customer").select(F.col("c_custkey").alias("seed")), "label").select("seed", "pattern", "attempts", *_trees())
+
+
+@query("replay_splits")
+def replay_splits(spark, d):
+    """Three splits without a common puzzle, as large as there are orders of each status."""
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    sizes = read(spark, d, "orders").groupBy(status.alias("split")).agg(F.count("*").alias("size"))
+    wanted = sizes.select("split", text.split_seed(F.lit(20260829).cast("bigint"), F.col("split")).alias("seed"), "size")
+    return replay.splits(wanted).drop("statements")
+
+
+@query("replay_balanced")
+def replay_balanced(spark, d):
+    """For each supplier a set with one puzzle of each label."""
+    split = F.col("s_suppkey").cast("bigint")
+    seed = text.split_seed(F.lit(20260827).cast("bigint"), split).alias("seed")
+    return replay.balanced(read(spark, d, "supplier").select(split.alias("split"), seed)).select("split", "n", "pos", "seed", "pattern", "attempts", *_trees())
+
+
 # splits of documents: by id, keys are digests of the trimmed lower-case text
 
 _SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
