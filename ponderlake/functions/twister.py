@@ -1,7 +1,7 @@
 """Mersenne Twisters of many seeds at once, after Matsumoto and Nishimura (1998): the draws of Python's ``random`` by seed.
 
-A column of the state belongs to a seed.  Draws name the columns they are for, so seeds whose draws part ways (rejections, other
-branches) stay in one array; a column is twisted when its 624 words are used up.
+A column of the state belongs to a seed.  Draws name the places they are for, so seeds whose draws part ways (rejections, other
+branches) stay in one array; a column is twisted when its 624 words are used up, and a place takes a new seed at any time.
 """
 
 from __future__ import annotations
@@ -67,23 +67,29 @@ def _tempered(y: np.ndarray) -> np.ndarray:
 
 
 class Twisters:
-    """A generator for each seed; a negative seed is taken as its absolute value, as Python takes it."""
+    """A generator for each place of a row of places; a negative seed is taken as its absolute value, as Python takes it."""
 
-    def __init__(self, seeds: np.ndarray):
-        self.state = _seeded(np.abs(seeds.astype(np.int64)).astype(np.uint64))
-        self.at = np.full(len(seeds), N)
+    def __init__(self, width: int):
+        self.state = np.zeros((N, width), dtype=_U)
+        self.ready = np.zeros((width, N), dtype=_U)
+        self.at = np.full(width, N)
+
+    def seed(self, who: np.ndarray, seeds: np.ndarray) -> None:
+        self.state[:, who] = _seeded(np.abs(seeds.astype(np.int64)).astype(np.uint64))
+        self.at[who] = N
 
     def words(self, who: np.ndarray) -> np.ndarray:
-        """The next word of each column named; a column is named once."""
-        used = who[self.at[who] == N]
+        """The next word of each place named; a place is named once."""
+        at = self.at[who]
+        used = who[at == N]
         if len(used):
             fresh = self.state[:, used]
             _twist(fresh)
             self.state[:, used] = fresh
-            self.at[used] = 0
-        out = _tempered(self.state[self.at[who], who])
-        self.at[who] += 1
-        return out
+            self.ready[used] = _tempered(fresh).T
+            at = np.where(at == N, 0, at)
+        self.at[who] = at + 1
+        return self.ready[who, at]
 
     def unit(self, who: np.ndarray) -> np.ndarray:
         """Numbers of [0, 1) with 53 bits."""
@@ -102,11 +108,13 @@ class Twisters:
 
 def longs(seed: int):
     """Arrays of the numbers below 2^63 that follow from a seed, without end: two words each, again where they don't fit."""
-    mt, over = _seeded(np.array([abs(seed)], dtype=np.uint64)), np.zeros(0, dtype=np.uint64)
+    mt, blocks = _seeded(np.array([abs(seed)], dtype=np.uint64)), 1
     while True:
-        _twist(mt)
-        words = np.concatenate([over, _tempered(mt[:, 0]).astype(np.uint64)])
-        pairs = len(words) // 2
-        x = words[: 2 * pairs : 2] | (words[1 : 2 * pairs : 2] << np.uint64(32))
-        over = words[2 * pairs :]
+        words = []
+        for _ in range(blocks):
+            _twist(mt)
+            words.append(_tempered(mt[:, 0]).astype(np.uint64))
+        x = np.concatenate(words)  # an even number of words
+        x = x[::2] | (x[1::2] << np.uint64(32))
         yield x[x < np.uint64(1 << 63)].astype(np.int64)
+        blocks = min(2 * blocks, 128)

@@ -1,9 +1,8 @@
 """Puzzles replayed from their seeds: the same draws in the same order as a Mersenne Twister gives them, so that stored seeds of
 earlier data sets yield their puzzles again.  ``generation`` draws by digests instead, which any engine follows.
 
-A block of seeds is drawn in lockstep in numpy: trees are arrays over (seed, place in the tree), truth tables 64-bit words over
-assignments; only rows that are still without a puzzle draw on.  Seeds are spread over tasks by their hash, and a task holds one
-block at a time.  The seeds of a split follow from one stream, which has no shortcut: one task a split writes it, 8 bytes a puzzle.
+Some thousand seeds are drawn in lockstep in numpy: trees are arrays over (seed, place in the tree), truth tables 64-bit words
+over assignments; a seed whose puzzle is found makes room for the next.  Seeds are spread over tasks by their hash.  The seeds of a split follow from one stream, which has no shortcut: one task a split writes it, 8 bytes a puzzle.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ LEAVES, INNER, TYPES = ("person_is", "same", "different"), ("not", "and", "or"),
 STOP = 0.60
 REDRAWS = 500
 _NONE, _IS, _SAME, _DIFFERENT, _NOT, _AND, _OR = range(-1, 6)
-#: Words of truth tables that a block of seeds may hold for one node of a tree.
+#: Words of truth tables that the seeds drawn at once may hold for one node of a tree.
 _BLOCK = 4096
 
 
@@ -133,55 +132,80 @@ class _World:
         return (word >> (case & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _statement_first(w: _World, t: Twisters, who: np.ndarray) -> list[np.ndarray]:
-    return [w.draw(t, who) for _ in w.people]
+KINDS = ("statement", "label")
 
 
-def _label_first(w: _World, t: Twisters, who: np.ndarray) -> list[np.ndarray]:
-    case = np.zeros(len(who), dtype=np.int64)
-    for _ in w.people:
-        case = 2 * case + t.below(len(TYPES), who)
-    out = []
-    for p in range(len(w.people)):
-        honest = w.holds(np.broadcast_to(w.knights[p], (len(who), w.knights.shape[1])), case)
-        trees, left = w.draw(t, who), np.arange(len(who))
-        for redraw in range(REDRAWS + 1):
-            left = left[w.holds(w.truth(trees[left]), case[left]) != honest[left]]
-            if not len(left):
-                break
-            if redraw == REDRAWS - 1:
-                raise ValueError(f"no statement agrees with the answer in {REDRAWS} draws")
-            trees[left] = w.draw(t, who[left])
-        out.append(trees)
-    return out
-
-
-KINDS = {"statement": _statement_first, "label": _label_first}
+def _puzzles(w: _World, batches: Iterator[np.ndarray], kind: str, attempts: int, width: int) -> Iterator[dict]:
+    """Columns of the puzzles of arrays of seeds, some thousands at a time.
 
-
-def _puzzles(w: _World, seeds: np.ndarray, kind: str, attempts: int) -> Iterator[dict]:
-    """Columns of the puzzles of a block of seeds, as they are found."""
-    t, who = Twisters(seeds), np.arange(len(seeds))
-    for attempt in range(1, attempts + 1):
+    ``width`` seeds are drawn for at once, in each step one statement for each, of the speaker whose turn it is there: a
+    seed whose puzzle is found leaves, and once half the places are free the next seeds take them.
+    """
+    n, places = len(w.people), len(w.levels)
+    t, seed = Twisters(width), np.zeros(width, dtype=np.int64)
+    attempt, speaker, tries, case = (np.zeros(width, dtype=np.int64) for _ in range(4))
+    trees, left = np.zeros((width, n, places, 3), dtype=np.int8), np.full((width, w.knights.shape[1]), w.valid)
+    busy = np.zeros(width, dtype=bool)
+    waiting, more, out, rows = np.zeros(0, dtype=np.int64), True, [], 0
+    while True:
+        while more and len(waiting) < width and 2 * busy.sum() <= width:
+            batch = next(batches, None)
+            more = batch is not None
+            waiting = np.concatenate([waiting, batch]) if more else waiting
+        if len(waiting) and 2 * busy.sum() <= width:
+            who = np.flatnonzero(~busy)[: len(waiting)]
+            seed[who], waiting = waiting[: len(who)], waiting[len(who) :]
+            t.seed(who, seed[who])
+            busy[who], attempt[who], speaker[who], tries[who], left[who] = True, 1, 0, 0, w.valid
+        who = np.flatnonzero(busy)
         if not len(who):
-            return
-        trees = KINDS[kind](w, t, who)
-        table = np.full((len(who), w.knights.shape[1]), w.valid)
-        for p, x in enumerate(trees):
-            table &= ~(w.truth(x) ^ w.knights[p])
-        one = np.bitwise_count(table).sum(axis=1) == 1
-        if one.any():
-            found = table[one]
-            word = (found != 0).argmax(axis=1)
-            case = 64 * word + np.log2(found[np.arange(len(found)), word].astype(np.float64)).astype(np.int64)
-            marks = [["KN"[c >> len(w.people) - 1 - p & 1] for p in range(len(w.people))] for c in case.tolist()]
-            row = {"seed": seeds[who[one]], "pattern": ["".join(m) for m in marks], "attempts": np.full(len(found), attempt)}
-            for p, x in enumerate(trees):
-                row[f"expr_{p}"], row[f"said_{p}"] = w.texts(x[one])
-            yield row
-        who = who[~one]
-    if len(who):
-        raise ValueError(f"{len(who)} seeds have no uniquely solvable puzzle in {attempts} attempts, as {seeds[who[0]]}")
+            break
+        if kind == "label":
+            new = who[(speaker[who] == 0) & (tries[who] == 0)]
+            case[new] = 0
+            for _ in w.people:
+                case[new] = 2 * case[new] + t.below(len(TYPES), new)
+        x = w.draw(t, who)
+        table, knights = w.truth(x), w.knights[speaker[who]]
+        fits = np.ones(len(who), dtype=bool)
+        if kind == "label":
+            fits = w.holds(table, case[who]) == w.holds(knights, case[who])
+            tries[who] = np.where(fits, 0, tries[who] + 1)
+            if (tries[who] >= REDRAWS).any():
+                raise ValueError(f"no statement agrees with the answer in {REDRAWS} draws")
+        at = who[fits]
+        trees[at, speaker[at]] = x[fits]
+        left[at] &= ~(table ^ knights)[fits]
+        speaker[at] += 1
+        done = at[speaker[at] == n]
+        one = np.bitwise_count(left[done]).sum(axis=1) == 1
+        found, again = done[one], done[~one]
+        if (attempt[again] >= attempts).any():
+            first = seed[again[attempt[again] >= attempts][0]]
+            raise ValueError(f"no uniquely solvable puzzle in {attempts} attempts for seed {first}")
+        attempt[again] += 1
+        speaker[again], left[again] = 0, w.valid
+        busy[found] = False
+        if len(found):
+            out.append((seed[found], attempt[found], left[found], trees[found]))
+            rows += len(found)
+        if rows >= width:
+            yield _written(w, out)
+            out, rows = [], 0
+    if out:
+        yield _written(w, out)
+
+
+def _written(w: _World, found: list[tuple]) -> dict:
+    seeds, attempt, left, trees = (np.concatenate(x) for x in zip(*found, strict=True))
+    word = (left != 0).argmax(axis=1)
+    case = 64 * word + np.log2(left[np.arange(len(left)), word].astype(np.float64)).astype(np.int64)
+    n = len(w.people)
+    marks = ["".join("KN"[c >> n - 1 - p & 1] for p in range(n)) for c in case.tolist()]
+    row = {"seed": seeds, "pattern": marks, "attempts": attempt}
+    for p in range(n):
+        row[f"expr_{p}"], row[f"said_{p}"] = w.texts(trees[:, p])
+    return row
 
 
 def puzzles(
@@ -199,27 +223,21 @@ def puzzles(
         raise ValueError("2 to 16 people with different names")
     n = len(people)
     block = max(1, _BLOCK >> max(0, n - 6))
-    texts = ", ".join(f"expr_{p} string, said_{p} string" for p in range(n))
+    texts = [f"{f}_{p}" for p in range(n) for f in ("expr", "said")]
+    names_of = ["seed", "pattern", "attempts", *texts]
+    kinds_of = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * len(texts)]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _World(people, depth)
-        for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(x), block):
-                for row in _puzzles(w, x[at : at + block], kind, attempts):
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "seed": pa.array(row.pop("seed"), pa.int64()),
-                            "pattern": pa.array(row.pop("pattern"), pa.string()),
-                            "attempts": pa.array(row.pop("attempts"), pa.int32()),
-                            **{c: pa.array(v, pa.string()) for c, v in row.items()},
-                        }
-                    )
+        arrays = (b.column(0).to_numpy(zero_copy_only=False) for b in batches)
+        for row in _puzzles(w, arrays, kind, attempts, block):
+            columns = [pa.array(row[f], kind_of) for f, kind_of in zip(names_of, kinds_of, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names_of)
 
     tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = seeds.select(F.col("seed").cast("long").alias("seed")).where("seed IS NOT NULL")
     drawn = rows.repartition(tasks, "seed").dropDuplicates().mapInArrow(
-        draw, f"seed long, pattern string, attempts int, {texts}"
+        draw, "seed long, pattern string, attempts int, " + ", ".join(f"{c} string" for c in texts)
     )
     said = [
         F.struct(

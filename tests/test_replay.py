@@ -51,7 +51,8 @@ LABELS = ["".join(x) for x in itertools.product("KN", repeat=3)]
 def test_draws_are_pythons():
     r = random.Random(5)
     seeds = [0, 1, -7, 2**32 - 1, 2**32, 2**63 - 1, *[r.randrange(2**63) for _ in range(40)]]
-    ours, pythons = Twisters(np.array(seeds)), [random.Random(s) for s in seeds]
+    ours, pythons = Twisters(len(seeds)), [random.Random(s) for s in seeds]
+    ours.seed(np.arange(len(seeds)), np.array(seeds))
     for k in range(900):
         who = np.array([i for i in range(len(seeds)) if (k * 7 + i * 3) % 5])
         n = (2, 3, 5, 16, 1, 1000)[k % 6]
@@ -59,6 +60,8 @@ def test_draws_are_pythons():
             assert ours.below(n, who).tolist() == [pythons[i].choice(range(n)) for i in who]
         else:
             assert ours.unit(who).tolist() == [pythons[i].random() for i in who]
+    ours.seed(np.array([3, 5]), np.array([11, 12]))
+    assert ours.unit(np.array([3, 4, 5])).tolist() == [random.Random(11).random(), pythons[4].random(), random.Random(12).random()]
     none = np.zeros(0, dtype=int)
     assert len(ours.below(3, none)) == len(ours.unit(none)) == 0
 
@@ -67,7 +70,7 @@ def test_draws_are_pythons():
 def test_stream_of_seeds(seed):
     g, r = longs(seed), random.Random(seed)
     x = np.concatenate([next(g) for _ in range(6)]).tolist()
-    assert len(x) > 700 and x == [r.randrange(0, 2**63) for _ in x]
+    assert len(x) > 8000 and x == [r.randrange(0, 2**63) for _ in x]
 
 
 def test_stored_puzzles(spark):
@@ -119,6 +122,6 @@ def test_refused(spark):
     for kind, names in (("other", replay.PEOPLE), ("label", ("a",)), ("label", ("a", "a"))):
         with pytest.raises(ValueError):
             replay.puzzles(seeds, kind, names)
-    with pytest.raises(Exception, match="no uniquely solvable puzzle in 1 attempts"):
+    with pytest.raises(Exception, match="no uniquely solvable puzzle in 1 attempts for seed"):
         replay.puzzles(seeds, attempts=1).collect()
     assert replay.puzzles(seeds.limit(0)).count() == 0
