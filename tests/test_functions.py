@@ -195,6 +195,18 @@ def test_seeds_without_a_puzzle_are_an_error(spark):
         generation.generate(spark.range(60).withColumnRenamed("id", "seed"), attempts=1)
 
 
+@pytest.mark.parametrize("kind", ["statement", "label"])
+def test_generation_is_dealt_to_all_tasks(spark, kind):
+    """A page of seeds isn't one task's work, and a place that no parent takes isn't drawn."""
+    seeds = spark.range(400).withColumnRenamed("id", "seed")
+    assert generation.spread(seeds.coalesce(1)).select(F.spark_partition_id()).distinct().count() == 4
+    assert generation.generate(seeds, kind).select("seed").distinct().count() == 400
+    plan = generation._needed(generation.tags("seed")[:1], 1, ("mask",))
+    assert [x.rsplit(" ", 1)[1] for x in plan[0]] == ["op_0_r"]
+    assert all("CASE WHEN op_0_r >= " in x for x in plan[1] if "_ra" in x.rsplit(" ", 1)[1] or "_rb" in x.rsplit(" ", 1)[1])
+
+
+
 def test_texts(spark):
     p = puzzle(spark, tree("person_is", "Bob", "knight"), tree("different", "Alice", "Carol"), tree("person_is", "Alice", "knight"))
     c = puzzles.compiled(p).first()
