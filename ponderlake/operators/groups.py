@@ -67,12 +67,16 @@ def advantage(
     elif mode == "sample":
         out = (r - mean) / (samp + F.lit(eps if eps is not None else 1e-4))
     elif mode == "noeps":
-        out = F.when(samp <= ZERO, F.lit(0.0)).otherwise(F.try_divide(r - mean, samp))
+        out = _noeps(r, mean, samp)
     else:
         raise ValueError(f"unknown advantage mode {mode!r}")
     return rollouts.withColumn(name, out)
 
 
+def _noeps(r: Column, mean: Column, samp: Column) -> Column:
+    return F.when(samp <= ZERO, F.lit(0.0)).otherwise(F.try_divide(r - mean, samp))
+
+
 def rescue(
     rollouts: DataFrame, group: str = "id", exact: str = "reward", shaped: str = "shaped", min_advantage: float = 1e-3
 ) -> DataFrame:
@@ -116,15 +120,24 @@ def partition_advantages(
 ) -> DataFrame:
     """Each member under each way to split its group: ``partition``, a16 (whole-group advantage) and a8 (its half's).
 
-    Groups of under ``least`` give no row: a half of one member has no deviation.
+    Groups of under ``least`` give no row: a half of one member has no deviation.  Members are numbered from 0.
+
+    Halves are aggregated by condition over the group's own window: rows are put in order once, before they are multiplied.
     """
-    whole = rollouts.select(group, member, reward).withColumn("size", F.count("*").over(Window.partitionBy(group)))
+    w = Window.partitionBy(group)
+    whole = rollouts.select(group, member, reward).withColumn("size", F.count("*").over(w))
     whole = advantage(whole.where(F.col("size") >= least), "noeps", (group,), reward, name="a16")
-    ways = [
-        F.struct(F.lit(n).alias("partition"), h.alias("half")) for n, h in halves(F.col(member), F.col("size")).items()
-    ]
-    x = whole.select("*", F.explode(F.array(*ways)).alias("way")).select(group, member, reward, "a16", "way.*")
-    return advantage(x, "noeps", (group, "partition", "half"), reward, name="a8")
+    ways, columns, r = [], {}, F.col(reward)
+    for n, half in halves(F.col(member), F.col("size")).items():
+        for side in (0, 1):
+            own = F.when(half == side, r)
+            columns[f"__{n}_{side}"] = F.struct(
+                F.avg(own).over(w).alias("mean"), F.coalesce(F.stddev_samp(own).over(w), F.lit(0.0)).alias("dev")
+            )
+        of = lambda f, n=n, half=half: F.when(half == 0, F.col(f"__{n}_0.{f}")).otherwise(F.col(f"__{n}_1.{f}"))
+        ways.append(F.struct(F.lit(n).alias("partition"), half.alias("half"), _noeps(r, of("mean"), of("dev")).alias("a8")))
+    x = whole.withColumns(columns).select("*", F.explode(F.array(*ways)).alias("way"))
+    return x.select(group, member, reward, "a16", "way.*")
 
 
 def partition_counterfactual(

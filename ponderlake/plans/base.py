@@ -42,8 +42,10 @@ ROLL_SQL = f"""roll AS (SELECT {_ROLL_COLS} FROM (SELECT l_orderkey AS id, l_ord
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is named after members are numbered: a group that is read by ``id`` is where it was numbered."""
     read(spark, sf_dir, "lineitem").createOrReplaceTempView("__lineitem")
-    return spark.sql("WITH " + ROLL_SQL.replace("FROM lineitem", "FROM __lineitem") + " SELECT * FROM roll")
+    named = ROLL_SQL.replace("SELECT id, k", "SELECT l_orderkey AS id, k").replace("SELECT l_orderkey AS id, l_orderkey", "SELECT l_orderkey, l_orderkey")
+    return spark.sql("WITH " + named.replace("FROM lineitem", "FROM __lineitem") + " SELECT * FROM roll")
 
 
 def plain_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:

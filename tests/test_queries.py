@@ -29,3 +29,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["partition_counterfactual", "agg_partition_summary", "cosine"])
+def test_halves_are_sorted_once(spark, name):
+    """Members are put in order once, before they are multiplied by the ways to halve a group."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(id" not in plan
