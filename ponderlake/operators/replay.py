@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import PATTERNS
-from ..functions.twister import Twisters, longs
+from ..functions.twister import Twisters, first_longs, longs
 from ..sources import exchange
 from .positions import numbered
 from .puzzles import PEOPLE
@@ -30,6 +30,8 @@ REDRAWS = 500
 _NONE, _IS, _SAME, _DIFFERENT, _NOT, _AND, _OR = range(-1, 6)
 #: Words of truth tables that the seeds drawn at once may hold for one node of a tree.
 _BLOCK = 4096
+#: Streams of at most so many seeds are written together, so many at a time.
+_SHORT, _TOGETHER = 4096, 256
 
 
 class _World:
@@ -135,18 +137,18 @@ class _World:
 KINDS = ("statement", "label")
 
 
-def _puzzles(w: _World, batches: Iterator[np.ndarray], kind: str, attempts: int, width: int) -> Iterator[dict]:
-    """Columns of the puzzles of arrays of seeds, some thousands at a time.
+def _puzzles(w: _World, batches: Iterator[np.ndarray], kind: str, attempts: int, width: int, kept: int = 0, texts: bool = True) -> Iterator[dict]:
+    """Columns of the puzzles of arrays of rows, some thousands at a time: a seed, then ``kept`` numbers that stay beside it.
 
     ``width`` seeds are drawn for at once, in each step one statement for each, of the speaker whose turn it is there: a
     seed whose puzzle is found leaves, and once half the places are free the next seeds take them.
     """
     n, places = len(w.people), len(w.levels)
-    t, seed = Twisters(width), np.zeros(width, dtype=np.int64)
+    t, row = Twisters(width), np.zeros((width, 1 + kept), dtype=np.int64)
     attempt, speaker, tries, case = (np.zeros(width, dtype=np.int64) for _ in range(4))
     trees, left = np.zeros((width, n, places, 3), dtype=np.int8), np.full((width, w.knights.shape[1]), w.valid)
     busy = np.zeros(width, dtype=bool)
-    waiting, more, out, rows = np.zeros(0, dtype=np.int64), True, [], 0
+    waiting, more, out, rows = np.zeros((0, 1 + kept), dtype=np.int64), True, [], 0
     while True:
         while more and len(waiting) < width and 2 * busy.sum() <= width:
             batch = next(batches, None)
@@ -154,8 +156,8 @@ def _puzzles(w: _World, batches: Iterator[np.ndarray], kind: str, attempts: int,
             waiting = np.concatenate([waiting, batch]) if more else waiting
         if len(waiting) and 2 * busy.sum() <= width:
             who = np.flatnonzero(~busy)[: len(waiting)]
-            seed[who], waiting = waiting[: len(who)], waiting[len(who) :]
-            t.seed(who, seed[who])
+            row[who], waiting = waiting[: len(who)], waiting[len(who) :]
+            t.seed(who, row[who, 0])
             busy[who], attempt[who], speaker[who], tries[who], left[who] = True, 1, 0, 0, w.valid
         who = np.flatnonzero(busy)
         if not len(who):
@@ -181,29 +183,29 @@ def _puzzles(w: _World, batches: Iterator[np.ndarray], kind: str, attempts: int,
         one = np.bitwise_count(left[done]).sum(axis=1) == 1
         found, again = done[one], done[~one]
         if (attempt[again] >= attempts).any():
-            first = seed[again[attempt[again] >= attempts][0]]
+            first = row[again[attempt[again] >= attempts][0], 0]
             raise ValueError(f"no uniquely solvable puzzle in {attempts} attempts for seed {first}")
         attempt[again] += 1
         speaker[again], left[again] = 0, w.valid
         busy[found] = False
         if len(found):
-            out.append((seed[found], attempt[found], left[found], trees[found]))
+            out.append((row[found], attempt[found], left[found], trees[found]))
             rows += len(found)
         if rows >= width:
-            yield _written(w, out)
+            yield _written(w, out, texts)
             out, rows = [], 0
     if out:
-        yield _written(w, out)
+        yield _written(w, out, texts)
 
 
-def _written(w: _World, found: list[tuple]) -> dict:
-    seeds, attempt, left, trees = (np.concatenate(x) for x in zip(*found, strict=True))
+def _written(w: _World, found: list[tuple], texts: bool) -> dict:
+    rows, attempt, left, trees = (np.concatenate(x) for x in zip(*found, strict=True))
     word = (left != 0).argmax(axis=1)
     case = 64 * word + np.log2(left[np.arange(len(left)), word].astype(np.float64)).astype(np.int64)
     n = len(w.people)
     marks = ["".join("KN"[c >> n - 1 - p & 1] for p in range(n)) for c in case.tolist()]
-    row = {"seed": seeds, "pattern": marks, "attempts": attempt}
-    for p in range(n):
+    row = {"rows": rows, "pattern": marks, "attempts": attempt}
+    for p in range(n) if texts else ():
         row[f"expr_{p}"], row[f"said_{p}"] = w.texts(trees[:, p])
     return row
 
@@ -217,47 +219,80 @@ def puzzles(
     for each speaker statements until one agrees with it).  2 to 16 people.  Equal seeds give one row, null seeds none, no
     seeds an empty table; other columns are left out.  As many tasks as ``spark.sql.shuffle.partitions``.
     """
+    rows = seeds.select(F.col("seed").cast("long").alias("seed")).where("seed IS NOT NULL")
+    return _drawn(_spread(rows).dropDuplicates(), (), kind, people, depth, attempts)
+
+
+def _spread(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """Dealt by seed to as many tasks as ``spark.sql.shuffle.partitions``, to fewer where ``n`` rows fill no block each."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(most if n is None else min(most, n // _BLOCK + 1), "seed")
+
+
+def _drawn(
+    rows: DataFrame, kept: tuple[str, ...], kind: str, people: tuple[str, ...] = PEOPLE, depth: int = 2,
+    attempts: int = 10_000, texts: bool = True
+) -> DataFrame:
+    """The puzzle of each row's seed, drawn where the row is: ``kept`` (whole numbers, no nulls) stay, so nothing is joined.
+
+    Without ``texts``: seed, pattern and attempts alone.
+    """
     if kind not in KINDS:
         raise ValueError(f"unknown kind: {kind}")
     if not 2 <= len(people) <= 16 or len(set(people)) < len(people):
         raise ValueError("2 to 16 people with different names")
     n = len(people)
     block = max(1, _BLOCK >> max(0, n - 6))
-    texts = [f"{f}_{p}" for p in range(n) for f in ("expr", "said")]
-    names_of = ["seed", "pattern", "attempts", *texts]
-    kinds_of = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * len(texts)]
+    said = [f"{f}_{p}" for p in range(n) for f in ("expr", "said")] if texts else []
+    longs_of = ["seed", *kept]
+    names_of = [*longs_of, "pattern", "attempts", *said]
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = _World(people, depth)
-        arrays = (b.column(0).to_numpy(zero_copy_only=False) for b in batches)
-        for row in _puzzles(w, arrays, kind, attempts, block):
-            columns = [pa.array(row[f], kind_of) for f, kind_of in zip(names_of, kinds_of, strict=True)]
+        arrays = (np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) for b in batches)
+        for row in _puzzles(w, arrays, kind, attempts, block, len(kept), texts):
+            columns = [pa.array(row["rows"][:, i]) for i in range(len(longs_of))]
+            columns += [pa.array(row["pattern"], pa.string()), pa.array(row["attempts"], pa.int32())]
+            columns += [pa.array(row[f], pa.string()) for f in said]
             yield pa.RecordBatch.from_arrays(columns, names_of)
 
-    tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = seeds.select(F.col("seed").cast("long").alias("seed")).where("seed IS NOT NULL")
-    drawn = rows.repartition(tasks, "seed").dropDuplicates().mapInArrow(
-        draw, "seed long, pattern string, attempts int, " + ", ".join(f"{c} string" for c in texts)
-    )
-    said = [
+    kinds_of = [*[f"{c} long" for c in longs_of], "pattern string", "attempts int", *[f"{c} string" for c in said]]
+    drawn = rows.select(*[F.col(c).cast("long").alias(c) for c in longs_of]).mapInArrow(draw, ", ".join(kinds_of))
+    if not texts:
+        return drawn
+    statements = [
         F.struct(
             F.lit(p).alias("speaker"), F.col(f"expr_{i}").alias("expr"), F.concat(f"said_{i}", F.lit(".")).alias("text")
         )
         for i, p in enumerate(people)
     ]
     names = F.array(*[F.lit(p) for p in people])
-    return drawn.select("seed", names.alias("people"), F.array(*said).alias("statements"), "pattern", "attempts")
+    return drawn.select(*longs_of, names.alias("people"), F.array(*statements).alias("statements"), "pattern", "attempts")
 
 
 def split_seeds(splits: DataFrame, sizes: Column) -> DataFrame:
     """split, pos (from 0) and seed: the first ``sizes`` puzzle seeds that follow from each split's own seed.
 
-    ``splits``: columns split (whole number) and seed, no nulls.  A stream is written in pieces by one task, which holds 5 KB.
+    ``splits``: columns split (whole number) and seed, no nulls.  A long stream is written in pieces by one task, which holds
+    5 KB; short ones some hundred at once.
     """
 
+    def short(rows: list[dict]) -> pa.RecordBatch:
+        sizes = np.array([max(r["size"], 0) for r in rows])
+        x = first_longs(np.array([r["seed"] for r in rows], dtype=np.int64), int(sizes.max()))
+        taken = np.arange(x.shape[1])[None] < sizes[:, None]
+        split = np.repeat(np.array([r["split"] for r in rows], dtype=np.int64), sizes)
+        return pa.RecordBatch.from_arrays([pa.array(split), pa.array(np.nonzero(taken)[1]), pa.array(x[taken])], ["split", "pos", "seed"])
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            rows = batch.to_pylist()
+            few = [r for r in rows if (r["size"] or 0) <= _SHORT and r["size"] is not None]
+            for i in range(0, len(few), _TOGETHER):
+                yield short(few[i : i + _TOGETHER])
+            for row in rows:
+                if row["size"] is None or row["size"] <= _SHORT:
+                    continue
                 pos = 0
                 for x in longs(row["seed"]):
                     x = x[: row["size"] - pos]
@@ -279,69 +314,78 @@ def _key() -> Column:
     return logic.puzzle_key(F.col("people"), said)
 
 
-def splits(wanted: DataFrame, kind: str = "statement", people: tuple[str, ...] = PEOPLE, depth: int = 2) -> DataFrame:
+def splits(
+    wanted: DataFrame, kind: str = "statement", people: tuple[str, ...] = PEOPLE, depth: int = 2, statements: bool = True
+) -> DataFrame:
     """Splits as one generator after another makes them: split, n (from 0), pos, seed, key, pattern, attempts, statements.
 
     ``wanted``: columns split, seed and size, a row a split and few of them.  Splits are filled in order of their number: each
     takes puzzles along its own stream, passes over keys that it or a split before it took, and stops at its size.  Jobs run
     for each split; its candidates are drawn a quarter more than its size at first, twice as many where that isn't enough.
-    A size of 0 or less, or null, gives no rows.
+    A size of 0 or less, or null, gives no rows.  Candidates move as digests of 32 bytes; ``statements`` are drawn again, for
+    puzzles that were taken, or left out.
     """
     spark = wanted.sparkSession
-    cols = ["split", "n", "pos", "seed", "key", "pattern", "attempts", "statements"]
+    cols = ["split", "n", "pos", "seed", F.lower(F.hex("key")).alias("key"), "pattern", "attempts"]
     out = None
-    for row in wanted.orderBy("split").toLocalIterator():
+    for row in wanted.orderBy("split").collect():  # few
         size, draw = row["size"] or 0, (row["size"] or 0) * 5 // 4 + 64
         if size <= 0:
             continue
         one = wanted.where(F.col("split") == row["split"])
         while True:
-            seeds = exchange.table(split_seeds(one, F.lit(draw)), "seeds")
-            made = puzzles(seeds, kind, people, depth).withColumn("key", _key()).join(seeds, "seed")
-            first = made.groupBy("key").agg(F.min_by(F.struct("pos", "seed", "pattern", "attempts", "statements"), "pos").alias("row"))
+            seeds = _spread(exchange.table(split_seeds(one, F.lit(draw)), "seeds").select("pos", "seed"))
+            made = _drawn(seeds, ("pos",), kind, people, depth)
+            made = made.select(F.unhex(_key()).alias("key"), "pos", "seed", "pattern", "attempts")
+            first = made.groupBy("key").agg(F.min_by(F.struct("pos", "seed", "pattern", "attempts"), "pos").alias("row"))
             first = first.select(F.lit(row["split"]).cast("long").alias("split"), "key", "row.*")
             if out is not None:
                 first = first.join(out.select("key"), "key", "left_anti")
-            first = exchange.table(first, "replayed")
-            if first.count() >= size:
+            ranked = numbered(first, "pos", "n")
+            if ranked.count() >= size:
                 break
             draw *= 2
-        ranked = numbered(first, "pos", "n").where(F.col("n") < size)
-        taken = exchange.table(ranked.select(*cols), "split")
+        taken = ranked.where(F.col("n") < size).drop("total")
         out = taken if out is None else out.unionByName(taken)
     if out is None:
-        kinds = "split long, n long, pos long, seed long, key string, pattern string, attempts int, statements array<struct<speaker:string,expr:string,text:string>>"
-        return spark.createDataFrame([], kinds)
-    return out
+        kinds = "split long, n long, pos long, seed long, key string, pattern string, attempts int"
+        texts = ", statements array<struct<speaker:string,expr:string,text:string>>" if statements else ""
+        return spark.createDataFrame([], kinds + texts)
+    out = out.select(*cols)
+    return out.join(puzzles(out.select("seed"), kind, people, depth).select("seed", "statements"), "seed").select(*out.columns, "statements") if statements else out
 
 
 def balanced(wanted: DataFrame, targets: tuple[str, ...] = PATTERNS, kind: str = "label", depth: int = 2) -> DataFrame:
     """A set with one puzzle for each target label: split, n (place of the label), pos, seed, pattern, attempts, statements.
 
     ``wanted``: columns split and seed.  A set goes along its stream of puzzle seeds and takes, label by label, the next puzzle
-    with that answer; ``targets`` differ, so no two puzzles of a set are alike.  128 candidates are drawn for each set, then
-    twice as many for the sets that are not full yet.  Null seeds give no rows; equal splits are an error.
+    with that answer; ``targets`` differ, so no two puzzles of a set are alike.  Ten candidates a label are drawn for each
+    set, then, from where it stopped, half as many and on from there twice as many for the sets that are not full yet.
+    Candidates have no texts; those of a set's puzzles are drawn again.  Null seeds give no rows; equal splits are an error.
     """
-    left, out, draw = exchange.table(wanted.where("split IS NOT NULL AND seed IS NOT NULL").select("split", "seed"), "sets"), None, 128
+    left = exchange.table(wanted.where("split IS NOT NULL AND seed IS NOT NULL").select("split", "seed"), "sets")
     if left.groupBy("split").count().where("count > 1").limit(1).count():
         raise ValueError("a split is named twice")
     labels = F.array(*[F.lit(t) for t in targets])
-    taken = "array<struct<pos:bigint,seed:bigint,pattern:string>>"
+    left = left.withColumn("taken", F.array().cast("array<struct<pos:bigint,seed:bigint,pattern:string>>"))
+    out, start, more = None, 0, 10 * len(targets)
     while True:
-        seeds = exchange.table(split_seeds(left, F.lit(draw)), "seeds")
-        made = exchange.table(puzzles(seeds, kind, PEOPLE, depth), "candidates")
-        seen = made.select("seed", "pattern").join(seeds, "seed")
+        end = start + more
+        seeds = split_seeds(left, F.lit(end)).where(F.col("pos") >= start)
+        made = _drawn(_spread(seeds, left.count() * more), ("split", "pos"), kind, PEOPLE, depth, texts=False)
         # a set's candidates: as many as were drawn for it
         line = F.array_sort(F.collect_list(F.struct("pos", "seed", "pattern")))
         walk = lambda s, x: F.when(x["pattern"] == F.get(labels, F.size(s)), F.concat(s, F.array(x))).otherwise(s)
-        sets = seen.groupBy("split").agg(line.alias("line")).select(
-            "split", F.aggregate("line", F.array().cast(taken), walk).alias("taken")
-        )
+        lines = made.groupBy(F.col("split").alias("__split")).agg(line.alias("line"))
+        sets = left.join(lines, F.col("split") == F.col("__split"))
+        sets = exchange.table(sets.select("split", left["seed"], F.aggregate("line", F.col("taken"), walk).alias("taken")), "sets")
         full = sets.where(F.size("taken") == len(targets)).select("split", F.posexplode("taken").alias("n", "row"))
-        rows = full.select("split", "n", "row.*").join(made.select("seed", "attempts", "statements"), "seed")
-        found = exchange.table(rows.select("split", "n", "pos", "seed", "pattern", "attempts", "statements"), "balanced")
-        out = found if out is None else out.unionByName(found)
-        left = exchange.table(left.join(found.select("split").distinct(), "split", "left_anti"), "sets")
+        full = full.select("split", "n", "row.*")
+        out = full if out is None else out.unionByName(full)
+        left = sets.where(F.size("taken") < len(targets))
         if left.isEmpty():
-            return out
-        draw *= 2
+            break
+        start, more = end, 5 * len(targets) if start == 0 else 2 * more
+    made = _drawn(_spread(out.select("split", "n", "pos", "seed"), out.count()), ("split", "n", "pos"), kind, PEOPLE, depth)
+    made = made.select("split", F.col("n").cast("int").alias("n"), "pos", "seed", "pattern", "attempts", "statements")
+    return exchange.table(made, "balanced")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ponderlake.functions.twister import Twisters, longs
+from ponderlake.functions.twister import Twisters, first_longs, longs
 from ponderlake.operators import puzzles, replay
 
 #: A balanced set made from seed 20260827, its puzzles' seeds and their statements.
@@ -73,6 +73,26 @@ def test_stream_of_seeds(seed):
     assert len(x) > 8000 and x == [r.randrange(0, 2**63) for _ in x]
 
 
+def test_streams_together():
+    seeds = np.array([0, -7, 42, 20260829, 2**40 + 1, 2**63 - 1])
+    for n in (0, 1, 155, 700):
+        assert first_longs(seeds, n).tolist() == [np.concatenate([next(longs(s)) for _ in range(1)] + [x for _, x in zip(range(9), longs(s))][1:])[:n].tolist() for s in seeds.tolist()]
+
+
+def test_candidates_carry_no_texts(spark, tmp_path, monkeypatch):
+    """What the operators write is keys and numbers: no statement of a candidate goes through a shuffle or a table."""
+    written = []
+    table = replay.exchange.table
+    monkeypatch.setattr(replay.exchange, "table", lambda df, name: written.append((name, df.columns)) or table(df, name))
+    wanted = spark.createDataFrame([(0, 5, 40), (1, 6, 30)], "split long, seed long, size long")
+    got = replay.splits(wanted, statements=False)
+    assert got.count() == 70 and "statements" not in got.columns and not any("statements" in c for _, c in written)
+    texts = replay.splits(wanted)
+    assert texts.drop("statements").exceptAll(got).count() == 0 and texts.count() == 70
+    assert replay.balanced(wanted.select("split", "seed")).count() == 16
+    assert all(name == "balanced" for name, c in written if "statements" in c)
+
+
 def test_stored_puzzles(spark):
     df = spark.createDataFrame([(s, "kept out") for s, *_ in BALANCED] + [(None, "null"), (BALANCED[0][0], "again")], "seed long, text string")
     rows = {r.seed: r for r in replay.puzzles(df, "label").collect()}
