@@ -33,8 +33,12 @@ def loss_mask(prompt: Column, n: Column, total: Column) -> Column:
 
 
 def labels(ids: Column, prefix: Column, ignore: int = -100) -> Column:
-    """Token ids with those of the common prefix ignored."""
-    return F.transform(ids, lambda x, i: F.when(i < prefix, F.lit(ignore)).otherwise(x))
+    """Token ids with those of the common prefix ignored.
+
+    No lambda: Spark writes a column into the lambda that names it, which would find the prefix again at every token.
+    """
+    n = F.least(F.greatest(F.coalesce(prefix, F.lit(0)), F.lit(0)), _size(ids))
+    return F.concat(F.array_repeat(F.lit(ignore), n), F.slice(ids, n + 1, _size(ids) - n))
 
 
 def common_prefix(a: Column, b: Column, bits: int = 31) -> Column:

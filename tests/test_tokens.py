@@ -99,6 +99,17 @@ def test_common_prefixes(spark):
     assert list(masked) == [-100, -100, 3]
 
 
+def test_labels_find_their_prefix_once(spark):
+    """The prefix is found once a sequence, not at every token; any prefix, null and empty sequences."""
+    rows = [(1, [5, 6, 7], 2), (2, [5, 6], 9), (3, [5, 6], -1), (4, [5, 6], None), (5, [], 1), (6, None, 1), (7, [5, None, 7], 1), (8, [5, None, 7], 2)]
+    df = spark.createDataFrame(rows, "id long, ids array<long>, n int")
+    got = {r.id: r.l for r in df.select("id", T.labels(F.col("ids"), F.col("n")).alias("l")).collect()}
+    assert got == {1: [-100, -100, 7], 2: [-100, -100], 3: [5, 6], 4: [5, 6], 5: [], 6: None, 7: [-100, None, 7], 8: [-100, -100, 7]}
+    x = df.select("id", "ids", T.common_prefix(F.col("ids"), F.slice("ids", 1, 2)).alias("common"))
+    plan = x.select("id", T.labels(F.col("ids"), F.col("common")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and plan.count("aggregate(") <= 1
+
+
 def test_geometry(spark):
     """Vectors in blocks, ragged and with a missing block, against numpy."""
     rng = np.random.default_rng(8)
