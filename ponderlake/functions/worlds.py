@@ -2,21 +2,25 @@
 
 Assignments are numbered as they are enumerated: all knights first, the last person varying fastest.  A word holds 64 of them,
 in which the last six people vary; the others are constant in it, as the number of the word tells.  A statement's JSON is read
-once into postfix steps; a word of a truth table is then a fold over the steps, and a puzzle's word a fold over its statements
-that stops looking where none of the 64 assignments is left.  No Python runs, and no row is multiplied.
+once into postfix steps, in Python (a fold over tokens in SQL took five times as long); a word of a truth table is then a fold
+over the steps, and a puzzle's word a fold over its statements that stops looking where none of the 64 assignments is left.
+No row is multiplied.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A step: what it does, and up to two people (or a person and whether a knight is meant).
 STEPS = "array<struct<do:int,a:int,b:int>>"
 PERSON_IS, SAME, DIFFERENT, NOT, AND, OR = range(6)
-_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_LEAF = rf'\{{"op":"person_is","person":{_TEXT},"value":"(?:knight|knave)"\}}|\{{"left":{_TEXT},"op":"(?:same|different)","right":{_TEXT}\}}'
-_TOKENS = _LEAF + r'|\{"left":(?=\{)|\{"expr":|,"op":"(?:and|or)","right":|,"op":"not"\}|\}'
 #: Bits of a word in which the person that many places from the last is a knight.
 _PATTERNS = [sum(1 << i for i in range(64) if not i >> s & 1) for s in range(6)]
 _WORD = "bigint"
@@ -30,48 +34,82 @@ def _long(x: int) -> Column:
     return F.lit(_signed(x)).cast(_WORD)
 
 
+def _once(pairs: list) -> dict:
+    if len(node := dict(pairs)) < len(pairs):
+        raise ValueError("a key is there twice")
+    return node
+
+
+@functools.lru_cache(1 << 14)
+def _steps(text: str, people: tuple[str, ...]) -> list[int]:
+    """Postfix steps of a tree, three numbers each, by an explicit stack; statements met again cost a look-up."""
+    wrong = f"not a statement: {text}"
+    try:
+        todo = [json.loads(text, object_pairs_hook=_once)]
+    except ValueError as e:
+        raise ValueError(wrong) from e
+
+    def place(name: object) -> int:
+        if not isinstance(name, str):
+            raise ValueError(wrong)
+        if name not in people:
+            raise ValueError(f"unknown person: {name}")
+        return people.index(name)
+
+    out: list[tuple[int, int, int]] = []  # last step first: a node before its right side, that before its left
+    while todo:
+        match todo.pop():
+            case {"op": "person_is", "person": who, "value": ("knight" | "knave") as value, **rest} if not rest:
+                out.append((PERSON_IS, place(who), int(value == "knight")))
+            case {"op": ("same" | "different") as op, "left": a, "right": b, **rest} if not rest:
+                out.append((SAME if op == "same" else DIFFERENT, place(a), place(b)))
+            case {"op": "not", "expr": a, **rest} if not rest:
+                out.append((NOT, 0, 0))
+                todo.append(a)
+            case {"op": ("and" | "or") as op, "left": a, "right": b, **rest} if not rest:
+                out.append((AND if op == "and" else OR, 0, 0))
+                todo += [a, b]
+            case _:
+                raise ValueError(wrong)
+    return [x for step in reversed(out) for x in step]
+
+
+def _lists(statements: Iterable[tuple[str | None, tuple[str, ...]]]) -> pa.Array:
+    flat, ends, none = [], [0], []
+    for text, people in statements:
+        none.append(text is None)
+        if text is not None:
+            flat += _steps(text, people)
+        ends.append(len(flat) // 3)
+    columns = np.array(flat, np.int32).reshape(-1, 3).T
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["do", "a", "b"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(none, pa.bool_()))
+
+
+def _each(texts: pa.Array, people: pa.Array) -> pa.Array:
+    return _lists((t, tuple(p or ())) for t, p in zip(texts.to_pylist(), people.to_pylist(), strict=True))
+
+
+def _all(texts: pa.Array, people: pa.Array) -> pa.Array:
+    rows = texts.to_pylist()
+    inner = _lists((t, who) for ts, p in zip(rows, people.to_pylist(), strict=True) for who in [tuple(p or ())] for t in ts or ())
+    ends = np.concatenate([[0], np.cumsum([len(ts or ()) for ts in rows])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner, mask=pa.array([ts is None for ts in rows], pa.bool_()))
+
+
 def compiled(expr: Column, people: Column) -> Column:
     """Postfix steps of a tree (JSON text); unknown operators and people are errors, null stays null."""
+    return F.arrow_udf(_each, STEPS)(expr, people)
 
-    def place(token: Column, key: str) -> Column:
-        name = F.get_json_object(token, f"$.{key}")
-        at = F.array_position(people, name).cast("int")
-        return F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(F.lit("unknown person: "), name)).cast("int"))
-
-    def step(do: int | Column, a: Column | None = None, b: Column | None = None) -> Column:
-        none = F.lit(0)
-        do = F.lit(do) if isinstance(do, int) else do
-        return F.array(F.struct(do.alias("do"), (none if a is None else a).alias("a"), (none if b is None else b).alias("b")))
-
-    def read(s: Column, t: Column) -> Column:
-        put = lambda x: F.struct(F.concat(s["out"], x).alias("out"), s["open"].alias("open"))
-        is_knight = (F.get_json_object(t, "$.value") == "knight").cast("int")
-        alike = F.when(F.get_json_object(t, "$.op") == "same", SAME).otherwise(DIFFERENT)
-        binary = F.when(t.startswith(',"op":"and"'), AND).otherwise(OR)
-        closed = F.struct(
-            F.concat(s["out"], step(F.element_at(s["open"], -1))).alias("out"),
-            F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1).alias("open"),
-        )
-        return (
-            F.when(t.startswith('{"op":"person_is"'), put(step(PERSON_IS, place(t, "person"), is_knight)))
-            .when(t.startswith('{"left":"'), put(step(alike, place(t, "left"), place(t, "right"))))
-            .when(t == ',"op":"not"}', put(step(NOT)))
-            .when(t == "}", closed)
-            .when(t.startswith(","), F.struct(s["out"].alias("out"), F.concat(s["open"], F.array(binary)).alias("open")))
-            .otherwise(s)
-        )
 
-    start = F.struct(F.array().cast(STEPS).alias("out"), F.array().cast("array<int>").alias("open"))
+def compiled_all(exprs: Column, people: Column) -> Column:
+    """The same for an array of trees."""
+    return F.arrow_udf(_all, f"array<{STEPS}>")(exprs, people)
 
-    def steps(x: Column) -> Column:
-        whole = F.length(F.array_join(x["tokens"], "")) == F.length(x["text"])
-        wrong = F.raise_error(F.concat(F.lit("not a statement: "), x["text"])).cast(STEPS)
-        out = F.aggregate(x["tokens"], start, read, lambda s: s["out"])
-        return F.when(x["text"].isNotNull(), F.when(whole, out).otherwise(wrong))
 
-    once = lambda t: F.struct(t.alias("text"), F.regexp_extract_all(t, F.lit(_TOKENS), F.lit(0)).alias("tokens"))
-    text = F.to_json(F.parse_json(expr))  # sorted keys, no spaces; bound, so that it is read once
-    return F.get(F.transform(F.transform(F.array(text), once), steps), F.lit(0))
+def _bound(x: Column, f) -> Column:
+    """f of x, computed once: within a lambda, a column is computed each time that it is named."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def words(n: Column) -> Column:
@@ -115,7 +153,7 @@ def truth(steps: Column, n: Column, word: Column) -> Column:
 
 def truth_table(steps: Column, n: Column) -> Column:
     """All words of a statement's truth table."""
-    return F.transform(words(n), lambda w: truth(steps, n, w).bitwiseAND(valid(n)))
+    return _bound(steps, lambda s: F.transform(words(n), lambda w: truth(s, n, w).bitwiseAND(valid(n))))
 
 
 def solutions(statements: Column, n: Column) -> Column:
@@ -124,11 +162,11 @@ def solutions(statements: Column, n: Column) -> Column:
     ``statements``: array of struct(speaker: place among the people, steps).
     """
 
-    def word(w: Column) -> Column:
+    def word(all_said: Column, w: Column) -> Column:
         agree = lambda s: F.bitwise_not(truth(s["steps"], n, w).bitwiseXOR(knight(s["speaker"], n, w)))
-        return F.aggregate(statements, valid(n), lambda left, s: F.when(left == 0, left).otherwise(left.bitwiseAND(agree(s))))
+        return F.aggregate(all_said, valid(n), lambda left, s: F.when(left == 0, left).otherwise(left.bitwiseAND(agree(s))))
 
-    return F.transform(words(n), word)
+    return _bound(statements, lambda x: F.transform(words(n), lambda w: word(x, w)))
 
 
 def count(table: Column) -> Column:

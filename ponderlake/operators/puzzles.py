@@ -51,7 +51,7 @@ def solved(puzzles: DataFrame) -> DataFrame:
     A puzzle's table has a 64-bit word for each 64 assignments and stays in its row.
     """
     n = F.size("people")
-    x = puzzles.withColumn("steps", F.transform("statements", lambda s: worlds.compiled(s["expr"], F.col("people"))))
+    x = puzzles.withColumn("steps", worlds.compiled_all(F.col("statements.expr"), F.col("people")))
     speaker = lambda s: F.array_position(F.col("people"), s["speaker"]).cast("int") - 1
     said = F.zip_with("statements", "steps", lambda s, t: F.struct(speaker(s).alias("speaker"), t.alias("steps")))
     x = x.withColumn("__said", said).withColumn("__table", worlds.solutions(F.col("__said"), n))

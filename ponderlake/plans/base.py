@@ -218,20 +218,29 @@ def crowds(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.withColumn("people", F.slice(F.array(*[F.lit(p) for p in NAMES]), F.lit(1), F.col("n")))
     div = lambda a, b: F.floor(a / F.lit(b))
 
+    # texts of all plain statements, constant: one is looked up, none is written row by row
+    at = lambda texts, *places: F.get(F.array(*texts), sum((i * len(NAMES)**k for k, i in enumerate(reversed(places))), F.lit(0)).cast("int"))
+    is_a = [L.person_is(a, v) for a in NAMES for v in ("knight", "knave", *[""] * (len(NAMES) - 2))]
+    alike, apart = ([f(a, b) for a in NAMES for b in NAMES] for f in (L.same, L.different))
+
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  a lambda's variable is computed once
+
     def plain(x):
         n = F.col("n")
-        first = div(x, 3) % n
-        other = (first + 1 + div(x, 9) % (n - 1)) % n
-        name = lambda i: F.get(F.col("people"), i.cast("int"))
-        leaf = F.when(
-            x % 3 == 0, L.person_is(name(first), F.when(div(x, 9) % 2 == 0, "knight").otherwise("knave"))
-        ).when(x % 3 == 1, L.same(name(first), name(other))).otherwise(L.different(name(first), name(other)))
-        return F.when(div(x, 27) % 2 == 1, L.negate(leaf)).otherwise(leaf)
+        other = lambda first: (first + 1 + div(x, 9) % (n - 1)) % n
+        leaf = lambda first: F.when(x % 3 == 0, at(is_a, first, div(x, 9) % 2)).when(
+            x % 3 == 1, at(alike, first, other(first))
+        ).otherwise(at(apart, first, other(first)))
+        said = lambda leaf: F.when(div(x, 27) % 2 == 1, L.negate(leaf)).otherwise(leaf)
+        return bound(bound(div(x, 3) % n, leaf), said)
+
+    def form(x, one):
+        two = lambda join: bound(x * 31 + 17, lambda y: join(one, plain(y)))
+        return bound(div(x, 54) % 3, lambda f: F.when(f == 0, one).when(f == 1, two(L.both)).otherwise(two(L.either)))
 
     def said(p):
         x = F.col("o_orderkey") * (7 + 4 * p) + F.col("o_custkey") * (3 + 2 * p) + p
-        one, two, form = plain(x), plain(x * 31 + 17), div(x, 54) % 3
-        expr = F.when(form == 0, one).when(form == 1, L.both(one, two)).otherwise(L.either(one, two))
+        expr = bound(x, lambda x: bound(plain(x), lambda one: form(x, one)))
         return F.struct(F.get(F.col("people"), p).alias("speaker"), expr.alias("expr"))
 
     return x.select("id", "people", F.transform(F.sequence(F.lit(0), F.col("n") - 1), said).alias("statements"))

@@ -79,3 +79,16 @@ def test_faults(spark):
         read('{"op":"xor","left":"A","right":"B"}')
     deep = '{"op":"not","expr":' * 150 + '{"op":"same","left":"A","right":"B"}' + "}" * 150
     assert len(read(deep)) == 151
+
+
+def test_statements_are_read_once(spark):
+    """A puzzle's statements are read in one pass, and none in a lambda; half-formed trees are errors."""
+    rows = [(1, ["A", "B"], [("A", '{"op":"same","left":"A","right":"B"}'), ("B", None)]), (2, ["A", "B"], None), (3, ["A"], [])]
+    df = spark.createDataFrame(rows, KIND)
+    x = df.select("id", worlds.compiled_all(F.col("statements.expr"), F.col("people")).alias("s"))
+    assert x._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.id: r.s and [s and [tuple(t) for t in s] for s in r.s] for r in x.collect()} == {1: [[(worlds.SAME, 0, 1)], None], 2: None, 3: []}
+    a = '{"op":"person_is","person":"A","value":"knight"}'
+    for text in (f'{{"expr":{a},"op":"and","right":{a}}}', f'{{"op":"not","op":"not","expr":{a}}}', f'{{"left":{a},"op":"not"}}', a[:-1], "[]", ""):
+        with pytest.raises(Exception, match="not a statement"):
+            df.select(worlds.compiled(F.lit(text), F.col("people"))).collect()
