@@ -2,7 +2,7 @@
 
 Assignments are numbered as they are enumerated: all knights first, the last person varying fastest.  A word holds 64 of them,
 in which the last six people vary; the others are constant in it, as the number of the word tells.  A statement's JSON is read
-once into postfix steps, in Python (a fold over tokens in SQL took five times as long); a word of a truth table is then a fold
+once into postfix steps, in Python (a fold over tokens in SQL took four times as long); a word of a truth table is then a fold
 over the steps, and a puzzle's word a fold over its statements that stops looking where none of the 64 assignments is left.
 No row is multiplied.
 """

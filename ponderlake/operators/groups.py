@@ -178,11 +178,11 @@ def make_partitions(rollouts: DataFrame, group: str = "id", member: str = "k", n
     others = [c for c in rollouts.columns if c not in (group, member)]
     members = F.array_sort(F.collect_list(F.struct(member, *others))).alias("__m")
     g = rollouts.groupBy(group).agg(members)
-    place = lambda p: F.transform(
-        F.array_sort(F.transform("__m", lambda x: F.struct(
-            F.md5(F.concat_ws(":", F.lit(str(seed)), p.cast("string"), F.col(group).cast("string"), x[member].cast("string"))), x.alias("x")
-        ))), lambda s: s["x"]
-    )
+    digest = lambda begin, x: F.md5(F.concat_ws(":", begin, x[member].cast("string")))
+    # sort_array compares as such, array_sort by a lambda; what a shuffle's digests begin with is written once
+    ordered = lambda begin: F.sort_array(F.transform("__m", lambda x: F.struct(digest(begin, x).alias("__d"), x.alias("x"))))["x"]
+    begin = lambda p: F.concat_ws(":", F.lit(str(seed)), p.cast("string"), F.col(group).cast("string"))
+    place = lambda p: F.get(F.transform(F.array(begin(p)), ordered), F.lit(0))
     plain = F.struct(F.lit("first_last").alias("partition"), F.col("__m").alias("m"))
     drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(
         F.format_string("rand%02d", p).alias("partition"), place(p).alias("m")

@@ -36,3 +36,9 @@ def test_halves_are_sorted_once(spark, name):
     """Members are put in order once, before they are multiplied by the ways to halve a group."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "hashpartitioning(id" not in plan
+
+
+def test_members_are_sorted_without_a_lambda(spark):
+    """Members under a shuffle are compared by sort_array, not by array_sort's lambda."""
+    plan = QUERIES["make_partitions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(transform(" in plan and "array_sort(transform(" not in plan
