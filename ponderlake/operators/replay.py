@@ -2,22 +2,26 @@
 earlier data sets yield their puzzles again.  ``generation`` draws by digests instead, which any engine follows.
 
 Some thousand seeds are drawn in lockstep in numpy: trees are arrays over (seed, place in the tree), truth tables 64-bit words
-over assignments; a seed whose puzzle is found makes room for the next.  Seeds are spread over tasks by their hash.  The seeds of a split follow from one stream, which has no shortcut: one task a split writes it, 8 bytes a puzzle.
+over assignments; a seed whose puzzle is found makes room for the next.  Seeds are spread over tasks by their hash.  The seeds of
+a set follow from one stream, which has no shortcut: one task a set writes it, 8 bytes a puzzle.  For splits it writes the
+stream's state at every 8,192 numbers or so, from which all tasks go on.  Where there are few trees (three people), the candidates of splits are
+read from a table of the tree that begins at each word, and move as numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic
 from ..functions.text import PATTERNS
-from ..functions.twister import Twisters, first_longs, longs
+from ..functions.twister import STRETCH, Twisters, first_longs, first_words, longs, stretch, stretches
 from ..sources import exchange
 from .positions import numbered
 from .puzzles import PEOPLE
@@ -32,6 +36,8 @@ _NONE, _IS, _SAME, _DIFFERENT, _NOT, _AND, _OR = range(-1, 6)
 _BLOCK = 4096
 #: Streams of at most so many seeds are written together, so many at a time.
 _SHORT, _TOGETHER = 4096, 256
+#: Trees that may be tabled, seeds whose words are tabled at once, and what stands for a word beyond those tabled.
+_FEW, _WIDTH, _BEYOND = 1 << 20, 4096, 255
 
 
 class _World:
@@ -134,6 +140,207 @@ class _World:
         return (word >> (case & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+class _Tabled:
+    """Trees by number (leaves, then not, and, or of trees one level lower), a puzzle by the numbers of its trees in a row."""
+
+    def __init__(self, people: tuple[str, ...], depth: int):
+        self.people, self.depth, self.world, n = people, depth, _World(people, depth), len(people)
+        self.sizes, self.bits = self._sizes(n, depth)
+        kind = np.min_scalar_type((1 << (1 << n)) - 1)
+        self.knights, self.valid = self.world.knights[:, 0].astype(kind), self.world.valid.astype(kind)
+        leaves = [self._leaf(i) for i in range(self.sizes[0])]
+        meaning = {_IS: lambda a, b: ~a if b else a, _SAME: lambda a, b: ~(a ^ self.knights[b]), _DIFFERENT: lambda a, b: a ^ self.knights[b]}
+        first = np.array([meaning[what](self.knights[a], b) for what, a, b in leaves], dtype=kind)
+        self.truth = first
+        for _ in range(depth):
+            x = self.truth
+            self.truth = np.concatenate([first, ~x, (x[:, None] & x).ravel(), (x[:, None] | x).ravel()])
+        self.marks = np.array(["".join("KN"[c >> n - 1 - p & 1] for p in range(n)) for c in range(1 << n)], dtype=object)
+        begin, end = self._pieces([self.world._leaf(*x) for x in leaves])
+        self.rooms: dict[str, np.ndarray] = {}
+        self.head = json.dumps({"people": people}, separators=(",", ":")).encode()
+        self.begin = np.array([f'{{"expr":{x}'.encode() for x in begin], dtype=object)
+        speakers = [f',"speaker":{{"x":"{p}"}}}}' + ("," if p != people[-1] else "") for p in people]
+        self.end = [np.array([(x + speaker).encode() for x in end], dtype=object) for speaker in speakers]
+
+    @staticmethod
+    def _sizes(n: int, depth: int) -> tuple[list[int], int]:
+        sizes = [2 * n + 2 * n * (n - 1)]
+        for _ in range(depth):
+            sizes.append(sizes[0] + sizes[-1] + 2 * sizes[-1] ** 2)
+        return sizes, (sizes[-1] - 1).bit_length()
+
+    @staticmethod
+    def fits(people: tuple[str, ...], depth: int) -> bool:
+        """Few trees, a puzzle's number in 63 bits, and names that canonical JSON leaves as they are."""
+        n = len(people)
+        if not 2 <= n <= 6 or depth > 3 or len(set(people)) < n or not all(p.isascii() and p.isalnum() for p in people):
+            return False
+        sizes, bits = _Tabled._sizes(n, depth)
+        return sizes[-1] <= _FEW and n * bits <= 63
+
+    def _leaf(self, i: int) -> tuple[int, int, int]:
+        n = len(self.people)
+        if i < 2 * n:
+            return _IS, i // 2, i % 2
+        what, i = divmod(i - 2 * n, n * (n - 1))
+        a, b = divmod(i, n - 1)
+        return (_SAME, _DIFFERENT)[what], a, n - 1 if b == a else b
+
+    def _room(self, name: str, rows: int, width: int, kind: type = np.uint32) -> np.ndarray:
+        """An array that is used again for the next seeds: fresh memory costs more than what is written to it."""
+        if (at := self.rooms.get(name)) is None or at.shape != (rows, width):
+            at = self.rooms[name] = np.empty((rows, width), dtype=kind)
+        return at
+
+    def _begun(self, words: np.ndarray) -> np.ndarray:
+        """The tree that begins at each word: (256, seeds), its number times 256 and the word after it, ``_BEYOND`` if not there."""
+        (k, width), n, u = words.shape, len(self.people), np.uint32
+        found, line = self._room("found", k, width), np.empty(width, dtype=u)
+        drawn: dict[int, np.ndarray] = {}
+        others: dict[int, np.ndarray] = {}
+
+        def digit(m: int) -> np.ndarray:
+            b = m.bit_length()
+            if b not in drawn:
+                drawn[b] = np.right_shift(words, u(32 - b), out=self._room(f"digit {b}", k, width))
+            return drawn[b]
+
+        def all_ones(x: np.ndarray, name: str) -> np.ndarray:
+            return np.multiply(x, u(0xFFFFFFFF), out=self._room(name, k, width))
+
+        def put(so: np.ndarray, bits: np.ndarray) -> None:
+            """What is ``so`` where the bits are set, several times as fast as where: the rest of ``found`` stays."""
+            x = np.bitwise_xor(found, so, out=self._room("x", k, width))
+            x &= bits
+            np.bitwise_xor(found, x, out=found)
+
+        def table(m: int, name: str) -> np.ndarray:
+            """``found`` where a number below m is drawn from the word, else what the next word gives."""
+            if m not in others:
+                others[m] = all_ones(digit(m) >= m, f"others {m}")
+            out, again = self._room(name, 256, width), others[m]
+            out[:k], out[k:] = found, _BEYOND
+            for p in range(k - 1, -1, -1):
+                np.bitwise_xor(out[p], out[p + 1], out=line)
+                np.bitwise_and(line, again[p], out=line)
+                np.bitwise_xor(out[p], line, out=out[p])
+            return out
+
+        def scaled(x: np.ndarray, by: int, plus: np.ndarray) -> None:
+            """``found`` is 256 * by * x + plus."""
+            np.multiply(x, u(by << 8), out=found)
+            np.add(found, plus, out=found)
+
+        number = {}
+        for m in {2, n - 1}:
+            scaled(digit(m), 1, np.arange(1, k + 1, dtype=u)[:, None])
+            number[m] = table(m, f"number {m}")
+        leaf_of = {}
+        for m in (2, n - 1):
+            scaled(digit(n), m, number[m][1 : k + 1])
+            leaf_of[len(leaf_of)] = table(n, f"leaf {len(leaf_of)}")
+        what = digit(len(LEAVES))
+        first = all_ones(what == 0, "first")
+        # leaves about two people come after those about one
+        scaled(what, n * (n - 1), leaf_of[1][1 : k + 1])
+        np.add(found, u((2 * n - n * (n - 1)) * 256 & 0xFFFFFFFF), out=found)
+        put(leaf_of[0][1 : k + 1], first)
+        leaf = tree = table(len(LEAVES), "leaf")
+        # numbers of 53 bits below the share: nearly always the first word's 27 bits tell
+        share = int(STOP * 2**53)
+        stop, near = words < u(share >> 26 << 5), (words ^ u(share >> 26 << 5)) < 32
+        if near.any():
+            stop[:-1] |= near[:-1] & (words[1:] >> u(6) < u(share & (1 << 26) - 1))
+        stop = all_ones(stop, "stop")
+        at, right, columns = self._room("at", k, width, np.intp), self._room("right", k, width), np.arange(width)
+        for level, size in enumerate(self.sizes[: self.depth]):
+            left = tree[1 : k + 1]
+            np.bitwise_and(left, u(255), out=right)
+            np.multiply(right, width, out=at, dtype=np.intp)
+            np.add(at, columns, out=at)
+            np.take(tree.ravel(), at, out=right, mode="clip")
+            scaled(np.right_shift(left, u(8), out=found), size, right)
+            x = np.multiply(what, u(size * size << 8), out=self._room("x", k, width))
+            np.add(found, x, out=found)
+            np.add(found, u((self.sizes[0] + size - size * size) * 256 & 0xFFFFFFFF), out=found)
+            put(np.add(left, u(self.sizes[0] << 8), out=right), first)
+            inner = table(len(INNER), "inner")
+            np.copyto(found, inner[2 : k + 2])
+            put(leaf[2 : k + 2], stop)
+            tree = self._room(f"tree {level}", 256, width)
+            tree[:k], tree[k:] = found, _BEYOND
+        return tree
+
+    def draw(self, seeds: np.ndarray, attempts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number and attempts of each seed's puzzle; no attempts where it takes more words than are tabled."""
+        width = len(seeds)
+        tree = self._begun(first_words(seeds)).ravel()
+        number, tried = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
+        who, at, attempt = np.arange(width), np.zeros(width, dtype=np.int64), 0
+        while len(who):
+            attempt += 1
+            if attempt > attempts:
+                raise ValueError(f"no uniquely solvable puzzle in {attempts} attempts for seed {seeds[who[0]]}")
+            left, code = np.full(len(who), self.valid), np.zeros(len(who), dtype=np.int64)
+            for knights in self.knights:
+                x = tree[at * width + who].astype(np.int64)
+                at, x = x & 255, x >> 8
+                left &= ~(self.truth[x] ^ knights)
+                code = code << self.bits | x
+            inside = at != _BEYOND
+            one = inside & (np.bitwise_count(left) == 1)
+            number[who[one]], tried[who[one]] = code[one], attempt
+            who, at = who[inside & ~one], at[inside & ~one]
+        return number, tried
+
+    def number(self, trees: np.ndarray) -> np.ndarray:
+        """The number of puzzles drawn as arrays: (puzzles, people, places, [what, first, second])."""
+        n, codes = len(self.people), {}
+        for i in reversed(range(len(self.world.levels))):
+            what, a, b = (trees[:, :, i, j].astype(np.int64) for j in range(3))
+            raw = np.where(b == n - 1, a, b)
+            x = np.where(what == _IS, 2 * a + b, 2 * n + (what - _SAME) * n * (n - 1) + a * (n - 1) + raw)
+            if (level := self.world.levels[i]) < self.depth:
+                size = self.sizes[self.depth - level - 1]
+                left, right = (codes.pop(j) for j in self.world.parts(i))
+                two = self.sizes[0] + size + (what - _AND) * size * size + left * size + right
+                x = np.where(what < _NOT, x, np.where(what == _NOT, self.sizes[0] + left, two))
+            codes[i] = x
+        out = np.zeros(len(trees), dtype=np.int64)
+        for p in range(n):
+            out = out << self.bits | codes[0][:, p]
+        return out
+
+    def _pieces(self, leaves: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
+        """Beginnings and ends of which the canonical JSON of any tree is put together."""
+        if not self.depth:
+            return [x for x, _ in leaves], [""]
+        lower, cut, inner = leaves, ("\0", ""), _World._inner
+        for _ in range(self.depth - 1):
+            two = [inner(op, x, y) for op in INNER[1:] for x in lower for y in lower]
+            lower = [*leaves, *[inner("not", x, x) for x in lower], *two]
+        begin = [*leaves, *[inner("not", x, x) for x in lower]]
+        lefts = [inner(op, x, cut)[0].split("\0")[0] for op in INNER[1:] for x in lower]
+        return [*[x for x, _ in begin], *lefts], ["", *[x + "}" for x, _ in lower]]
+
+    def texts(self, numbers: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Key (as ``logic.puzzle_key``) and pattern of each number."""
+        n = len(self.people)
+        codes = np.stack([numbers >> self.bits * (n - 1 - p) & (1 << self.bits) - 1 for p in range(n)], axis=1)
+        left = np.full(len(numbers), self.valid)
+        for p in range(n):
+            left &= ~(self.truth[codes[:, p]] ^ self.knights[p])
+        begin, last = codes, np.zeros_like(codes)
+        if self.depth:
+            size, few = self.sizes[-2], self.sizes[0] + self.sizes[-2]
+            op_left, right = np.divmod(codes - few, size)
+            begin, last = np.where(codes < few, codes, few + op_left), np.where(codes < few, 0, 1 + right)
+        parts = [part for p in range(n) for part in (self.begin[begin[:, p]].tolist(), self.end[p][last[:, p]].tolist())]
+        keys = [hashlib.sha256(b"".join((self.head, *x))).hexdigest() for x in zip(*parts, strict=True)]
+        return keys, self.marks[np.log2(left.astype(np.float64)).astype(np.int64)]
+
+
 KINDS = ("statement", "label")
 
 
@@ -204,7 +411,7 @@ def _written(w: _World, found: list[tuple], texts: bool) -> dict:
     case = 64 * word + np.log2(left[np.arange(len(left)), word].astype(np.float64)).astype(np.int64)
     n = len(w.people)
     marks = ["".join("KN"[c >> n - 1 - p & 1] for p in range(n)) for c in case.tolist()]
-    row = {"rows": rows, "pattern": marks, "attempts": attempt}
+    row = {"rows": rows, "pattern": marks, "attempts": attempt, "trees": trees}
     for p in range(n) if texts else ():
         row[f"expr_{p}"], row[f"said_{p}"] = w.texts(trees[:, p])
     return row
@@ -314,6 +521,101 @@ def _key() -> Column:
     return logic.puzzle_key(F.col("people"), said)
 
 
+def _stretches(spark: SparkSession, seed: int, start: int, end: int) -> DataFrame:
+    """The numbers ``start`` to ``end`` of a seed's stream, as states from which tasks go on: pos (of the first number), state."""
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for pos, state in stretches(row["seed"], start, end):
+                    yield pa.RecordBatch.from_arrays([pa.array([pos]), pa.array([state])], ["pos", "state"])
+
+    one = spark.range(0, 1, 1, 1).select(F.lit(seed).cast("long").alias("seed"))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * (end - start) // STRETCH + 2)
+    return one.mapInArrow(states, "pos long, state binary").repartition(tasks)
+
+
+def _candidates(
+    spark: SparkSession, seed: int, start: int, end: int, kind: str, people: tuple[str, ...], depth: int, attempts: int = 10_000
+) -> DataFrame:
+    """The puzzles of the seeds ``start`` to ``end`` of a stream: key, pos, seed, attempts, in the general case pattern.
+
+    ``key`` is a number (``_Tabled``) where that fits, else the digest.
+    """
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seeds = stretch(row["state"])
+                pos = row["pos"] + np.arange(len(seeds))
+                inside = (pos >= start) & (pos < end)
+                yield np.stack([seeds[inside], pos[inside]], axis=1)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in numbers(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["seed", "pos"])
+
+    def batch_of(key: np.ndarray, rows: np.ndarray, attempt: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(key), pa.array(rows[:, 1]), pa.array(rows[:, 0]), pa.array(attempt.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["key", "pos", "seed", "attempts"])
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, late = _Tabled(people, depth), []
+
+        def longer() -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(late) if late else np.zeros((0, 2), dtype=np.int64)
+            late.clear()
+            if len(rows):
+                for row in _puzzles(w.world, iter([rows]), kind, attempts, min(_BLOCK, len(rows)), 1, False):
+                    yield batch_of(w.number(row["trees"]), row["rows"], row["attempts"])
+
+        for x in _cut(numbers(batches)):
+            key, tried = w.draw(x[:, 0], attempts)
+            yield batch_of(key[tried > 0], x[tried > 0], tried[tried > 0])
+            late.append(x[tried == 0])
+            if sum(map(len, late)) >= _BLOCK:
+                yield from longer()
+        yield from longer()
+
+    rows = _stretches(spark, seed, start, end)
+    if kind == "statement" and _Tabled.fits(people, depth):
+        return rows.mapInArrow(tabled, "key long, pos long, seed long, attempts int")
+    made = _drawn(rows.mapInArrow(plain, "seed long, pos long"), ("pos",), kind, people, depth, attempts)
+    return made.select(F.unhex(_key()).alias("key"), "pos", "seed", "attempts", "pattern")
+
+
+def _cut(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same rows, ``_WIDTH`` at a time."""
+    rest = []
+    for x in arrays:
+        rest.append(x)
+        if sum(map(len, rest)) >= _WIDTH:
+            x = np.concatenate(rest)
+            whole = len(x) - len(x) % _WIDTH
+            yield from np.split(x[:whole], whole // _WIDTH)
+            rest = [x[whole:]]
+    if sum(map(len, rest)):
+        yield np.concatenate(rest)
+
+
+def _keyed(taken: DataFrame, people: tuple[str, ...], depth: int) -> DataFrame:
+    """split, n, pos, seed, key, pattern, attempts: keys that are numbers are written as digests, with their patterns."""
+    cols = ["split", "n", "pos", "seed", "key", "pattern", "attempts"]
+    if "pattern" in taken.columns:
+        return taken.withColumn("key", F.lower(F.hex("key"))).select(*cols)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _Tabled(people, depth)
+        for batch in batches:
+            x = dict(zip(batch.schema.names, batch.columns, strict=True))
+            keys, patterns = w.texts(x["key"].to_numpy())
+            x |= {"key": pa.array(keys, pa.string()), "pattern": pa.array(patterns, pa.string())}
+            yield pa.RecordBatch.from_arrays([x[c] for c in cols], cols)
+
+    kinds = "split long, n long, pos long, seed long, key string, pattern string, attempts int"
+    return taken.select("split", "n", "pos", "seed", "key", "attempts").mapInArrow(write, kinds)
+
+
 def splits(
     wanted: DataFrame, kind: str = "statement", people: tuple[str, ...] = PEOPLE, depth: int = 2, statements: bool = True
 ) -> DataFrame:
@@ -321,37 +623,42 @@ def splits(
 
     ``wanted``: columns split, seed and size, a row a split and few of them.  Splits are filled in order of their number: each
     takes puzzles along its own stream, passes over keys that it or a split before it took, and stops at its size.  Jobs run
-    for each split; its candidates are drawn a quarter more than its size at first, twice as many where that isn't enough.
-    A size of 0 or less, or null, gives no rows.  Candidates move as digests of 32 bytes; ``statements`` are drawn again, for
-    puzzles that were taken, or left out.
+    for each split.  The more puzzles there are, the fewer are new: as many candidates are drawn as the split before took for
+    its size (the first: one each), then, from where that stopped, as many as the share of new ones in the last round asks
+    for and a quarter more.  A size of 0 or less, or null, gives no rows.  Candidates move as numbers of 8 bytes, or digests of 32; ``statements``
+    are drawn again, for puzzles that were taken, or left out.
     """
-    spark = wanted.sparkSession
-    cols = ["split", "n", "pos", "seed", F.lower(F.hex("key")).alias("key"), "pattern", "attempts"]
-    out = None
-    for row in wanted.orderBy("split").collect():  # few
-        size, draw = row["size"] or 0, (row["size"] or 0) * 5 // 4 + 64
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind: {kind}")
+    spark, out, share = wanted.sparkSession, None, 1.0
+    for row in sorted(wanted.collect(), key=lambda r: r["split"]):  # few
+        size = row["size"] or 0
         if size <= 0:
             continue
-        one = wanted.where(F.col("split") == row["split"])
+        kept, have, start, end = None, 0, 0, int(size * share) + 64
         while True:
-            seeds = _spread(exchange.table(split_seeds(one, F.lit(draw)), "seeds").select("pos", "seed"))
-            made = _drawn(seeds, ("pos",), kind, people, depth)
-            made = made.select(F.unhex(_key()).alias("key"), "pos", "seed", "pattern", "attempts")
-            first = made.groupBy("key").agg(F.min_by(F.struct("pos", "seed", "pattern", "attempts"), "pos").alias("row"))
-            first = first.select(F.lit(row["split"]).cast("long").alias("split"), "key", "row.*")
-            if out is not None:
-                first = first.join(out.select("key"), "key", "left_anti")
-            ranked = numbered(first, "pos", "n")
-            if ranked.count() >= size:
+            made = _candidates(spark, row["seed"], start, end, kind, people, depth)
+            fields = [c for c in made.columns if c != "key"]
+            new = made.groupBy("key").agg(F.min_by(F.struct(*fields), "pos").alias("row")).select("key", "row.*")
+            for seen in (out, kept):
+                if seen is not None:
+                    new = new.join(seen.select("key"), "key", "left_anti")
+            new = exchange.table(new, "new")
+            n = new.count()
+            kept, have = new if kept is None else kept.unionByName(new), have + n
+            if have >= size:
                 break
-            draw *= 2
-        taken = ranked.where(F.col("n") < size).drop("total")
+            more = (size - have) * (end - start) * 5 // (4 * max(n, 1)) + 64
+            start, end = end, end + min(more, 2 * end)
+        share = end / size
+        taken = numbered(kept, "pos", "n").where(F.col("n") < size).drop("total")
+        taken = taken.withColumn("split", F.lit(row["split"]).cast("long"))
         out = taken if out is None else out.unionByName(taken)
     if out is None:
         kinds = "split long, n long, pos long, seed long, key string, pattern string, attempts int"
         texts = ", statements array<struct<speaker:string,expr:string,text:string>>" if statements else ""
         return spark.createDataFrame([], kinds + texts)
-    out = out.select(*cols)
+    out = _keyed(out, people, depth)
     return out.join(puzzles(out.select("seed"), kind, people, depth).select("seed", "statements"), "seed").select(*out.columns, "statements") if statements else out
 
 

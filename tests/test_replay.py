@@ -1,13 +1,17 @@
 """Replayed draws against Python's generator, and against puzzles and counts that were published with their seeds."""
 
+import functools
+import hashlib
 import itertools
+import json
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ponderlake.functions.twister import Twisters, first_longs, longs
+from ponderlake.functions import logic
+from ponderlake.functions.twister import Twisters, first_longs, longs, stretch, stretches
 from ponderlake.operators import puzzles, replay
 
 #: A balanced set made from seed 20260827, its puzzles' seeds and their statements.
@@ -79,6 +83,112 @@ def test_streams_together():
         assert first_longs(seeds, n).tolist() == [np.concatenate([next(longs(s)) for _ in range(1)] + [x for _, x in zip(range(9), longs(s))][1:])[:n].tolist() for s in seeds.tolist()]
 
 
+def test_stretches():
+    """Any part of a long stream follows from the states written for it."""
+    g = longs(-42)
+    x = np.concatenate([next(g) for _ in range(9)])[:40_000]
+    for start, end in ((0, 1), (9_000, 30_000), (39_999, 40_000), (5, 5)):
+        got = [(pos + np.arange(len(y)), y) for pos, state in stretches(-42, start, end) for y in [stretch(state)]]
+        assert sum(((at >= start) & (at < end)).sum() for at, _ in got) == end - start
+        assert all((y[at < len(x)] == x[at[at < len(x)]]).all() for at, y in got)
+
+
+@pytest.mark.parametrize(("people", "depth"), [(2, 0), (2, 2), (3, 0), (3, 1), (3, 2), (4, 1), (6, 0)])
+def test_tabled_draws(people, depth):
+    """Puzzles read from tables of trees are those drawn word by word, also where a window is too short."""
+    names = tuple(f"p{i}" for i in range(people))
+    assert replay._Tabled.fits(names, depth)
+    w, seeds = replay._Tabled(names, depth), np.concatenate([[0, -7, 2**63 - 1], np.random.default_rng(3).integers(0, 2**63, 900)])
+    rows = np.stack([seeds, np.arange(len(seeds))], axis=1)
+    drawn = {}
+    for part in replay._puzzles(w.world, iter([rows]), "statement", 10_000, 512, 1):
+        exprs = [part[f"expr_{p}"] for p in range(people)]
+        for i, (_, at) in enumerate(part["rows"].tolist()):
+            drawn[at] = (int(w.number(part["trees"][i : i + 1])[0]), int(part["attempts"][i]), part["pattern"][i], [x[i] for x in exprs])
+    number, tried = w.draw(seeds, 10_000)
+    inside = np.flatnonzero(tried)
+    assert 0 < len(inside) and (people, depth) != (3, 2) or 0.9 < len(inside) / len(seeds) < 1
+    keys, patterns = w.texts(number[inside])
+    for i, key, pattern in zip(inside.tolist(), keys, patterns, strict=True):
+        assert (number[i], tried[i], pattern) == drawn[i][:3]
+        said = ",".join(f'{{"expr":{x},"speaker":{{"x":"{p}"}}}}' for x, p in zip(drawn[i][3], names, strict=True))
+        head = '{"people":[' + ",".join(f'"{p}"' for p in names) + "]}"
+        assert key == hashlib.sha256((head + said).encode()).hexdigest()
+    with pytest.raises(ValueError, match="no uniquely solvable puzzle in 1 attempts"):
+        w.draw(seeds, 1)
+
+
+def test_tabled_share_of_leaves():
+    """Whether a tree is a leaf rests on 53 bits: two words, of which the first may leave it open."""
+    w, share = replay._Tabled(replay.PEOPLE, 1), int(replay.STOP * 2**53)
+    high, low = share >> 26, share & (1 << 26) - 1
+    pairs = [(high, low - 1), (high, low), (high - 1, (1 << 26) - 1), (high + 1, 0)]
+    words = np.zeros((227, len(pairs)), dtype=np.uint32)  # zeros after it: all draws fit
+    for i, (a, b) in enumerate(pairs):
+        words[0, i], words[1, i] = a << 5 | 31, b << 6 | 63
+    leaf = (w._begun(words)[0] >> 8) < w.sizes[0]
+    assert leaf.tolist() == [(a * 67108864.0 + b) / 9007199254740992.0 < replay.STOP for a, b in pairs] == [True, False, True, False]
+
+
+def _said(r, names, depth):
+    """A tree drawn word by word by Python's generator: canonical JSON."""
+    if depth == 0 or r.random() < 0.60:
+        op = r.choice(("person_is", "same", "different"))
+        if op == "person_is":
+            a, b = r.choice(names), r.choice(("knight", "knave"))
+            return f'{{"op":"{op}","person":"{a}","value":"{b}"}}'
+        a, b = r.sample(names, 2)
+        return f'{{"left":"{a}","op":"{op}","right":"{b}"}}'
+    op = r.choice(("not", "and", "or"))
+    left = _said(r, names, depth - 1)
+    return f'{{"expr":{left},"op":"not"}}' if op == "not" else f'{{"left":{left},"op":"{op}","right":{_said(r, names, depth - 1)}}}'
+
+
+def _walked(wanted, names, depth):
+    """Splits as one generator after another makes them, puzzle by puzzle: (split, n, pos, seed, key, pattern, attempts)."""
+    masks, seen, out = logic.truth_masks(list(names)), set(), []
+    full, n = (1 << (1 << len(names))) - 1, len(names)
+    for split, seed, size in wanted:
+        stream, pos, have = random.Random(seed), -1, 0
+        while have < size:
+            pos, one = pos + 1, stream.randrange(0, 2**63)
+            r, left, attempts = random.Random(one), 0, 0
+            while left.bit_count() != 1:
+                left, attempts = full, attempts + 1
+                trees = [_said(r, names, depth) for _ in names]
+                for p, tree in zip(names, trees, strict=True):
+                    left &= ~(logic.analyse(json.loads(tree), list(names))[0] ^ masks[p])
+            if tuple(trees) not in seen:
+                seen.add(tuple(trees))
+                case = left.bit_length() - 1
+                said = ",".join(f'{{"expr":{x},"speaker":{{"x":"{p}"}}}}' for x, p in zip(trees, names, strict=True))
+                key = hashlib.sha256((json.dumps({"people": names}, separators=(",", ":")) + said).encode()).hexdigest()
+                out.append((split, have, pos, one, key, "".join("KN"[case >> n - 1 - p & 1] for p in range(n)), attempts))
+                have += 1
+    return out
+
+
+@pytest.mark.parametrize(("names", "depth"), [(replay.PEOPLE, 2), (("Ann", "Bo"), 1), (("Ann", "B-o"), 1)])
+def test_splits_walk_on(spark, monkeypatch, names, depth):
+    """Splits of a stream of which ever fewer puzzles are new: as drawn one by one, and no seed of a stream is drawn twice."""
+    drawn, table = [], replay.exchange.table
+
+    def noted(df, name):
+        out = table(df, name)
+        if name in ("seeds", "new"):
+            drawn.append(out.select("pos"))
+        return out
+
+    monkeypatch.setattr(replay.exchange, "table", noted)
+    wanted = [(0, 11, 400), (1, 12, 150)]
+    got = replay.splits(spark.createDataFrame(wanted, "split long, seed long, size long"), people=names, depth=depth, statements=False)
+    assert sorted(map(tuple, got.collect())) == _walked(wanted, names, depth)
+    drawn.clear()
+    replay.splits(spark.createDataFrame(wanted[:1], "split long, seed long, size long"), people=names, depth=depth, statements=False)
+    rounds = functools.reduce(lambda a, b: a.unionByName(b), drawn)
+    assert rounds.distinct().count() == rounds.count() and (depth == 2 or len(drawn) > 1)
+
+
 def test_candidates_carry_no_texts(spark, tmp_path, monkeypatch):
     """What the operators write is keys and numbers: no statement of a candidate goes through a shuffle or a table."""
     written = []
