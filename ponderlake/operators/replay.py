@@ -37,7 +37,7 @@ _BLOCK = 4096
 #: Streams of at most so many seeds are written together, so many at a time.
 _SHORT, _TOGETHER = 4096, 256
 #: Trees that may be tabled, seeds whose words are tabled at once, and what stands for a word beyond those tabled.
-_FEW, _WIDTH, _BEYOND = 1 << 20, 4096, 255
+_FEW, _WIDTH, _BEYOND = 1 << 20, 8192, 255
 
 
 class _World:
@@ -157,7 +157,6 @@ class _Tabled:
             self.truth = np.concatenate([first, ~x, (x[:, None] & x).ravel(), (x[:, None] | x).ravel()])
         self.marks = np.array(["".join("KN"[c >> n - 1 - p & 1] for p in range(n)) for c in range(1 << n)], dtype=object)
         begin, end = self._pieces([self.world._leaf(*x) for x in leaves])
-        self.rooms: dict[str, np.ndarray] = {}
         self.head = json.dumps({"people": people}, separators=(",", ":")).encode()
         self.begin = np.array([f'{{"expr":{x}'.encode() for x in begin], dtype=object)
         speakers = [f',"speaker":{{"x":"{p}"}}}}' + ("," if p != people[-1] else "") for p in people]
@@ -187,95 +186,70 @@ class _Tabled:
         a, b = divmod(i, n - 1)
         return (_SAME, _DIFFERENT)[what], a, n - 1 if b == a else b
 
-    def _room(self, name: str, rows: int, width: int, kind: type = np.uint32) -> np.ndarray:
-        """An array that is used again for the next seeds: fresh memory costs more than what is written to it."""
-        if (at := self.rooms.get(name)) is None or at.shape != (rows, width):
-            at = self.rooms[name] = np.empty((rows, width), dtype=kind)
-        return at
-
-    def _begun(self, words: np.ndarray) -> np.ndarray:
-        """The tree that begins at each word: (256, seeds), its number times 256 and the word after it, ``_BEYOND`` if not there."""
-        (k, width), n, u = words.shape, len(self.people), np.uint32
-        found, line = self._room("found", k, width), np.empty(width, dtype=u)
-        drawn: dict[int, np.ndarray] = {}
-        others: dict[int, np.ndarray] = {}
-
-        def digit(m: int) -> np.ndarray:
-            b = m.bit_length()
-            if b not in drawn:
-                drawn[b] = np.right_shift(words, u(32 - b), out=self._room(f"digit {b}", k, width))
-            return drawn[b]
-
-        def all_ones(x: np.ndarray, name: str) -> np.ndarray:
-            return np.multiply(x, u(0xFFFFFFFF), out=self._room(name, k, width))
-
-        def put(so: np.ndarray, bits: np.ndarray) -> None:
-            """What is ``so`` where the bits are set, several times as fast as where: the rest of ``found`` stays."""
-            x = np.bitwise_xor(found, so, out=self._room("x", k, width))
+    def _begun(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word and seed, flat: whether a tree that begins there is a leaf; the leaf, and the inner operator, drawn from there.
+
+        Both are numbers times 256 and the word after it, ``_BEYOND`` if not there.  From the last word to the first, a row of
+        seeds at a time: a digit that doesn't fit gives what the next word gives.
+        """
+        (k, width), n, u = words.shape, len(self.people), np.uint16
+        leaf, inner = (np.full((260, width), _BEYOND, dtype=u) for _ in range(2))
+        stop = np.zeros((260, width), dtype=bool)
+        line = np.full(width, _BEYOND, dtype=u)
+        number = {m: line.copy() for m in (2, n - 1)}
+        about = {m: line.copy() for m in (2, n - 1)} if n != 3 else {2: line.copy()}
+        share, eight = int(STOP * 2**53), u(256)
+        high, low = np.uint32(share >> 26 << 5), np.uint32(share & (1 << 26) - 1)
+
+        def put(old: np.ndarray, new: np.ndarray, bits: np.ndarray, out: np.ndarray) -> None:
+            x = old ^ new  # several times as fast as where
             x &= bits
-            np.bitwise_xor(found, x, out=found)
-
-        def table(m: int, name: str) -> np.ndarray:
-            """``found`` where a number below m is drawn from the word, else what the next word gives."""
-            if m not in others:
-                others[m] = all_ones(digit(m) >= m, f"others {m}")
-            out, again = self._room(name, 256, width), others[m]
-            out[:k], out[k:] = found, _BEYOND
-            for p in range(k - 1, -1, -1):
-                np.bitwise_xor(out[p], out[p + 1], out=line)
-                np.bitwise_and(line, again[p], out=line)
-                np.bitwise_xor(out[p], line, out=out[p])
-            return out
-
-        def scaled(x: np.ndarray, by: int, plus: np.ndarray) -> None:
-            """``found`` is 256 * by * x + plus."""
-            np.multiply(x, u(by << 8), out=found)
-            np.add(found, plus, out=found)
-
-        number = {}
-        for m in {2, n - 1}:
-            scaled(digit(m), 1, np.arange(1, k + 1, dtype=u)[:, None])
-            number[m] = table(m, f"number {m}")
-        leaf_of = {}
-        for m in (2, n - 1):
-            scaled(digit(n), m, number[m][1 : k + 1])
-            leaf_of[len(leaf_of)] = table(n, f"leaf {len(leaf_of)}")
-        what = digit(len(LEAVES))
-        first = all_ones(what == 0, "first")
-        # leaves about two people come after those about one
-        scaled(what, n * (n - 1), leaf_of[1][1 : k + 1])
-        np.add(found, u((2 * n - n * (n - 1)) * 256 & 0xFFFFFFFF), out=found)
-        put(leaf_of[0][1 : k + 1], first)
-        leaf = tree = table(len(LEAVES), "leaf")
-        # numbers of 53 bits below the share: nearly always the first word's 27 bits tell
-        share = int(STOP * 2**53)
-        stop, near = words < u(share >> 26 << 5), (words ^ u(share >> 26 << 5)) < 32
-        if near.any():
-            stop[:-1] |= near[:-1] & (words[1:] >> u(6) < u(share & (1 << 26) - 1))
-        stop = all_ones(stop, "stop")
-        at, right, columns = self._room("at", k, width, np.intp), self._room("right", k, width), np.arange(width)
-        for level, size in enumerate(self.sizes[: self.depth]):
-            left = tree[1 : k + 1]
-            np.bitwise_and(left, u(255), out=right)
-            np.multiply(right, width, out=at, dtype=np.intp)
-            np.add(at, columns, out=at)
-            np.take(tree.ravel(), at, out=right, mode="clip")
-            scaled(np.right_shift(left, u(8), out=found), size, right)
-            x = np.multiply(what, u(size * size << 8), out=self._room("x", k, width))
-            np.add(found, x, out=found)
-            np.add(found, u((self.sizes[0] + size - size * size) * 256 & 0xFFFFFFFF), out=found)
-            put(np.add(left, u(self.sizes[0] << 8), out=right), first)
-            inner = table(len(INNER), "inner")
-            np.copyto(found, inner[2 : k + 2])
-            put(leaf[2 : k + 2], stop)
-            tree = self._room(f"tree {level}", 256, width)
-            tree[:k], tree[k:] = found, _BEYOND
-        return tree
+            np.bitwise_xor(new, x, out=out)
+
+        for p in range(k - 1, -1, -1):
+            top = (words[p] >> np.uint32(24)).astype(u)
+            digits = {m: top >> u(8 - m.bit_length()) for m in {2, 3, n - 1, n}}
+            again = {m: (d >= m) * u(0xFFFF) for m, d in digits.items()}
+            what, who = digits[3], digits[n]
+            two = about[n - 1] + (what - u(1)) * u(256 * n * (n - 1) & 0xFFFF) + u(512 * n)
+            put(about[2], two, (what == 0) * u(0xFFFF), two)
+            put(leaf[p + 1], two, again[3], leaf[p])
+            put(inner[p + 1], what * eight + u(p + 1), again[3], inner[p])
+            for m, x in about.items():
+                put(x, number[m] + who * u(256 * m), again[n], x)
+            for m, x in number.items():
+                put(x, digits[m] * eight + u(p + 1), again[m], x)
+            # numbers of 53 bits below the share: nearly always the first word's 27 bits tell
+            np.less(words[p], high, out=stop[p])
+            near = (words[p] ^ high) < 32
+            if p + 1 < k and near.any():
+                stop[p] |= near & (words[p + 1] >> np.uint32(6) < low)
+        return stop.ravel(), leaf.ravel(), inner.ravel()
+
+    def _drawn(self, begun: tuple[np.ndarray, ...], width: int, who: np.ndarray, at: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the tree that begins at a word of each seed named, and the word after it."""
+        stop, leaf, inner = begun
+        if height == 0:
+            x = leaf[at * width + who].astype(np.int64)
+            return x >> 8, x & 255
+        small, size = self.sizes[0], self.sizes[height - 1]
+        place = at * width + who
+        x = leaf[place + 2 * width].astype(np.int64)
+        number, end = x >> 8, x & 255
+        rest = np.flatnonzero(~stop[place])
+        x = inner[place[rest] + 2 * width].astype(np.int64)
+        what = x >> 8
+        left, after = self._drawn(begun, width, who[rest], x & 255, height - 1)
+        both = np.flatnonzero(what)
+        right, after[both] = self._drawn(begun, width, who[rest[both]], after[both], height - 1)
+        left[both] = size + (what[both] - 1) * size * size + left[both] * size + right
+        number[rest], end[rest] = small + left, after
+        return number, end
 
     def draw(self, seeds: np.ndarray, attempts: int) -> tuple[np.ndarray, np.ndarray]:
         """Number and attempts of each seed's puzzle; no attempts where it takes more words than are tabled."""
         width = len(seeds)
-        tree = self._begun(first_words(seeds)).ravel()
+        begun = self._begun(first_words(seeds))
         number, tried = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
         who, at, attempt = np.arange(width), np.zeros(width, dtype=np.int64), 0
         while len(who):
@@ -284,8 +258,7 @@ class _Tabled:
                 raise ValueError(f"no uniquely solvable puzzle in {attempts} attempts for seed {seeds[who[0]]}")
             left, code = np.full(len(who), self.valid), np.zeros(len(who), dtype=np.int64)
             for knights in self.knights:
-                x = tree[at * width + who].astype(np.int64)
-                at, x = x & 255, x >> 8
+                x, at = self._drawn(begun, width, who, at, self.depth)
                 left &= ~(self.truth[x] ^ knights)
                 code = code << self.bits | x
             inside = at != _BEYOND

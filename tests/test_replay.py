@@ -126,8 +126,9 @@ def test_tabled_share_of_leaves():
     words = np.zeros((227, len(pairs)), dtype=np.uint32)  # zeros after it: all draws fit
     for i, (a, b) in enumerate(pairs):
         words[0, i], words[1, i] = a << 5 | 31, b << 6 | 63
-    leaf = (w._begun(words)[0] >> 8) < w.sizes[0]
-    assert leaf.tolist() == [(a * 67108864.0 + b) / 9007199254740992.0 < replay.STOP for a, b in pairs] == [True, False, True, False]
+    none = np.zeros(len(pairs), dtype=np.int64)
+    number, _ = w._drawn(w._begun(words), len(pairs), np.arange(len(pairs)), none, 1)
+    assert (number < w.sizes[0]).tolist() == [(a * 67108864.0 + b) / 9007199254740992.0 < replay.STOP for a, b in pairs] == [True, False, True, False]
 
 
 def _said(r, names, depth):
